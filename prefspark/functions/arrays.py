@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefspark.functions.scalars import safe_div
+from prefspark.functions.scalars import bind, safe_div
 
 
 def array_sum(a: Column) -> Column:
@@ -42,22 +42,13 @@ def masked_normalize(values: Column, mask: Column, eps: float = 1e-8) -> Column:
     Masked cells end as ``-mean * scale`` because centring follows the zeroing.
     """
     kept = mul(values, as_double(mask))
-    # One struct per row carries the row's mean so that it is computed once, not once per element.
-    mean = masked_mean(kept, mask)
-    centred = F.transform(F.array(mean), lambda mu: F.transform(kept, lambda x: x - mu))
-    return F.get(
-        F.transform(
-            centred,
-            lambda c: F.get(
-                F.transform(
-                    F.array(masked_mean(mul(c, c), mask)),
-                    lambda v: F.transform(c, lambda x: x / F.sqrt(F.greatest(v, F.lit(eps)))),
-                ),
-                F.lit(0),
-            ),
-        ),
-        F.lit(0),
-    )
+
+    def scaled(centred: Column) -> Column:
+        deviation = F.sqrt(F.greatest(masked_mean(mul(centred, centred), mask), F.lit(eps)))
+        return bind(deviation, lambda d: F.transform(centred, lambda x: x / d))
+
+    centred = bind(masked_mean(kept, mask), lambda mean: F.transform(kept, lambda x: x - mean))
+    return bind(centred, scaled)
 
 
 def last_one_index(mask: Column) -> Column:
@@ -92,18 +83,10 @@ def pad_to(a: Column, n, value, side: str = "right") -> Column:
     raise ValueError(f"unknown padding side {side!r}")
 
 
-def max_of(a: Column) -> Column:
-    return F.array_max(a)
-
-
 def log_sum_exp(x: Column) -> Column:
     """ln Σ e^x with the maximum taken out."""
-    return F.get(
-        F.transform(
-            F.array(F.array_max(x)),
-            lambda top: top + F.ln(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))),
-        ),
-        F.lit(0),
+    return bind(
+        F.array_max(x), lambda top: top + F.ln(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prefspark.functions.arrays import array_sum, as_double, log_sum_exp, masked_mean
-from prefspark.functions.scalars import clip, log_sigmoid, sigmoid, softplus
+from prefspark.functions.scalars import bind, clip, log_sigmoid, sigmoid, softplus
 from prefspark.functions.scores import implicit_margin
 
 IGNORE_LABEL = -100
@@ -90,11 +90,8 @@ def distillation(logits: Column, teacher: Column) -> Column:
             lambda s, t: F.when(F.abs(s) == F.lit(float("inf")), F.lit(0.0)).otherwise(F.exp(t - zt) * (s - zs)),
         )
 
-    total = F.transform(
-        F.array(F.struct(log_sum_exp(student).alias("s"), log_sum_exp(taught).alias("t"))),
-        lambda z: -array_sum(terms(z["s"], z["t"])),
-    )
-    return F.get(total, F.lit(0))
+    sums = F.struct(log_sum_exp(student).alias("s"), log_sum_exp(taught).alias("t"))
+    return bind(sums, lambda z: -array_sum(terms(z["s"], z["t"])))
 
 
 def soft_cross_entropy(logits: Column, positive: Column) -> Column:

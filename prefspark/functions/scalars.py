@@ -56,3 +56,12 @@ def floor_div(a: Column, b) -> Column:
     """Integer quotient of non-negative numbers, as a long."""
     b = lit_or_col(b)
     return ((a - F.pmod(a, b)) / b).cast("long")
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    An expression captured by a higher-order function is evaluated for every element; a lambda
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -14,7 +14,7 @@ from prefspark.functions.arrays import (
     masked_mean,
     masked_sum,
 )
-from prefspark.functions.scalars import clip, lit_or_col, safe_div
+from prefspark.functions.scalars import bind, clip, lit_or_col, safe_div
 from prefspark.schema import null_if_nan
 
 # Joint-probability clip range, judge-score threshold of the rejected-length selector,
@@ -103,9 +103,12 @@ def per_token_reward(reward: Column, kl: Column, mask: Column, kl_coef=0.0, clip
     coef = F.greatest(lit_or_col(kl_coef).cast("double"), F.lit(0.0))
     if clip_range:
         reward = clip(reward, *clip_range)
-    return F.transform(
-        kl, lambda x, i: F.when(i == last_one_index(mask), reward).otherwise(F.lit(0.0)) - coef * x
+    last, n = last_one_index(mask), F.size(kl)
+    # No lambda inside a lambda: Spark does not plan a Python scan over such an argument.
+    final = F.concat(
+        F.array_repeat(F.lit(0.0), last), F.array(reward.cast("double")), F.array_repeat(F.lit(0.0), n - last - 1)
     )
+    return F.when(n > 0, F.zip_with(kl, final, lambda x, r: r - coef * x)).otherwise(kl)
 
 
 def overlong_penalty(length: Column, max_len: int, buffer: int, factor: float = 1.0) -> Column:
@@ -125,10 +128,7 @@ def token_logprob(logits: Column, label: Column, temperature: float = 1.0) -> Co
 def entropy(logits: Column) -> Column:
     """Entropy of the softmax of a logit array."""
     x = as_double(logits)
-    weighted = F.transform(
-        F.array(log_sum_exp(x)), lambda z: z - array_sum(F.transform(x, lambda v: F.exp(v - z) * v))
-    )
-    return F.get(weighted, F.lit(0))
+    return bind(log_sum_exp(x), lambda z: z - array_sum(F.transform(x, lambda v: F.exp(v - z) * v)))
 
 
 def joint_score(em: Column, im: Column, low: float = JOINT_LOW, high: float = JOINT_HIGH) -> Column:

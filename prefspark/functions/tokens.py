@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
+from string import Formatter
 from typing import Protocol
 
 import pandas as pd
@@ -131,8 +131,9 @@ def after(full: Column, head: Column) -> Column:
 
 def fill_template(text: Column, template: str) -> Column:
     """Put ``text`` in the single ``{}`` of a Python format string."""
-    parts = re.split(r"(?<!\{)\{\}(?!\})", template)
-    if len(parts) != 2:
+    fields = [name for _, name, _, _ in Formatter().parse(template) if name is not None]
+    if fields != [""]:
         raise ValueError("template needs exactly one {} placeholder")
-    head, tail = (p.replace("{{", "{").replace("}}", "}") for p in parts)
+    # Formatting with a mark no template contains resolves the brace escapes.
+    head, tail = template.format("\0").split("\0")
     return F.concat(F.lit(head), text, F.lit(tail))

@@ -113,7 +113,10 @@ def normalize_advantages_global(
     action = tokens.where(F.col("x.m") == 1)
     stats = action.agg(F.struct(F.avg("x.a").alias("mean"), F.var_pop("x.a").alias("var"))).scalar()
     factor = F.lit(1.0) / F.sqrt(F.greatest(stats["var"], F.lit(1e-8))) if scale else F.lit(1.0)
-    return df.withColumn(advantages, F.transform(advantages, lambda a: (a - stats["mean"]) * factor))
+    scaled = df.withColumns({"_mean": stats["mean"], "_factor": factor})
+    return scaled.withColumn(
+        advantages, F.transform(advantages, lambda a: (a - F.col("_mean")) * F.col("_factor"))
+    ).drop("_mean", "_factor")
 
 
 def adaptive_kl(

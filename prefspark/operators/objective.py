@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions import arrays as A
 from prefspark.functions import losses as L
-from prefspark.functions.scalars import safe_div, sigmoid
+from prefspark.functions.scalars import bind, safe_div, sigmoid
 
 LOGPS = [f"{m}_{s}_logprob" for m in ("policy", "ref") for s in ("chosen", "rejected")]
 
@@ -81,7 +81,8 @@ def ppo_metrics(
     else:
         token_level = False
         per_seq = L.sequence_ratio(F.col("logprobs"), F.col(old), F.col("action_mask"))
-        ratio = F.transform(A.as_double(F.col("action_mask")), lambda m: per_seq * m)
+        mask = A.as_double(F.col("action_mask"))
+        ratio = bind(per_seq, lambda r: F.transform(mask, lambda m: r * m))
     rows = df.withColumns({"_ratio": ratio, "_log_ratio": log_ratio})
     pairs = F.arrays_zip(F.col("_ratio").alias("r"), F.col("advantages").alias("a"))
     loss = F.transform(pairs, lambda x: L.clipped_surrogate(x["r"], x["a"], low, high, dual_clip))

@@ -70,7 +70,7 @@ def conditional_sft(df: DataFrame, template: str | None = None, normalize: bool
     if "{input}" not in template or "{reward}" not in template:
         raise ValueError("the reward template needs {input} and {reward}")
     out = normalize_rewards_global(df) if normalize else df
-    shown = F.replace(F.lit(template), F.lit("{reward}"), F.format_number("reward", "0.00"))
+    shown = F.replace(F.lit(template), F.lit("{reward}"), F.call_function("format_number", F.col("reward"), F.lit("0.00")))
     return out.withColumn("input", F.replace(shown, F.lit("{input}"), F.col("input")))
 
 

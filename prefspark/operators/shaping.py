@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from prefspark.functions import arrays as A
 from prefspark.functions.messages import message_role
-from prefspark.functions.scalars import floor_div
+from prefspark.functions.scalars import bind, floor_div
 from prefspark.functions.tokens import ChatTemplate, Tokenizer, after, fill_template, say
 from prefspark.operators.groups import with_group_stats
 from prefspark.operators.normalize import drop_incomplete, normalize_text_columns
@@ -229,7 +229,8 @@ def pad_batch(df: DataFrame, cols: dict[str, int], batch_col: str, side: str = "
 
 def strip_padding(ids: Column, mask: Column) -> Column:
     """Elements whose mask is one."""
-    return F.filter(ids, lambda _, i: F.get(mask, i) == 1)
+    kept = F.filter(F.arrays_zip(ids.alias("x"), mask.alias("m")), lambda c: c["m"] == 1)
+    return F.transform(kept, lambda c: c["x"])
 
 
 def strip_right_padding(values: Column, mask: Column) -> Column:
@@ -269,8 +270,11 @@ def multiturn_response_ranges(messages: Column, tokenizer: Tokenizer, template:
 def ranges_loss_mask(n: Column, ranges: Column) -> Column:
     """One on ``[start - 1, end)`` of every range."""
     cells = F.sequence(F.lit(0), n.cast("int") - 1)
-    marked = F.transform(
-        cells, lambda i: F.exists(ranges, lambda r: (i >= r["start"] - 1) & (i < r["end"])).cast("int")
+    marked = bind(
+        ranges,
+        lambda spans: F.transform(
+            cells, lambda i: F.exists(spans, lambda r: (i >= r["start"] - 1) & (i < r["end"])).cast("int")
+        ),
     )
     return F.when(n > 0, marked).otherwise(F.array().cast("array<int>"))
 
@@ -293,14 +297,20 @@ def process_reward_labels(ids: Column, labels: Column, placeholder_id: int, igno
     Labels of truncated placeholders are dropped; too few labels fail the row.
     """
     slots = F.filter(F.transform(ids, lambda t, i: F.when(t == placeholder_id, i)), lambda i: i.isNotNull())
+    blank = F.lit(float(ignore))
 
-    def place(_, i: Column) -> Column:
-        k = F.array_position(slots, i)
-        return F.when(k > 0, F.try_element_at(labels, k.cast("int"))).otherwise(F.lit(ignore))
+    def place(at: Column) -> Column:
+        # The stretch in front of each placeholder, then its label; then what follows the last one.
+        def stretch(i: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.get(at, k - 1)).otherwise(F.lit(-1))
+            return F.concat(F.array_repeat(blank, i - before - 1), F.array(F.get(labels, k).cast("double")))
 
-    short = F.size(labels) < F.size(slots)
-    failed = F.raise_error(F.lit("fewer step labels than placeholders")).cast("array<double>")
-    return F.when(short, failed).otherwise(F.transform(ids, place).cast("array<double>"))
+        tail = F.size(ids) - 1 - F.coalesce(F.array_max(at), F.lit(-1))
+        filled = F.concat(F.flatten(F.transform(at, stretch)), F.array_repeat(blank, tail))
+        failed = F.raise_error(F.lit("fewer step labels than placeholders")).cast("array<double>")
+        return F.when(F.size(labels) < F.size(at), failed).otherwise(filled)
+
+    return bind(slots, place)
 
 
 def kto_unmatched_pairs(df: DataFrame, batch_size: int, position: str = "position") -> DataFrame:

@@ -313,8 +313,8 @@ def f18(spark, sf):
 
 
 def _top_sql(key: str, k: int, where: str = "TRUE") -> str:
-    return f"""SELECT pair_id, {q6('v')} AS v FROM (SELECT pair_id, {key} AS v FROM v_margins WHERE {where})
-ORDER BY (v IS NULL), v DESC, pair_id LIMIT {k}"""
+    return f"""SELECT pair_id, {q6('t.v')} AS v FROM (SELECT pair_id, {key} AS v FROM v_margins WHERE {where}) t
+ORDER BY (t.v IS NULL), t.v DESC, pair_id LIMIT {k}"""
 
 
 @query("k01_select_im", _top_sql("im", 4000), "v_margins")

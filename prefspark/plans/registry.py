@@ -28,14 +28,14 @@ def query(name: str, sql: str | None = None, *views: str) -> Callable[[Query], Q
     return register
 
 
-def r6(x) -> Column:
-    """Six decimals, without a negative zero."""
-    return F.round(x if isinstance(x, Column) else F.col(x), 6) + 0.0
+def r6(x, digits: int = 6) -> Column:
+    """Rounded, without a negative zero. More digits where six would fall on exact ties."""
+    return F.round(x if isinstance(x, Column) else F.col(x), digits) + 0.0
 
 
-def q6(expr: str) -> str:
+def q6(expr: str, digits: int = 6) -> str:
     """The same in SQL."""
-    return f"round({expr}, 6) + 0e0"
+    return f"round({expr}, {digits}) + 0e0"
 
 
 def joined(a: Column) -> Column:

@@ -39,7 +39,7 @@ FROM {events}""",
     "v_tokens": """
 SELECT event_id - event_id % 4 AS seq_id, event_id % 4 AS t, value / 1e2 AS reward,
   ((event_id * 17) % 89) / 89e0 AS value, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS action_mask,
-  -value / 5e1 AS logprob, -((event_id * 19) % 83) / 4e1 AS base_logprob
+  -value / 5e1 AS logprob, -((event_id * 19) % 83) / 4e1 AS base_logprob, event_id % 5 AS label
 FROM {events}""",
     "v_kto": """
 SELECT d.doc_id, l.quality AS label, -(d.doc_id % 37) / 1e1 AS policy_logp,
