@@ -1,24 +1,24 @@
 """Length-balanced batches.
 
 First-fit, differencing and greedy packing are sequential over the samples of one training step, so
-a step is the unit of work: many steps run in parallel, each as one narrow (id, length) group. A
-step is one global batch; a group above ``MAX_STEP_ROWS`` is reported as an error, never cut.
+a step is the unit of work: steps run in parallel, each as one array of lengths. A step is one
+global batch; the query fails before gathering anything when a step exceeds ``MAX_STEP_ROWS``.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from prefspark.functions import arrays as A
 from prefspark.functions.scalars import floor_div
-from prefspark.operators.groups import with_group_stats
+from prefspark.operators.groups import bounded_groups, spread, with_group_stats
 from prefspark.operators.positions import dense_position
 from prefspark.operators.shaping import pad_batch
 
@@ -97,21 +97,6 @@ def greedy_split(lengths, k: int, equal_size: bool = False) -> list[list[int]]:
     return parts
 
 
-def _per_step(df: DataFrame, steps: list[str], order: str, length: str, out: list[T.StructField], work: Callable) -> DataFrame:
-    """Run ``work(lengths in order, extra columns) -> dict of arrays`` for every step."""
-    keep = [df.schema[c] for c in (*steps, order, length)]
-    schema = T.StructType([*keep, *out])
-    extra = [c for c in ("_parts",) if c in df.columns]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_STEP_ROWS:
-            raise ValueError(f"a step of {len(pdf)} samples is no training batch; derive smaller steps")
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        return pdf.drop(columns=extra).assign(**work(pdf[length].to_numpy(), pdf))
-
-    return df.select(*steps, order, length, *extra).groupBy(*steps).applyInPandas(run, schema)
-
-
 def _part_ids(parts: list[list[int]], n: int) -> np.ndarray:
     ids = np.empty(n, dtype="int32")
     for j, members in enumerate(parts):
@@ -119,22 +104,87 @@ def _part_ids(parts: list[list[int]], n: int) -> np.ndarray:
     return ids
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and offsets of a list column without nulls."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
+
+
+def _split_udf(split: Callable) -> Callable[[Column, Column], Column]:
+    """Column function (lengths of a step, number of parts) to the part of every sample.
+
+    Steps arrive many to an Arrow batch, so the per-call overhead is shared among them.
+    """
+
+    @F.arrow_udf("array<int>")
+    def run(lengths: pa.Array, k: pa.Array) -> pa.Array:
+        flat, offsets = _lists(lengths)
+        out = np.empty(len(flat), dtype="int32")
+        for (start, end), parts in zip(pairwise(offsets), k.to_pylist()):
+            out[start:end] = _part_ids(split(flat[start:end], parts), end - start)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
+
+    return run
+
+
+def _fit_count(lengths: Column, capacity: int) -> Column:
+    """Number of first-fit bins of a step."""
+
+    @F.arrow_udf("int")
+    def run(column: pa.Array) -> pa.Array:
+        flat, offsets = _lists(column)
+        return pa.array([first_fit_count(flat[s:e], capacity) for s, e in pairwise(offsets)], type=pa.int32())
+
+    return run(lengths)
+
+
+def _sum_by_part(values: Column, parts: Column) -> Column:
+    """For every sample the total of ``values`` over the samples of its part."""
+
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array, parts: pa.Array) -> pa.Array:
+        (flat, offsets), (ids, _) = _lists(values), _lists(parts)
+        out = np.empty(len(flat))
+        for s, e in pairwise(offsets):
+            out[s:e] = np.bincount(ids[s:e], weights=flat[s:e])[ids[s:e]]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
+
+    return run(values, parts)
+
+
+def _pack(df: DataFrame, keys: list[str], order: str, length: str) -> DataFrame:
+    """One row per step with ``_rows``, its (order, length) pairs in order, and ``_lengths``."""
+    narrow = spread(bounded_groups(df.select(*keys, order, length), keys, MAX_STEP_ROWS), keys)
+    rows = F.sort_array(F.collect_list(F.struct(order, length)))
+    packed = narrow.groupBy(*keys).agg(rows.alias("_rows"))
+    return packed.withColumn("_lengths", F.col(f"_rows.{length}").cast("array<bigint>"))
+
+
+def _unpack(packed: DataFrame, keys: list[str], order: str, length: str, fields: list[str]) -> DataFrame:
+    """Back to one row per sample with the per-sample arrays ``fields``."""
+    zipped = F.arrays_zip(F.col("_rows").alias("_r"), *[F.col(f) for f in fields])
+    long = packed.select(*keys, F.explode(zipped).alias("_z"))
+    return long.select(
+        *keys,
+        F.col(f"_z._r.{order}").alias(order),
+        F.col(f"_z._r.{length}").alias(length),
+        *[F.col(f"_z.{f}").alias(f) for f in fields],
+    )
+
+
 def first_fit_batches(
     df: DataFrame, max_tokens: int, step: str = "step", order: str = "position", length: str = "total_length",
     ring: int = 1, tensor: int = 1, extra_keys: list[str] = (),
 ) -> DataFrame:
     """Bins of first-fit packing per step, in arrival order."""
     keys = [step, *extra_keys]
-    capacity = max_tokens * ring * tensor
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("num_batches", T.IntegerType())])
+    packed = _pack(df, keys, order, length)
+    return packed.select(*keys, _fit_count(F.col("_lengths"), max_tokens * ring * tensor).alias("num_batches"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_STEP_ROWS:
-            raise ValueError(f"a step of {len(pdf)} samples is no training batch; derive smaller steps")
-        lengths = pdf.sort_values(order, kind="stable")[length].to_numpy()
-        return pd.DataFrame([(*key, first_fit_count(lengths, capacity))], columns=schema.names)
 
-    return df.select(*keys, order, length).groupBy(*keys).applyInPandas(run, schema)
+def _partitions(df: DataFrame, k: int, split: Callable, step: str, order: str, length: str) -> DataFrame:
+    packed = _pack(df, [step], order, length).withColumn("part", _split_udf(split)(F.col("_lengths"), F.lit(k)))
+    return _unpack(packed, [step], order, length, ["part"])
 
 
 def balanced_partitions(
@@ -142,11 +192,7 @@ def balanced_partitions(
     length: str = "total_length",
 ) -> DataFrame:
     """Part of every sample in a k-way largest-differencing split of its step."""
-    field = T.StructField("part", T.IntegerType())
-    return _per_step(
-        df, [step], order, length, [field],
-        lambda lengths, _: {"part": _part_ids(differencing_split(lengths, k, equal_size), len(lengths))},
-    )
+    return _partitions(df, k, lambda x, n: differencing_split(x, n, equal_size), step, order, length)
 
 
 def greedy_partitions(
@@ -154,11 +200,7 @@ def greedy_partitions(
     length: str = "total_length",
 ) -> DataFrame:
     """Part of every sample when each goes to the lightest part of its step."""
-    field = T.StructField("part", T.IntegerType())
-    return _per_step(
-        df, [step], order, length, [field],
-        lambda lengths, _: {"part": _part_ids(greedy_split(lengths, k, equal_size), len(lengths))},
-    )
+    return _partitions(df, k, lambda x, n: greedy_split(x, n, equal_size), step, order, length)
 
 
 def snake_balance(
@@ -193,25 +235,21 @@ def dynamic_micro_batches(
 
     All ranks of a step use the largest first-fit count among them.
     """
-    counts = first_fit_batches(df, max_tokens, step, order, length, ring, tensor, [rank])
-    wanted = counts.groupBy(step).agg(F.max("num_batches").alias("_parts"))
-    fields = [
-        T.StructField("micro_batch", T.IntegerType()),
-        T.StructField("loss_scale", T.DoubleType()),
-        T.StructField("optimizer_step", T.IntegerType()),
-    ]
-
-    def work(lengths, pdf):
-        parts = differencing_split(lengths, int(pdf["_parts"].iloc[0]))
-        ids = _part_ids(parts, len(lengths))
-        sizes = np.array([len(p) for p in parts], dtype="float64")
-        return {
-            "micro_batch": ids,
-            "loss_scale": sizes[ids] / len(lengths),
-            "optimizer_step": (ids == len(parts) - 1).astype("int32"),
+    keys = [rank, step]
+    packed = _pack(df, keys, order, length)
+    packed = packed.withColumn("_count", _fit_count(F.col("_lengths"), max_tokens * ring * tensor))
+    # One row per rank of a step: this window gathers counts and arrays of a single global batch.
+    packed = packed.withColumn("_parts", F.max("_count").over(Window.partitionBy(step)))
+    packed = packed.withColumn("micro_batch", _split_udf(differencing_split)(F.col("_lengths"), F.col("_parts")))
+    ones = F.transform("_lengths", lambda _: F.lit(1).cast("bigint"))
+    size = _sum_by_part(ones, F.col("micro_batch"))
+    packed = packed.withColumn("_size", size).withColumns(
+        {
+            "loss_scale": F.transform("_size", lambda x: x / F.size("_lengths")),
+            "optimizer_step": F.transform("micro_batch", lambda p: (p == F.col("_parts") - 1).cast("int")),
         }
-
-    return _per_step(df.join(wanted, step), [rank, step], order, length, fields, work)
+    )
+    return _unpack(packed, keys, order, length, ["micro_batch", "loss_scale", "optimizer_step"])
 
 
 def rollout_micro_batches(
@@ -225,16 +263,12 @@ def rollout_micro_batches(
     """
     if size is not None:
         return df.withColumn("micro_batch", floor_div(F.col(order), size))
-    capacity = max_tokens * ring * tensor
-    fields = [T.StructField("micro_batch", T.IntegerType()), T.StructField("tokens", T.LongType())]
-
-    def work(lengths, _):
-        k = max(first_fit_count(lengths, capacity) // workers * workers, workers)
-        ids = _part_ids(differencing_split(lengths, k), len(lengths))
-        totals = np.bincount(ids, weights=lengths).astype("int64")
-        return {"micro_batch": ids, "tokens": totals[ids]}
-
-    return _per_step(df, [step], order, length, fields, work)
+    packed = _pack(df, [step], order, length)
+    fits = F.floor(_fit_count(F.col("_lengths"), max_tokens * ring * tensor) / workers) * workers
+    packed = packed.withColumn("_parts", F.greatest(fits, F.lit(workers)).cast("int"))
+    packed = packed.withColumn("micro_batch", _split_udf(differencing_split)(F.col("_lengths"), F.col("_parts")))
+    totals = F.transform(_sum_by_part(F.col("_lengths"), F.col("micro_batch")), lambda x: x.cast("long"))
+    return _unpack(packed.withColumn("tokens", totals), [step], order, length, ["micro_batch", "tokens"])
 
 
 def seqlen_balance_report(

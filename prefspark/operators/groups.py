@@ -17,5 +17,20 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -
     return df.join(per_group, keys)
 
 
-def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def bounded_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """``df``, failing before any group is gathered when one has more than ``limit`` rows.
+
+    The largest group comes from a scalar subquery over a combined count; Spark runs it first.
+    """
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).scalar()
+    message = F.concat(F.lit(f"groups by {keys} may have {limit} rows; the largest has "), largest.cast("string"))
+    return df.where(F.assert_true(largest <= limit, message).isNull())
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition for Python work per group.
+
+    With an explicit number AQE does not merge partitions that are small in bytes but not in work;
+    a following ``groupBy`` on the same keys adds no shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -166,19 +166,16 @@ def apply_reward_func(df: DataFrame, reward_func: Callable, key: str = "sample_i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            columns = [batch[c].tolist() for c in ("query", "prompt", "label")]
+            rewards, scores, logs = [], [], []
             for start in range(0, len(batch), chunk):
-                part = batch.iloc[start : start + chunk]
-                got = reward_func(part["query"].tolist(), part["prompt"].tolist(), part["label"].tolist())
-                rewards = [float(r) for r in got["rewards"]]
-                logs = {k: [float(v) for v in vs] for k, vs in (got.get("extra_logs") or {}).items()}
-                yield pd.DataFrame(
-                    {
-                        key: part[key].to_numpy(),
-                        "rewards": rewards,
-                        "scores": [float(s) for s in got.get("scores", rewards)],
-                        "extra_logs": [{k: vs[i] for k, vs in logs.items()} for i in range(len(part))],
-                    }
-                )
+                part = [c[start : start + chunk] for c in columns]
+                got = reward_func(*part)
+                rewards.extend(map(float, got["rewards"]))
+                scores.extend(map(float, got.get("scores", got["rewards"])))
+                extra = got.get("extra_logs") or {}
+                logs.extend({k: float(v[i]) for k, v in extra.items()} for i in range(len(part[0])))
+            yield pd.DataFrame({key: batch[key], "rewards": rewards, "scores": scores, "extra_logs": logs})
 
     return df.select(key, "query", "prompt", "label").mapInPandas(run, schema)
 

@@ -310,10 +310,10 @@ _MASKED = "SELECT seq_id, t, reward * action_mask AS r, value * action_mask AS v
 
 @query("w04_gae", f"""
 WITH k AS ({_MASKED}), d AS (SELECT *, r + 0.99e0 * COALESCE(lead(v) OVER (PARTITION BY seq_id ORDER BY t), 0) - v AS delta FROM k),
-a AS (SELECT x.seq_id, x.t, x.v, sum(power(0.99e0 * 0.95e0, y.t - x.t) * y.delta) AS adv FROM d x JOIN d y ON y.seq_id = x.seq_id AND y.t >= x.t GROUP BY 1, 2, 3)
+a AS (SELECT x.seq_id, x.t, x.v, sum(power(0.99e0 * 0.9537128461e0, y.t - x.t) * y.delta) AS adv FROM d x JOIN d y ON y.seq_id = x.seq_id AND y.t >= x.t GROUP BY 1, 2, 3)
 SELECT seq_id, t, {q6('adv')} AS advantages, {q6('adv + v')} AS returns FROM a""", "v_tokens")
 def w04(spark, sf):
-    adv, ret = W.gae(F.col("values"), F.col("rewards"), F.col("action_mask"), 0.99, 0.95)
+    adv, ret = W.gae(F.col("values"), F.col("rewards"), F.col("action_mask"), 0.99, 0.9537128461)
     return _long(rollouts(spark, sf).withColumns({"advantages": adv, "returns": ret}), "advantages", "returns")
 
 
@@ -360,10 +360,10 @@ def w06(spark, sf):
 
 @query("w06_compute_advantages_gae", "WITH " + _TOKEN_REWARDS.format(shape="sr") + f""",
 d AS (SELECT *, tr * m + COALESCE(lead(v) OVER (PARTITION BY seq_id ORDER BY t), 0) - v AS delta FROM k),
-a AS (SELECT x.seq_id, x.t, x.v, sum(power(0.95e0, y.t - x.t) * y.delta) AS adv FROM d x JOIN d y ON y.seq_id = x.seq_id AND y.t >= x.t GROUP BY 1, 2, 3)
+a AS (SELECT x.seq_id, x.t, x.v, sum(power(0.9537128461e0, y.t - x.t) * y.delta) AS adv FROM d x JOIN d y ON y.seq_id = x.seq_id AND y.t >= x.t GROUP BY 1, 2, 3)
 SELECT seq_id, t, {q6('adv')} AS advantages, {q6('adv + v')} AS returns FROM a""", "v_tokens")
 def w06b(spark, sf):
-    out = W.compute_advantages(_samples(spark, sf), "gae", lam=0.95, kl_coef=0.05, overlong=(2000, 500, 1.0))
+    out = W.compute_advantages(_samples(spark, sf), "gae", lam=0.9537128461, kl_coef=0.05, overlong=(2000, 500, 1.0))
     return _long(out, "advantages", "returns")
 
 

@@ -36,25 +36,21 @@ def group_verdicts(stream: DataFrame, n: int, low: float = 0.0, high: float = 1.
             return
         count, total, first, done = state.get if state.exists else (0, 0.0, None, False)
         for pdf in batches:
-            if done or pdf.empty:
+            positions, scores = pdf["position"].to_numpy(), pdf["score"].to_numpy()
+            if count + len(positions) > n:
+                early = positions.argsort(kind="stable")[: n - count]
+                positions, scores = positions[early], scores[early]
+            if done or not len(positions):
                 continue
-            pdf = pdf.sort_values("position").head(n - count)
-            count += len(pdf)
-            total += float(pdf["score"].sum())
-            lowest = int(pdf["position"].min())
+            count += len(positions)
+            total += float(scores.sum())
+            lowest = int(positions.min())
             first = lowest if first is None else min(first, lowest)
             if count == n:
                 done = True
                 mean = total / n
-                yield pd.DataFrame(
-                    {
-                        "prompt_id": [key[0]],
-                        "first_position": [first],
-                        "n": [n],
-                        "mean_score": [mean],
-                        "kept": [low + 1e-6 < mean < high - 1e-6],
-                    }
-                )
+                row = (key[0], first, n, mean, low + 1e-6 < mean < high - 1e-6)
+                yield pd.DataFrame([row], columns=["prompt_id", "first_position", "n", "mean_score", "kept"])
         if done and timeout is None:
             state.remove()
         else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -49,17 +50,22 @@ def stream_trajectories(
     ``timeout`` (our addition) an unfinished episode is emitted with ``complete`` false.
     """
     handler = handler or RecordedSteps()
-    sized = stream.withColumns(
-        {
-            "observation_tokens": tokenizer.count(F.col("observation")),
-            "action_tokens": tokenizer.count(F.col("action_text")),
-            "feedback_tokens": tokenizer.count(F.col("environment_feedback")),
-        }
+    # One JSON column per event: converting many columns to pandas for every small group costs more.
+    event = F.struct(
+        F.col("step").cast("int").alias("step"),
+        "observation",
+        "action_text",
+        "environment_feedback",
+        F.col("reward").cast("double").alias("reward"),
+        F.col("score").cast("double").alias("score"),
+        "done",
+        tokenizer.count(F.col("observation")).alias("observation_tokens"),
+        tokenizer.count(F.col("action_text")).alias("action_tokens"),
+        tokenizer.count(F.col("environment_feedback")).alias("feedback_tokens"),
     )
+    sized = stream.select("episode_id", F.to_json(event).alias("event"))
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
         if state.exists:
             text, tokens, upcoming, reward, score, pending, closed = state.get
             pending = list(pending)
@@ -77,21 +83,8 @@ def stream_trajectories(
                 yield result(False)
             state.remove()
             return
-        waiting = {e["step"]: e for e in map(json.loads, pending)}
-        for pdf in batches:
-            for event in pdf.to_dict("records"):
-                waiting[int(event["step"])] = {
-                    "step": int(event["step"]),
-                    "observation": event["observation"],
-                    "action_text": event["action_text"],
-                    "environment_feedback": event["environment_feedback"],
-                    "reward": float(event["reward"]),
-                    "score": None if pd.isna(event["score"]) else float(event["score"]),
-                    "done": bool(event["done"]),
-                    "observation_tokens": int(event["observation_tokens"]),
-                    "action_tokens": int(event["action_tokens"]),
-                    "feedback_tokens": int(event["feedback_tokens"]),
-                }
+        arrived = [text_ for pdf in batches for text_ in pdf["event"]]
+        waiting = {e["step"]: e for e in map(json.loads, [*pending, *arrived])}
         while not closed and upcoming in waiting:
             event = waiting.pop(upcoming)
             if text is None:
