@@ -10,11 +10,21 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -
     """Join per-group aggregates back to the rows.
 
     A window would put a whole group in one task. Here the aggregate is combined before its shuffle
-    and the join is left to AQE, which broadcasts small statistics by measured size and splits the
-    partition of a hot group otherwise.
+    and its few rows are joined back; see :func:`join_unique`.
     """
-    per_group = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(per_group, keys)
+    return join_unique(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows to an aggregate that has one row per key.
+
+    AQE broadcasts a small right side by its measured size, and splits the partition of a hot key of
+    the left side. It only splits when both inputs come straight from a shuffle, and an aggregate on
+    the join keys does not: the hash of the keys as one more key makes Spark shuffle it (once more,
+    one row per group).
+    """
+    hashed = F.xxhash64(*keys)
+    return left.withColumn("_h", hashed).join(right.withColumn("_h", hashed), [*keys, "_h"], how).drop("_h")
 
 
 def bounded_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from prefspark.operators.groups import join_unique
 from prefspark.schema import PAIR_KEY, first_present, nan_to_null, require_columns
 
 
@@ -32,7 +33,11 @@ def ensure_im(df: DataFrame) -> DataFrame:
 
 
 def merge_im_rad(im: DataFrame, rad: DataFrame, counts: Observation | None = None) -> DataFrame:
-    """Attach the discrepancy and the inverse model's log-probs; pairs without a match keep NULL."""
+    """Attach the discrepancy and the inverse model's log-probs; pairs without a match keep NULL.
+
+    ``counts`` observes ``unmatched`` and is exact when the join runs once; a global sort behind it
+    samples its input in an extra run. :func:`unmatched_count` is the plain aggregate.
+    """
     source = first_present(rad, "rad", "margin")
     right = nan_to_null(rad).withColumn("rad", F.col(source))
     cols = ["rad"]
@@ -86,7 +91,7 @@ def prompt_to_datasource(prompts: DataFrame, position: str = "position") -> Data
 
 
 def attach_datasource(samples: DataFrame, prompts: DataFrame, position: str = "position") -> DataFrame:
-    return samples.join(prompt_to_datasource(prompts, position), "prompt", "left")
+    return join_unique(samples, prompt_to_datasource(prompts, position), ["prompt"], "left")
 
 
 def policy_reference_join(policy: DataFrame, reference: DataFrame, key: str = "pair_id") -> DataFrame:

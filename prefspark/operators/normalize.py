@@ -47,7 +47,11 @@ def _emit(df: DataFrame, pair: Column, keep, counts: Observation | None, swap: b
 
 
 def to_preference_pairs(df: DataFrame, flip: bool = False, keep=(), counts: Observation | None = None) -> DataFrame:
-    """Raw records to pairs; unusable records are dropped and counted in ``counts``."""
+    """Raw records to pairs; unusable records are dropped and counted in ``counts``.
+
+    The observed counts are exact when the plan runs once (a global sort behind it samples its
+    input in an extra run); :func:`conversion_counts` is the plain aggregate.
+    """
     return _emit(df, preference_pair(df, flip), list(keep), counts)
 
 
