@@ -47,8 +47,7 @@ def _first_user(df: DataFrame, name: str) -> Column | None:
     kind = field_type(df, name)
     if isinstance(kind, T.ArrayType):
         hits = F.filter(as_messages(df, name), lambda m: message_role(m).isin(*USER_ROLES))
-        first = F.get(hits, F.lit(0))
-        return F.when(first.isNotNull(), message_text(first))
+        return F.get(F.transform(hits, message_text), F.lit(0))
     if isinstance(kind, T.StructType):
         m = as_message(df, name)
         return F.when(message_role(m).isin(*USER_ROLES), message_text(m))
@@ -61,11 +60,10 @@ def assistant_text(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.ArrayType):
         messages = as_messages(df, name)
         replies = F.filter(messages, lambda m: message_role(m).isin(*ASSISTANT_ROLES))
-        pick = F.coalesce(F.try_element_at(replies, F.lit(-1)), F.try_element_at(messages, F.lit(-1)))
-        return F.coalesce(F.when(pick.isNotNull(), message_text(pick)), F.lit(""))
+        last = [F.try_element_at(F.transform(m, message_text), F.lit(-1)) for m in (replies, messages)]
+        return F.coalesce(*last, F.lit(""))
     if isinstance(kind, T.StructType):
-        m = as_message(df, name)
-        return F.coalesce(F.when(m.isNotNull(), message_text(m)), F.lit(""))
+        return message_text(as_message(df, name))
     if isinstance(kind, T.StringType):
         return F.coalesce(F.col(name), F.lit(""))
     return F.lit("")
@@ -75,7 +73,7 @@ def share_text(df: DataFrame, name: str) -> Column:
     """Stripped ShareGPT answer; NULL for list values, which that layout does not have."""
     kind = field_type(df, name)
     if isinstance(kind, T.StructType):
-        return F.coalesce(strip(turn_text(as_message(df, name))), F.lit(""))
+        return strip(turn_text(as_message(df, name)))
     if isinstance(kind, T.StringType):
         return F.coalesce(strip(F.col(name)), F.lit(""))
     return F.lit(None).cast("string")
@@ -85,8 +83,8 @@ def share_prompt(df: DataFrame) -> Column:
     """Stripped first conversation turn, else the stripped prompt."""
     options = []
     if isinstance(field_type(df, "conversations"), T.ArrayType):
-        first = F.get(as_messages(df, "conversations"), F.lit(0))
-        options.append(non_empty(strip(F.when(first.isNotNull(), turn_text(first)))))
+        turns = F.transform(as_messages(df, "conversations"), turn_text)
+        options.append(non_empty(strip(F.get(turns, F.lit(0)))))
     if isinstance(field_type(df, "prompt"), T.StringType):
         options.append(strip(F.col("prompt")))
     return F.coalesce(*options, F.lit(""))

@@ -212,11 +212,11 @@ def snake_balance(
     half mirrored. A short last chunk drops the workers it does not reach unless ``drop_ragged`` is
     off. Pure arithmetic on the sorted position.
     """
-    n = df.count()
+    ranked = dense_position(df, [F.col(length).desc(), F.col(id_col)], "_i")
+    n = ranked.count()
     chunks = -(-n // workers)
     half = chunks // 2
     tail = n - (chunks - 1) * workers
-    ranked = dense_position(df, [F.col(length).desc(), F.col(id_col)], "_i")
     chunk = floor_div(F.col("_i"), workers)
     slot = F.pmod(F.col("_i"), F.lit(workers))
     size = F.when(chunk == chunks - 1, F.lit(tail)).otherwise(F.lit(workers))

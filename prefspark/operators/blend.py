@@ -59,7 +59,8 @@ def blend_interleave(
     if strategy not in ("all_exhausted", "first_exhausted"):
         raise ValueError(f"unknown stopping strategy {strategy!r}")
     spark = datasets[0].sparkSession
-    sizes = [d.count() for d in datasets]
+    placed = [dense_position(d, order, "_pos") for d in datasets]
+    sizes = [d.count() for d in placed]
     if not all(sizes) or min(probs) <= 0:
         raise ValueError("every source needs rows and a positive probability")
     need = max if strategy == "all_exhausted" else min
@@ -77,8 +78,7 @@ def blend_interleave(
     stop = ends["last"] if strategy == "all_exhausted" else ends["first"]
     size = F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col("source_ordinal") + 1)
     wanted = counted.where(F.col("draw") <= stop).select("draw", "source_ordinal", F.pmod("k", size).alias("_pos"))
-    rows = blend_concat([dense_position(d, order, "_pos") for d in datasets])
-    return wanted.join(rows, ["source_ordinal", "_pos"]).drop("_pos")
+    return wanted.join(blend_concat(placed), ["source_ordinal", "_pos"]).drop("_pos")
 
 
 def chosen_rejected_stack(df: DataFrame, pairs: dict[str, tuple[str, str]], keep=()) -> DataFrame:

@@ -166,7 +166,7 @@ def p12(spark, sf):
 @query("a14_conversion_counts", f"SELECT count(*) FILTER (WHERE {_GOOD}) AS kept, count(*) FILTER (WHERE NOT ({_GOOD})) AS skipped FROM ({_RAW})", "v_dialogs")
 def a14(spark, sf):
     rows = _records(spark, sf)
-    return N.conversion_counts(rows, N.preference_pair(rows))
+    return N.conversion_counts(rows, N.raw_texts(rows))
 
 
 # ---------------------------------------------------------------------------------------------

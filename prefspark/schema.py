@@ -87,15 +87,17 @@ def null_if_nan(x: Column) -> Column:
 
 
 def as_messages(df: DataFrame, name: str) -> Column:
-    """Column ``name`` (array of message structs) with exactly the fields of ``MESSAGE``."""
+    """Column ``name`` (array of message structs) with the fields of ``MESSAGE``."""
     have = set(field_type(df, name).elementType.fieldNames())
+    if have >= set(MESSAGE.fieldNames()):
+        return F.col(name)
     return F.transform(F.col(name), lambda m: _canonical(m, have))
 
 
 def as_message(df: DataFrame, name: str) -> Column:
-    """Column ``name`` (one message struct) with exactly the fields of ``MESSAGE``."""
-    col = F.col(name)
-    return F.when(col.isNotNull(), _canonical(col, set(field_type(df, name).fieldNames())))
+    """Column ``name`` (one message struct) with the fields of ``MESSAGE``."""
+    have = set(field_type(df, name).fieldNames())
+    return F.col(name) if have >= set(MESSAGE.fieldNames()) else _canonical(F.col(name), have)
 
 
 def _canonical(m: Column, have: set[str]) -> Column:
