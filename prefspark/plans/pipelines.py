@@ -40,14 +40,16 @@ def check_methods(df: DataFrame, methods: list[str], stage1: bool = True) -> Non
 
 
 def select_subset(
-    df: DataFrame, method: str, k: int, tau: float, stage1: bool = True, descending: bool = True, curriculum: str = "none"
+    df: DataFrame, method: str, k: int, tau: float, stage1: bool = True, descending: bool = True,
+    curriculum: str = "none", prune: bool = False,
 ) -> DataFrame:
-    """Subset of one method in training order."""
-    if method == "rad_ang":
-        run = select.select_rad_ang if stage1 else None
-        out = run(df, k, tau, descending=descending) if run else select.rank_by_ang(df, k, descending)
+    """Subset of one method in training order; ``prune`` pays on a stored table."""
+    if method != "rad_ang":
+        out = select.SELECTORS[method](df, k, prune=prune)
+    elif stage1:
+        out = select.select_rad_ang(df, k, tau, descending=descending, prune=prune)
     else:
-        out = select.SELECTORS[method](df, k)
+        out = select.rank_by_ang(df, k, descending, prune=prune)
     return select.order_curriculum(out, curriculum)
 
 
@@ -64,16 +66,17 @@ def build_subsets(
 ) -> dict[str, str]:
     """Write one subset per method; returns method to path.
 
-    The feature table is written once to the shared folder, so the join and the features are not
-    repeated for every method. Names carry the requested ``k`` even when fewer rows exist.
+    The feature table is written once to the shared folder: the join and the features are not
+    repeated, and every method first finds its cut on one column of it. Names carry the requested
+    ``k`` even when fewer rows exist.
     """
     names = select.parse_methods(methods)
     check_methods(df, names, stage1)
     tau = tau_for_model(model_key) if tau is None else tau
-    base = materialize(df, "features") if len(names) > 1 else df
+    base = materialize(df, "features")
     paths = {}
     for name in names:
-        subset = select_subset(base, name, k, tau, stage1, descending, curriculum)
+        subset = select_subset(base, name, k, tau, stage1, descending, curriculum, prune=True)
         if "position" in subset.columns:
             subset = subset.orderBy("position")
         tagged = tau if name == "rad_ang" and stage1 else None

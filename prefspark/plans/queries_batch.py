@@ -168,6 +168,17 @@ def u05(spark, sf):
 # streams and trajectories
 
 
+def _episodes(spark, episodes):
+    """Run a trajectory stream over all available input and read what it emitted."""
+    out = scratch_path(spark, "episodes")
+    query_ = (
+        episodes.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query_.awaitTermination()
+    return spark.read.schema(ST.RESULT).parquet(f"{out}/data")
+
+
 def _stream(spark, sf, sql):
     """The events table as a stream behind a view's SQL."""
     schema = table(spark, sf, "events").schema
@@ -195,17 +206,28 @@ _EPISODE = f"""SELECT episode_id, max(observation) || string_agg(action_text ||
 @query("r02_stream_trajectories", "WITH " + _TAKEN.format(steps=4, budget=100000) + " " + _EPISODE, "v_steps")
 def r02(spark, sf):
     stream = _stream(spark, sf, VIEWS["v_steps"])
-    out = scratch_path(spark, "episodes")
-    episodes = ST.stream_trajectories(stream, TOKENIZER, 4, 100000)
-    query_ = (
-        episodes.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query_.awaitTermination()
-    done = spark.read.schema(ST.RESULT).parquet(f"{out}/data")
+    done = _episodes(spark, ST.stream_trajectories(stream, TOKENIZER, 4, 100000))
     return done.select("episode_id", "text", "num_steps", r6("reward").alias("reward"), r6("score").alias("score"))
 
 
+class _Doubled:
+    """Environment that greets, rewards twice and never stops early."""
+
+    def reset(self, observation):
+        return "hello " + observation
+
+    def step(self, event):
+        return {"environment_feedback": event["environment_feedback"], "reward": 2 * event["reward"], "done": False}
+
+
+@query("h04_agent_handler", f"""SELECT episode_id, 'hello ' || max(observation) || string_agg(action_text || environment_feedback, '' ORDER BY step) AS text,
+{q6('2 * sum(reward)')} AS score FROM v_steps GROUP BY 1""", "v_steps")
+def h04(spark, sf):
+    stream = _stream(spark, sf, VIEWS["v_steps"])
+    done = _episodes(spark, ST.stream_trajectories(stream, TOKENIZER, 4, 100000, _Doubled()))
+    return done.select("episode_id", "text", r6("score").alias("score"))
+
+
 _STEP_METRICS = "SELECT CAST(FLOOR(event_id / 128e0) AS BIGINT) AS step, event_type AS metric, value FROM {events}"
 
 

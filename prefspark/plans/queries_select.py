@@ -460,3 +460,13 @@ def u03(spark, sf):
     rows = view(spark, sf, "v_margins")
     out = K.union_kept_and_flipped(rows.where("rad > 20"), K.flip_columns(rows.where("rad < -20")))
     return out.select("pair_id", "chosen", "rejected", "flipped")
+
+
+@query("h06_method_registry", f"""(SELECT 'im' AS method, pair_id FROM v_margins ORDER BY im DESC, pair_id LIMIT 500)
+UNION ALL (SELECT 'rip', pair_id FROM v_margins WHERE em_margin > 0.126e0 ORDER BY rejected_len DESC, pair_id LIMIT 500)""", "v_margins")
+def h06(spark, sf):
+    rows = view(spark, sf, "v_margins")
+    parts = [
+        select_subset(rows, m, 500, TAU).select(F.lit(m).alias("method"), "pair_id") for m in K.parse_methods("IM, rip")
+    ]
+    return parts[0].unionByName(parts[1])

@@ -39,8 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/prefspark/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/prefspark/{app}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

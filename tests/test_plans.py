@@ -14,7 +14,7 @@ PYTHON = {
     "w10_balanced_equal_size", "w11_greedy_partitions", "w13_dynamic_micro_batches", "w14_rollout_micro_batches",
     "a16_seqlen_balance_report",
 }
-STREAMS = {n for n in QUERIES if n.startswith(("r01", "r02", "r03"))}
+STREAMS = {n for n in QUERIES if n.startswith(("r01", "r02", "r03", "h04"))}
 
 
 def plan(df):

@@ -146,3 +146,23 @@ def test_sample_is_exact_and_repeatable(spark):
     df = spark.range(1000)
     one, two, other = (sorted(ids(K.sample_n(df, 100, s, "id"), "id")) for s in (1, 1, 2))
     assert one == two != other and len(one) == 100
+
+
+@pytest.mark.parametrize("values,k", [(40, 5), (40, 1200), (3, 1200), (1, 5), (10**9, 5), (10**9, 1200), (10**9, 8000)])
+def test_pruning_keeps_the_top(spark, values, k):
+    rng = random.Random(values + k)
+    rows = [(i, float(rng.randrange(values)) if rng.random() > 0.2 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "pair_id long, im double").repartition(7)
+    got = [tuple(r) for r in K.select_im(df, k, prune=True).collect()]
+    assert got == sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:k]
+
+
+def test_pruning_drops_most_rows_and_survives_empty_input(spark):
+    df = spark.range(50000).select(F.col("id").alias("pair_id"), F.xxhash64("id").cast("double").alias("im"))
+    assert 100 <= K.prune_to_tail(df, F.col("im"), 100).count() <= 500
+    assert K.prune_to_tail(df.limit(0), F.col("im"), 100).count() == 0
+
+
+def test_pruning_ascending(spark):
+    df = spark.range(3000).select(F.col("id").alias("pair_id"), (F.col("id") * 1.0).alias("ang"))
+    assert ids(K.rank_by_ang(df, 4, descending=False, prune=True)) == [0, 1, 2, 3]
