@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefspark.functions.scores import tau_for_model
 from prefspark.functions.tokens import Tokenizer, WhitespaceTokenizer
 from prefspark.operators import advantages, features, joins, normalize, reward, select, shaping
+from prefspark.schema import PAIR_KEY
 from prefspark.session import materialize
 from prefspark.sources.writers import write_subset
 
@@ -19,8 +20,14 @@ def prepare_features(
     tokenizer: Tokenizer | None = None,
     need_rad: bool = True,
 ) -> DataFrame:
-    """Complete pairs with discrepancy, judge scores, token lengths and likelihood features."""
+    """Complete pairs with discrepancy, judge scores, token lengths and likelihood features.
+
+    Pairs without a ``pair_id`` get a hash of their texts: it only breaks ties, and equal texts are
+    interchangeable.
+    """
     out = normalize.load_pairs(im)
+    if "pair_id" not in out.columns:
+        out = out.withColumn("pair_id", F.xxhash64(*PAIR_KEY))
     if need_rad:
         if rad is None:
             raise ValueError("stage one needs discrepancy margins")

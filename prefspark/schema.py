@@ -44,6 +44,8 @@ _LOGPROBS = [
 IM_MARGINS = T.StructType(
     list(PAIR.fields) + [T.StructField(n, T.DoubleType()) for n in (*_LOGPROBS, "margin")]
 )
+# A margin file of the inverse run that has no ``rad`` of its own is read as IM_MARGINS: a declared
+# column that the file lacks would be NULL, not absent.
 RAD_MARGINS = T.StructType(list(IM_MARGINS.fields) + [T.StructField("rad", T.DoubleType())])
 EM_SCORES = T.StructType(list(PAIR.fields) + [T.StructField("em", T.DoubleType())])
 SCORED_RESPONSE = T.StructType(

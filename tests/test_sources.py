@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from prefspark.plans import pipelines
-from prefspark.schema import EM_SCORES, IM_MARGINS, PAIR, RAD_MARGINS
+from prefspark.schema import EM_SCORES, IM_MARGINS, PAIR
 from prefspark.sources import readers, writers
 
 
@@ -107,15 +107,11 @@ def margins(spark, tmp_path, n=40):
     paths = []
     for name, rows in (("im", im), ("rad", rad), ("em", em)):
         paths.append(write(tmp_path / f"{name}.jsonl", *[json.dumps(r) for r in rows]))
-    return [readers.read_pairs(spark, p, s) for p, s in zip(paths, (IM_MARGINS, RAD_MARGINS, EM_SCORES))]
+    return [readers.read_pairs(spark, p, s) for p, s in zip(paths, (IM_MARGINS, IM_MARGINS, EM_SCORES))]
 
 
 def test_subset_pipeline_writes_every_method(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     im, rad, em = margins(spark, tmp_path)
-    im = im.withColumn("pair_id", F.substring("prompt", 2, 9).cast("long"))
-    rad = rad.drop("rad")  # plain margins of the inverse run
     base = pipelines.prepare_features(im, rad, em)
     assert base.count() == 40
     paths = pipelines.build_subsets(base, "all", str(tmp_path / "out"), 10, "qwen", curriculum="easy-to-hard")
