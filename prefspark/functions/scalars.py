@@ -53,9 +53,8 @@ def softplus(x: Column) -> Column:
 
 
 def floor_div(a: Column, b) -> Column:
-    """Integer quotient of non-negative numbers, as a long."""
-    b = lit_or_col(b)
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    """Integer quotient of non-negative integers, as a long."""
+    return F.call_function("div", a, lit_or_col(b))
 
 
 def bind(value: Column, body) -> Column:
