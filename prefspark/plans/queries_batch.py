@@ -25,31 +25,30 @@ def w09(spark, sf):
 
 @query("w10_balanced_partitions")
 def w10(spark, sf):
-    return B.balanced_partitions(_full_steps(spark, sf), 8)
+    return B.balanced_partitions(_full_steps(spark, sf), 6)
 
 
 @query("w10_balanced_equal_size")
 def w10b(spark, sf):
-    return B.balanced_partitions(_full_steps(spark, sf), 8, equal_size=True)
+    return B.balanced_partitions(_full_steps(spark, sf), 6, equal_size=True)
 
 
 def _full_steps(spark, sf):
-    """Lengths by step, 64 orders each; a ragged last step joins the one before it."""
+    """Lengths by step, 60 orders each; a short last step joins the one before it."""
     rows = view(spark, sf, "v_lengths")
-    full = rows.agg(F.floor((F.max("position") + 1) / 64) - 1).scalar()
-    # o_orderkey is dense, so only the last step can be short; its equal split needs a multiple of 8
+    full = rows.agg(F.floor((F.max("position") + 1) / 60) - 1).scalar()
     return rows.withColumn("step", F.least(F.col("step"), full))
 
 
 @query("w11_greedy_partitions")
 def w11(spark, sf):
-    return B.greedy_partitions(_full_steps(spark, sf), 8)
+    return B.greedy_partitions(_full_steps(spark, sf), 6)
 
 
 @query("a16_seqlen_balance_report")
 def a16(spark, sf):
-    parts = B.balanced_partitions(_full_steps(spark, sf), 8)
-    return B.seqlen_balance_report(parts, 8)
+    parts = B.balanced_partitions(_full_steps(spark, sf), 6)
+    return B.seqlen_balance_report(parts, 6)
 
 
 def _ranked(workers: int) -> str:
@@ -68,8 +67,8 @@ def w12(spark, sf):
 
 @query("w13_dynamic_micro_batches")
 def w13(spark, sf):
-    rows = run_sql(spark, sf, """SELECT position, CAST(FLOOR(position / 64e0) AS BIGINT) % 4 AS rank,
-      CAST(FLOOR(position / 256e0) AS BIGINT) AS step, total_length FROM {v_lengths}""")
+    rows = run_sql(spark, sf, """SELECT position, CAST(FLOOR(position / 60e0) AS BIGINT) % 4 AS rank,
+      CAST(FLOOR(position / 240e0) AS BIGINT) AS step, total_length FROM {v_lengths}""")
     return B.dynamic_micro_batches(rows, 16192)
 
 
@@ -231,7 +230,7 @@ def h04(spark, sf):
 _STEP_METRICS = "SELECT CAST(FLOOR(event_id / 128e0) AS BIGINT) AS step, event_type AS metric, value FROM {events}"
 
 
-@query("r03_stream_metrics", f"SELECT step, metric, {q6('avg(value)')} AS value, count(*) AS n FROM ({_STEP_METRICS.format(events='events')}) GROUP BY 1, 2")
+@query("r03_stream_metrics", f"SELECT step, metric, {q6('avg(value)', 9)} AS value, count(*) AS n FROM ({_STEP_METRICS.format(events='events')}) GROUP BY 1, 2")
 def r03(spark, sf):
     out = scratch_path(spark, "metrics")
 
@@ -244,7 +243,7 @@ def r03(spark, sf):
         .trigger(availableNow=True).start()
     )
     query_.awaitTermination()
-    return spark.read.parquet(f"{out}/data").select("step", "metric", r6("value").alias("value"), "n")
+    return spark.read.parquet(f"{out}/data").select("step", "metric", r6("value", 9).alias("value"), "n")
 
 
 @query("r04_assemble_trajectory", "WITH " + _TAKEN.format(steps=4, budget=9) + " " + _EPISODE, "v_steps")

@@ -43,20 +43,20 @@ def a04(spark, sf):
     return R.conditional_sft(view(spark, sf, "v_responses")).select("position", "input", "output")
 
 
-@query("a05_reward_summary", f"SELECT {q6('avg(reward)')} AS reward_mean, {q6('stddev_samp(reward)')} AS reward_std FROM v_responses", "v_responses")
+@query("a05_reward_summary", f"SELECT {q6('avg(reward)', 9)} AS reward_mean, {q6('stddev_samp(reward)')} AS reward_std FROM v_responses", "v_responses")
 def a05(spark, sf):
     out = R.reward_summary(view(spark, sf, "v_responses"))
-    return out.select(r6("reward_mean").alias("reward_mean"), r6("reward_std").alias("reward_std"))
+    return out.select(r6("reward_mean", 9).alias("reward_mean"), r6("reward_std").alias("reward_std"))
 
 
 _REWARDS = "SELECT pair_id, im / 4e0 AS chosen_reward, em_margin / 2e0 AS rejected_reward FROM {v_margins}"
 _REWARDS_SQL = _REWARDS.format(v_margins="v_margins")
 
 
-@query("a06_reward_model_stats", f"""SELECT {q6('avg(r)')} AS mean, {q6('greatest(stddev_samp(r), 1e-8)')} AS std FROM
+@query("a06_reward_model_stats", f"""SELECT {q6('avg(r)', 9)} AS mean, {q6('greatest(stddev_samp(r), 1e-8)')} AS std FROM
 (SELECT chosen_reward AS r FROM ({_REWARDS_SQL}) UNION ALL SELECT rejected_reward FROM ({_REWARDS_SQL}))""", "v_margins")
 def a06(spark, sf):
-    return R.reward_model_stats(run_sql(spark, sf, _REWARDS)).select(r6("mean").alias("mean"), r6("std").alias("std"))
+    return R.reward_model_stats(run_sql(spark, sf, _REWARDS)).select(r6("mean", 9).alias("mean"), r6("std").alias("std"))
 
 
 @query("a07_reward_histogram", f"""
@@ -67,23 +67,23 @@ def a07(spark, sf):
     return out.select("bin", "n", r6("fraction").alias("fraction"))
 
 
-@query("a08_preference_accuracy", f"""SELECT 'rows' AS kind, {q6('avg(CASE WHEN chosen_reward > rejected_reward THEN 1e0 ELSE 0e0 END)')} AS acc FROM ({_REWARDS_SQL})
-UNION ALL SELECT 'batches', {q6('avg(a)')} FROM (SELECT avg(CASE WHEN chosen_reward > rejected_reward THEN 1e0 ELSE 0e0 END) AS a
+@query("a08_preference_accuracy", f"""SELECT 'rows' AS kind, {q6('avg(CASE WHEN chosen_reward > rejected_reward THEN 1e0 ELSE 0e0 END)', 9)} AS acc FROM ({_REWARDS_SQL})
+UNION ALL SELECT 'batches', {q6('avg(a)', 9)} FROM (SELECT avg(CASE WHEN chosen_reward > rejected_reward THEN 1e0 ELSE 0e0 END) AS a
   FROM ({_REWARDS_SQL}) GROUP BY pair_id // 48)""", "v_margins")
 def a08(spark, sf):
     rows = run_sql(spark, sf, _REWARDS).withColumn("batch", F.expr("pair_id div 48"))
     one = R.preference_accuracy(rows, "chosen_reward", "rejected_reward")
     two = R.preference_accuracy(rows, "chosen_reward", "rejected_reward", "batch")
     both = one.withColumn("kind", F.lit("rows")).unionByName(two.withColumn("kind", F.lit("batches")))
-    return both.select("kind", r6("acc").alias("acc"))
+    return both.select("kind", r6("acc", 9).alias("acc"))
 
 
-@query("a09_pass_at_k", f"""SELECT datasource, {q6('avg(b)')} AS pass4, {q6('avg(m)')} AS pass1, count(*) AS count FROM
+@query("a09_pass_at_k", f"""SELECT datasource, {q6('avg(b)', 9)} AS pass4, {q6('avg(m)', 9)} AS pass1, count(*) AS count FROM
 (SELECT prompt_id, datasource, max(score) AS b, avg(score) AS m FROM v_responses GROUP BY 1, 2) GROUP BY 1""", "v_responses")
 def a09(spark, sf):
     rows = view(spark, sf, "v_responses").withColumnRenamed("input", "prompt")
     out = R.pass_at_k(rows, rows.select("prompt", "datasource", "position"), 4, reward="score")
-    return out.select("datasource", r6("pass4").alias("pass4"), r6("pass1").alias("pass1"), "count")
+    return out.select("datasource", r6("pass4", 9).alias("pass4"), r6("pass1", 9).alias("pass1"), "count")
 
 
 @query("a10_group_reward_std", f"SELECT position, {q6('stddev_samp(reward) OVER (PARTITION BY prompt_id)')} AS group_reward_std FROM v_responses", "v_responses")
@@ -97,16 +97,16 @@ _INFO_SQL = _INFO.format(v_responses="v_responses")
 
 
 @query("a11_mean_metrics", " UNION ALL ".join(
-    f"SELECT '{m}' AS metric, {q6('avg(v)')} AS value FROM (SELECT avg({m}) AS v FROM ({_INFO_SQL}) GROUP BY step)"
+    f"SELECT '{m}' AS metric, {q6('avg(v)', 9)} AS value FROM (SELECT avg({m}) AS v FROM ({_INFO_SQL}) GROUP BY step)"
     for m in ("reward", "score", "kl")), "v_responses")
 def a11(spark, sf):
     rows = run_sql(spark, sf, _INFO).selectExpr("step", "map('reward', reward, 'score', score, 'kl', kl) AS info")
-    return R.mean_metrics(rows).select("metric", r6("value").alias("value"))
+    return R.mean_metrics(rows).select("metric", r6("value", 9).alias("value"))
 
 
-@query("a12_length_weighted_kl", f"SELECT step, {q6('sum(kl * response_length) / sum(response_length)')} AS kl FROM ({_INFO_SQL}) GROUP BY 1", "v_responses")
+@query("a12_length_weighted_kl", f"SELECT step, {q6('sum(kl * response_length) / sum(response_length)', 9)} AS kl FROM ({_INFO_SQL}) GROUP BY 1", "v_responses")
 def a12(spark, sf):
-    return R.length_weighted_kl(run_sql(spark, sf, _INFO)).select("step", r6("kl").alias("kl"))
+    return R.length_weighted_kl(run_sql(spark, sf, _INFO)).select("step", r6("kl", 9).alias("kl"))
 
 
 @query("a13_reduce_metrics", " UNION ALL ".join(

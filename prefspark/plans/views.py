@@ -62,9 +62,9 @@ SELECT event_id - event_id % 4 AS episode_id, CAST(event_id % 4 AS INT) AS step,
   value AS reward, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 2e0 END AS score,
   event_id % 7 = 0 AS done
 FROM {events}""",
-    # one training step per 64 consecutive orders
+    # one training step per 60 consecutive orders
     "v_lengths": """
-SELECT o_orderkey AS position, CAST(FLOOR(o_orderkey / 64e0) AS BIGINT) AS step,
+SELECT o_orderkey AS position, CAST(FLOOR(o_orderkey / 60e0) AS BIGINT) AS step,
   1 + o_custkey % 2048 AS total_length
 FROM {orders}""",
 }
