@@ -242,9 +242,13 @@ def sft_loss_mask(n: Column, prompt_len: Column, pretrain: bool = False) -> Colu
     """One on the positions that predict a response token."""
     if pretrain:
         return F.array_repeat(F.lit(1), n.cast("int"))
-    cells = F.sequence(F.lit(0), n.cast("int") - 1)
-    inside = F.transform(cells, lambda i: ((i >= prompt_len - 1) & (i < n - 1) & (prompt_len > 0)).cast("int"))
-    return F.when(n > 0, inside).otherwise(F.array().cast("array<int>"))
+
+    def mask(size: Column) -> Column:
+        cells = F.sequence(F.lit(0), size["n"] - 1)
+        inside = F.transform(cells, lambda i: ((i >= size["p"] - 1) & (i < size["n"] - 1) & (size["p"] > 0)).cast("int"))
+        return F.when(size["n"] > 0, inside).otherwise(F.array().cast("array<int>"))
+
+    return bind(F.struct(n.cast("int").alias("n"), prompt_len.cast("int").alias("p")), mask)
 
 
 def multiturn_response_ranges(messages: Column, tokenizer: Tokenizer, template: ChatTemplate, max_len: int) -> Column:
@@ -255,16 +259,20 @@ def multiturn_response_ranges(messages: Column, tokenizer: Tokenizer, template:
     def tokens(text: Column) -> Column:
         return F.least(tokenizer.count(text), F.lit(max_len))
 
-    def turn(m: Column, i: Column) -> Column:
-        head = template.render(F.slice(messages, F.lit(1), i), add_generation_prompt=True)
-        answer = after(template.render(F.slice(messages, F.lit(1), i + 1)), head)
-        start = tokens(head)
-        return F.when(
-            message_role(m) == "assistant",
-            F.struct(start.alias("start"), (start + tokens(answer) - 1).alias("end")),
-        )
+    def turns(whole: Column) -> Column:
+        def span(head: Column, i: Column) -> Column:
+            answer = after(template.render(F.slice(whole, F.lit(1), i + 1)), head)
+            return bind(
+                tokens(head), lambda start: F.struct(start.alias("start"), (start + tokens(answer) - 1).alias("end"))
+            )
 
-    return F.filter(F.transform(messages, turn), lambda r: r.isNotNull())
+        def turn(m: Column, i: Column) -> Column:
+            head = template.render(F.slice(whole, F.lit(1), i), add_generation_prompt=True)
+            return F.when(message_role(m) == "assistant", bind(head, lambda h: span(h, i)))
+
+        return F.filter(F.transform(whole, turn), lambda r: r.isNotNull())
+
+    return bind(messages, turns)
 
 
 def ranges_loss_mask(n: Column, ranges: Column) -> Column:
@@ -299,18 +307,20 @@ def process_reward_labels(ids: Column, labels: Column, placeholder_id: int, igno
     slots = F.filter(F.transform(ids, lambda t, i: F.when(t == placeholder_id, i)), lambda i: i.isNotNull())
     blank = F.lit(float(ignore))
 
-    def place(at: Column) -> Column:
+    def place(row: Column) -> Column:
+        at, steps = row["at"], row["steps"]
+
         # The stretch in front of each placeholder, then its label; then what follows the last one.
         def stretch(i: Column, k: Column) -> Column:
             before = F.when(k > 0, F.get(at, k - 1)).otherwise(F.lit(-1))
-            return F.concat(F.array_repeat(blank, i - before - 1), F.array(F.get(labels, k).cast("double")))
+            return F.concat(F.array_repeat(blank, i - before - 1), F.array(F.get(steps, k)))
 
         tail = F.size(ids) - 1 - F.coalesce(F.array_max(at), F.lit(-1))
         filled = F.concat(F.flatten(F.transform(at, stretch)), F.array_repeat(blank, tail))
         failed = F.raise_error(F.lit("fewer step labels than placeholders")).cast("array<double>")
-        return F.when(F.size(labels) < F.size(at), failed).otherwise(filled)
+        return F.when(F.size(steps) < F.size(at), failed).otherwise(filled)
 
-    return bind(slots, place)
+    return bind(F.struct(slots.alias("at"), A.as_double(labels).alias("steps")), place)
 
 
 def kto_unmatched_pairs(df: DataFrame, batch_size: int, position: str = "position") -> DataFrame:

@@ -147,3 +147,35 @@ def test_rollout_pipeline(spark):
     out = pipelines.rollout_experience(df, 2, "reinforce_baseline", (0.0, 1.0), kl_coef=0.0)
     got = {(r.prompt_id, r.i): r.advantages for r in out.collect()}
     assert len(got) == 8 and got[0, 0] == pytest.approx([-1.0, -1.0]) and got[0, 1] == pytest.approx([1.0, 1.0])
+
+
+def test_threshold_sweep_writes_one_folder_per_threshold(spark, tmp_path):
+    from prefspark.operators.select import tau_sweep
+
+    rows = [(i, "p", "c", f"r{i}", float(i - 50), float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "pair_id long, prompt string, chosen string, rejected string, rad double, ang double")
+    out = tau_sweep(df, 5, [10, 45.5])
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.tau, set()).add((r.pair_id, r.ang))
+    # above the threshold the gap stands, below its negative it is negated
+    assert got == {10.0: {(i, float(i)) for i in range(95, 100)}, 45.5: {(i, float(i)) for i in (96, 97, 98, 99)} | {(0, 0.0)}}
+    writers.write_tau_sweep(out, f"{tmp_path}/sweep")
+    assert sorted(d for d in os.listdir(f"{tmp_path}/sweep") if d.startswith("tau")) == ["tau=10.0", "tau=45.5"]
+    assert spark.read.json(f"{tmp_path}/sweep/tau=45.5").count() == 5
+
+
+def test_margin_scoring(spark):
+    from prefspark.operators.reward import length_scorer
+
+    df = spark.createDataFrame([(1, "p", "aa", "b"), (2, "p", None, "b")], "pair_id long, prompt string, chosen string, rejected string")
+    row = pipelines.score_margins(df, length_scorer, save_rad=True).collect()
+    assert len(row) == 1 and row[0].margin == row[0].rad == (-1.0 + 0.75) - (-1.25 + 0.625)
+
+
+def test_post_processing_pipeline(spark):
+    df = spark.createDataFrame([("q", "a", 1.0, 0), ("q", "b", 3.0, 1)], "input string, output string, reward double, position long")
+    summary, best = pipelines.post_process(df, "rs")
+    assert summary.first().reward_mean == 2.0 and best.first().output == "b"
+    _, shaped = pipelines.post_process(df, "csft", normalize=True)
+    assert {r.input for r in shaped.collect()} == {"q <rm_score>: -0.71 ", "q <rm_score>: 0.71 "}
