@@ -16,7 +16,7 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join rows to an aggregate that has one row per key.
+    """Join rows to an aggregate that has one row per key; NULL keys are a group like any other.
 
     AQE broadcasts a small right side by its measured size, and splits the partition of a hot key of
     the left side. It only splits when both inputs come straight from a shuffle, and an aggregate on
@@ -24,7 +24,12 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     one row per group).
     """
     hashed = F.xxhash64(*keys)
-    return left.withColumn("_h", hashed).join(right.withColumn("_h", hashed), [*keys, "_h"], how).drop("_h")
+    names = {k: f"_r_{k}" for k in keys}
+    right = right.withColumn("_rh", hashed).withColumnsRenamed(names)
+    matches = F.col("_h") == F.col("_rh")
+    for k, r in names.items():
+        matches &= F.col(k).eqNullSafe(F.col(r))
+    return left.withColumn("_h", hashed).join(right, matches, how).drop("_h", "_rh", *names.values())
 
 
 def bounded_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:

@@ -60,15 +60,18 @@ def running_sums(
     placed = df.withColumns({f"_v_{k}": v for k, v in sums.items()})
     placed = placed.repartitionByRange(_ranges(df, parts), *_cols(groups), *cols)
     stored = materialize(placed.withColumn("_part", F.spark_partition_id()), "running")
+    # Structs compare NULL fields as equal, so rows without a group form one.
+    keyed = stored.withColumn("_g", F.struct(*groups)) if groups else stored
+    of_group = ["_g"] if groups else []
 
-    inside = Window.partitionBy("_part", *groups).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
-    totals = stored.groupBy("_part", *groups).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part", *of_group).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    totals = keyed.groupBy("_part", *of_group).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = Window.partitionBy(*of_group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(
-        "_part", *groups, *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_s_{k}") for k in sums]
+        "_part", *of_group, *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_s_{k}") for k in sums]
     )
-    local = stored.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(inside) for k in sums})
-    out = local.join(shifts, ["_part", *groups])
+    local = keyed.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(inside) for k in sums})
+    out = local.join(shifts, ["_part", *of_group])
     return out.select(*df.columns, *[(F.col(f"_r_{k}") + F.col(f"_s_{k}")).alias(k) for k in sums])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,12 +22,26 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a running session and return it."""
+    """Apply the runtime settings to a running session and make the package known to its workers."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    _ship(spark.sparkContext)
     return spark
 
 
+def _ship(context) -> None:
+    """Send the package to the Python workers, once per application."""
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="prefspark-"), "prefspark")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "prefspark"))
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one in local mode."""
     context = spark.sparkContext

@@ -78,8 +78,13 @@ class ArrowFileReader(DataSourceReader):
 
 def _open_arrow(path: str):
     import pyarrow as pa
+    from pyarrow import fs
 
-    source = pa.memory_map(path)
+    if "://" in path:
+        system, inner = fs.FileSystem.from_uri(path)
+        source = system.open_input_file(inner)
+    else:
+        source = pa.memory_map(path)
     try:
         return pa.ipc.open_file(source)
     except pa.ArrowInvalid:

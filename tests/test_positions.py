@@ -25,7 +25,7 @@ def test_dense_position_of_nothing(spark):
 
 
 def test_running_sums_split_a_hot_group(spark):
-    rows = [("hot" if i % 3 else f"g{i % 30}", i, i % 7) for i in range(4000)]
+    rows = [("hot" if i % 3 else f"g{i % 30}" if i % 2 else None, i, i % 7) for i in range(4000)]
     df = spark.createDataFrame(rows, "g string, t int, v int").repartition(9)
     out = P.running_sums(df, ["t"], {"total": F.col("v"), "n": F.lit(1)}, groups=["g"], parts=8)
     got = {(r.g, r.t): (r.total, r.n) for r in out.collect()}
@@ -114,3 +114,9 @@ def test_rewards_default_scores_and_overwrite_info(spark):
     rewards = spark.createDataFrame([(1, 0.5)], "sample_id long, rewards double")
     row = attach_rewards(samples, rewards).first()
     assert (row.score, row.info) == (0.5, {"old": 2.0, "score": 0.5, "reward": 0.5})
+
+
+def test_rows_without_a_group_key_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), (2, 5)], "g int, x int")
+    rows = with_group_stats(df, ["g"], {"n": F.count(F.lit(1)), "top": F.max("x")}).collect()
+    assert sorted((r.x, r.g, r.n, r.top) for r in rows) == [(1, None, 2, 3), (3, None, 2, 3), (5, 2, 1, 5)]

@@ -77,6 +77,7 @@ def test_specs_and_formats(spark, tmp_path):
     for table_ in (csv.selectExpr("CAST(id AS LONG) AS id", "text"), split, folder, arrow, stream):
         assert sorted(map(tuple, table_.collect())) == rows
     assert flat.count() == 1
+    assert readers.read_any(spark, f"file://{tmp_path}/f.arrow")[0].count() == 2
     assert [t.count() for t in readers.read_capped([arrow, flat], 1, "id")] == [1, 1]
 
 
