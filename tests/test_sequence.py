@@ -243,3 +243,18 @@ def test_loss_mask(spark):
     df = spark.createDataFrame([(5, 2), (3, 1), (3, 0), (0, 1)], "n int, p int")
     got = [r[0] for r in df.select(T.sft_loss_mask(F.col("n"), F.col("p"))).collect()]
     assert got == [[0, 1, 1, 1, 0], [1, 1, 0], [0, 0, 0], []]
+
+
+def test_range_mask(spark):
+    df = spark.createDataFrame(
+        [(8, [(2, 4), (6, 9)]), (3, []), (0, [(1, 2)])], "n int, r array<struct<start:int,end:int>>"
+    )
+    got = [r[0] for r in df.select(T.ranges_loss_mask(F.col("n"), F.col("r"))).collect()]
+    want = []
+    for n, ranges in ((8, [(2, 4), (6, 9)]), (3, []), (0, [(1, 2)])):
+        mask = [0] * n
+        for start, end in ranges:
+            for i in range(start - 1, min(end, n)):
+                mask[i] = 1
+        want.append(mask)
+    assert got == want

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.tokens import WhitespaceTokenizer
 from prefspark.operators.select import dynamic_batches
-from prefspark.operators.trajectory import assemble_trajectory
+from prefspark.operators.trajectory import assemble_trajectory, trajectory_rollout_row
 from prefspark.streaming import batches as SB
 from prefspark.streaming import trajectories as ST
 
@@ -127,3 +127,19 @@ def test_running_metrics(spark, tmp_path):
     query.awaitTermination()
     got = {r.step: (r.value, r.n) for r in spark.table("running_metrics").collect()}
     assert got == {0: (4.0, 5), 1: (5.0, 5)}
+
+
+@pytest.mark.parametrize("truncate", [3, 6, 40])
+def test_trajectory_masks(spark, truncate):
+    episodes_ = assemble_trajectory(spark.createDataFrame(episodes(), STEPS), TOKENIZER, 4, 14)
+    for r in trajectory_rollout_row(episodes_, truncate).collect():
+        mask = [0] * len(r.observation_tokens)
+        for span in r.action_ranges:
+            for i in range(span.start, span.end):
+                mask[i] = 1
+        mask = mask[1:truncate]
+        ones = [i for i, x in enumerate(mask) if x]
+        assert r.action_mask == mask and r.sequences == r.observation_tokens[:truncate]
+        assert r.response_length == (ones[-1] - ones[0] + 1 if ones else 0)
+        assert r.total_length == min(len(r.observation_tokens), truncate)
+        assert r.clipped == int(r.total_length >= truncate)
