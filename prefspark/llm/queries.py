@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from prefspark.llm.bpe_automaton import codec_digests
 from prefspark.llm.common import table
 from prefspark.llm.elias_fano import token_file_index
+from prefspark.llm.substring_dedup import substring_dedup
 from prefspark.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,30 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query(
+    "op1_substring_dedup",
+    r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws
+  FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(ws, s, s + 19), ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+earliest AS (SELECT h, min(doc_id) AS d, arg_min(s, (doc_id, s)) AS s FROM windows GROUP BY h),
+covered AS (
+  SELECT DISTINCT w.doc_id, unnest(range(w.s, w.s + 20)) AS p
+  FROM windows w JOIN earliest e ON e.h = w.h WHERE e.d < w.doc_id OR e.d = w.doc_id AND e.s < w.s),
+gone AS (SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE
+    list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END, ' '))
+    AS kept_sha256
+FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id""",
+)
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
