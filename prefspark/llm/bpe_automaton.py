@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import sys
 import unicodedata
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -86,35 +88,165 @@ class TokenizationAutomaton:
         return True
 
     def encode(self, symbols: str) -> list[int]:
-        """Labels of the one accepted sequence for ``symbols``."""
-        n = len(symbols)
-        last = [-1] * (n + 1)  # the label read last, at each position that a sequence reaches
-        prefixes, arcs, get = self.prefixes, self.arcs, self.prefixes.get
-        for i in range(n):
-            before = last[i]
-            if i and before < 0:
-                continue
-            for j in range(i + 1, n + 1):
-                labels = get(symbols[i:j])
+        """Labels of the one accepted sequence for ``symbols``.
+
+        Long arcs are tried first. A place is reached by one accepted sequence at most, so a place from which
+        the rest failed is never tried again.
+        """
+        n, prefixes, arcs = len(symbols), self.prefixes, self.arcs
+        path: list[int] = []
+        ways: list[list[tuple[int, int]]] = []  # untried (end, label) from each place of the path
+        dead = set()
+        at, before = 0, -1
+        while at < n:
+            found = []
+            for end in range(at + 1, n + 1):
+                labels = prefixes.get(symbols[at:end])
                 if labels is None:
                     break
                 for label in labels:
-                    if last[j] >= 0:
-                        break
-                    if i:
+                    found.append((end, label))
+            ways.append(found)
+            while True:
+                if ways[-1]:
+                    end, label = ways[-1].pop()
+                    if end in dead:
+                        continue
+                    if path:
                         arc = arcs.get((before, label))
                         if arc is None:
-                            if len(arcs) > 2_000_000:
+                            if len(arcs) > 1_000_000:
                                 arcs.clear()
                             arc = arcs[before, label] = self.follows(before, label)
                         if not arc:
                             continue
-                    last[j] = label
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= len(self.text[last[j]])
-        return out[::-1]
+                    path.append(label)
+                    at, before = end, label
+                    break
+                dead.add(at)
+                ways.pop()
+                at -= len(self.text[path.pop()])
+                before = path[-1] if path else -1
+        return path
+
+
+class _Table:
+    """A fixed map from non-negative int64 keys to int32 values, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        slot = self._home(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            # Of several keys for one free slot the last written stays; the others move on.
+            self.keys[slot[free]] = keys[left[free]]
+            placed = self.keys[slot] == keys[left]
+            self.values[slot[placed]] = values[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        spread = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where a key is missing."""
+        slot = self._home(keys)
+        out = self.values[slot]
+        seen = self.keys[slot]
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        out[seen != keys] = -1
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[slot[open_]]
+            hit = seen == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
+
+class BatchEncoder:
+    """The automaton as tables: many words at once, one symbol place at a time.
+
+    ``steps`` leads from (prefix of labels, symbol) to the longer prefix, ``ends`` from a prefix to its label,
+    ``arcs`` has the transitions met so far; those first met are found by the automaton and added. Each label
+    text must belong to one label.
+    """
+
+    SYMBOLS = 1 << 16
+
+    def __init__(self, automaton: TokenizationAutomaton):
+        self.automaton = automaton
+        nodes = {"": 0} | {p: i + 1 for i, p in enumerate(automaton.prefixes)}
+        self.ends = np.full(len(nodes), -1, np.int64)
+        keys = np.empty(len(nodes) - 1, np.int64)
+        for p, labels in automaton.prefixes.items():
+            keys[nodes[p] - 1] = nodes[p[:-1]] * self.SYMBOLS + ord(p[-1])
+            if labels:
+                (self.ends[nodes[p]],) = labels
+        self.steps = _Table(keys, np.arange(1, len(nodes)))
+        self.sizes = np.array([len(t) for t in automaton.text])
+        self.known: dict[int, bool] = {}
+        self._rebuild()
+
+    def _rebuild(self) -> None:
+        keys = np.fromiter(self.known, np.int64, len(self.known))
+        self.arcs, self.built = _Table(keys, np.fromiter(self.known.values(), np.int32, len(keys))), len(keys)
+
+    def allowed(self, before: np.ndarray, label: np.ndarray) -> np.ndarray:
+        keys = before * (1 << 31) + label
+        out = self.arcs(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            known, follows = self.known, self.automaton.follows
+            for i in new.tolist():
+                key = int(keys[i])
+                if key not in known:
+                    known[key] = follows(key >> 31, key & ((1 << 31) - 1))
+                out[i] = known[key]
+            if len(known) > 1_000_000:
+                known.clear()
+            if len(known) > 1.2 * self.built + 1_000 or not known:
+                self._rebuild()
+        return out > 0
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        """Labels of every word."""
+        n = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        symbols = np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.int64)
+        width = int(sizes.max(initial=0)) + 1
+        last = np.full((n, width), -1, np.int64)
+        for at in range(width - 1):
+            rows = np.flatnonzero((sizes > at) & ((last[:, at] >= 0) | (at == 0)))
+            before, node, place = last[rows, at], np.zeros(len(rows), np.int64), starts[rows] + at
+            end = at
+            while len(rows):
+                node = self.steps(node * self.SYMBOLS + symbols[place]).astype(np.int64)
+                end += 1
+                label = np.where(node >= 0, self.ends[node], -1)
+                hit = np.flatnonzero(label >= 0)
+                if at and len(hit):
+                    hit = hit[self.allowed(before[hit], label[hit])]
+                last[rows[hit], end] = label[hit]
+                on = np.flatnonzero((node >= 0) & (sizes[rows] > end))
+                rows, before, node, place = rows[on], before[on], node[on], place[on] + 1
+        found, where, rows, at = [], [], np.flatnonzero(sizes > 0), sizes[sizes > 0]
+        while len(rows):
+            label = last[rows, at]
+            found.append(label)
+            where.append(rows)
+            at = at - self.sizes[label]
+            rows, at = rows[at > 0], at[at > 0]
+        if not found:
+            return [[] for _ in words]
+        where, found = np.concatenate(where)[::-1], np.concatenate(found)[::-1]
+        flat = found[np.argsort(where, kind="stable")].tolist()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=n))]).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def byte_symbols() -> list[str]:
@@ -158,6 +290,8 @@ class WordBpe:
     characters, and each of those is encoded by the automaton. ``decode`` joins the arc labels by spaces.
     """
 
+    TOGETHER = 48  # symbols
+
     def __init__(self, name: str = "word_bpe_49k.json"):
         with open(vocabulary_path(name), encoding="utf-8") as f:
             spec = json.load(f)
@@ -174,6 +308,7 @@ class WordBpe:
         letters = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str(newer)
         unknown = "".join(sorted(set(newer) - {c for found, _ in letters for c in found}))
         self._newer = regex.compile(f"[{_ranges(newer)}]") if newer else None
+        self._hint = os.path.commonprefix(list(self.special))
         self._word = regex.compile(_without(split, unknown), regex.VERSION1)
         self._bytes = byte_symbols()
 
@@ -189,36 +324,62 @@ class WordBpe:
         return TokenizationAutomaton([(self._symbols(u), self._symbols(v)) for u, v in self._merges], base)
 
     @cached_property
-    def _ids(self) -> dict[str, int]:
-        return {self._symbols(s): i for s, i in self.vocab.items()}
+    def _label_ids(self) -> list[int]:
+        ids = {self._symbols(s): i for s, i in self.vocab.items()}
+        return [ids[text] for text in self.automaton.text]
+
+    @cached_property
+    def _batch(self) -> BatchEncoder:
+        return BatchEncoder(self.automaton)
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a text without white space."""
-        out: list[int] = []
+    @cached_property
+    def _words(self) -> PieceMemo:
+        return PieceMemo(self._encode_words)
+
+    def pieces(self, found: list[str]) -> list[list[int]]:
+        """Ids of texts without white space."""
+        units = [self._units(p) for p in found]
+        words = [w for unit in units for w in unit if isinstance(w, str)]
+        ids = iter(self._words(words))
+        return [[i for w in unit for i in (next(ids) if isinstance(w, str) else (w,))] for unit in units]
+
+    def _units(self, piece: str) -> list[str | int]:
+        """Words, and ids of special tokens, of a piece."""
+        if self._hint not in piece:
+            return self._split(piece)
+        out: list[str | int] = []
         at = 0
         for m in self._cut_special.finditer(piece):
-            self._plain(piece[at : m.start()], out)
-            out.append(self.special[m.group()])
+            out += [*self._split(piece[at : m.start()]), self.special[m.group()]]
             at = m.end()
-        self._plain(piece[at:], out)
-        return tuple(out)
+        return out + self._split(piece[at:])
 
-    def _plain(self, text: str, out: list[int]) -> None:
-        if not text:
-            return
+    def _split(self, text: str) -> list[str]:
+        if text.isascii():
+            text = text.lower()
+            return [text] if text.isalpha() else self._word.findall(text)
         if self._newer is not None and self._newer.search(text):
             text = normalizers.Lowercase().normalize_str(normalizers.NFC().normalize_str(text))
         text = unicodedata.normalize("NFC", text)
         # Lower case letter by letter: the final form of sigma depends on its neighbours in str.lower.
         text = "σ".join(part.lower() for part in text.split("Σ")) if "Σ" in text else text.lower()
-        auto, ids, table = self.automaton, self._ids, self._bytes
-        for word in self._word.findall(text):
-            raw = [table[b] for b in word.encode("utf-8", "surrogatepass")]
-            raw[-1] = chr(ord(raw[-1]) + _WORD_END)
-            out.extend(ids[auto.text[label]] for label in auto.encode("".join(raw)))
+        return self._word.findall(text)
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of whole words: long ones one by one, the others together."""
+        ids, table = self._label_ids, self._bytes
+        symbols = []
+        for word in words:
+            if not (word.isascii() and word.isprintable()):
+                word = "".join([table[b] for b in word.encode("utf-8", "surrogatepass")])
+            symbols.append(word[:-1] + chr(ord(word[-1]) + _WORD_END))
+        short = [i for i, w in enumerate(symbols) if len(w) <= self.TOGETHER]
+        labels = {i: self.automaton.encode(w) for i, w in enumerate(symbols) if len(w) > self.TOGETHER}
+        labels.update(zip(short, self._batch([symbols[i] for i in short])))
+        return [[ids[label] for label in labels[i]] for i in range(len(words))]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in pieces(text or "") for i in self.piece(p)]
+        return [i for ids in self.pieces(pieces(text or "")) for i in ids]
 
     def decode(self, ids) -> str:
         """The labels of the arcs, joined by one space; unknown ids give nothing."""
@@ -245,9 +406,10 @@ def bpe_codec(df: DataFrame, text: str = "text", vocabulary: str = "word_bpe_49k
 
     def run(batches):
         code = coder(vocabulary)
-        memo = PieceMemo(lambda new: [code.piece(p) for p in new])
+        memo = PieceMemo(code.pieces)
         for batch in batches:
-            ids = [[i for got in memo(pieces(t or "")) for i in got] for t in batch.column(text).to_pylist()]
+            texts = memo.texts(batch.column(text).to_pylist())
+            ids = [[i for got in parts for i in got] for parts in texts]
             columns = [batch.column(c) for c in rest]
             columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(map(code.decode, ids), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*rest, "token_ids", "decoded"])
@@ -269,15 +431,13 @@ def codec_digests(
         code = coder(vocabulary)
 
         def values(new: list[str]) -> list[tuple[str, str]]:
-            ids = [code.piece(p) for p in new]
-            return [(" ".join(map(str, i)), code.decode(i)) for i in ids]
+            return [(" ".join(map(str, i)), code.decode(i)) for i in code.pieces(new)]
 
         memo = PieceMemo(values)
         sha = hashlib.sha256
         for batch in batches:
             counts, id_hash, text_hash = [], [], []
-            for value in batch.column(text).to_pylist():
-                got = memo(pieces(value)) if value else []
+            for got in memo.texts(batch.column(text).to_pylist()):
                 # A piece can be without tokens only if it is empty after normalisation.
                 ids = " ".join([g[0] for g in got if g[0]])
                 counts.append(ids.count(" ") + 1 if ids else 0)

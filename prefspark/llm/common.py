@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +189,13 @@ class PieceMemo:
             return [memo[p] if p in memo else fresh[p] for p in found]
 
 
+    def texts(self, found: list[str | None]) -> list[list]:
+        """Values of the pieces of many texts; NULL has none."""
+        parts = [pieces(t) if t else [] for t in found]
+        values = iter(self([p for part in parts for p in part]))
+        return [list(islice(values, len(part))) for part in parts]
+
+
 def vocabulary_path(name: str) -> str:
     """Where a vocabulary file lies on this machine: ``name`` itself if it is a path."""
     if "/" in name:

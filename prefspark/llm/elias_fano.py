@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import PieceMemo, parts_for, pieces, stored
+from prefspark.llm.common import PieceMemo, parts_for, stored
 from prefspark.llm.token_counts import load
 from prefspark.session import scratch_path
 
@@ -204,9 +204,9 @@ def write_token_files(
         memo, end = PieceMemo(encode), np.array([end_id], kind).tobytes()
         shard = None
         for batch in batches:
-            for doc_id, value in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, found in zip(batch.column("id").to_pylist(), memo.texts(batch.column("text").to_pylist())):
                 shard = shard or _Shard(path, TaskContext.get().partitionId(), width)
-                shard.add(doc_id, b"".join(memo(pieces(value))) + end if value else end)
+                shard.add(doc_id, b"".join(found) + end)
         if shard:
             shard.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard.shard, "n_docs": len(shard.ends), "n_ids": shard.total}])

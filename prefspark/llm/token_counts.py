@@ -16,7 +16,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from prefspark.llm.common import PieceMemo, pieces, vocabulary_path
+from prefspark.llm.common import PieceMemo, vocabulary_path
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
@@ -114,10 +114,12 @@ def token_counts(
         memo = PieceMemo(lambda new: [len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
         for batch in batches:
             rows = []
-            for value in batch.column(text).to_pylist():
+            texts = batch.column(text).to_pylist()
+            counts = memo.texts([t if t and len(t) <= chunk else None for t in texts])
+            for value, found in zip(texts, counts):
                 value = value or ""
                 if len(value) <= chunk:
-                    n, widened = sum(memo(pieces(value))), 0
+                    n, widened = sum(found), 0
                 else:
                     ids, widened = chunked_ids(tokenizer, value, chunk, overlap)
                     n = len(ids)
