@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from prefspark.llm.bpe_automaton import codec_digests
 from prefspark.llm.common import table
 from prefspark.llm.elias_fano import token_file_index
+from prefspark.llm.mixing import mix_sources
 from prefspark.llm.ngram_join import ngram_join
+from prefspark.llm.quality import fit_quality, quality_scores
 from prefspark.llm.substring_dedup import substring_dedup
 from prefspark.llm.token_counts import token_counts
 
@@ -90,3 +92,14 @@ JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_i
 )
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op5_mix_sources")
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
