@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prefspark.llm.bpe_automaton import codec_digests
 from prefspark.llm.common import table
 from prefspark.llm.elias_fano import token_file_index
+from prefspark.llm.kd_search import top_inner_products
+from prefspark.llm.kmeans_tree import nearest
+from prefspark.llm.lm_score import lm_scores
 from prefspark.llm.mixing import mix_sources
 from prefspark.llm.ngram_join import ngram_join
 from prefspark.llm.quality import fit_quality, quality_scores
@@ -103,3 +107,64 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_mix_sources")
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op8_top_inner_products",
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+WHERE rank <= 5""",
+)
+def op8_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op2_lm_scores",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT *, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws
+  FROM (SELECT 0 AS target, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark)),
+token AS (SELECT target, id, p, ws[p] AS word, CASE WHEN p > 1 THEN ws[p - 1] END AS before
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+counts AS (SELECT word, sum(target) AS t, sum(1 - target) AS b FROM token GROUP BY word),
+vocabulary AS (SELECT * FROM counts ORDER BY t + b DESC, word LIMIT 16384),
+total AS (SELECT sum(t)::DOUBLE AS t, sum(b)::DOUBLE AS b FROM counts),
+start AS (SELECT sum(target)::DOUBLE AS t, sum(1 - target)::DOUBLE AS b FROM w WHERE len(ws) > 0),
+unigram AS (
+  SELECT word, t::DOUBLE AS t, b::DOUBLE AS b FROM vocabulary
+  UNION ALL SELECT ' other', (SELECT t FROM total) - sum(t), (SELECT b FROM total) - sum(b) FROM vocabulary
+  UNION ALL SELECT ' start', t, b FROM start),
+gram AS (
+  SELECT k.target, k.id, CASE WHEN k.p = 1 THEN ' start' ELSE coalesce(x.word, ' other') END AS before,
+    coalesce(y.word, ' other') AS word
+  FROM token k LEFT JOIN vocabulary x ON x.word = k.before LEFT JOIN vocabulary y ON y.word = k.word),
+pair AS (SELECT before, word, sum(target)::DOUBLE AS t, sum(1 - target)::DOUBLE AS b FROM gram GROUP BY ALL),
+loss AS (
+  SELECT p.before, p.word,
+    ln(CASE WHEN h.b > 0 THEN 0.7e0 * p.b / h.b ELSE 0e0 END + 0.29e0 * u.b / greatest(n.b, 1e0) + 0.01e0 / s.n)
+    - ln(CASE WHEN h.t > 0 THEN 0.7e0 * p.t / h.t ELSE 0e0 END + 0.29e0 * u.t / greatest(n.t, 1e0) + 0.01e0 / s.n) AS d
+  FROM pair p JOIN unigram h ON h.word = p.before JOIN unigram u ON u.word = p.word, total n,
+    (SELECT count(*) + 1 AS n FROM vocabulary) s)
+SELECT w.id AS doc_id, len(w.ws)::BIGINT AS n_words, round(l.score, 6) + 0e0 AS score
+FROM w LEFT JOIN (
+  SELECT g.id, avg(l.d) AS score FROM gram g JOIN loss l ON l.before = g.before AND l.word = g.word
+  WHERE g.target = 0 GROUP BY g.id) l ON l.id = w.id
+WHERE w.target = 0""",
+)
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.withColumn("score", F.round("score", 6) + F.lit(0.0))
