@@ -47,6 +47,18 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+_WORD = re.compile("[^ \t-\r]+")
+
+
+def keep_words(text: str, keep: np.ndarray) -> str:
+    """``text`` with only the words marked in ``keep``: runs of kept words as they stand, joined by one space."""
+    if keep.all():
+        return text
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+    return " ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2]))
+
+
 class WordHashes:
     """64-bit hashes of words, remembered for up to ``limit`` words."""
 

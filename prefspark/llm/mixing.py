@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import stored
+from prefspark.llm.common import keep_words, stored, words
 from prefspark.operators.positions import running_sums
 
 SLOTS = 1 << 18  # slots of the schedule at most, whatever the input
@@ -80,6 +80,38 @@ def schedule(spark, goals: list[tuple[int, float]], block: int, most: int = 3) -
     return ranked.select("slot", "index", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
+def _sized(df: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
+    """Narrow rows, stored: id, source, words, a hash of the text and the place of the row in the shuffled order."""
+    # Regular expressions count code units; the classes below hold none beyond ASCII.
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
+    rows = df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
+        size.alias("size"),
+        F.xxhash64(text).alias("hash"),
+    )
+    return stored(rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")), "mix-sizes")
+
+
+def _pieces(sized: DataFrame, weights, most: int, slots: int) -> tuple[DataFrame, DataFrame]:
+    """The words of each row in each block with the times the block is taken; and the sources with their targets."""
+    goals = source_targets(sized, weights, most)
+    listed = goals.orderBy("index").select("source_size", "target").collect()
+    block = max(1, -(-sum(n for n, _ in listed) // slots))
+    placed = running_sums(sized.where("size > 0"), ["key", "doc_id", "size", "hash"], {"stop": F.col("size")}, ["source"])
+    placed = placed.withColumn("start", F.col("stop") - F.col("size"))
+    named = goals.withColumnRenamed("source", "_source")
+    placed = placed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "key", "stop")
+
+    chosen = schedule(sized.sparkSession, [tuple(r) for r in listed], block, most)
+    times = chosen.groupBy("index", "block").agg(F.count(F.lit(1)).alias("times"))
+    pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
+    first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
+    last = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start"))
+    pieces = pieces.withColumns({"first": first, "words": last - first})
+    return pieces.join(times, ["index", "block"], "left").fillna(0, ["times"]), named
+
+
 def mix_sources(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -97,27 +129,64 @@ def mix_sources(
     seed and id. Repeated rows are rows of their own, with the same words taken or not by their place. An empty
     table gives an empty result; other columns are not read.
     """
-    spark = df.sparkSession
-    # Regular expressions count code units; the classes below hold none beyond ASCII.
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
-    sized = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
-    sized = stored(sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")), "mix-sizes")
-    goals = source_targets(sized, weights, most)
-    listed = goals.orderBy("index").select("source_size", "target").collect()
-    block = max(1, -(-sum(n for n, _ in listed) // slots))
-
-    placed = running_sums(sized.where("size > 0"), ["key", "doc_id", "size"], {"stop": F.col("size")}, ["source"])
-    placed = placed.withColumn("start", F.col("stop") - F.col("size"))
-    named = goals.withColumnRenamed("source", "_source")
-    placed = placed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "key", "stop")
-
-    times = schedule(spark, [tuple(r) for r in listed], block, most).groupBy("index", "block").agg(F.count(F.lit(1)).alias("times"))
-    pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    pieces = pieces.withColumn("words", inside).join(times, ["index", "block"], "left")
+    sized = _sized(df, id_col, text, source, seed)
+    pieces, named = _pieces(sized, weights, most, slots)
     keys = ["doc_id", "source", "size", "source_size", "target", "index", "start"]
-    taken = pieces.groupBy(*keys).agg(F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).alias("taken"))
+    taken = pieces.groupBy(*keys).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
     nothing = sized.where("size = 0").join(named, F.col("source").eqNullSafe(F.col("_source")))
     columns = ["doc_id", "size", "source_size", "target", "taken", "source"]
     return taken.select(columns).unionByName(nothing.withColumn("taken", F.lit(0).cast("long")).select(columns))
+
+
+def mixed_documents(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights=(1.0, 2.0, 3.0),
+    most: int = 3,
+    slots: int = SLOTS,
+    seed: int = 0,
+) -> DataFrame:
+    """The mix itself, with the columns of ``df``: a row for each copy that is taken of a row.
+
+    The n-th copy has the words of the blocks taken at least n times; a whole copy is the text as it stands.
+    Rows of which nothing is taken, those without words among them, are left out. A column ``n_chars`` becomes
+    the new length. Equal rows are told apart by their number.
+    """
+    sized = _sized(df, id_col, text, source, seed)
+    pieces, _ = _pieces(sized, weights, most, slots)
+    plan = pieces.groupBy("doc_id", "source", "hash", "index", "start").agg(
+        F.collect_list(F.when(F.col("times") > 0, F.struct("first", "words", "times"))).alias("pieces")
+    )  # of one row: its number of blocks
+    keys = ["doc_id", "source", "hash"]
+    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("start")))
+    plan = plan.where(F.size("pieces") > 0).select(F.struct(*keys, "nth").alias("_key"), "pieces")
+
+    rows = df.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
+        F.xxhash64(text).alias("hash"), F.struct(*df.columns).alias("row"),
+    ).where(F.col("row")[text].rlike(r"[^ \t-\r]"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("hash")))
+    # Structs compare NULL fields as equal.
+    both = rows.select(F.struct(*keys, "nth").alias("_key"), "row").join(plan, "_key").select("row", "pieces")
+
+    def run(batches):
+        for batch in batches:
+            at, texts = [], []
+            for i, (row, found) in enumerate(zip(batch.column("row").field(text).to_pylist(), batch.column("pieces").to_pylist())):
+                times = np.zeros(len(words(row)), np.int64)
+                for piece in found:
+                    times[piece["first"] : piece["first"] + piece["words"]] = piece["times"]
+                for copy in range(1, int(times.max()) + 1):
+                    at.append(i)
+                    texts.append(keep_words(row, times >= copy))
+            taken = batch.column("row").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken, pa.array(texts, pa.string())], ["row", "new_text"])
+
+    out = both.mapInArrow(run, both.select("row").withColumn("new_text", F.lit("")).schema)
+    columns = {c: F.col("row")[c] for c in df.columns} | {text: F.col("new_text")}
+    if "n_chars" in df.columns:
+        columns["n_chars"] = F.length("new_text").cast(df.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in df.columns])

@@ -19,16 +19,17 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import BLOCK_BYTES, SENT, WordHashes, blocked, mix, ngrams, pack, parts_for, stored
+from prefspark.llm.common import BLOCK_BYTES, SENT, WordHashes, mix, ngrams, pack, parts_for, stored
 from prefspark.llm.components import components
 
 CELLS = 1 << 20  # of the count sketch, whatever the input
 SLICES = 64
 CHUNK_GRAMS = 1 << 16  # n-grams of the sets of a chunk
-RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4")])
+SEND_GRAMS = 1 << 21  # records that a task holds before it sends them
+RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("block", "<i4")])
 _hashes = WordHashes()
 np.seterr(over="ignore")
 
@@ -111,35 +112,44 @@ def _levels(scanned: DataFrame) -> np.ndarray:
 
 
 def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, partitions: int) -> DataFrame:
-    """``sig, sid, n, block``: the sets of every group of at least two that may link."""
-
-    def send(group: pa.Table) -> pa.Table:
-        block, found = group["_block"][0].as_py(), {}
-        for text in group["text"].to_pylist():
-            grams = gram_set(text, n)
-            if len(grams):
-                found.setdefault(set_id(grams), grams)
-        records = []
-        for sid, grams in found.items():
-            size = len(grams)
-            take = size - -(-percent * size // 100) + 1
-            record = np.zeros(take, RECORD)
-            record["gram"] = _order(grams, levels.value)[:take]
-            record["a"], record["b"] = np.frombuffer(sid, "<u8")
-            record["n"] = size
-            records.append(record)
-        records = np.concatenate(records) if records else np.empty(0, RECORD)
-        return pack(block, records["gram"], records, buckets)
+    """``sig, sid, n, block``: the sets of every group of at least two that may link, stored.
+
+    Straight from the scan: a task's sets are put to their groups once each, with a block they can be had from.
+    """
+
+    def send(batches):
+        held, grams_held = {}, 0
+        for batch in batches:
+            for text, block in zip(batch.column("text").to_pylist(), batch.column("_block").to_pylist()):
+                grams = gram_set(text, n)
+                if len(grams):
+                    size = len(grams)
+                    take = size - -(-percent * size // 100) + 1
+                    record = np.zeros(take, RECORD)
+                    record["gram"] = _order(grams, levels.value)[:take]
+                    record["a"], record["b"] = np.frombuffer(set_id(grams), "<u8")
+                    record["n"], record["block"] = size, block
+                    other = held.setdefault(record[["a", "b"]][0].tobytes(), record)
+                    if other is record:
+                        grams_held += take
+                    else:
+                        other["block"] = np.minimum(other["block"], block)
+            if grams_held > SEND_GRAMS:
+                yield from sent(held)
+                held, grams_held = {}, 0
+        if held:
+            yield from sent(held)
+
+    def sent(held):
+        records = np.concatenate(list(held.values()))
+        yield from pack(-1, records["gram"], records, buckets).to_batches()
 
     def group_up(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, RECORD) for x in group["payload"].to_pylist()]
-        block = np.repeat(np.array(group["_block"].to_pylist(), np.int64), [len(p) for p in parts])
-        k = np.concatenate(parts)
-        order = np.lexsort((block, k["b"], k["a"], k["n"], k["gram"]))
-        k, block = k[order], block[order]
+        k = np.concatenate([np.frombuffer(x, RECORD) for x in group["payload"].to_pylist()])
+        k = k[np.lexsort((k["block"], k["b"], k["a"], k["n"], k["gram"]))]
         new = np.ones(len(k), bool)
         new[1:] = (k["gram"][1:] != k["gram"][:-1]) | (k["a"][1:] != k["a"][:-1]) | (k["b"][1:] != k["b"][:-1])
-        k, block = k[new], block[new]
+        k = k[new]
         # Sorted by size within an n-gram; a group ends where the next set is too large to link.
         n = k["n"].astype(np.int64)
         start = np.ones(len(k), bool)
@@ -153,13 +163,29 @@ def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, pa
                 "sig": pa.array(totals[part][several].view(np.int64), pa.int64()),
                 "sid": pa.array(_set_ids(k[several]), pa.binary()),
                 "n": pa.array(k["n"][several], pa.int32()),
-                "block": pa.array(block[several], pa.int64()),
+                "block": pa.array(k["block"][several], pa.int64()),
             }
         )
 
-    sent = docs.groupBy("_block").applyInArrow(send, SENT).repartition(partitions, "_bucket")
-    members = sent.groupBy("_bucket").applyInArrow(group_up, "sig long, sid binary, n int, block long")
-    return members.groupBy("sig", "sid").agg(F.first("n").alias("n"), F.min("block").alias("block"))
+    grouped = docs.mapInArrow(send, SENT).repartition(partitions, "_bucket").groupBy("_bucket")
+    members = grouped.applyInArrow(group_up, "sig long, sid binary, n int, block long")
+    members = members.groupBy("sig", "sid").agg(F.first("n").alias("n"), F.min("block").alias("block"))
+    return stored(members, "gram-groups")
+
+
+def _needed_groups(members: DataFrame, chunk_grams: int) -> DataFrame:
+    """``members`` without groups that lie in a larger one, with ``k``, the number of chunks of the group.
+
+    If the largest groups of all sets of a group are one and the same, that one holds them all.
+    """
+    size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n").cast("long")).alias("grams"))
+    sized = members.join(size, "sig")
+    largest = sized.groupBy("sid").agg(F.max(F.struct("size", "sig")).alias("largest"))
+    within = sized.join(largest.select("sid", F.col("largest.sig").alias("largest")), "sid")
+    held = within.groupBy("sig").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
+    needed = held.where("low <> high OR low = sig").select("sig")
+    chunks = F.ceil(F.col("grams") / F.lit(chunk_grams)).cast("int").alias("k")
+    return members.join(size.join(needed, "sig").select("sig", chunks), "sig")
 
 
 def _set_ids(k: np.ndarray) -> list[bytes]:
@@ -167,21 +193,22 @@ def _set_ids(k: np.ndarray) -> list[bytes]:
     return [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
 
-def _sets(docs: DataFrame, needed: DataFrame, levels, n: int) -> DataFrame:
-    """``sid, grams`` of the sets that blocks are asked for, frequent n-grams first."""
+def _delivered(docs: DataFrame, dealt: DataFrame, levels, n: int) -> DataFrame:
+    """``dealt`` with the ``grams`` of its sets, from the blocks that have them."""
 
     def deliver(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted, found = set(right["sid"].to_pylist()), {}
-        if wanted:
+        found = {sid: None for sid in right["sid"].to_pylist()}
+        if found:
             for text in left["text"].to_pylist():
                 grams = gram_set(text, n)
                 sid = set_id(grams) if len(grams) else None
-                if sid in wanted and sid not in found:
+                if sid in found and found[sid] is None:
                     found[sid] = _order(grams, levels.value)[::-1].tobytes()
-        return pa.table({"sid": pa.array(found.keys(), pa.binary()), "grams": pa.array(found.values(), pa.binary())})
+        grams = pa.array([found[sid] for sid in right["sid"].to_pylist()], pa.binary())
+        return right.drop_columns(["_block"]).append_column("grams", grams)
 
-    sides = docs.groupBy("_block").cogroup(needed.groupBy("_block"))
-    return sides.applyInArrow(deliver, "sid binary, grams binary")
+    sides = docs.groupBy("_block").cogroup(dealt.groupBy("_block"))
+    return sides.applyInArrow(deliver, "sig long, i int, j int, chunk int, sid binary, grams binary")
 
 
 class PrefixTree:
@@ -327,19 +354,15 @@ def ngram_join(
     scanned = _scan(docs, n)
     levels = spark.sparkContext.broadcast(_levels(scanned))  # CELLS bytes
 
-    blocks = blocked(docs, buckets, partitions, F.col("doc_id"), F.col("text"))
+    blocks = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
     members = _memberships(blocks, levels, n, percent, buckets, partitions)
-    members = stored(members, "gram-groups")
-    needed = members.select("sid", F.col("block").alias("_block")).distinct()
-    sets = _sets(blocks, needed, levels, n)
-
-    grams = F.sum(F.col("n").cast("long"))
-    chunks = members.groupBy("sig").agg(F.ceil(grams / F.lit(chunk_grams)).cast("int").alias("k"))
-    dealt = members.join(chunks, "sig").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    dealt = _needed_groups(members, chunk_grams).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("sig", "chunk", "sid", F.least("x", "chunk").alias("i"), F.greatest("x", "chunk").alias("j"))
+    ends = F.least("x", "chunk").alias("i"), F.greatest("x", "chunk").alias("j")
+    dealt = dealt.select(F.col("block").alias("_block"), "sig", *ends, "chunk", "sid")
     keys = ["sig", "i", "j"]
-    together = dealt.join(sets, "sid").repartition(partitions, *keys).sortWithinPartitions(*keys)
+    together = _delivered(blocks.repartition(partitions, "_block"), dealt, levels, n)
+    together = together.repartition(partitions, *keys).sortWithinPartitions(*keys)
     roots = components(_join_groups(together, levels, percent))
 
     ids = scanned.where("slice IS NULL").select("doc_id", "sid", "n")
@@ -352,3 +375,16 @@ def ngram_join(
         F.col("n").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that stand for their component: those with its smallest id, one of equal rows.
+
+    A row's fate follows its id. Rows without an id cannot be told from others and stay, as do empty texts.
+    """
+    found = ngram_join(df, id_col, text, **options).where("doc_id IS NOT NULL AND doc_id = component_id")
+    keep = found.select(F.col("doc_id").alias(id_col)).distinct()
+    stays = df.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").select(df.columns)
+    same = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.length(text))
+    numbered = stays.select(F.struct(*df.columns).alias("row"), F.row_number().over(same).alias("nth"))
+    return numbered.where("nth = 1").select("row.*").unionByName(df.where(F.col(id_col).isNull()))

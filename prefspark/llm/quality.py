@@ -266,3 +266,16 @@ def quality_scores(df: DataFrame, model: QualityModel, id_col: str = "doc_id", t
             )
 
     return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_quality(df: DataFrame, model: QualityModel, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows whose text scores ``least`` or more, unchanged."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            scores = shared.value.score(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(scores >= least))
+
+    return df.mapInArrow(run, df.schema)

@@ -18,11 +18,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import (
-    BLOCK_BYTES, SENT, WordHashes, ask, blocked, id_array, mix, ngrams, pack, parts_for, stored, unpack_answers, words,
+    BLOCK_BYTES, SENT, WordHashes, ask, blocked, id_array, keep_words, mix, ngrams, pack, parts_for, stored, unpack_answers, words,
 )
 
 COVERED, REPEATED = 1, 2
@@ -152,10 +152,10 @@ def _descend(block: _Block, answer: np.ndarray, level: int) -> None:
         block.candidates(answer)
 
 
-def _blocked(df: DataFrame, id_col: str, text: str, length: int, block_bytes: int) -> tuple[DataFrame, int, int]:
+def _blocked(df: DataFrame, id_col: str, text: str, length: int, block_bytes: int, *more: Column) -> tuple[DataFrame, int, int]:
     if length < 2 or length % 2:
         raise ValueError("a window has an even number of words")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
     buckets, partitions = parts_for(docs, "text", block_bytes)
     return blocked(docs, buckets, partitions, F.col("doc_id"), F.col("text")), buckets, partitions
 
@@ -187,6 +187,41 @@ def _ask_level(docs: DataFrame, answers: list[DataFrame], length: int, buckets:
     return ask(_together(docs, answers).applyInArrow(send_windows, SENT), _resolve_windows, WINDOW, partitions)
 
 
+def remove_repeats(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """``df`` with the repeated words of ``substring_dedup`` cut out of its texts.
+
+    Texts without repeats are unchanged; of others the kept runs stay as they stand, joined by one space. Rows
+    of which no word is left are dropped; rows that had none stay. A column ``n_chars`` becomes the new length.
+    """
+    rest = [c for c in df.columns if c not in (id_col, text)]
+    held = F.struct(F.lit(0).alias("_"), *rest)  # apart from the columns added below, whatever their names
+    docs, buckets, partitions = _blocked(df, id_col, text, window, block_bytes, held.alias("row"))
+    answers: list[DataFrame] = []
+    for _ in range(2):
+        answers.append(_ask_level(docs, answers, window, buckets, partitions))
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = _Block(left, window)
+        keep = ~block.removed(_replay(block, right, 2, buckets))
+        texts = left["text"].to_pylist()
+        for i, (a, b) in enumerate(zip(block.starts, block.starts[1:])):
+            if b > a:
+                texts[i] = keep_words(texts[i], keep[a:b])
+        out = pa.table({"doc_id": left["doc_id"], "text": pa.array(texts, pa.string()), "row": left["row"]})
+        stays = [n == 0 or keep[a:b].any() for a, b, n in zip(block.starts, block.starts[1:], np.diff(block.starts))]
+        return out.filter(pa.array(stays, pa.bool_()))
+
+    schema = docs.select("doc_id", "text", "row").schema
+    cut = _together(docs, answers).applyInArrow(finish, schema)
+    columns = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text: F.col("text")}
+    columns |= {c: F.col("row")[c] for c in rest}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.length("text").cast(df.schema["n_chars"].dataType)
+    return cut.select(*[columns[c].alias(c) for c in df.columns])
+
+
 def substring_dedup(
     df: DataFrame,
     id_col: str = "doc_id",
