@@ -36,7 +36,7 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
                 out[i] = left * weights[i] / total
             break
         for i in above:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
         left = float(sum(sizes)) - sum(most * sizes[i] for i in range(len(sizes)) if i not in open_ - above)
         open_ -= above
     return out

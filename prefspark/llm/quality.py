@@ -2,8 +2,8 @@
 
 Every word has a sparse random index vector, made from its hash. A *lexicon* of frequent words also has
 context vectors: the sum of the index vectors of the words around it in the training rows. A document is
-the mean of its words' vectors (context and index) beside the mean of its *forms*: the outline of a word (case,
-digits, marks) and whether it repeats the word before. The network is trained in numpy on pooled vectors of a
+the mean of its words' vectors (context and index) beside the mean of its *forms*, the outlines of words (case,
+digits, marks), and the shares of words that repeat one just before. The network is trained in numpy on pooled vectors of a
 bounded number of labelled rows; its temperature is fitted on rows it has not seen, so that its outputs are
 probabilities.
 """
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from prefspark.llm.common import mix, stored, words
 
 WORD_DIMS, FORM_DIMS, SPARSE = 128, 64, 4
+RELATIONS = 2
+DIMS = 2 * WORD_DIMS + FORM_DIMS + RELATIONS
 LEXICON = 2_048
 FIT_ROWS = 5_000  # bound of the labelled rows that the model is fitted on
 _STEP = 256  # documents pooled at a time
@@ -97,9 +99,8 @@ def _context(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
 
 
 def pool(texts: list[str | None], lexicon: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """One row per text: mean index and context vector of the words, mean form vector; zeros without words."""
-    out = np.zeros((len(texts), 2 * WORD_DIMS + FORM_DIMS))
-    repeat = _slots(np.array([7], np.uint64), FORM_DIMS)
+    """One row per text: mean index and context vector of the words, mean form vector, repeats; zeros without words."""
+    out = np.zeros((len(texts), DIMS))
     for first in range(0, len(texts), _STEP):
         found = _terms([words(t) for t in texts[first : first + _STEP]])
         n, sizes = len(found), np.array([len(f) for f in found])
@@ -107,17 +108,16 @@ def pool(texts: list[str | None], lexicon: np.ndarray, vectors: np.ndarray) -> n
         if not len(numbers):
             continue
         row, h = np.repeat(np.arange(n), sizes), _terms.hashes[numbers]
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
         part = out[first : first + n]
         part[:, :WORD_DIMS] = _summed(row, n, _terms.words[numbers], WORD_DIMS)
         if len(lexicon):
             slot, known = _known(lexicon, h)
             counts = np.bincount(row[known] * len(lexicon) + slot[known], minlength=n * len(lexicon))
             part[:, WORD_DIMS : 2 * WORD_DIMS] = counts.reshape(n, -1) @ vectors
-        part[:, 2 * WORD_DIMS :] = _summed(row, n, _terms.forms[numbers], FORM_DIMS)
-        repeats = np.bincount(row[again], minlength=n)
-        part[:, 2 * WORD_DIMS :] += 4 * repeats[:, None] * _summed(np.array([0]), 1, repeat, FORM_DIMS)
+        part[:, 2 * WORD_DIMS : -RELATIONS] = _summed(row, n, _terms.forms[numbers], FORM_DIMS)
+        for back in (1, 2):  # whether a word is the one so many words before
+            again = (h[back:] == h[:-back]) & (row[back:] == row[:-back])
+            part[:, back - 1 - RELATIONS] = np.bincount(row[back:][again], minlength=n)
         part /= np.maximum(sizes, 1)[:, None]
     return out
 
@@ -142,13 +142,20 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-3) -> Network:
+def _spread() -> np.ndarray:
+    """Per input: the size of its block, so that words, contexts, forms and repeats weigh alike as blocks."""
+    blocks = (WORD_DIMS, WORD_DIMS, FORM_DIMS, RELATIONS)
+    return np.concatenate([np.full(n, np.sqrt(n) / 2) for n in blocks])
+
+
+def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate: float = 3e-3, decay: float = 3e-3) -> Network:
     """Adam on the logistic loss over four fifths of the rows; the temperature on the rest."""
     rng = np.random.default_rng(0)
     calibrate = np.arange(len(y)) % 5 == 4
     fit, held = np.flatnonzero(~calibrate), np.flatnonzero(calibrate)
     mean = x[fit].mean(axis=0) if len(fit) else np.zeros(x.shape[1])
     scale = x[fit].std(axis=0) + 1e-4 if len(fit) else np.ones(x.shape[1])
+    scale = scale * _spread()
     net = Network(mean, scale, rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden),
                   rng.normal(0, 1 / np.sqrt(hidden), hidden), 0.0)
     z = (x - mean) / scale
@@ -243,7 +250,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, le
 
     got = rows.mapInArrow(pooled, "doc_id long, quality long, x array<double>").collect()
     got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["x"]))
-    x = np.array([r["x"] for r in got]).reshape(-1, 2 * WORD_DIMS + FORM_DIMS)
+    x = np.array([r["x"] for r in got]).reshape(-1, DIMS)
     return QualityModel(lexicon, vectors, train(x, np.array([r["quality"] for r in got], np.float64)))
 
 
