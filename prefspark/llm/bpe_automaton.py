@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from prefspark.llm.common import PieceMemo, pieces, vocabulary_path
+from prefspark.llm.common import PieceMemo, held, pieces, vocabulary_path
 
 _WORD_END = 0x8000  # added to the last symbol of a word, which carries the end-of-word mark
 NEVER = 1 << 62
@@ -386,14 +386,9 @@ class WordBpe:
         return " ".join(self.label_text[i] for i in ids if i in self.label_text)
 
 
-_coders: dict[str, WordBpe] = {}
-
-
 def coder(name: str) -> WordBpe:
-    """The compiled vocabulary of this process."""
-    if name not in _coders:
-        _coders[name] = WordBpe(name)
-    return _coders[name]
+    """The compiled vocabulary, kept in this process."""
+    return held(f"coder {name}", lambda: WordBpe(name))
 
 
 def bpe_codec(df: DataFrame, text: str = "text", vocabulary: str = "word_bpe_49k.json") -> DataFrame:

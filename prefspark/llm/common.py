@@ -59,10 +59,21 @@ def keep_words(text: str, keep: np.ndarray) -> str:
     return " ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2]))
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable):
+    """A cache of this process. There is one at a time: a worker that turns to another operator drops the last one's."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 class WordHashes:
     """64-bit hashes of words, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.limit, self.memo = limit, {}
 
     def __call__(self, tokens: list[bytes]) -> np.ndarray:
@@ -77,6 +88,11 @@ class WordHashes:
             return np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
 
 
+def word_hashes(tokens: list[bytes]) -> np.ndarray:
+    """Hashes of words, remembered in this process."""
+    return held("word hashes", WordHashes)(tokens)
+
+
 def mix(a: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser."""
     a = a ^ np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import BLOCK_BYTES, SENT, WordHashes, mix, ngrams, pack, parts_for, stored
+from prefspark.llm.common import BLOCK_BYTES, SENT, mix, ngrams, pack, parts_for, stored, word_hashes
 from prefspark.llm.components import components
 
 CELLS = 1 << 20  # of the count sketch, whatever the input
@@ -30,7 +30,6 @@ SLICES = 64
 CHUNK_GRAMS = 1 << 16  # n-grams of the sets of a chunk
 SEND_GRAMS = 1 << 21  # records that a task holds before it sends them
 RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("block", "<i4")])
-_hashes = WordHashes()
 np.seterr(over="ignore")
 
 
@@ -40,7 +39,7 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
     if not tokens:
         return np.empty(0, np.uint64)
     size = min(n, len(tokens))
-    return np.unique(ngrams(_hashes(tokens), size, 100 + size))
+    return np.unique(ngrams(word_hashes(tokens), size, 100 + size))
 
 
 def set_id(grams: np.ndarray) -> bytes:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import mix, stored, words
+from prefspark.llm.common import held, mix, stored, words
 
 WORD_DIMS, FORM_DIMS, SPARSE = 128, 64, 4
 RELATIONS = 2
@@ -52,7 +52,7 @@ def _summed(row: np.ndarray, rows: int, slots: np.ndarray, dims: int) -> np.ndar
 class _Terms:
     """Numbers of words, and by number the word's hash and the slots of the word and of its form."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.limit = limit
         self.clear()
 
@@ -76,7 +76,8 @@ class _Terms:
         return [np.fromiter(map(memo.__getitem__, t), np.int64, len(t)) for t in texts]
 
 
-_terms = _Terms()
+def _terms() -> _Terms:
+    return held("quality terms", _Terms)
 
 
 def _known(lexicon: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +90,12 @@ def _context(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
     """Context sums of the lexicon over texts: two words to either side."""
     total = np.zeros((len(lexicon), WORD_DIMS))
     for text in texts:
-        (numbers,) = _terms([words(text)])
-        slot, known = _known(lexicon, _terms.hashes[numbers])
+        (numbers,) = _terms()([words(text)])
+        slot, known = _known(lexicon, _terms().hashes[numbers])
         for step in (1, 2):
             for here, near in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
                 k = known[here]
-                total += _summed(slot[here][k], len(lexicon), _terms.words[numbers[near][k]], WORD_DIMS)
+                total += _summed(slot[here][k], len(lexicon), _terms().words[numbers[near][k]], WORD_DIMS)
     return total
 
 
@@ -102,19 +103,19 @@ def pool(texts: list[str | None], lexicon: np.ndarray, vectors: np.ndarray) -> n
     """One row per text: mean index and context vector of the words, mean form vector, repeats; zeros without words."""
     out = np.zeros((len(texts), DIMS))
     for first in range(0, len(texts), _STEP):
-        found = _terms([words(t) for t in texts[first : first + _STEP]])
+        found = _terms()([words(t) for t in texts[first : first + _STEP]])
         n, sizes = len(found), np.array([len(f) for f in found])
         numbers = np.concatenate(found)
         if not len(numbers):
             continue
-        row, h = np.repeat(np.arange(n), sizes), _terms.hashes[numbers]
+        row, h = np.repeat(np.arange(n), sizes), _terms().hashes[numbers]
         part = out[first : first + n]
-        part[:, :WORD_DIMS] = _summed(row, n, _terms.words[numbers], WORD_DIMS)
+        part[:, :WORD_DIMS] = _summed(row, n, _terms().words[numbers], WORD_DIMS)
         if len(lexicon):
             slot, known = _known(lexicon, h)
             counts = np.bincount(row[known] * len(lexicon) + slot[known], minlength=n * len(lexicon))
             part[:, WORD_DIMS : 2 * WORD_DIMS] = counts.reshape(n, -1) @ vectors
-        part[:, 2 * WORD_DIMS : -RELATIONS] = _summed(row, n, _terms.forms[numbers], FORM_DIMS)
+        part[:, 2 * WORD_DIMS : -RELATIONS] = _summed(row, n, _terms().forms[numbers], FORM_DIMS)
         for back in (1, 2):  # whether a word is the one so many words before
             again = (h[back:] == h[:-back]) & (row[back:] == row[:-back])
             part[:, back - 1 - RELATIONS] = np.bincount(row[back:][again], minlength=n)
@@ -220,8 +221,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, le
     def term_hashes(batches):
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                (numbers,) = _terms([words(text)])
-                values, counts = np.unique(_terms.hashes[numbers], return_counts=True)
+                (numbers,) = _terms()([words(text)])
+                values, counts = np.unique(_terms().hashes[numbers], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["h", "n"])
 
     counted = rows.mapInArrow(term_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))

@@ -22,12 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import (
-    BLOCK_BYTES, SENT, WordHashes, ask, blocked, id_array, keep_words, mix, ngrams, pack, parts_for, stored, unpack_answers, words,
+    BLOCK_BYTES, SENT, ask, blocked, id_array, keep_words, mix, ngrams, pack, parts_for, stored, unpack_answers, word_hashes, words,
 )
 
 COVERED, REPEATED = 1, 2
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i4")])
-_hashes = WordHashes()
 np.seterr(over="ignore")
 
 
@@ -41,7 +40,7 @@ class _Block:
         self.tokens = [words(t) for t in group["text"].to_pylist()]
         sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        parts = [_hashes(t) for t in self.tokens]
+        parts = [word_hashes(t) for t in self.tokens]
         h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.at = np.arange(len(h)) - self.starts[self.doc]
