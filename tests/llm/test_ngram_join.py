@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from prefspark.llm.components import components
-from prefspark.llm.ngram_join import linked_pairs, ngram_join
+from prefspark.llm.ngram_join import linked_pairs, ngram_join, packed_grams, unpacked_grams
 
 SCHEMA = "doc_id long, text string, sid string, n string, slice string, payload string, root string"
 
@@ -87,6 +87,14 @@ def test_trie_equals_set_arithmetic():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_packed_sets_come_back():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 30, 900, 5_000):
+        grams = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        for some in (grams, np.unique(np.append(grams, [0, (1 << 48) - 1, (1 << 40) - 1]).astype(np.uint64))):
+            assert np.array_equal(unpacked_grams(packed_grams(some)), some)
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(40)] + [(7, 7)]
