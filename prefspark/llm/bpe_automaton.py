@@ -334,7 +334,12 @@ class WordBpe:
 
     @cached_property
     def _words(self) -> PieceMemo:
-        return PieceMemo(self._encode_words)
+        return PieceMemo(self._encode_words, 200_000)
+
+    @cached_property
+    def digest_texts(self) -> PieceMemo:
+        """Of pieces: their decimal ids and their labels, each joined by a space."""
+        return PieceMemo(lambda new: [(" ".join(map(str, i)), self.decode(i)) for i in self.pieces(new)], 400_000)
 
     def pieces(self, found: list[str]) -> list[list[int]]:
         """Ids of texts without white space."""
@@ -401,7 +406,7 @@ def bpe_codec(df: DataFrame, text: str = "text", vocabulary: str = "word_bpe_49k
 
     def run(batches):
         code = coder(vocabulary)
-        memo = PieceMemo(code.pieces)
+        memo = PieceMemo(code.pieces, 200_000)
         for batch in batches:
             texts = memo.texts(batch.column(text).to_pylist())
             ids = [[i for got in parts for i in got] for parts in texts]
@@ -423,12 +428,7 @@ def codec_digests(
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        code = coder(vocabulary)
-
-        def values(new: list[str]) -> list[tuple[str, str]]:
-            return [(" ".join(map(str, i)), code.decode(i)) for i in code.pieces(new)]
-
-        memo = PieceMemo(values)
+        memo = coder(vocabulary).digest_texts
         sha = hashlib.sha256
         for batch in batches:
             counts, id_hash, text_hash = [], [], []

@@ -197,25 +197,30 @@ def pieces(text: str) -> list[str]:
 class PieceMemo:
     """Values of pieces, remembered for up to ``limit`` pieces of up to ``longest`` characters.
 
-    ``encode`` maps a list of pieces to their values.
+    ``encode`` maps a list of pieces to their values. When half the limit is new, the older half goes, but for
+    those that are met again.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000, longest: int = 64):
-        self.encode, self.limit, self.longest, self.memo = encode, limit, longest, {}
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 600_000, longest: int = 64):
+        self.encode, self.half, self.longest = encode, limit // 2, longest
+        self.memo, self.older = {}, {}
 
     def __call__(self, found: list[str]) -> list:
         memo = self.memo
         try:
             return list(map(memo.__getitem__, found))
         except KeyError:
-            new = list(set(found).difference(memo))
-            if len(memo) + len(new) > self.limit:
-                memo.clear()
-                new = list(set(found))
-            fresh = dict(zip(new, self.encode(new)))
+            new = set(found).difference(memo)
+            older = self.older
+            again = {p: older[p] for p in new if p in older}
+            asked = list(new.difference(again))
+            fresh = dict(zip(asked, self.encode(asked)))
+            memo.update(again)
             memo.update((k, v) for k, v in fresh.items() if len(k) <= self.longest)
-            return [memo[p] if p in memo else fresh[p] for p in found]
-
+            out = [memo[p] if p in memo else fresh[p] for p in found]
+            if len(memo) > self.half:
+                self.older, self.memo = memo, {}
+            return out
 
     def texts(self, found: list[str | None]) -> list[list]:
         """Values of the pieces of many texts; NULL has none."""

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import PieceMemo, parts_for, stored
+from prefspark.llm.common import PieceMemo, held, parts_for, stored
 from prefspark.llm.token_counts import load
 from prefspark.session import scratch_path
 
@@ -169,6 +169,22 @@ class _Shard:
         self.files.move(f"{self.temporary}.ef", f"{self.folder}/index-{self.shard:08d}.ef")
 
 
+def _id_bytes(vocabulary: str, end_id: int) -> tuple[int, PieceMemo]:
+    """Width of an id, and the library's ids of pieces as bytes."""
+    tokenizer = load(vocabulary)
+    width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    pack = {n: struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(64)}
+
+    def encode(new: list[str]) -> list[bytes]:
+        out = []
+        for e in tokenizer.encode_batch_fast(new, add_special_tokens=False):
+            ids = e.ids
+            out.append(pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, f"<u{width}").tobytes())
+        return out
+
+    return width, PieceMemo(encode)
+
+
 def write_token_files(
     df: DataFrame,
     path: str,
@@ -193,15 +209,8 @@ def write_token_files(
     ranged = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        tokenizer = load(vocabulary)
-        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        kind = np.dtype(f"<u{width}")
-
-        def encode(new: list[str]) -> list[bytes]:
-            got = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            return [np.array(e.ids, kind).tobytes() for e in got]
-
-        memo, end = PieceMemo(encode), np.array([end_id], kind).tobytes()
+        width, memo = held(f"id bytes {vocabulary} {end_id}", lambda: _id_bytes(vocabulary, end_id))
+        end = np.array([end_id], f"<u{width}").tobytes()
         shard = None
         for batch in batches:
             for doc_id, found in zip(batch.column("id").to_pylist(), memo.texts(batch.column("text").to_pylist())):

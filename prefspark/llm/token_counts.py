@@ -16,7 +16,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from prefspark.llm.common import PieceMemo, vocabulary_path
+from prefspark.llm.common import PieceMemo, held, vocabulary_path
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
@@ -93,6 +93,12 @@ def chunked_ids(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = O
         start, skip, left = low, b, right[b:]
 
 
+def _counter(vocabulary: str):
+    """The tokenizer and its remembered counts of pieces."""
+    tokenizer = load(vocabulary)
+    return tokenizer, PieceMemo(lambda new: [len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+
+
 def token_counts(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -110,8 +116,7 @@ def token_counts(
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        tokenizer = load(vocabulary)
-        memo = PieceMemo(lambda new: [len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        tokenizer, memo = held(f"token counts {vocabulary}", lambda: _counter(vocabulary))
         for batch in batches:
             rows = []
             texts = batch.column(text).to_pylist()
