@@ -64,3 +64,10 @@ def bind(value: Column, body) -> Column:
     variable is not.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def drawn(seed: int, *cols) -> Column:
+    """A repeatable draw below 2^60 for a row: the first 15 hexadecimal digits of an MD5 digest."""
+    named = [c if isinstance(c, Column) else F.col(c) for c in cols]
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in named])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")

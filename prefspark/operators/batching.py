@@ -1,8 +1,8 @@
 """Length-balanced batches.
 
 First-fit, differencing and greedy packing are sequential over the samples of one training step, so
-a step is the unit of work: steps run in parallel, each as one array of lengths. A step is one
-global batch; the query fails before gathering anything when a step exceeds ``MAX_STEP_ROWS``.
+a step is the unit of work: steps run in parallel, each as one array of lengths, in n log n. A step is
+one global batch of a trainer; there is no bound on its samples.
 """
 
 from __future__ import annotations
@@ -18,82 +18,134 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.functions.scalars import floor_div
-from prefspark.operators.groups import bounded_groups, spread, with_group_stats
+from prefspark.operators.groups import join_unique, spread, with_group_stats
 from prefspark.operators.positions import dense_position
 from prefspark.operators.shaping import pad_batch
 
-MAX_STEP_ROWS = 2_000_000
-
-
 def first_fit_count(lengths, capacity: int) -> int:
-    """Number of bins when each length goes to the first bin with room; an oversize one opens its own."""
-    free = np.zeros(len(lengths), dtype="int64")
+    """Number of bins when each length goes to the first bin with room; an oversize one opens its own.
+
+    The room of the bins is kept in a tree of maxima, so a bin is found by its depth: n log n in all.
+    """
+    n = len(lengths)
+    if not n:
+        return 0
+    leaves = 1 << (n - 1).bit_length()
+    most = [capacity] * (2 * leaves)  # bins not opened yet are empty
     used = 0
-    for length in lengths:
-        room = np.flatnonzero(free[:used] >= length)
-        if len(room):
-            free[room[0]] -= length
+    for length in map(int, lengths):
+        if length > capacity:
+            node = leaves + used  # no bin has room for it: the next one, overfull
         else:
-            free[used] = capacity - length
-            used += 1
+            node = 1
+            while node < leaves:
+                node *= 2
+                if most[node] < length:
+                    node += 1
+        used = max(used, node - leaves + 1)
+        most[node] -= length
+        node >>= 1
+        while node:
+            left, right = most[2 * node], most[2 * node + 1]
+            best = left if left >= right else right
+            if most[node] == best:
+                break
+            most[node] = best
+            node >>= 1
     return used
 
 
-class _Tuple:
-    """k bins of a partial split, heaviest first, ordered for a heap by widest spread first."""
-
-    __slots__ = ("bins",)
-
-    def __init__(self, bins):
-        # a bin is (total, size, ((index, length), ...)); tuples compare in just the needed order
-        self.bins = sorted(bins, reverse=True)
+class _Split:
+    """A partial split: its non-empty parts (total, size, first sample, merge tree), of ``k`` in all.
 
-    def __lt__(self, other):
-        mine, theirs = self.bins, other.bins
-        spread = (mine[0][0] - mine[-1][0]) - (theirs[0][0] - theirs[-1][0])
-        return spread > 0 if spread else mine[0] > theirs[0]
+    Parts leave at the light end only, so a heap of the lightest is exact and one of the heaviest skips
+    those that have left.
+    """
 
-    def joined(self, other):
-        pairs = zip(self.bins, reversed(other.bins))
-        return _Tuple([(a[0] + b[0], a[1] + b[1], a[2] + b[2]) for a, b in pairs])
+    __slots__ = ("k", "light", "heavy", "left")
+
+    def __init__(self, parts: list[tuple], k: int):
+        self.k, self.light, self.left = k, list(parts), set()
+        self.heavy = [(-p[0], -p[1], -p[2]) for p in parts]
+        heapq.heapify(self.light)
+        heapq.heapify(self.heavy)
+
+    def add(self, part: tuple) -> None:
+        heapq.heappush(self.light, part)
+        heapq.heappush(self.heavy, (-part[0], -part[1], -part[2]))
+
+    def take(self, n: int) -> list[tuple]:
+        """Remove the ``n`` lightest parts, lightest first."""
+        out = [heapq.heappop(self.light) for _ in range(n)]
+        self.left.update((-p[0], -p[1], -p[2]) for p in out)
+        return out
+
+    def entry(self) -> tuple:
+        """Heap entry: widest spread first, then by the heaviest part, largest first."""
+        while self.heavy[0] in self.left:
+            self.left.remove(heapq.heappop(self.heavy))
+        heaviest = self.heavy[0]
+        least = self.light[0][0] if len(self.light) == self.k else 0
+        return least + heaviest[0], heaviest, self
+
+    def joined(self, other: _Split) -> _Split:
+        """The heaviest part of each with the lightest of the other; work by the side with fewer parts."""
+        n = max(len(self.light) + len(other.light) - self.k, 0)
+        pairs = zip(reversed(self.take(n)), other.take(n))
+        new = [(x[0] + y[0], x[1] + y[1], x[2], (x[3], y[3])) for x, y in pairs]
+        large, small = (self, other) if len(self.light) >= len(other.light) else (other, self)
+        for part in [*new, *small.light]:
+            large.add(part)
+        return large
 
 
 def differencing_split(lengths, k: int, equal_size: bool = False) -> list[list[int]]:
-    """Largest-differencing split of the indices into ``k`` non-empty parts of similar total."""
+    """Largest-differencing split of the indices into ``k`` non-empty parts of similar total.
+
+    Partial splits wait in a heap; the two of the widest spread are joined. Parts are merge trees, whose
+    members are listed once at the end. Ties go by (total, size, first sample), largest first.
+    """
     n = len(lengths)
     if n < k:
         raise ValueError(f"cannot split {n} samples into {k} parts")
     if equal_size and n % k:
         raise ValueError(f"{n} samples do not divide into {k} equal parts")
-    ordered = sorted((int(length), i) for i, length in enumerate(lengths))
-    single = [(length, 1, ((i, length),)) for length, i in ordered]
-    if equal_size:
-        heap = [_Tuple(single[s : s + k]) for s in range(0, n, k)]
-    else:
-        nothing = [(0, 0, ())] * (k - 1)
-        heap = [_Tuple([one, *nothing]) for one in single]
+    values = [int(x) for x in lengths]
+    order = sorted(range(n), key=lambda i: (values[i], i))
+    groups = [order[s : s + k] for s in range(0, n, k)] if equal_size else [[i] for i in order]
+    heap = [_Split([(values[i], 1, i, i) for i in group], k).entry() for group in groups]
     heapq.heapify(heap)
     while len(heap) > 1:
-        widest = heapq.heappop(heap)
-        heapq.heapreplace(heap, widest.joined(heap[0]))
-    parts = [sorted(i for i, _ in members) for _, _, members in heap[0].bins]
-    if not all(parts):
+        widest = heapq.heappop(heap)[2]
+        heapq.heapreplace(heap, widest.joined(heap[0][2]).entry())
+    parts = [sorted(_members(part[3])) for part in sorted(heap[0][2].light, key=lambda p: p[:3], reverse=True)]
+    if len(parts) < k:
         raise ValueError("a part is empty")
     return parts
 
 
+def _members(tree) -> list[int]:
+    out, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, tuple):
+            stack += node
+        else:
+            out.append(node)
+    return out
+
+
 def greedy_split(lengths, k: int, equal_size: bool = False) -> list[list[int]]:
-    """Each sample, in input order, to the lightest part so far."""
+    """Each sample, in input order, to the lightest part so far; of equal sizes if asked for."""
     n = len(lengths)
     if equal_size and n % k:
         raise ValueError(f"{n} samples do not divide into {k} equal parts")
-    bias = int(sum(lengths)) + 1 if equal_size else 0
     parts: list[list[int]] = [[] for _ in range(k)]
-    heap = [(0, j) for j in range(k)]
+    heap = [(0, 0, j) for j in range(k)]  # (samples if their number counts, total, part)
     for i, length in enumerate(lengths):
-        total, j = heap[0]
+        count, total, j = heap[0]
         parts[j].append(i)
-        heapq.heapreplace(heap, (total + int(length) + bias, j))
+        heapq.heapreplace(heap, (count + equal_size, total + int(length), j))
     return parts
 
 
@@ -154,7 +206,7 @@ def _sum_by_part(values: Column, parts: Column) -> Column:
 
 def _pack(df: DataFrame, keys: list[str], order: str, length: str) -> DataFrame:
     """One row per step with ``_rows``, its (order, length) pairs in order, and ``_lengths``."""
-    narrow = spread(bounded_groups(df.select(*keys, order, length), keys, MAX_STEP_ROWS), keys)
+    narrow = spread(df.select(*keys, order, length), keys)
     rows = F.sort_array(F.collect_list(F.struct(order, length)))
     packed = narrow.groupBy(*keys).agg(rows.alias("_rows"))
     return packed.withColumn("_lengths", F.col(f"_rows.{length}").cast("array<bigint>"))
@@ -237,9 +289,8 @@ def dynamic_micro_batches(
     """
     keys = [rank, step]
     packed = _pack(df, keys, order, length)
-    packed = packed.withColumn("_count", _fit_count(F.col("_lengths"), max_tokens * ring * tensor))
-    # One row per rank of a step: this window gathers counts and arrays of a single global batch.
-    packed = packed.withColumn("_parts", F.max("_count").over(Window.partitionBy(step)))
+    counts = packed.select(step, _fit_count(F.col("_lengths"), max_tokens * ring * tensor).alias("_count"))
+    packed = join_unique(packed, counts.groupBy(step).agg(F.max("_count").alias("_parts")), [step])
     packed = packed.withColumn("micro_batch", _split_udf(differencing_split)(F.col("_lengths"), F.col("_parts")))
     ones = F.transform("_lengths", lambda _: F.lit(1).cast("bigint"))
     size = _sum_by_part(ones, F.col("micro_batch"))

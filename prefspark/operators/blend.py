@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.functions.scalars import floor_div
+from prefspark.functions.scalars import drawn, floor_div
 from prefspark.operators.groups import with_group_stats
 from prefspark.operators.positions import dense_position
 from prefspark.session import materialize
@@ -23,7 +23,7 @@ def blend_concat(datasets: list[DataFrame]) -> DataFrame:
 
 def _draws(spark, probs: list[float], seed: int, total: int) -> DataFrame:
     """``draw``, ``source``: which source each of ``total`` draws takes, a function of the seed."""
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    uniform = drawn(seed, "draw") / F.lit(float(1 << 60))
     edges = [sum(probs[: i + 1]) / sum(probs) for i in range(len(probs))]
     source = F.lit(len(probs) - 1)
     for i in reversed(range(len(probs) - 1)):

@@ -32,16 +32,6 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.withColumn("_h", hashed).join(right, matches, how).drop("_h", "_rh", *names.values())
 
 
-def bounded_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """``df``, failing before any group is gathered when one has more than ``limit`` rows.
-
-    The largest group comes from a scalar subquery over a combined count; Spark runs it first.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).scalar()
-    message = F.concat(F.lit(f"groups by {keys} may have {limit} rows; the largest has "), largest.cast("string"))
-    return df.where(F.assert_true(largest <= limit, message).isNull())
-
-
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash-partition for Python work per group.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.functions.scalars import floor_div
+from prefspark.functions.scalars import drawn, floor_div
 from prefspark.session import materialize
 
 _ROW_BITS = 33  # low bits of monotonically_increasing_id
@@ -75,9 +75,56 @@ def running_sums(
     return out.select(*df.columns, *[(F.col(f"_r_{k}") + F.col(f"_s_{k}")).alias(k) for k in sums])
 
 
-def head_limit(df: DataFrame, n: int, order) -> DataFrame:
-    """First ``n`` rows in source order."""
-    return df.orderBy(*_cols(order)).limit(n)
+# Shares of the rows tried as tail, from about half to a ten-thousandth.
+_TAILS = [1 - 10 ** (-j / 4) for j in range(1, 17)]
+
+
+def prune_to_tail(df: DataFrame, key: Column, k: int) -> DataFrame:
+    """Drop rows that cannot be among the ``k`` greatest ``key`` values; missing keys rank last.
+
+    Two narrow passes, run as scalar subqueries: approximate quantiles propose cuts, exact counts
+    choose the highest cut that at least ``k`` rows reach. The result never depends on the
+    approximation; without a good cut nothing is dropped.
+    """
+    bounds = df.agg(F.percentile_approx(key, _TAILS, 10000)).scalar()
+    counted = df.select(key.alias("_key"), bounds.alias("_b")).agg(F.first("_b").alias("_b"), *_reached())
+    cut = counted.select(_highest_cut(k)).scalar()
+    return df.where(cut.isNull() | (key >= cut))
+
+
+def _reached() -> list[Column]:
+    return [F.count_if(F.col("_key") >= F.col("_b")[j]).alias(f"_n{j}") for j in range(len(_TAILS))]
+
+
+def _highest_cut(k: int) -> Column:
+    return F.greatest(*[F.when(F.col(f"_n{j}") >= k, F.col("_b")[j]) for j in range(len(_TAILS))])
+
+
+def top_k(df: DataFrame, key: Column, ties: list, k: int) -> DataFrame:
+    """The ``k`` rows of the greatest ``key``, ties by the columns ``ties``, missing keys last; in that order.
+
+    One plan for every k: :func:`prune_to_tail` leaves about ``k`` rows, with all ties at the cut; only
+    those are shuffled, by ranges of the whole order, and numbered. No task holds more than a range.
+    """
+    placed = dense_position(prune_to_tail(df, key, k), [key.desc_nulls_last(), *_cols(ties)], "_position")
+    return placed.where(F.col("_position") < k).orderBy("_position").drop("_position")
+
+
+def top_k_per(df: DataFrame, keys: list[str], key: Column, ties: list, k: int) -> DataFrame:
+    """:func:`top_k` within every group of ``keys``, of which there are few: each has a cut of its own."""
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(key, _TAILS, 10000).alias("_b"))
+    counted = df.select(*keys, key.alias("_key")).join(bounds, keys).groupBy(*keys).agg(F.first("_b").alias("_b"), *_reached())
+    near = df.join(counted.select(*keys, _highest_cut(k).alias("_cut")), keys)
+    near = near.where(F.col("_cut").isNull() | (key >= F.col("_cut"))).drop("_cut")
+    placed = dense_position(near, [*keys, key.desc_nulls_last(), *_cols(ties)], "_position")
+    starts = placed.groupBy(*keys).agg(F.min("_position").alias("_start"))
+    first = placed.join(starts, keys).where(F.col("_position") - F.col("_start") < k)
+    return first.select(*df.columns, "_position").orderBy("_position").drop("_position")
+
+
+def head_limit(df: DataFrame, n: int, key: Column, ties: list) -> DataFrame:
+    """First ``n`` rows in source order: greatest numeric ``key`` first, then ``ties``."""
+    return top_k(df, key, ties, n)
 
 
 def iteration_slice(df: DataFrame, iteration: int, batch: int, position: str = "position") -> DataFrame:
@@ -103,7 +150,7 @@ def fixed_batches(df: DataFrame, size: int, position: str = "position", name: st
 
 def epoch_order(df: DataFrame, id_col: str, seed: int, epoch: int) -> DataFrame:
     """Dense index of a shuffle that is a function of (seed + epoch, id)."""
-    key = F.xxhash64(F.lit(seed + epoch), F.col(id_col))
+    key = drawn(seed + epoch, id_col)
     return dense_position(df.withColumn("_key", key), ["_key", id_col], "epoch_index").drop("_key")
 
 

@@ -111,14 +111,18 @@ def preference_accuracy(df: DataFrame, chosen: str, rejected: str, batch: str |
 
 
 def pass_at_k(samples: DataFrame, prompts: DataFrame, n: int, group: str = "prompt_id", reward: str = "reward") -> DataFrame:
-    """Per datasource the mean best reward of n samples, the mean reward and the number of prompts."""
+    """Per datasource the mean best reward of n samples, the mean reward and the number of prompts.
+
+    Of a single sample both are the same: there is one column ``pass1``.
+    """
+    best = [] if n == 1 else [F.avg("_best").alias(f"pass{n}")]
     per_prompt = samples.groupBy(group).agg(
         F.max(reward).alias("_best"), F.avg(reward).alias("_mean"), F.first("prompt").alias("prompt")
     )
     return (
         attach_datasource(per_prompt, prompts)
         .groupBy("datasource")
-        .agg(F.avg("_best").alias(f"pass{n}"), F.avg("_mean").alias("pass1"), F.count(F.lit(1)).alias("count"))
+        .agg(*best, F.avg("_mean").alias("pass1"), F.count(F.lit(1)).alias("count"))
     )
 
 

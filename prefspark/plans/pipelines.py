@@ -48,15 +48,15 @@ def check_methods(df: DataFrame, methods: list[str], stage1: bool = True) -> Non
 
 def select_subset(
     df: DataFrame, method: str, k: int, tau: float, stage1: bool = True, descending: bool = True,
-    curriculum: str = "none", prune: bool = False,
+    curriculum: str = "none",
 ) -> DataFrame:
-    """Subset of one method in training order; ``prune`` pays on a stored table."""
+    """Subset of one method in training order."""
     if method != "rad_ang":
-        out = select.SELECTORS[method](df, k, prune=prune)
+        out = select.SELECTORS[method](df, k)
     elif stage1:
-        out = select.select_rad_ang(df, k, tau, descending=descending, prune=prune)
+        out = select.select_rad_ang(df, k, tau, descending=descending)
     else:
-        out = select.rank_by_ang(df, k, descending, prune=prune)
+        out = select.rank_by_ang(df, k, descending)
     return select.order_curriculum(out, curriculum)
 
 
@@ -83,7 +83,7 @@ def build_subsets(
     base = materialize(df, "features")
     paths = {}
     for name in names:
-        subset = select_subset(base, name, k, tau, stage1, descending, curriculum, prune=True)
+        subset = select_subset(base, name, k, tau, stage1, descending, curriculum)
         if "position" in subset.columns:
             subset = subset.orderBy("position")
         tagged = tau if name == "rad_ang" and stage1 else None

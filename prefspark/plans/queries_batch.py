@@ -97,7 +97,11 @@ def w16(spark, sf):
     return P.epoch_shards(table(spark, sf, "orders").select("o_orderkey"), 7, consumed=75, index="o_orderkey")
 
 
-@query("w16_shuffled_epoch")
+@query("w16_shuffled_epoch", """
+WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY ('0x' || substr(md5('43:' || o_orderkey), 1, 15))::BIGINT, o_orderkey) - 1 AS i
+  FROM orders),
+t AS (SELECT CASE WHEN count(*) % 7 = 0 THEN count(*) ELSE (count(*) - 1) // 7 * 7 END AS total FROM orders)
+SELECT o_orderkey, i AS epoch_index, i % 7 AS rank, i // 7 AS step FROM o, t WHERE i < total""")
 def w16b(spark, sf):
     shuffled = P.epoch_order(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 42, 1)
     return P.epoch_shards(shuffled, 7, drop_last=True)
@@ -147,7 +151,21 @@ def u01(spark, sf):
     ])
 
 
-@query("u02_blend_interleave")
+@query("u02_blend_interleave", """
+WITH parts AS (
+  SELECT 0 AS source_ordinal, doc_id AS id, n_chars::BIGINT AS size FROM documents
+  UNION ALL SELECT 1, page_id, length(html) FROM pages UNION ALL SELECT 2, item_id, length(text) FROM benchmark),
+rows AS (SELECT *, row_number() OVER (PARTITION BY source_ordinal ORDER BY id) - 1 AS pos,
+  count(*) OVER (PARTITION BY source_ordinal) AS n FROM parts),
+draws AS (
+  SELECT draw, CASE WHEN u < 0.6e0 THEN 0 WHEN u < 0.6e0 + 0.3e0 THEN 1 ELSE 2 END AS source_ordinal
+  FROM (SELECT draw, ('0x' || substr(md5('42:' || draw), 1, 15))::BIGINT / 1152921504606846976e0 AS u
+    FROM (SELECT unnest(range(12 * count(*))) AS draw FROM parts))),
+counted AS (SELECT *, row_number() OVER (PARTITION BY source_ordinal ORDER BY draw) - 1 AS k FROM draws),
+sizes AS (SELECT DISTINCT source_ordinal, n FROM rows),
+ended AS (SELECT max(draw) AS stop FROM counted c JOIN sizes s ON s.source_ordinal = c.source_ordinal AND c.k = s.n - 1)
+SELECT c.draw, c.source_ordinal, r.id, r.size FROM counted c JOIN sizes s ON s.source_ordinal = c.source_ordinal
+JOIN rows r ON r.source_ordinal = c.source_ordinal AND r.pos = c.k % s.n WHERE c.draw <= (SELECT stop FROM ended)""")
 def u02(spark, sf):
     parts = [
         table(spark, sf, "documents").selectExpr("doc_id AS id", "n_chars AS size"),

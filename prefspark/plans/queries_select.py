@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions import scores as S
@@ -9,7 +12,7 @@ from prefspark.operators import features as FE
 from prefspark.operators import joins as J
 from prefspark.operators import positions as P
 from prefspark.operators import select as K
-from prefspark.plans.pipelines import prepare_features, select_subset
+from prefspark.plans.pipelines import build_subsets, prepare_features, select_subset
 from prefspark.plans.registry import q6, query, r6
 from prefspark.plans.views import run_sql, table, view
 from prefspark.session import scratch_path
@@ -57,13 +60,13 @@ def s04(spark, sf):
     bench = table(spark, sf, "benchmark").selectExpr("item_id AS id", "text")
     bench.write.option("header", True).option("escape", '"').csv(f"{root}/c.csv")
     parts = readers.read_any(spark, f"{root}/a.parquet, {root}/b.jsonl, {root}/c.csv", bench.schema)
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("s05_head_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500")
 def s05(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return P.head_limit(rows, 500, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+    return P.head_limit(rows, 500, F.col("o_totalprice"), ["o_orderkey"])
 
 
 @query("s06_iteration_slice", """
@@ -98,7 +101,19 @@ def s10(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     sharded = P.shard_round_robin(rows, 4, "o_orderkey")
     sharded.write.partitionBy("shard").json(root)
-    return writers.merge_shards(spark, [f"{root}/shard={i}" for i in range(4)], rows.schema)
+    writers.merge_shards_to(spark, [f"{root}/shard={i}" for i in range(4)], rows.schema, f"{root}/merged")
+    return readers.read_any(spark, root, rows.schema, split="merged")[0]
+
+
+@query("s09_subset_names", """
+SELECT pair_id, 'rad_ang_tau' || CASE WHEN pair_id % 2 = 0 THEN '20' ELSE '2p5' END || '_' ||
+  CASE WHEN pair_id % 3 = 0 THEN '30k' ELSE '1500' END AS name FROM v_margins""", "v_margins")
+def s09(spark, sf):
+    name = lambda t, k: F.lit(writers.subset_name("rad_ang", k, t))
+    whole, thousands = F.col("pair_id") % 2 == 0, F.col("pair_id") % 3 == 0
+    named = F.when(whole & thousands, name(20.0, 30_000)).when(whole, name(20.0, 1_500))
+    named = named.when(thousands, name(2.5, 30_000)).otherwise(name(2.5, 1_500))
+    return view(spark, sf, "v_margins").select("pair_id", named.alias("name"))
 
 
 
@@ -107,7 +122,7 @@ def s11(spark, sf):
     path = scratch_path(spark, "keep")
     rows = table(spark, sf, "orders").select("o_orderkey")
     writers.write_jsonl(rows, path)
-    again = writers.write_jsonl(rows.limit(1), path, force=False)
+    again = writers.write_jsonl(rows.selectExpr("o_orderkey + 1 AS o_orderkey"), path, force=False)
     return readers.read_jsonl(spark, path, rows.schema).agg(
         F.count(F.lit(1)).alias("rows_kept"), F.lit(again).alias("rewritten")
     )
@@ -138,6 +153,14 @@ def s12(spark, sf):
     return out.select("tau", "pair_id", r6("ang").alias("ang"))
 
 
+@query("s12_write_tau_sweep", " UNION ALL ".join(
+    f"(SELECT {t}e0 AS tau, prompt, chosen, rejected FROM ({_two_stage_sql(t, 400)}))" for t in (10, 20, 40)), "v_margins")
+def s12_written(spark, sf):
+    root = scratch_path(spark, "sweep")
+    writers.write_tau_sweep(K.tau_sweep(_features(spark, sf), 400, [10, 20, 40]), root)
+    return readers.read_jsonl(spark, root, "tau double, prompt string, chosen string, rejected string")
+
+
 @query("s13_holdout_head", """
 SELECT o_orderkey AS position, o_custkey FROM orders
 WHERE o_orderkey < least(200, (SELECT CAST(floor(count(*) * 0.01e0) AS BIGINT) FROM orders))""")
@@ -379,6 +402,12 @@ def k10(spark, sf):
     return out.select("pair_id", "prompt", "chosen", "rejected", r6("ang").alias("ang"))
 
 
+@query("k10_select_rad_ang_cut", _two_stage_sql(20, 2000), "v_margins")
+def k10_cut(spark, sf):
+    out = K.select_rad_ang(_features(spark, sf), 2000, TAU)
+    return out.select("pair_id", "prompt", "chosen", "rejected", r6("ang").alias("ang"))
+
+
 @query("k11_order_curriculum", f"""SELECT pair_id, {q6('ang')} AS ang, row_number() OVER (ORDER BY k.ang, pair_id) - 1 AS position
 FROM (SELECT pair_id, {_ANG} AS ang FROM v_margins) k""", "v_margins")
 def k11(spark, sf):
@@ -387,19 +416,16 @@ def k11(spark, sf):
 
 
 @query("k12_build_subsets", " UNION ALL ".join(
-    f"(SELECT '{m}' AS method, pair_id FROM v_margins WHERE {w} ORDER BY ({k}) IS NULL, {k} DESC, pair_id LIMIT 1000)"
+    f"(SELECT '{m}' AS method, prompt, chosen, rejected FROM v_margins WHERE {w} ORDER BY ({k}) IS NULL, {k} DESC, pair_id LIMIT 1000)"
     for m, k, w in (
         ("im", "im", "TRUE"), ("em", "em_margin", "TRUE"), ("lcpp", "chosen_len", "TRUE"),
         ("pplgap", _F03["original_ppl_gap"], "TRUE"), ("map", "abs(em_margin) - abs(im)", "TRUE"),
         ("im_em", _JOINT, "TRUE"), ("rip", "rejected_len", "em_margin > 0.126e0"),
-    )) + f" UNION ALL (SELECT 'rad_ang' AS method, pair_id FROM ({_two_stage_sql(20, 1000, 'pair_id')}))", "v_margins")
+    )) + f" UNION ALL (SELECT 'rad_ang' AS method, prompt, chosen, rejected FROM ({_two_stage_sql(20, 1000)}))", "v_margins")
 def k12(spark, sf):
-    base = _features(spark, sf)
-    out = None
-    for method in K.parse_methods("all"):
-        part = select_subset(base, method, 1000, TAU).select(F.lit(method).alias("method"), "pair_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    paths = build_subsets(_features(spark, sf), "all", scratch_path(spark, "k12"), 1000, tau=TAU)
+    parts = [readers.read_pairs(spark, p).select(F.lit(m).alias("method"), *PAIR_KEY) for m, p in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _TOKENS = "len(list_filter(string_split_regex({}, '\\s+'), lambda t: t <> ''))"
@@ -448,7 +474,8 @@ def k16(spark, sf):
     return K.keep_latest(view(spark, sf, "v_responses"), 3000).select("position", "output")
 
 
-@query("k17_sample_n")
+@query("k17_sample_n", """SELECT o_orderkey, o_custkey FROM orders
+ORDER BY ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT, o_orderkey LIMIT 2000""")
 def k17(spark, sf):
     return K.sample_n(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), 2000, 42, "o_orderkey")
 

@@ -10,13 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. AQE re-plans joins by measured size and splits skewed join
-# partitions; the group-limit threshold lets Spark prune to k rows before the shuffle for a large k.
+# partitions.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -54,6 +53,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a location."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; a missing one is no error."""
+    system, target = file_system(spark, path)
+    system.delete(target, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in this application's part of the shared folder."""
     app = spark.sparkContext.applicationId

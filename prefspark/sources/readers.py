@@ -6,12 +6,14 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from prefspark.operators.normalize import load_pairs
 from prefspark.operators.positions import head_limit
 from prefspark.schema import PAIR, nan_to_null
+from prefspark.session import file_system
 
 FORMATS = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet": "parquet", ".arrow": "arrow_ipc"}
 
@@ -40,9 +42,18 @@ def read_split(spark: SparkSession, root: str, split: str, fmt: str = "parquet",
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    system, target = file_system(spark, path)
+    return system.exists(target)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a complete output: a non-empty file, or a folder with ``_SUCCESS`` and some data."""
+    system, target = file_system(spark, path)
+    if not system.exists(target):
+        return False
+    if system.getFileStatus(target).isFile():
+        return system.getFileStatus(target).getLen() > 0
+    return _exists(spark, f"{path}/_SUCCESS") and system.getContentSummary(target).getLength() > 0
 
 
 class _ArrowFile(InputPartition):
@@ -118,35 +129,56 @@ def parse_spec(spec: str) -> list[tuple[str, str | None]]:
     return out
 
 
-def read_any(spark: SparkSession, spec: str, schema: T.StructType | None = None, split: str = "train") -> list[DataFrame]:
+def read_any(
+    spark: SparkSession, spec: str, schema: T.StructType | None = None, split: str = "train", csv_newlines: bool = True
+) -> list[DataFrame]:
     """One table per comma-separated dataset; the format follows the extension.
 
-    A folder is read as parquet from ``data_dir`` when given, else from its ``split`` subfolder when
-    there is one, else as a whole.
+    A ``.json`` file may hold one object per line or one array over several lines. A folder is read from
+    ``data_dir`` when given, else from its ``split`` subfolder when there is one, else as a whole, in the format
+    of its files. CSV texts may hold line breaks, so that a file is one task, unless ``csv_newlines`` is off.
     """
     tables = []
     for path, data_dir in parse_spec(spec):
+        if data_dir:
+            path = f"{path}/{data_dir}"
+        elif split and not os.path.splitext(path)[1] and _exists(spark, f"{path}/{split}"):
+            path = f"{path}/{split}"
         ext = os.path.splitext(path)[1].lower()
-        reader = spark.read.schema(schema) if schema else spark.read
-        if ext in FORMATS:
-            fmt = FORMATS[ext]
-            if fmt == "arrow_ipc":
-                spark.dataSource.register(ArrowFileSource)
-            if fmt == "json":
-                reader = reader.option("mode", "FAILFAST")
-            if fmt == "csv":
-                # RFC 4180 quoting: texts hold newlines and doubled quotes.
-                reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-            tables.append(reader.format(fmt).load(path))
-        elif data_dir:
-            tables.append(reader.parquet(f"{path}/{data_dir}"))
-        elif split and _exists(spark, f"{path}/{split}"):
-            tables.append(reader.parquet(f"{path}/{split}"))
-        else:
-            tables.append(reader.parquet(path))
+        tables.append(_load(spark, path, ext if ext in FORMATS else _folder_format(spark, path), schema, csv_newlines))
     return tables
 
 
-def read_capped(tables: list[DataFrame], max_count: int, order) -> list[DataFrame]:
-    """First ``max_count`` rows of every source."""
-    return [head_limit(t, max_count, order) for t in tables]
+def _folder_format(spark: SparkSession, path: str) -> str:
+    """Extension of the files of a folder, ``.parquet`` if they have none that is known."""
+    system, target = file_system(spark, path)
+    for status in system.listStatus(target) if system.exists(target) else ():
+        ext = os.path.splitext(status.getPath().getName().removesuffix(".gz"))[1].lower()
+        if status.isFile() and ext in FORMATS:
+            return ext
+    return ".parquet"
+
+
+def _load(spark: SparkSession, path: str, ext: str, schema: T.StructType | None, csv_newlines: bool) -> DataFrame:
+    reader = spark.read.schema(schema) if schema else spark.read
+    fmt = FORMATS[ext]
+    if fmt == "arrow_ipc":
+        spark.dataSource.register(ArrowFileSource)
+        system, target = file_system(spark, path)
+        if system.getFileStatus(target).isDirectory():
+            names = [s.getPath().toString() for s in system.listStatus(target) if s.getPath().getName().endswith(ext)]
+            path = ",".join(n.removeprefix("file:") if n.startswith("file:/") else n for n in sorted(names))
+    if fmt == "json":
+        # An array is told from lines by its first character.
+        first = spark.read.option("wholetext", False).text(path).where("trim(value) <> ''").limit(1).collect()
+        array = ext == ".json" and bool(first) and first[0][0].lstrip("\ufeff \t").startswith("[")
+        reader = reader.option("mode", "FAILFAST").option("multiLine", array)
+    if fmt == "csv":
+        # RFC 4180 quoting: texts hold newlines and doubled quotes.
+        reader = reader.option("header", True).option("multiLine", csv_newlines).option("escape", '"')
+    return reader.format(fmt).load(path)
+
+
+def read_capped(tables: list[DataFrame], max_count: int, order: str) -> list[DataFrame]:
+    """First ``max_count`` rows of every source by the numeric column ``order``."""
+    return [head_limit(t, max_count, -F.col(order), []) for t in tables]

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.schema import PAIR_KEY
-from prefspark.sources.readers import _exists
+from prefspark.session import remove
+from prefspark.sources.readers import _exists, finished
 
 
 def write_jsonl(df: DataFrame, path: str, force: bool = True) -> int:
     """One object per line with NULL fields kept; returns the number of rows written.
 
-    Without ``force`` an existing output is left alone and zero is returned.
+    Without ``force`` a finished output that is not empty is left alone and zero is returned; a folder without
+    the mark of a finished job, or with nothing in it, is written anew.
     """
-    if not force and _exists(df.sparkSession, path):
+    if not force and finished(df.sparkSession, path):
         return 0
     counted = Observation()
     observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
@@ -25,13 +25,14 @@ def write_jsonl(df: DataFrame, path: str, force: bool = True) -> int:
 
 
 def subset_suffix(k: int) -> str:
-    """``30k`` for whole thousands, else the number."""
-    return f"{k // 1000}k" if k % 1000 == 0 else str(k)
+    """A size in names: thousands as ``k``, if nothing is left over."""
+    thousands, rest = divmod(k, 1000)
+    return str(k) if rest else f"{thousands}k"
 
 
 def tau_tag(tau: float) -> str:
-    """``20`` for whole thresholds, ``2p5`` otherwise."""
-    return str(int(tau)) if float(tau).is_integer() else str(tau).replace(".", "p")
+    """A threshold in names: shortest decimal form, with ``p`` for the point."""
+    return f"{tau:.12g}".replace(".", "p")
 
 
 def subset_name(method: str, k: int, tau: float | None = None) -> str:
@@ -52,10 +53,19 @@ def write_tau_sweep(df: DataFrame, out_dir: str) -> None:
 
 
 def merge_shards(spark: SparkSession, paths: list[str], schema, order: str | None = None) -> DataFrame:
-    """Concatenate per-shard outputs; a missing shard is an error."""
+    """Concatenate per-shard outputs, in one scan; a missing shard is an error."""
     missing = [p for p in paths if not _exists(spark, p)]
     if missing:
         raise FileNotFoundError(f"missing shards: {missing}")
-    parts = [spark.read.schema(schema).option("mode", "FAILFAST").json(p) for p in paths]
-    merged = reduce(lambda a, b: a.unionByName(b), parts)
+    merged = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     return merged.orderBy(order) if order else merged
+
+
+def merge_shards_to(spark: SparkSession, paths: list[str], schema, out: str, order: str | None = None) -> int:
+    """Write the merged shards to ``out`` and, once that is finished, remove them; returns the rows."""
+    rows = write_jsonl(merge_shards(spark, paths, schema, order), out)
+    if not _exists(spark, f"{out}/_SUCCESS"):
+        raise RuntimeError(f"{out} is not finished; the shards stay")
+    for path in paths:
+        remove(spark, path)
+    return rows

@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,10 +178,15 @@ def test_balance_report(spark):
     assert (rows[1]["min"], rows[1]["max"], rows[1].balanced_min, rows[1].balanced_max) == (3, 7, 5, 5)
 
 
-def test_oversized_step_fails_instead_of_being_cut(spark, monkeypatch):
-    monkeypatch.setattr(B, "MAX_STEP_ROWS", 10)
-    with pytest.raises(Exception, match="may have 10 rows"):
-        B.balanced_partitions(frame(spark, {0: [1] * 11}), 2).collect()
+def test_large_step_takes_no_quadratic_work():
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 2000) for _ in range(150_000)]
+    start = time.process_time()
+    bins = B.first_fit_count(lengths, 16_192)
+    parts = B.differencing_split(lengths, bins)
+    assert time.process_time() - start < 60
+    totals = [sum(lengths[i] for i in p) for p in parts]
+    assert sorted(i for p in parts for i in p) == list(range(150_000)) and max(totals) - min(totals) <= 2000
 
 
 def test_concat_and_split_round_trip(spark):

@@ -10,6 +10,7 @@ from prefspark.functions import scores as S
 from prefspark.operators import features as FE
 from prefspark.operators import joins as J
 from prefspark.operators import select as K
+from prefspark.operators.positions import prune_to_tail, top_k, top_k_per
 from prefspark.schema import nan_to_null
 
 NAN = float("nan")
@@ -51,22 +52,43 @@ def test_flip_swaps_and_negates_but_keeps_signals(spark):
     assert tuple(row) == (1, "r", "c", 5, 3, -2, 7.0, 4.0, -1.5)
 
 
-@pytest.mark.parametrize("k", [1, 7, 1500, 5000, 20000])
-def test_grouped_top_k_equals_ordered_limit(spark, k):
+@pytest.mark.parametrize("k,parts", [(1, 37), (7, 37), (1500, 37), (5000, 3000), (20000, 37)])
+def test_top_k_equals_ordered_limit(spark, k, parts):
     rng = random.Random(k)
     rows = [(i, float(rng.randrange(40)) if rng.random() > 0.05 else None) for i in range(9000)]
-    df = spark.createDataFrame(rows, "pair_id long, v double").repartition(37)
-    order = [F.col("v").desc_nulls_last(), F.col("pair_id")]
-    got = [tuple(r) for r in K.top_k(df, order, k, groups=5).collect()]
+    df = spark.createDataFrame(rows, "pair_id long, v double").repartition(parts)
+    got = [tuple(r) for r in top_k(df, F.col("v"), ["pair_id"], k).collect()]
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:k]
     assert got == want
 
 
-def test_grouped_top_k_prunes_before_the_shuffle(spark):
-    df = spark.range(10000).withColumnRenamed("id", "pair_id").withColumn("im", F.rand(1))
-    text = plan(K.select_im(df, 5000))
-    assert "WindowGroupLimit" in text and "Partial" in text
-    assert "TakeOrderedAndProject" in plan(K.select_im(df, 100))
+def test_top_k_beyond_a_million(spark):
+    df = spark.range(1_300_000, numPartitions=16).select(F.col("id").alias("pair_id"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("v"))
+    got = top_k(df, F.col("v"), ["pair_id"], 1_100_000).agg(F.count(F.lit(1)), F.sum("v")).first()
+    want = df.orderBy(F.desc("v"), "pair_id").limit(1_100_000).agg(F.count(F.lit(1)), F.sum("v")).first()
+    assert tuple(got) == tuple(want)
+
+
+@pytest.mark.parametrize("k", [10, 3000])
+def test_only_survivors_are_shuffled(spark, k):
+    """The rows written for the range sort are those above the cut, and no plan meets in one task."""
+    df = spark.range(50000).select(F.col("id").alias("pair_id"), F.xxhash64("id").cast("double").alias("im"))
+    kept = prune_to_tail(df, F.col("im"), k)
+    assert k <= kept.count() <= max(5 * k, 50)
+    # The one window of the numbering runs over counts, one row per range.
+    text = plan(kept) + plan(K.select_im(df, k))
+    assert not any(x in text for x in ("TakeOrderedAndProject", "CollectLimit", "GlobalLimit", "WindowGroupLimit"))
+
+
+def test_top_k_per_group(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(3), float(rng.randrange(50)) if rng.random() > 0.1 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "pair_id long, g int, v double").repartition(9)
+    got = [tuple(r) for r in top_k_per(df, ["g"], F.col("v"), ["pair_id"], 70).collect()]
+    want = []
+    for g in range(3):
+        want += sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))[:70]
+    assert got == want
 
 
 def test_joint_probability(spark):
@@ -153,16 +175,16 @@ def test_pruning_keeps_the_top(spark, values, k):
     rng = random.Random(values + k)
     rows = [(i, float(rng.randrange(values)) if rng.random() > 0.2 else None) for i in range(6000)]
     df = spark.createDataFrame(rows, "pair_id long, im double").repartition(7)
-    got = [tuple(r) for r in K.select_im(df, k, prune=True).collect()]
+    got = [tuple(r) for r in K.select_im(df, k).collect()]
     assert got == sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:k]
 
 
 def test_pruning_drops_most_rows_and_survives_empty_input(spark):
     df = spark.range(50000).select(F.col("id").alias("pair_id"), F.xxhash64("id").cast("double").alias("im"))
-    assert 100 <= K.prune_to_tail(df, F.col("im"), 100).count() <= 500
-    assert K.prune_to_tail(df.limit(0), F.col("im"), 100).count() == 0
+    assert 100 <= prune_to_tail(df, F.col("im"), 100).count() <= 500
+    assert prune_to_tail(df.limit(0), F.col("im"), 100).count() == 0
 
 
 def test_pruning_ascending(spark):
     df = spark.range(3000).select(F.col("id").alias("pair_id"), (F.col("id") * 1.0).alias("ang"))
-    assert ids(K.rank_by_ang(df, 4, descending=False, prune=True)) == [0, 1, 2, 3]
+    assert ids(K.rank_by_ang(df, 4, descending=False)) == [0, 1, 2, 3]
