@@ -24,6 +24,9 @@ class Tokenizer(Protocol):
     def count(self, text: Column) -> Column:
         """Number of tokens."""
 
+    def size(self, text: str) -> int:
+        """The same of a Python string, for texts that a hook makes."""
+
 
 @dataclass(frozen=True)
 class WhitespaceTokenizer:
@@ -52,6 +55,9 @@ class WhitespaceTokenizer:
     def count(self, text: Column) -> Column:
         return F.size(self.tokens(text))
 
+    def size(self, text: str) -> int:
+        return len(text.encode("utf-8", "surrogatepass").split())  # at ASCII white space, as in the plan
+
 
 @dataclass(frozen=True)
 class TokenizerFile:
@@ -78,6 +84,9 @@ class TokenizerFile:
     def count(self, text: Column) -> Column:
         return F.size(self.ids(text))
 
+    def size(self, text: str) -> int:
+        return len(_load_tokenizer(self.path).encode(text, add_special_tokens=self.add_special_tokens).ids)
+
 
 _loaded: dict = {}
 

@@ -26,8 +26,9 @@ _STATE = "n int, total double, first_position long, done boolean"
 def group_verdicts(stream: DataFrame, n: int, low: float = 0.0, high: float = 1.0, timeout: str | None = None) -> DataFrame:
     """One row per completed group (prompt_id, sample position, score in): its mean score and verdict.
 
-    State is a counter per open prompt, not its samples. ``timeout`` (our addition, not part of the
-    batch semantics) drops groups that stay incomplete.
+    State is a counter per prompt, not its samples. As in a batch, a group that has more than ``n`` samples by
+    the end of the micro-batch that completes it is not emitted; samples of an emitted group that come later
+    change nothing. ``timeout`` (our addition) drops incomplete groups and the marks of finished ones.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,27 +37,20 @@ def group_verdicts(stream: DataFrame, n: int, low: float = 0.0, high: float = 1.
             return
         count, total, first, done = state.get if state.exists else (0, 0.0, None, False)
         for pdf in batches:
-            positions, scores = pdf["position"].to_numpy(), pdf["score"].to_numpy()
-            if count + len(positions) > n:
-                early = positions.argsort(kind="stable")[: n - count]
-                positions, scores = positions[early], scores[early]
-            if done or not len(positions):
-                continue
-            count += len(positions)
-            total += float(scores.sum())
-            lowest = int(positions.min())
+            count += len(pdf)
+            total += float(pdf["score"].sum())
+            lowest = int(pdf["position"].min())
             first = lowest if first is None else min(first, lowest)
+        if not done and count >= n:
+            done = True
+            mean = total / n
             if count == n:
-                done = True
-                mean = total / n
                 row = (key[0], first, n, mean, low + 1e-6 < mean < high - 1e-6)
                 yield pd.DataFrame([row], columns=["prompt_id", "first_position", "n", "mean_score", "kept"])
-        if done and timeout is None:
-            state.remove()
-        else:
-            state.update((count, total, first, done))
-            if timeout is not None:
-                state.setTimeoutDuration(timeout)
+        # A finished group keeps its mark, so that samples that come later do not open it anew.
+        state.update((count, total, first, done))
+        if timeout is not None:
+            state.setTimeoutDuration(timeout)
 
     wait = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.ProcessingTimeTimeout
     return (

@@ -65,6 +65,10 @@ def stream_trajectories(
     )
     sized = stream.select("episode_id", F.to_json(event).alias("event"))
 
+    def counted(text: str, recorded: str, tokens: int) -> int:
+        """Tokens of a text; the recorded one is counted in the plan, what a handler makes of it here."""
+        return tokens if text == recorded else tokenizer.size(text)
+
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             text, tokens, upcoming, reward, score, pending, closed = state.get
@@ -88,13 +92,15 @@ def stream_trajectories(
         while not closed and upcoming in waiting:
             event = waiting.pop(upcoming)
             if text is None:
-                text, tokens = handler.reset(event["observation"]), event["observation_tokens"]
+                text = handler.reset(event["observation"])
+                tokens = counted(text, event["observation"], event["observation_tokens"])
                 if tokens >= max_length:
                     closed = True
                     break
             outcome = handler.step(event)
             text += event["action_text"] + outcome["environment_feedback"]
-            tokens += event["action_tokens"] + event["feedback_tokens"]
+            tokens += event["action_tokens"]
+            tokens += counted(outcome["environment_feedback"], event["environment_feedback"], event["feedback_tokens"])
             reward += outcome["reward"]
             score = outcome.get("score")
             upcoming += 1

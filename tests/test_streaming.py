@@ -48,6 +48,17 @@ def test_dynamic_batches_over_micro_batches(spark, tmp_path):
     assert rate == pytest.approx(100 * len(kept) / 59)
 
 
+def test_surplus_samples_do_not_emit_a_prompt_again(spark, tmp_path):
+    rows = [(1, i, float(i % 2)) for i in range(6)] + [(2, 10, 0.0), (2, 11, 1.0), (3, 20, 0.0)]
+    arrival = [rows[0], rows[1], rows[6], rows[2], rows[3], rows[7], rows[4], rows[5], rows[8]]
+    stream = files(spark, arrival, SB.SAMPLE, f"{tmp_path}/in", 3)
+    out = SB.run_dynamic_batches(stream, 2, 1, f"{tmp_path}/out").collect()
+    assert sorted(r.prompt_id for r in out) == [1, 2]
+    # In one micro-batch the batch rule holds: a group of six is no group of two.
+    stream = files(spark, rows, SB.SAMPLE, f"{tmp_path}/one", 1)
+    assert [r.prompt_id for r in SB.run_dynamic_batches(stream, 2, 1, f"{tmp_path}/out_one").collect()] == [2]
+
+
 def test_one_micro_batch_equals_the_batch_operator(spark, tmp_path):
     rng = random.Random(6)
     rows = [(p, p * 2 + i, float(rng.random() < 0.5)) for p in range(50) for i in range(2)]
@@ -102,6 +113,25 @@ def test_trajectories_stream_equals_batch(spark, tmp_path):
     assert want.count() == 12
 
 
+def test_handler_text_counts_against_the_budget(spark, tmp_path):
+    class Wordy:
+        def reset(self, observation):
+            return observation
+
+        def step(self, event):
+            return {"environment_feedback": "w " * 8, "reward": 1.0, "done": False}
+
+    rows = [(1, s, "o ", "a ", "f ", 0.0, None, False) for s in range(4)]
+    query = (
+        ST.stream_trajectories(files(spark, rows, STEPS, f"{tmp_path}/in", 2), TOKENIZER, 4, 10, Wordy())
+        .writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    (row,) = spark.read.parquet(f"{tmp_path}/out").where("episode_id = 1").limit(1).collect()
+    assert (row.num_steps, row.num_tokens, row.text) == (1, 10, "o a " + "w " * 8)
+
+
 def test_trajectory_by_hand(spark):
     rows = [
         (1, 0, "obs one ", "a b ", "f ", 1.0, None, False),
