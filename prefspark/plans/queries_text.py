@@ -303,12 +303,18 @@ _LIST = "array_to_string({}, ',')"
 
 
 @query("t11_pair_token_ids", f"""SELECT pair_id, len(p) AS prompt_len, len(c) AS chosen_len,
-{_LIST.format("list_resize(list_concat(p, c)[1:64], 64, 0)")} AS chosen_ids, least(len(p) + len(c), 64) AS kept
-FROM (SELECT pair_id, {_ids_sql(_PROMPT)} AS p, {_ids_sql("chosen || '</s>' || chr(10) || '</s>'")} AS c FROM v_pairs)""", "v_pairs")
+{_LIST.format("list_resize(list_concat(p, c)[1:64], 64, 0)")} AS chosen_ids, least(len(p) + len(c), 64) AS kept,
+{_LIST.format("list_resize(list_concat(p, r)[1:64], 64, 0)")} AS rejected_ids, least(len(p) + len(r), 64) AS rejected_kept
+FROM (SELECT pair_id, {_ids_sql(_PROMPT)} AS p, {_ids_sql("chosen || '</s>' || chr(10) || '</s>'")} AS c,
+  {_ids_sql("rejected || '</s>' || chr(10) || '</s>'")} AS r FROM v_pairs)""", "v_pairs")
 def t11(spark, sf):
     out = T.pair_token_ids(view(spark, sf, "v_pairs"), TOKENIZER, TEMPLATE, 64)
-    kept = F.aggregate("chosen_mask", F.lit(0), lambda a, x: a + x)
-    return out.select("pair_id", "prompt_len", "chosen_len", joined(F.col("chosen_ids")).alias("chosen_ids"), kept.alias("kept"))
+    kept = {c: F.aggregate(f"{c}_mask", F.lit(0), lambda a, x: a + x) for c in ("chosen", "rejected")}
+    return out.select(
+        "pair_id", "prompt_len", "chosen_len",
+        joined(F.col("chosen_ids")).alias("chosen_ids"), kept["chosen"].alias("kept"),
+        joined(F.col("rejected_ids")).alias("rejected_ids"), kept["rejected"].alias("rejected_kept"),
+    )
 
 
 _SHORT = f"SELECT pair_id, CAST(FLOOR(pair_id / 400e0) AS BIGINT) AS batch, {_ids_sql('chosen')} AS ids FROM v_pairs"
