@@ -194,16 +194,20 @@ def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, pa
 def _needed_groups(members: DataFrame, chunk_grams: int) -> DataFrame:
     """``members`` without groups that lie in a larger one, with ``k``, the number of chunks of the group.
 
-    If the largest groups of all sets of a group are one and the same, that one holds them all.
+    Tried for each group are the least and the greatest of the largest groups that its sets are in. A group that
+    is left out lies in a greater one by (size, sig), so the greatest of a chain stays.
     """
     size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n").cast("long")).alias("grams"))
-    sized = members.join(size, "sig")
-    largest = sized.groupBy("sid").agg(F.max(F.struct("size", "sig")).alias("largest"))
-    within = sized.join(largest.select("sid", F.col("largest.sig").alias("largest")), "sid")
-    held = within.groupBy("sig").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
-    needed = held.where("low <> high OR low = sig").select("sig")
+    sized = members.join(size, "sig").select("sid", F.struct("size", "sig").alias("group"))
+    largest = sized.groupBy("sid").agg(F.max("group").alias("largest"))
+    ends = sized.join(largest, "sid").groupBy("group").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
+    tried = ends.select("group", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).where("other > group")
+    tried = tried.select(F.col("group.sig").alias("sig"), F.col("group.size").alias("size"), F.col("other.sig").alias("other"))
+    inside = tried.join(members.select("sig", "sid"), "sig")
+    inside = inside.join(members.select(F.col("sig").alias("other"), "sid"), ["other", "sid"])
+    within = inside.groupBy("sig", "other", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").select("sig").distinct()
     chunks = F.ceil(F.col("grams") / F.lit(chunk_grams)).cast("int").alias("k")
-    return members.join(size.join(needed, "sig").select("sig", chunks), "sig")
+    return members.join(size.join(within, "sig", "left_anti").select("sig", chunks), "sig")
 
 
 def _set_ids(k: np.ndarray) -> list[bytes]:
