@@ -1,10 +1,8 @@
 """Streams fed by several files give the batch result."""
 
-import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from prefspark.functions.tokens import WhitespaceTokenizer
 from prefspark.operators.select import dynamic_batches
