@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-All words are divided into blocks of equally many words. A slot of the schedule takes one block; slot i falls
-at the i-th point of the golden-ratio sequence, mapped through the cumulative targets to a source. So every
-stretch of the schedule has each source in near its share. The r-th slot of a source takes its block r modulo
-its number of blocks; the blocks cut the source's documents in a hashed order, and a document counts the
-words it has in each block that is taken.
+The words of a source are divided into blocks of equally many words, the last one maybe shorter; small targets
+have smaller blocks. A slot of the schedule takes one block, and a source has the slots whose words come nearest
+to its target. Slot i falls at the i-th point of the golden-ratio sequence, mapped through the cumulative numbers
+of slots to a source. So every stretch of the schedule has each source in near its share. The r-th slot of a
+source takes its block r modulo its number of blocks; the blocks cut the source's documents in a hashed order, and
+a document counts the words it has in each block that is taken.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 from prefspark.llm.common import keep_words, stored, words
 from prefspark.operators.positions import running_sums
 
-SLOTS = 1 << 18  # slots of the schedule at most, whatever the input
+SLOTS = 1 << 18  # slots of the schedule, while blocks have up to BLOCK_WORDS words; more on larger input
+BLOCK_WORDS = 1024  # words of a block at most
+LEAST_SLOTS = 256  # slots of a source at least, but for targets of fewer words
+RANGE = 1 << 16  # slots that are ranked in one go
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # 2^64 divided by the golden ratio
 
 
@@ -55,28 +59,53 @@ def source_targets(sized: DataFrame, weights=(1.0, 2.0, 3.0), most: float = 3.0)
     return sized.sparkSession.createDataFrame(rows, "source string, index int, source_size long, target double")
 
 
-def schedule(spark, goals: list[tuple[int, float]], block: int, most: int = 3) -> DataFrame:
-    """``slot, index, rank, block`` for sources given as (size, target), in order of index.
+def turns(size: int, target: float, most_words: int) -> tuple[int, int]:
+    """(words of a block, number of slots) of a source: the number whose words come nearest to ``target``."""
+    block = max(1, min(most_words, int(target) // LEAST_SLOTS))
+    if size == 0:
+        return block, 0
+    rounds, rest = divmod(target, size)
+    whole, part = divmod(rest, block)
+    last = min(block, size - whole * block)  # words of the block that would come next
+    return block, int(rounds) * -(-size // block) + int(whole) + (2 * part >= last > 0)
 
-    A source's rank stops at ``most`` times its number of blocks, so no block is taken more often.
+
+def schedule(spark, dealt: list[tuple[int, int, int]]) -> DataFrame:
+    """``slot, index, rank, block`` for sources given as (size, words of a block, slots), in order of index.
+
+    Each source has just its number of slots: those beyond it fall out, and missing ones come at the end.
     """
-    total = sum(goal for _, goal in goals)
-    slots = round(total / block)
-    edges = np.cumsum([goal for _, goal in goals]) / total if total else np.empty(0)
-    blocks = np.array([max(1, -(-size // block)) for size, _ in goals], np.int64)
+    counts = np.array([n for _, _, n in dealt], np.int64)
+    total = int(counts.sum())
+    edges = np.cumsum(counts) / total if total else np.empty(0)
 
     def place(batches):
         for batch in batches:
-            slot = np.asarray(batch.column("id"))
-            point = (slot.astype(np.uint64) * _GOLDEN + (_GOLDEN >> np.uint64(1))).astype(np.float64) / 2.0**64
-            index = np.minimum(np.searchsorted(edges, point, side="right"), len(edges) - 1)
-            columns = [pa.array(slot, pa.int64()), pa.array(index, pa.int32()), pa.array(blocks[index], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["slot", "index", "blocks"])
-
-    placed = spark.range(slots).mapInArrow(place, "slot long, index int, blocks long")
-    # SLOTS rows at most in all.
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("index").orderBy("slot")).cast("long") - 1)
-    ranked = ranked.where(F.col("rank") < F.lit(most) * F.col("blocks"))
+            for part in batch.column("id").to_pylist():
+                slot = np.arange(part * RANGE, min((part + 1) * RANGE, total))
+                point = (slot.astype(np.uint64) * _GOLDEN + (_GOLDEN >> np.uint64(1))).astype(np.float64) / 2.0**64
+                index = np.minimum(np.searchsorted(edges, point, side="right"), len(edges) - 1)
+                order = np.argsort(index, kind="stable")
+                nth = np.empty_like(slot)
+                nth[order] = np.arange(len(slot)) - np.searchsorted(index[order], index[order])
+                columns = [pa.array(x, pa.int64()) for x in (np.full_like(slot, part), slot, nth)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(index, pa.int32())], ["part", "slot", "nth", "index"])
+
+    placed = spark.range(-(-total // RANGE)).mapInArrow(place, "part long, slot long, nth long, index int")
+    found = placed.groupBy("index", "part").agg(F.count(F.lit(1)).alias("n"))
+    # Rows of an index: ranges of slots.
+    before = F.sum("n").over(Window.partitionBy("index").orderBy("part")) - F.col("n")
+    starts = found.select("index", "part", before.alias("before"))
+    had = {r["index"]: r["n"] for r in found.groupBy("index").agg(F.sum("n").alias("n")).collect()}
+    lacking = [(i, had.get(i, 0), n) for i, n in enumerate(counts.tolist()) if had.get(i, 0) < n]
+    # A few slots a source: the sequence's error grows with the logarithm of its length.
+    late = [(total + j, i, r) for j, (i, r) in enumerate((i, r) for i, low, n in lacking for r in range(low, n))]
+
+    sources = [(i, n, max(1, -(-size // block))) for i, (size, block, n) in enumerate(dealt)]
+    sources = spark.createDataFrame(sources, "index int, turns long, blocks long")
+    ranked = placed.join(starts, ["index", "part"]).select("slot", "index", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = ranked.unionByName(spark.createDataFrame(late, "slot long, index int, rank long")).join(sources, "index")
+    ranked = ranked.where("rank < turns")
     return ranked.select("slot", "index", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
@@ -97,18 +126,22 @@ def _pieces(sized: DataFrame, weights, most: int, slots: int) -> tuple[DataFrame
     """The words of each row in each block with the times the block is taken; and the sources with their targets."""
     goals = source_targets(sized, weights, most)
     listed = goals.orderBy("index").select("source_size", "target").collect()
-    block = max(1, -(-sum(n for n, _ in listed) // slots))
+    most_words = max(1, min(BLOCK_WORDS, -(-sum(n for n, _ in listed) // slots)))
+    dealt = [(n, *turns(n, goal, most_words)) for n, goal in listed]
+    spread = [(i, block, n) for i, (_, block, n) in enumerate(dealt)]
+    named = goals.join(sized.sparkSession.createDataFrame(spread, "index int, each long, turns long"), "index")
+    named = named.withColumnRenamed("source", "_source")
     placed = running_sums(sized.where("size > 0"), ["key", "doc_id", "size", "hash"], {"stop": F.col("size")}, ["source"])
     placed = placed.withColumn("start", F.col("stop") - F.col("size"))
-    named = goals.withColumnRenamed("source", "_source")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "key", "stop")
 
-    chosen = schedule(sized.sparkSession, [tuple(r) for r in listed], block, most)
-    times = chosen.groupBy("index", "block").agg(F.count(F.lit(1)).alias("times"))
-    pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    last = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start"))
-    pieces = pieces.withColumns({"first": first, "words": last - first})
+    times = schedule(sized.sparkSession, dealt).groupBy("index", "block").agg(F.count(F.lit(1)).alias("times"))
+    # Blocks from ``turns`` on are not taken; a row that lies behind has one piece, without words.
+    reached = F.expr("sequence(start div each, least((start + size - 1) div each, turns - 1))")
+    pieces = placed.withColumn("block", F.explode_outer(F.when(F.expr("start < turns * each"), reached)))
+    first = F.greatest(F.col("block") * F.col("each") - F.col("start"), F.lit(0))
+    last = F.least(F.col("size"), (F.col("block") + 1) * F.col("each") - F.col("start"))
+    pieces = pieces.withColumns({"first": first, "words": F.when(F.col("block").isNull(), 0).otherwise(last - first)})
     return pieces.join(times, ["index", "block"], "left").fillna(0, ["times"]), named
 
 

@@ -11,7 +11,8 @@ import pytest
 from prefspark.llm.kd_search import KdTree, top_inner_products
 from prefspark.llm.kmeans_tree import KMeansTree, nearest
 from prefspark.llm.lm_score import lm_scores
-from prefspark.llm.mixing import mix_sources, mixed_documents, targets
+from prefspark.llm import mixing
+from prefspark.llm.mixing import mix_sources, mixed_documents, schedule, targets, turns
 from prefspark.llm.quality import fit_quality, keep_quality, quality_scores
 
 DOC = "doc_id long, text string, source string, _block string, row string, size string, label string"
@@ -119,6 +120,47 @@ def test_mixed_documents_have_the_words_taken(spark):
     assert mixed_documents(frame(spark, [])).count() == mix_sources(frame(spark, [])).count() == 0
 
 
+def test_small_sources_beside_large_ones(spark):
+    rows = [(i, "w x y z " * 250, "big") for i in range(200)]  # 200,000 words
+    rows += [(1_000 + i, "a b c d e " * 10, "mid") for i in range(43)] + [(2_000, "q " * 21, "two"), (2_001, "r s", "wee")]
+    df, got = frame(spark, rows), Counter()
+    for slots in (1 << 18, 50):  # blocks of one word, and of up to 1,024
+        taken, goal = Counter(), {}
+        for r in mix_sources(df, slots=slots).collect():
+            taken[r.source] += r.taken
+            goal[r.source] = r.target
+            assert 0 <= r.taken <= 3 * r.size
+        assert goal["mid"] == 6_450 and goal["two"] == 63 and goal["wee"] == 6
+        for s in goal:
+            assert abs(taken[s] - goal[s]) <= 0.5 + goal[s] / 256
+    for r in mixed_documents(df, slots=50).collect():
+        got[r.source] += len(r.text.split())
+    assert got == taken
+
+
+def test_turns_count_short_last_blocks():
+    # 2,100 words in 87 blocks of 24 and one of 12.
+    assert turns(2_100, 6_300, 1_024) == (24, 3 * 88)
+    assert turns(700_000, 2_100_000, 1_024) == (1_024, 3 * 684)
+    # The last block has 608 words, so from half of them on it is nearer to take it.
+    assert turns(700_000, 700_000 + 683 * 1_024 + 304, 1_024) == (1_024, 684 + 684)
+    assert turns(700_000, 700_000 + 683 * 1_024 + 303, 1_024) == (1_024, 684 + 683)
+    assert turns(2, 6.0, 1_024) == (1, 6) and turns(0, 0.0, 7) == (1, 0)
+
+
+def test_schedule_grows_and_ranks_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 100)
+    dealt = [(9_000, 10, 2_000), (50, 1, 150), (0, 1, 0), (3, 1, 7)]
+    rows = schedule(spark, dealt).collect()
+    assert len({r.slot for r in rows}) == len(rows) == 2_157
+    for i, (size, block, n) in enumerate(dealt):
+        mine = sorted((r.slot, r.rank, r.block) for r in rows if r["index"] == i)
+        assert [m[1] for m in mine] == list(range(n))
+        assert all(m[2] == m[1] % -(-size // block) for m in mine)
+    half = Counter(r["index"] for r in rows if r.slot < 1_000)
+    assert abs(half[0] - 927) <= 8 and abs(half[1] - 70) <= 8
+
+
 # --- vectors --------------------------------------------------------------------------------------------------
 
 VEC = "vec_id long, embedding array<float>, v string, leaf string, shard string"
