@@ -300,3 +300,39 @@ def test_lm_scores(spark):
     assert sorted(((r.doc_id, r.n_words, None if r.score is None else round(r.score, 9)) for r in got), key=str) == sorted(want, key=str)
     assert lm_scores(frame(spark, []), aim).count() == 0
     assert lm_scores(frame(spark, rows), aim.limit(0)).count() == len(rows)
+
+
+def test_lm_scores_over_every_word(spark):
+    rng = random.Random(5)
+    text = lambda pool: " ".join(rng.choice(pool) for _ in range(rng.randint(1, 40)))
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(300)]
+    rows = [(i, text(common), "s") for i in range(200)] + [(300 + i, text(rare), "s") for i in range(20)]
+    rows += [(400, None, "s"), (401, " ", "s"), (None, "C1 c2", "s"), (402, "ß\x1c é", "s"), *rows[:2]]
+    aims = [text(rare[:100]) for _ in range(20)] + [None, ""]
+    split = lambda t: (t or "").lower().replace("\x1c", "~").split()
+    models, words = [], set()
+    for side in (aims, [r[1] for r in rows]):
+        one, two = Counter(), Counter()
+        for w in map(split, side):
+            one.update(w)
+            words.update(w)
+            two.update(zip(["^", *w], w))
+            one["^"] += bool(w)
+        models.append((one, two, sum(v for k, v in one.items() if k != "^")))
+
+    def loss(model, before, now):
+        one, two, n = model
+        p = 0.7 * two[before, now] / one[before] if one[before] else 0
+        return -math.log(p + 0.29 * one[now] / n + 0.01 / (len(words) + 1))
+
+    want = []
+    for i, t, _ in rows:
+        w = split(t)
+        parts = [loss(models[0], b, x) - loss(models[1], b, x) for b, x in zip(["^", *w], w)]
+        want.append((i, len(w), round(sum(parts) / len(w), 9) if w else None))
+    aim, plain = spark.createDataFrame([(t,) for t in aims], "text string"), lambda rows: sorted(
+        ((r.doc_id, r.n_words, None if r.score is None else round(r.score, 9)) for r in rows), key=str
+    )
+    assert plain(lm_scores(frame(spark, rows), aim, vocabulary=None, block_bytes=700).collect()) == sorted(want, key=str)
+    assert lm_scores(frame(spark, []), aim, vocabulary=None).count() == 0
+    assert lm_scores(frame(spark, rows), aim.limit(0), vocabulary=None).count() == len(rows)
