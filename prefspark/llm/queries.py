@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prefspark.llm.bpe_automaton import codec_digests
 from prefspark.llm.common import table
 from prefspark.llm.elias_fano import token_file_index
+from prefspark.llm.importance import resample
 from prefspark.llm.kd_search import top_inner_products
 from prefspark.llm.kmeans_tree import nearest
 from prefspark.llm.lm_score import lm_scores
@@ -168,3 +169,8 @@ WHERE w.target = 0""",
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return scored.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+@query("op11_importance_resampling")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
