@@ -18,6 +18,7 @@ from prefspark.llm.mixing import mix_sources
 from prefspark.llm.ngram_join import ngram_join
 from prefspark.llm.quality import fit_quality, quality_scores
 from prefspark.llm.substring_dedup import substring_dedup
+from prefspark.llm.suffix_dedup import suffix_dedup
 from prefspark.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +175,30 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_importance_resampling")
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_suffix_dedup",
+    r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(substr(x, 2 * s + 1, 400)) AS h
+  FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS s FROM d)),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200, TRUE)::INT AS new
+  FROM windows SEMI JOIN twice USING (h)),
+span AS (
+  SELECT doc_id, min(s) AS a, max(s) + 200 AS b
+  FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM covered) GROUP BY doc_id, n),
+before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM span),
+kept AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS e,
+    string_agg(substr(x, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head
+  FROM before JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+)
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
