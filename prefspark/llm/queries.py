@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefspark.llm.bpe_automaton import codec_digests
 from prefspark.llm.common import table
+from prefspark.llm.conversation_repair import damaged_and_repaired
 from prefspark.llm.elias_fano import token_file_index
 from prefspark.llm.importance import resample
 from prefspark.llm.kd_search import top_inner_products
@@ -202,3 +203,60 @@ FROM d LEFT JOIN kept USING (doc_id)""",
 )
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_conversation_repair",
+    r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (
+  SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, len(k) + 1), lambda p: ascii(k[p]))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+      lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS kind FROM k),
+r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS ini,
+    regexp_replace(text, '[ \t\n\v\f\r]+$', '') AS body FROM r),
+f AS (
+  SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS trunc
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM o)),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 't': ''} AS s0, {'c': 1000000000::BIGINT, 'a': '', 't': ''} AS s1,
+    {'c': 1000000000::BIGINT, 'a': '', 't': ''} AS s2, {'c': 1000000000::BIGINT, 'a': '', 't': ''} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t},
+    list_min([{'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t}, {'c': s0.c + keep + CASE WHEN ini = 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K', 't': s0.t || own}]),
+    list_min([{'c': u.c + 2, 'a': u.a || 'D', 't': u.t}, {'c': b.c + keep + CASE WHEN ini = 'u' THEN 0 ELSE 1000000000 END, 'a': b.a || 'K', 't': b.t || own},
+      {'c': b.c + keep + 1, 'a': b.a || 'R', 't': b.t || chr(10) || 'user:' || text}]),
+    list_min([{'c': e.c + 2, 'a': e.a || 'D', 't': e.t}, {'c': u.c + keep + CASE WHEN ini = 'a' THEN 0 ELSE 1000000000 END, 'a': u.a || 'K', 't': u.t || own},
+      {'c': u.c + keep + 1, 'a': u.a || 'R', 't': u.t || chr(10) || 'assistant:' || text}])
+  FROM (
+    SELECT w.conv_id, f.i, f.ini, f.text, s0, s1, u, e, list_min([s0, s1, e]) AS b, chr(10) || f.role || ':' || f.text AS own,
+      CASE WHEN f.blank OR f.dup THEN 1000000000 WHEN f.trunc THEN 5 ELSE 0 END AS keep
+    FROM (
+      SELECT *, list_min([s3, {'c': u.c + 5, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}]) AS e
+      FROM (SELECT *, list_min([s2, {'c': m.c + 5, 'a': m.a || 'I', 't': m.t || chr(10) || 'user:'}]) AS u
+        FROM (SELECT *, list_min([s0, s1, s3]) AS m FROM walk))) w
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+ends AS (
+  SELECT conv_id, arg_max(list_min([s0, s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'},
+    {'c': s1.c + 10, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}]), i) AS best
+  FROM walk GROUP BY conv_id),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+    count_if(dup) AS duplicate, count_if(trunc) AS truncated, count_if(prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c AS cost, best.a AS audit,
+  sha256(substr(best.t, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM e.conv_id""",
+)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
