@@ -189,13 +189,14 @@ class _Block:
         return np.cumsum(depth[:-1]) > 0
 
 
-def _rerank(records: np.ndarray, _) -> np.ndarray:
+def _rerank(records: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """Sort the names of a bucket; of each record, whether its name repeats and whether it goes on.
 
-    Within a group with several names, the first record of each goes on: windows may repeat across names.
+    Within a group with several names, one record of each goes on, since windows may repeat across names: that of the least
+    block, so that the answer does not depend on the order in which records came.
     """
     names = [n for n in records.dtype.names if n != "many"]
-    order = np.lexsort([records[n] for n in names[::-1]])
+    order = np.lexsort([blocks, *[records[n] for n in names[::-1]]])
     k = records[order]
     new = np.zeros(len(k), bool)
     new[:1] = True

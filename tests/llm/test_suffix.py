@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from prefspark.llm import suffix_dedup as module
@@ -80,6 +81,17 @@ def test_runs_cover_all_windows(step, monkeypatch):
     assert all(e <= a <= f + 150 for f, e, a in zip(block.first, block.last, block.anchor))
 
 
+def test_answers_do_not_depend_on_the_order_of_records():
+    rng = np.random.default_rng(0)
+    records = np.zeros(500, module.SPAN)
+    for name in ("group", "a", "b"):
+        records[name] = rng.integers(0, 4, 500)
+    blocks = np.arange(500)
+    want = module._rerank(records, blocks)
+    mixed = rng.permutation(500)
+    assert (module._rerank(records[mixed], blocks[mixed]) == want[mixed]).all()
+
+
 def test_repeated_rows_and_one_id(spark):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefgh ") for _ in range(300))
