@@ -1,83 +1,159 @@
 """Quality classifier: random-indexing word vectors pooled per document and a two-layer network.
 
-Every word has a sparse random index vector, made from its hash. A *lexicon* of frequent words also has
-context vectors: the sum of the index vectors of the words around it in the training rows. A document is
-the mean of its words' vectors (context and index) beside the mean of its *forms*, the outlines of words (case,
-digits, marks), and the shares of words that repeat one just before. The network is trained in numpy on pooled vectors of a
-bounded number of labelled rows; its temperature is fitted on rows it has not seen, so that its outputs are
-probabilities.
+Every word has a sparse random index vector, made from its hash. A *lexicon* of frequent words, those that make up at least
+a fixed share of all words of the corpus, also has context vectors: the sums of the index vectors of the words around
+them in all documents. A document is the mean of its words' vectors (context and index) beside the mean of its *forms*,
+the outlines of words (case, digits, marks), and the shares of words that repeat one just before. The network is trained in
+numpy on pooled vectors of a bounded number of labelled rows; its temperature is fitted on rows it has not seen, so
+that its outputs are probabilities.
+
+Texts are taken as bytes, many at a time: hashes of words and forms are differences of running sums, so nothing is done
+word by word.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import held, mix, stored, words
+from prefspark.llm.common import mix, stored
 
 WORD_DIMS, FORM_DIMS, SPARSE = 128, 64, 4
 RELATIONS = 2
 DIMS = 2 * WORD_DIMS + FORM_DIMS + RELATIONS
-LEXICON = 2_048
-FIT_ROWS = 5_000  # bound of the labelled rows that the model is fitted on
-_STEP = 256  # documents pooled at a time
-_letters = [(regex.compile(p), r) for p, r in ((r"\p{Lu}+", "A"), (r"[\p{L}\p{M}]+", "a"), (r"\p{N}+", "0"))]
+SHARE = 1 / 4096  # of all words that a word of the lexicon makes up at least, so that it has at most as many
+FIT_ROWS = 5_000  # about as many labelled rows is the network fitted on
+LONGEST = 256  # bytes of a word; longer ones count as several
+_STEP = 1 << 20  # bytes of text taken at a time
+_SLICES = 32
+_SPACE, _UPPER, _LOWER, _DIGIT = 0, ord("A"), ord("a"), ord("0")
+_OUTLINE = np.arange(256, dtype=np.uint8)
+_OUTLINE[[0x20, *range(9, 14)]] = _SPACE
+_OUTLINE[0] = 1
+_OUTLINE[0x41:0x5B], _OUTLINE[0x61:0x7B], _OUTLINE[0x80:], _OUTLINE[0x30:0x3A] = _UPPER, _LOWER, _LOWER, _DIGIT
+_CASELESS = np.arange(1, 257, dtype=np.uint64)
+_CASELESS[0x41:0x5B] += np.uint64(32)
+_ODD = 0x9E3779B97F4A7C15
+np.seterr(over="ignore")
 
 
-def form(word: str) -> str:
-    """Outline of a word: runs of capitals, letters and digits as one sign each, other signs up to three times."""
-    for pattern, sign in _letters:
-        word = pattern.sub(sign, word)
-    return regex.sub(r"(.)\1{3,}", r"\1\1\1", word[:16])
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def _slots(hashes: np.ndarray, dims: int) -> np.ndarray:
-    """Non-zero places of index vectors, ``SPARSE`` each; those of the second ``dims`` places count -1."""
-    made = [mix(hashes, 40 + i) % np.uint64(2 * dims) for i in range(SPARSE)]
-    return np.stack(made, axis=1).astype(np.int64)
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            steps = np.full(max(n, 2 * len(self.up)), _ODD, np.uint64), np.full(max(n, 2 * len(self.up)), pow(_ODD, -1, 2**64), np.uint64)
+            for x in steps:
+                x[0] = 1
+            self.up, self.down = map(np.cumprod, steps)
+        return self.up, self.down
 
 
-def _summed(row: np.ndarray, rows: int, slots: np.ndarray, dims: int) -> np.ndarray:
-    """Sums of index vectors by row."""
-    counts = np.bincount((row[:, None] * (2 * dims) + slots).ravel(), minlength=rows * 2 * dims).reshape(rows, 2, dims)
-    return (counts[:, 0] - counts[:, 1]).astype(np.float64)
+_powers = _Powers()
+
 
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of values: what a polynomial over all of them gains within the run, moved to its start."""
+    up, down = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts], 40)
 
-class _Terms:
-    """Numbers of words, and by number the word's hash and the slots of the word and of its form."""
 
-    def __init__(self, limit: int = 150_000):
-        self.limit = limit
-        self.clear()
+@dataclass
+class _Words:
+    """Words of some texts end to end: number of the text, hash, hash of the form, and whether it was in a part before."""
 
-    def clear(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.hashes, self.words, self.forms = (np.empty((0, *n), np.int64) for n in ((), (SPARSE,), (SPARSE,)))
+    row: np.ndarray
+    word: np.ndarray
+    form: np.ndarray
+    old: np.ndarray
 
-    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.memo) > self.limit:
-            self.clear()
-        memo = self.memo
-        new = set().union(*texts).difference(memo)
-        if new:
-            new = list(new)
-            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
-            h = np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in new], np.uint64)
-            forms = [xxhash.xxh3_64_intdigest(form(w.decode("utf-8", "replace")).encode()) for w in new]
-            self.hashes = np.concatenate([self.hashes, h.view(np.int64)])
-            self.words = np.concatenate([self.words, _slots(h, WORD_DIMS)])
-            self.forms = np.concatenate([self.forms, _slots(np.array(forms, np.uint64), FORM_DIMS)])
-        return [np.fromiter(map(memo.__getitem__, t), np.int64, len(t)) for t in texts]
 
+def _parts(texts: list[str | None]) -> Iterator[list[tuple[int, bytes, bool]]]:
+    """(number of the text, some of its bytes, whether they go on from the part before), about a step of bytes together.
 
-def _terms() -> _Terms:
-    return held("quality terms", _Terms)
+    A long text is cut at white space, or after another step without any.
+    """
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        data, at = text.encode("utf-8", "surrogatepass") if text else b"", 0
+        while at < len(data):
+            cut = len(data)
+            if cut - at > _STEP:
+                found = min((i for c in b" \t\n\v\f\r" if (i := data.find(bytes([c]), at + _STEP, at + 2 * _STEP)) >= 0), default=-1)
+                cut = found if found >= 0 else min(at + 2 * _STEP, cut)
+            group.append((row, data[at:cut], at > 0))
+            size += cut - at
+            at = cut
+            if size >= _STEP:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _read(texts: list[str | None]) -> Iterator[_Words]:
+    """The words of texts, a step of bytes at a time; a text that goes on brings its last two words again."""
+    last = _Words(*(np.empty(0, kind) for kind in (np.int64, np.uint64, np.uint64, bool)))
+    for group in _parts(texts):
+        data = np.frombuffer(b" ".join([*[part for _, part, _ in group], b""]), np.uint8)
+        shape = _OUTLINE[data]
+        inside = np.concatenate([[False], shape != _SPACE])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        more = (ends - starts - 1) // LONGEST
+        if more.any():
+            n = np.cumsum(more + 1)
+            nth = np.arange(n[-1] if len(n) else 0) - np.repeat(n - more - 1, more + 1)
+            starts, ends = np.repeat(starts, more + 1) + LONGEST * nth, np.repeat(ends, more + 1)
+            ends = np.minimum(ends, starts + LONGEST)
+        word = _hashes(_CASELESS[data], starts, ends)
+
+        # An outline keeps one sign of a run of letters or digits, and three of any other.
+        same = np.zeros(len(shape), bool)
+        same[1:] = shape[1:] == shape[:-1]
+        fourth = same.copy()
+        fourth[2:] &= same[1:-1]
+        fourth[3:] &= same[1:-2]
+        fourth[:3] = False
+        keep = ~(same & ((shape == _UPPER) | (shape == _LOWER) | (shape == _DIGIT)) | fourth)
+        keep[starts] = True
+        place = np.concatenate([[0], np.cumsum(keep)])
+        form = _hashes(shape[keep].astype(np.uint64), place[starts], place[ends])
+
+        begins = np.cumsum([0] + [len(part) + 1 for _, part, _ in group[:-1]])
+        row = np.array([r for r, _, _ in group])[np.searchsorted(begins, starts, "right") - 1]
+        now = _Words(row, word, form, np.zeros(len(row), bool))
+        if group[0][2]:
+            last.old[:] = True
+            now = _Words(*(np.concatenate([getattr(last, k), getattr(now, k)]) for k in ("row", "word", "form", "old")))
+        yield now
+        tail = max(len(now.row) - 2, int(np.searchsorted(now.row, group[-1][0])))
+        last = _Words(now.row[tail:], now.word[tail:], now.form[tail:], now.old[tail:].copy())
+
+
+def _slots(hashes: np.ndarray, dims: int) -> np.ndarray:
+    """Non-zero places of index vectors, ``SPARSE`` each; those of the second ``dims`` places count -1."""
+    bits = np.arange(SPARSE, dtype=np.uint64) * np.uint64(16)
+    return ((hashes[:, None] >> bits) & np.uint64(2 * dims - 1)).astype(np.int64)
+
+
+def _summed(row: np.ndarray, rows: int, slots: np.ndarray, dims: int) -> np.ndarray:
+    """Sums of index vectors by row."""
+    counts = np.bincount((row[:, None] * (2 * dims) + slots).ravel(), minlength=rows * 2 * dims).reshape(rows, 2, dims)
+    return counts[:, 0] - counts[:, 1]
 
 
 def _known(lexicon: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,41 +162,42 @@ def _known(lexicon: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slot, lexicon[slot] == h
 
 
-def _context(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
-    """Context sums of the lexicon over texts: two words to either side."""
-    total = np.zeros((len(lexicon), WORD_DIMS))
-    for text in texts:
-        (numbers,) = _terms()([words(text)])
-        slot, known = _known(lexicon, _terms().hashes[numbers])
+def context_sums(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
+    """Sums of the index vectors around the words of the lexicon: two words to either side."""
+    total = np.zeros((len(lexicon), WORD_DIMS), np.int64)
+    for w in _read(texts):
+        slot, known = _known(lexicon, w.word)
+        slots = _slots(w.word, WORD_DIMS)
         for step in (1, 2):
-            for here, near in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-                k = known[here]
-                total += _summed(slot[here][k], len(lexicon), _terms().words[numbers[near][k]], WORD_DIMS)
+            first, second = slice(None, max(len(w.row) - step, 0)), slice(step, None)
+            pair = (w.row[first] == w.row[second]) & ~w.old[second]
+            for here, near in ((first, second), (second, first)):
+                k = pair & known[here]
+                total += _summed(slot[here][k], len(lexicon), slots[near][k], WORD_DIMS)
     return total
 
 
 def pool(texts: list[str | None], lexicon: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """One row per text: mean index and context vector of the words, mean form vector, repeats; zeros without words."""
-    out = np.zeros((len(texts), DIMS))
-    for first in range(0, len(texts), _STEP):
-        found = _terms()([words(t) for t in texts[first : first + _STEP]])
-        n, sizes = len(found), np.array([len(f) for f in found])
-        numbers = np.concatenate(found)
-        if not len(numbers):
+    out, sizes = np.zeros((len(texts), DIMS)), np.zeros(len(texts))
+    for w in _read(texts):
+        new = ~w.old
+        row, word, form = w.row[new], w.word[new], w.form[new]
+        if not len(row):
             continue
-        row, h = np.repeat(np.arange(n), sizes), _terms().hashes[numbers]
-        part = out[first : first + n]
-        part[:, :WORD_DIMS] = _summed(row, n, _terms().words[numbers], WORD_DIMS)
+        low, n = int(row[0]), int(row[-1] - row[0]) + 1
+        sizes[low : low + n] += np.bincount(row - low, minlength=n)
+        part = out[low : low + n]
+        part[:, :WORD_DIMS] += _summed(row - low, n, _slots(word, WORD_DIMS), WORD_DIMS)
         if len(lexicon):
-            slot, known = _known(lexicon, h)
-            counts = np.bincount(row[known] * len(lexicon) + slot[known], minlength=n * len(lexicon))
-            part[:, WORD_DIMS : 2 * WORD_DIMS] = counts.reshape(n, -1) @ vectors
-        part[:, 2 * WORD_DIMS : -RELATIONS] = _summed(row, n, _terms().forms[numbers], FORM_DIMS)
+            slot, known = _known(lexicon, word)
+            counts = np.bincount((row[known] - low) * len(lexicon) + slot[known], minlength=n * len(lexicon))
+            part[:, WORD_DIMS : 2 * WORD_DIMS] += counts.reshape(n, -1) @ vectors
+        part[:, 2 * WORD_DIMS : -RELATIONS] += _summed(row - low, n, _slots(form, FORM_DIMS), FORM_DIMS)
         for back in (1, 2):  # whether a word is the one so many words before
-            again = (h[back:] == h[:-back]) & (row[back:] == row[:-back])
-            part[:, back - 1 - RELATIONS] = np.bincount(row[back:][again], minlength=n)
-        part /= np.maximum(sizes, 1)[:, None]
-    return out
+            again = (w.word[back:] == w.word[:-back]) & (w.row[back:] == w.row[:-back]) & new[back:]
+            part[:, back - 1 - RELATIONS] += np.bincount(w.row[back:][again] - low, minlength=n)
+    return out / np.maximum(sizes, 1)[:, None]
 
 
 @dataclass
@@ -205,53 +282,82 @@ class QualityModel:
         return self.network(pool(texts, self.lexicon, self.vectors))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon_size: int = LEXICON) -> QualityModel:
-    """Fit on at most ``fit_rows`` labelled rows that are not held out, those with the least hashed ids.
-
-    ``labels`` has ``doc_id`` and ``quality`` (NULL: not used; of repeated ids the largest label counts). The
-    bounded rows are the only thing fitted on; the driver gets their pooled vectors, the lexicon and its
-    context vectors. Without labels the network stays as initialised.
-    """
-    chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out("doc_id"))
-    chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by fit_rows
-    rows = stored(rows, "quality-rows").repartition(8, "doc_id")
+def _lexicon(docs: DataFrame, share: float) -> np.ndarray:
+    """Hashes of the words that make up ``share`` of all words or more, at most ``1 / share``; sorted."""
 
-    def term_hashes(batches):
+    def run(batches):
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                (numbers,) = _terms()([words(text)])
-                values, counts = np.unique(_terms().hashes[numbers], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["h", "n"])
+            parts = [np.unique(w.word[~w.old], return_counts=True) for w in _read(batch.column("text").to_pylist())]
+            for words, counts in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["h", "n"])
 
-    counted = rows.mapInArrow(term_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(lexicon_size).collect()
-    lexicon = np.sort(np.array([r["h"] for r in top], np.int64))
+    counted = stored(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "quality-words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = counted.where(F.col("n") >= F.lit(share) * F.lit(total)).select("h").collect()
+    return np.sort(np.array([r["h"] for r in frequent], np.int64).view(np.uint64))
 
-    def context(batches):
-        total = np.zeros((len(lexicon), WORD_DIMS))
-        for batch in batches:
-            total += _context(batch.column("text").to_pylist(), lexicon)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
+def _vectors(docs: DataFrame, lexicon: np.ndarray) -> np.ndarray:
+    """Context vectors of the lexicon over all documents, of length one. Tasks' sums are added slice by slice, in two steps."""
     vectors = np.zeros((len(lexicon), WORD_DIMS))
-    if len(lexicon):
-        for row in rows.mapInArrow(context, "v binary").collect():  # one lexicon for each of 8 partitions
-            vectors += np.frombuffer(row["v"]).reshape(vectors.shape)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    if not len(lexicon):
+        return vectors
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    width = -(-len(lexicon) // _SLICES)
+
+    def run(batches):
+        total = np.zeros((len(lexicon), WORD_DIMS), np.int64)
+        for batch in batches:
+            total += context_sums(batch.column("text").to_pylist(), shared.value)
+        task = TaskContext.get().partitionId()
+        for i in range(0, len(lexicon), width):
+            payload = zlib.compress(total[i : i + width].tobytes(), 1)
+            yield pa.RecordBatch.from_pylist([{"slice": i, "part": task % 256, "payload": payload}], schema)
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(1, np.int64)
+        for payload in group["payload"]:
+            total = total + np.frombuffer(zlib.decompress(payload.as_buffer()), np.int64)
+        row = {"slice": group["slice"][0].as_py(), "part": 0, "payload": zlib.compress(total.tobytes(), 1)}
+        return pa.Table.from_pylist([row], schema)
+
+    schema = pa.schema([("slice", pa.int64()), ("part", pa.int64()), ("payload", pa.binary())])
+    ddl = "slice long, part long, payload binary"
+    summed = docs.select("text").mapInArrow(run, ddl)
+    for _ in range(2):
+        summed = summed.groupBy("slice", "part").applyInArrow(add, ddl)
+    for row in summed.collect():  # one row a slice
+        part = np.frombuffer(zlib.decompress(row["payload"]), np.int64).reshape(-1, WORD_DIMS)
+        vectors[row["slice"] : row["slice"] + len(part)] = part
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, share: float = SHARE) -> QualityModel:
+    """Lexicon and context vectors of all documents; a network fitted on about ``fit_rows`` labelled rows not held out.
+
+    ``labels`` has ``doc_id`` and ``quality`` (NULL: not used; of repeated ids the largest label counts). Of more rows than
+    ``fit_rows`` those count whose hashed ids fall below the share that leaves as many. The driver gets the pooled vectors of
+    those rows, the lexicon and its context vectors. Without labels the network stays as initialised.
+    """
+    texts = docs.select("doc_id", "text")
+    lexicon = _lexicon(texts, share)
+    vectors = _vectors(texts, lexicon)
+    chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out("doc_id"))
+    chosen = chosen.groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
+    n = chosen.count()
+    if n > fit_rows:
+        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < fit_rows * (1 << 30) // n)
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # about fit_rows
 
     def pooled(batches):
         for batch in batches:
-            x = pool(batch.column("text").to_pylist(), lexicon, vectors)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality").cast(pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))],
-                ["doc_id", "quality", "x"],
-            )
+            x = pool(batch.column("text").to_pylist(), lexicon, vectors).astype("<f4")
+            data = pa.array([r.tobytes() for r in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), data], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(pooled, "doc_id long, quality long, x array<double>").collect()
-    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["x"]))
-    x = np.array([r["x"] for r in got]).reshape(-1, DIMS)
+    got = rows.mapInArrow(pooled, "doc_id long, quality long, x binary").collect()
+    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), bytes(r["x"])))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), "<f4").reshape(-1, DIMS).astype(np.float64)
     return QualityModel(lexicon, vectors, train(x, np.array([r["quality"] for r in got], np.float64)))
 
 
@@ -277,7 +383,10 @@ def quality_scores(df: DataFrame, model: QualityModel, id_col: str = "doc_id", t
 
 
 def keep_quality(df: DataFrame, model: QualityModel, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows whose text scores ``least`` or more, unchanged."""
+    """The rows whose text scores ``least`` or more, unchanged.
+
+    NULL and empty texts have the score of no words, and stay or go by it; an empty table stays empty.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 

@@ -13,6 +13,7 @@ from prefspark.llm.kmeans_tree import KMeansTree, nearest
 from prefspark.llm.lm_score import lm_scores
 from prefspark.llm import mixing
 from prefspark.llm.mixing import mix_sources, mixed_documents, schedule, targets, turns
+from prefspark.llm import quality
 from prefspark.llm.quality import fit_quality, keep_quality, quality_scores
 
 DOC = "doc_id long, text string, source string, _block string, row string, size string, label string"
@@ -54,6 +55,82 @@ def test_quality_learns_and_keeps_held_out_labels_out(spark):
     assert again == {i: r.score for i, r in out.items()}
 
 
+def plain_words(text):
+    found = (text or "").encode().split()
+    return [w[i : i + 256] for w in found for i in range(0, len(w), 256)]
+
+
+def plain_hash(values):
+    total, power = 0, 1
+    for v in values:
+        total = (total + v * power) % 2**64
+        power = power * 0x9E3779B97F4A7C15 % 2**64
+    return int(quality.mix(np.array([total], np.uint64), 40)[0])
+
+
+def plain_form(word):
+    kind = lambda b: 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else max(b, 1)
+    out = []
+    signs = [kind(b) for b in word]
+    for i, c in enumerate(signs):
+        run = 1 if c in (65, 97, 48) else 3
+        if not (i >= run and signs[i - run : i] == [c] * run):
+            out.append(c)
+    return out
+
+
+def plain_pool(text, lexicon, vectors):
+    found = plain_words(text)
+    hashes = [plain_hash(b + 1 + 32 * (65 <= b <= 90) for b in w) for w in found]
+    out = np.zeros(quality.DIMS)
+    def index(h, dims):
+        v = np.zeros(dims)
+        for i in range(4):
+            slot = (h >> 16 * i) % (2 * dims)
+            v[slot % dims] += 1 - 2 * (slot >= dims)
+        return v
+    for i, (w, h) in enumerate(zip(found, hashes)):
+        out[:128] += index(h, 128)
+        if h in lexicon:
+            out[128:256] += vectors[lexicon.index(h)]
+        out[256:320] += index(plain_hash(plain_form(w)), 64)
+        out[320] += i > 0 and hashes[i - 1] == h
+        out[321] += i > 1 and hashes[i - 2] == h
+    return out / max(len(found), 1), hashes, index
+
+
+@pytest.mark.parametrize("step", [7, 60, 1 << 20])
+def test_pooling_and_network_against_plain_versions(step, monkeypatch):
+    monkeypatch.setattr(quality, "_STEP", step)
+    texts = ["Ab ab AB x1-22!!!!! ....", None, "", " \n", "one two one two one", "é" * 300 + " Ü", "a" * 700, "x\x00y \x85 b", "A A a a 9 99 --- -----"]
+    texts += [" ".join(random.Random(i).choices(["the", "The", "of", "q9", "!!", "z"], k=40)) for i in range(6)]
+    seen = Counter(h for t in texts for h in plain_pool(t, [], None)[1])
+    lexicon = sorted(h for h, n in seen.items() if n > 3)
+    index = plain_pool("", [], None)[2]
+    sums = np.zeros((len(lexicon), 128))
+    for t in texts:
+        hashes = plain_pool(t, [], None)[1]
+        for i, h in enumerate(hashes):
+            if h in lexicon:
+                for j in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= j < len(hashes):
+                        sums[lexicon.index(h)] += index(hashes[j], 128)
+    array = np.array(lexicon, np.uint64)
+    cuts = step < 1 << 20  # a word without white space may then be cut elsewhere
+    kept = [t for t in texts if not cuts or max(map(len, (t or "").encode().split()), default=0) <= step]
+    if not cuts:
+        assert (quality.context_sums(texts, array) == sums).all()
+    want = np.array([plain_pool(t, lexicon, sums)[0] for t in kept])
+    got = quality.pool(kept, array, sums)
+    assert np.allclose(got, want, atol=1e-12)
+    net = quality.train(want, np.arange(len(want)) % 2.0, epochs=2)
+    z = (want - net.mean) / net.scale
+    for row, p in zip(z, net(got)):
+        hidden = [max(sum(a * b for a, b in zip(row, column)) + c, 0) for column, c in zip(net.w1.T, net.b1)]
+        logit = (sum(a * b for a, b in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert p == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(None, None, None), (1, "", "s"), (1, "", "s"), (2, "w " * 50_000, "s"), (3, "é\x00 ß", "s")]
     docs = frame(spark, rows)
