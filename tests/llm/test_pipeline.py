@@ -144,4 +144,4 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     found = entry_module.queries()
-    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in found
+    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in found
