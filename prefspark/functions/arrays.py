@@ -83,6 +83,25 @@ def pad_to(a: Column, n, value, side: str = "right") -> Column:
     raise ValueError(f"unknown padding side {side!r}")
 
 
+def range_mask(n: Column, ranges: Column) -> Column:
+    """``n`` cells, one inside the half-open ``start`` to ``end`` of ascending, disjoint ranges; other cells zero.
+
+    Runs of zeros and ones laid end to end: linear in the cells, whatever the number of ranges.
+    """
+
+    def laid(r: Column) -> Column:
+        ends = F.transform(r, lambda x: F.least(x["end"], n))
+        before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(r))
+        def run(x: Column, last: Column) -> Column:
+            start, end = F.least(F.greatest(x["start"], last), n), F.least(x["end"], n)
+            return F.concat(F.array_repeat(F.lit(0), start - last), F.array_repeat(F.lit(1), F.greatest(end - start, F.lit(0))))
+        rest = n - F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))
+        return F.concat(F.flatten(F.zip_with(r, before, run)), F.array_repeat(F.lit(0), rest))
+
+    ints = F.transform(ranges, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+    return bind(ints, laid)
+
+
 def log_sum_exp(x: Column) -> Column:
     """ln Σ e^x with the maximum taken out."""
     return bind(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from string import Formatter
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,15 @@ class WhitespaceTokenizer:
     def size(self, text: str) -> int:
         return len(text.encode("utf-8", "surrogatepass").split())  # at ASCII white space, as in the plan
 
+    def goes_on(self, open_: Column, more: Column) -> Column:
+        """Whether a token of a text may go on in what follows ``more``; ``open_`` says so of the text before it."""
+        return F.when(more == "", open_).otherwise(F.substring(more, -1, 1).rlike(r"\S"))
+
+    def extended(self, n: Column, open_: Column, more: Column) -> Column:
+        """Tokens of a text of ``n`` tokens with ``more`` after it."""
+        joins = open_ & more.rlike(r"^\S")
+        return n + self.count(more) - joins.cast("int")
+
 
 @dataclass(frozen=True)
 class TokenizerFile:
@@ -88,6 +99,65 @@ class TokenizerFile:
         return len(_load_tokenizer(self.path).encode(text, add_special_tokens=self.add_special_tokens).ids)
 
 
+    def answer_ranges(self, whole: Column, lengths: Column, answers: Column, opening: str, max_len: int) -> Column:
+        """Closed token ranges of the answers of conversations, from one encoding of each (see ``Prefixes``)."""
+        path = self.path
+
+        @F.arrow_udf("array<struct<start: int, end: int>>")
+        def spans(texts: pa.Array, sizes: pa.Array, marks: pa.Array) -> pa.Array:
+            encoder = _load_tokenizer(path)
+            out = []
+            for text, size, mark in zip(texts.to_pylist(), sizes.to_pylist(), marks.to_pylist()):
+                out.append(None if text is None else _answer_ranges(encoder, text, size, mark, opening, max_len))
+            return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+        return spans(whole, lengths, answers)
+
+
+class Prefixes:
+    """Numbers of tokens of the prefixes of a text, each with some text after it, from one encoding of the whole.
+
+    A prefix is encoded only from a word shortly before its end; what was encoded of the whole stands for the rest if both
+    agree on the words in between, else the stretch is doubled, at worst to all of the prefix.
+    """
+
+    def __init__(self, encoder, text: str, stretch: int = 64):
+        self.encoder, self.text, self.stretch = encoder, text, stretch
+        whole = encoder.encode(text, add_special_tokens=False)
+        self.ids, self.offsets = whole.ids, whole.offsets
+        words = whole.word_ids
+        # Where a word begins that ends where its text does not go on: (sign, token).
+        self.starts = [(0, 0)] + [(o[0], i) for i, o in enumerate(whole.offsets) if i and words[i] != words[i - 1]]
+        self.places = [at for at, _ in self.starts]
+
+    def size(self, end: int, more: str = "") -> int:
+        """Tokens of the first ``end`` signs and ``more``."""
+        stretch = self.stretch
+        while True:
+            at, first = self.starts[max(bisect_right(self.places, end - 2 * stretch) - 1, 0)]
+            piece = self.encoder.encode(self.text[at:end] + more, add_special_tokens=False)
+            if not first:
+                return len(piece.ids)
+            sure = at + stretch  # words that end before here have to be the same in both
+            same = bisect_right(self.places, sure) - 1
+            upto = self.starts[same][1] - first
+            here = [(a + at, b + at) for a, b in piece.offsets[:upto]]
+            if upto and piece.ids[:upto] == self.ids[first : first + upto] and here == self.offsets[first : first + upto]:
+                return first + len(piece.ids)
+            stretch *= 2
+
+
+def _answer_ranges(encoder, whole: str, sizes: list[int], answers: list[bool], opening: str, max_len: int) -> list[dict]:
+    prefixes, end, out = Prefixes(encoder, whole), 0, []
+    for size, answer in zip(sizes, answers):
+        if answer:
+            start = min(prefixes.size(end, opening), max_len)
+            rest = whole[end : end + size][len(opening) :]
+            out.append({"start": start, "end": start + min(len(encoder.encode(rest, add_special_tokens=False).ids), max_len) - 1})
+        end += size
+    return out
+
+
 _loaded: dict = {}
 
 

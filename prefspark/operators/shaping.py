@@ -252,39 +252,58 @@ def sft_loss_mask(n: Column, prompt_len: Column, pretrain: bool = False) -> Colu
 
 
 def multiturn_response_ranges(messages: Column, tokenizer: Tokenizer, template: ChatTemplate, max_len: int) -> Column:
-    """Closed token ranges of the assistant messages of a conversation."""
+    """Closed token ranges of the assistant messages of a conversation.
+
+    A range starts after the tokens of the rendered conversation up to the message, with the opening of an answer, and has
+    the tokens of the rest of the message; both counts stop at ``max_len``. Every message is rendered once.
+    """
+    opening = F.lit(template.generation_prompt)
+    parts = F.transform(
+        messages,
+        lambda m: F.struct(template.message(m).alias("text"), F.coalesce(message_role(m) == "assistant", F.lit(False)).alias("answer")),
+    )
     if not getattr(tokenizer, "native", False):
-        raise ValueError("ranges inside an array need a tokenizer made of column expressions")
+        whole = F.array_join(F.transform(parts, lambda p: p["text"]), "")
+        lengths = F.transform(parts, lambda p: F.length(p["text"]))
+        return tokenizer.answer_ranges(whole, lengths, F.transform(parts, lambda p: p["answer"]), template.generation_prompt, max_len)
 
-    def tokens(text: Column) -> Column:
-        return F.least(tokenizer.count(text), F.lit(max_len))
+    def answer(p: Column) -> Column:
+        return F.struct(p["text"].alias("text"), p["answer"].alias("answer"), after(p["text"], opening).alias("rest"))
 
-    def turns(whole: Column) -> Column:
-        def span(head: Column, i: Column) -> Column:
-            answer = after(template.render(F.slice(whole, F.lit(1), i + 1)), head)
-            return bind(
-                tokens(head), lambda start: F.struct(start.alias("start"), (start + tokens(answer) - 1).alias("end"))
-            )
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
-        def turn(m: Column, i: Column) -> Column:
-            head = template.render(F.slice(whole, F.lit(1), i), add_generation_prompt=True)
-            return F.when(message_role(m) == "assistant", bind(head, lambda h: span(h, i)))
+    def read(state: Column, p: Column) -> Column:
+        """Tokens so far and the text that the last of them may go on from, for the next message."""
 
-        return F.filter(F.transform(whole, turn), lambda r: r.isNotNull())
+        def add(now: Column) -> Column:
+            start = F.least(now, F.lit(max_len))
+            end = start + F.least(tokenizer.count(p["rest"]), F.lit(max_len)) - 1
+            span = F.when(p["answer"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))))
+            return F.concat(state["spans"], F.coalesce(span, none))
 
-    return bind(messages, turns)
+        return F.struct(
+            tokenizer.extended(state["n"], state["open"], p["text"]).alias("n"),
+            tokenizer.goes_on(state["open"], p["text"]).alias("open"),
+            bind(tokenizer.extended(state["n"], state["open"], opening), add).alias("spans"),
+        )
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), none.alias("spans"))
+    return F.aggregate(F.transform(parts, answer), zero, read, lambda state: state["spans"])
 
 
 def ranges_loss_mask(n: Column, ranges: Column) -> Column:
-    """One on ``[start - 1, end)`` of every range."""
-    cells = F.sequence(F.lit(0), n.cast("int") - 1)
-    marked = bind(
-        ranges,
-        lambda spans: F.transform(
-            cells, lambda i: F.exists(spans, lambda r: (i >= r["start"] - 1) & (i < r["end"])).cast("int")
-        ),
+    """One on ``[start - 1, end)`` of every range; ranges ascend and do not overlap.
+
+    A range that starts at the first token is a slice from the last cell on, which holds nothing unless it ends there.
+    """
+    n = n.cast("int")
+    from_last = F.exists(ranges, lambda r: (r["start"] == 0) & (r["end"] >= n))
+    spans = F.transform(
+        F.filter(ranges, lambda r: r["start"] > 0), lambda r: F.struct((r["start"] - 1).alias("start"), r["end"].alias("end"))
     )
-    return F.when(n > 0, marked).otherwise(F.array().cast("array<int>"))
+    marked = A.range_mask(n, spans)
+    last = F.when(from_last, F.array(F.lit(1))).otherwise(F.slice(marked, n, F.lit(1)))
+    return F.when(n > 0, F.concat(A.cut(marked, n - 1), last)).otherwise(F.array().cast("array<int>"))
 
 
 def reward_label_ids(labels: Column, token_ids: dict[str, int]) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefspark.functions import arrays as A
 from prefspark.functions.tokens import WhitespaceTokenizer
 from prefspark.operators import batching as B
 from prefspark.operators import blend as U
+from prefspark.operators import objective as O
 from prefspark.operators import positions as P
 from prefspark.operators import trajectory as TR
 from prefspark.plans.registry import joined, q6, query, r6
@@ -264,10 +266,31 @@ def r03(spark, sf):
     return spark.read.parquet(f"{out}/data").select("step", "metric", r6("value", 9).alias("value"), "n")
 
 
-@query("r04_assemble_trajectory", "WITH " + _TAKEN.format(steps=4, budget=9) + " " + _EPISODE, "v_steps")
+def _agent_steps(spark, sf):
+    """Steps with a label and one log-probability for each of the two tokens of an action."""
+    return view(spark, sf, "v_steps").selectExpr(
+        "*", "'label ' || episode_id AS label", "map('cost', reward / 4e0) AS extra_logs", "array(-reward / 5e1, -reward / 4e1) AS action_log_probs"
+    )
+
+
+_IDS = "array_to_string(list_transform(list_filter(string_split({0}, ' '), lambda t: t <> ''), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 1000000 + 3), ',')"
+
+
+@query("r04_assemble_trajectory", "WITH " + _TAKEN.format(steps=4, budget=9) + f""",
+e AS (SELECT episode_id, max(observation) || string_agg(action_text || environment_feedback, '' ORDER BY step) AS text, count(*) AS num_steps,
+  sum(reward) AS reward, COALESCE(arg_max(struct_pack(x := score), step).x, sum(reward)) AS score, arg_max(reward, step) / 4e0 AS cost,
+  string_agg(context || ':' || (context + 2), ',' ORDER BY step) AS action_ranges,
+  list(-reward / 5e1 ORDER BY step) AS p, list(-reward / 4e1 ORDER BY step) AS q FROM s GROUP BY 1)
+SELECT episode_id, text, num_steps, {q6('reward')} AS reward, {q6('score')} AS score, {q6('cost')} AS cost, 'label ' || episode_id AS label,
+  action_ranges, {_IDS.format('text')} AS observation_tokens, {q6('list_sum(p) + list_sum(q)')} AS log_prob FROM e""", "v_steps")
 def r04(spark, sf):
-    out = TR.assemble_trajectory(view(spark, sf, "v_steps"), TOKENIZER, 4, 9)
-    return out.select("episode_id", "text", "num_steps", r6("reward").alias("reward"), r6("score").alias("score"))
+    out = TR.assemble_trajectory(_agent_steps(spark, sf), TOKENIZER, 4, 9)
+    ranges = F.transform("action_ranges", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
+    return out.select(
+        "episode_id", "text", "num_steps", r6("reward").alias("reward"), r6("score").alias("score"),
+        r6(F.col("extra_logs")["cost"]).alias("cost"), "label", F.array_join(ranges, ",").alias("action_ranges"),
+        joined(F.col("observation_tokens")).alias("observation_tokens"), r6(A.array_sum(F.col("rollout_log_probs"))).alias("log_prob"),
+    )
 
 
 @query("r05_trajectory_rollout_row", "WITH " + _TAKEN.format(steps=4, budget=9) + """,
@@ -278,7 +301,39 @@ def r05(spark, sf):
     return out.select("episode_id", "total_length", "response_length", "clipped")
 
 
-@query("r05_trajectory_masks")
+# Per cell of an episode: token, whether it is an action's and its log-probability.
+_CELLS = """c AS (
+  SELECT episode_id, string_split(trim(max(observation) || string_agg(action_text || environment_feedback, '' ORDER BY step)), ' ') AS t,
+    list_concat([0, 0], flatten(list(CASE WHEN environment_feedback = '' THEN [1, 1] ELSE [1, 1, 0, 0] END ORDER BY step))) AS m,
+    list_concat([0e0, 0e0], flatten(list(CASE WHEN environment_feedback = '' THEN [-reward / 5e1, -reward / 4e1]
+      ELSE [-reward / 5e1, -reward / 4e1, 0e0, 0e0] END ORDER BY step))) AS p
+  FROM s GROUP BY 1)"""
+
+
+@query("r05_trajectory_masks", "WITH " + _TAKEN.format(steps=4, budget=9) + f""", {_CELLS}
+SELECT episode_id, array_to_string(list_transform(t[1:11], lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 1000000 + 3), ',') AS sequences,
+  array_to_string(m[2:11], ',') AS action_mask, array_to_string(list_transform(p[2:11], lambda x: CAST(round(x * 1e6) AS BIGINT)), ',') AS log_probs FROM c""", "v_steps")
 def r05b(spark, sf):
-    out = TR.trajectory_rollout_row(TR.assemble_trajectory(view(spark, sf, "v_steps"), TOKENIZER, 4, 9), 11)
-    return out.select("episode_id", joined(F.col("sequences")).alias("sequences"), joined(F.col("action_mask")).alias("action_mask"))
+    out = TR.trajectory_rollout_row(TR.assemble_trajectory(_agent_steps(spark, sf), TOKENIZER, 4, 9), 11)
+    micro = F.transform("rollout_log_probs", lambda x: F.round(x * 1e6).cast("long"))
+    return out.select(
+        "episode_id", joined(F.col("sequences")).alias("sequences"), joined(F.col("action_mask")).alias("action_mask"), joined(micro).alias("log_probs")
+    )
+
+
+@query("l09_agent_rollout", "WITH " + _TAKEN.format(steps=4, budget=9) + f""", {_CELLS},
+x AS (SELECT episode_id, unnest(m[2:11]) AS m, unnest(p[2:11]) AS ro, unnest(range(len(m[2:11]))) AS i FROM c),
+y AS (SELECT m, ro, ro * 0.75e0 - 0.01e0 AS old, ro * 0.5e0 - 0.02e0 AS lp, (episode_id % 7 - 3) / 2e0 AS adv FROM x),
+z AS (SELECT *, exp(lp - old) * adv AS s1, greatest(least(exp(lp - old), 1.2e0), 0.8e0) * adv AS s2 FROM y)
+SELECT {q6('sum(least(exp(old - ro), 0.95e0) * -least(s1, s2) * m) / sum(m)')} AS loss, {q6('sum((ro - old) * m) / sum(m)')} AS rollout_kl FROM z""", "v_steps")
+def l09_agent(spark, sf):
+    out = TR.trajectory_rollout_row(TR.assemble_trajectory(_agent_steps(spark, sf), TOKENIZER, 4, 9), 11)
+    rows = out.select(
+        "action_mask",
+        F.col("rollout_log_probs").alias("rollout_logprobs"),
+        F.transform("rollout_log_probs", lambda x: x * 0.75 - 0.01).alias("old_logprobs"),
+        F.transform("rollout_log_probs", lambda x: x * 0.5 - 0.02).alias("logprobs"),
+        F.transform("rollout_log_probs", lambda _: (F.col("episode_id") % 7 - 3) / 2.0).alias("advantages"),
+    )
+    found = O.ppo_metrics(rows, weight_cap=0.95)
+    return found.select(r6("loss").alias("loss"), r6("rollout_kl").alias("rollout_kl"))

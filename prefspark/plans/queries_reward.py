@@ -545,14 +545,18 @@ def l13(spark, sf):
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
-_TWO = f"SELECT x[1] AS a, x[2] AS b, ln(exp(x[1]) + exp(x[2])) AS z, vec_id FROM (SELECT vec_id, {_X} AS x FROM embeddings) WHERE vec_id % 5 <> 0"
+# two classes: the sums of either half of a vector
+_TWO = f"""SELECT a, b, ln(exp(a) + exp(b)) AS z, vec_id FROM (
+  SELECT vec_id, list_sum(x[1:len(x) // 2]) AS a, list_sum(x[len(x) // 2 + 1:]) AS b FROM (SELECT vec_id, {_X} AS x FROM embeddings)) WHERE vec_id % 5 <> 0"""
 
 
 @query("l14_process_reward_loss", f"""
 SELECT 'hard' AS kind, {q6('avg(z - CASE WHEN vec_id % 2 = 0 THEN a ELSE b END)')} AS loss, {q6('avg(CASE WHEN (a >= b) = (vec_id % 2 = 0) THEN 1e0 ELSE 0e0 END)')} AS acc FROM ({_TWO})
 UNION ALL SELECT 'soft', {q6('avg(p * (z - a) + (1 - p) * (z - b))')}, {q6('avg(CASE WHEN (a >= b) = (p >= 0.5) THEN 1e0 ELSE 0e0 END)')} FROM (SELECT *, (vec_id % 10) / 1e1 AS p FROM ({_TWO}))""")
 def l14(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", A.cut(F.col("embedding"), 2).alias("logits"))
+    x, half = A.as_double(F.col("embedding")), F.floor(F.size("embedding") / 2).cast("int")
+    halves = F.array(A.array_sum(A.cut(x, half)), A.array_sum(F.slice(x, half + 1, F.size(x) - half)))
+    rows = table(spark, sf, "embeddings").select("vec_id", halves.alias("logits"))
     hard = rows.withColumn("label", F.expr("CASE WHEN vec_id % 5 = 0 THEN -100 ELSE vec_id % 2 END"))
     soft = rows.withColumn("label", F.expr("CASE WHEN vec_id % 5 = 0 THEN -100e0 ELSE (vec_id % 10) / 1e1 END"))
     both = O.process_reward_loss(hard, False).withColumn("kind", F.lit("hard"))

@@ -64,17 +64,24 @@ _RAW = f"SELECT dialog_id, {_USER} AS prompt, {_assistant(0, 1)} AS chosen, {_as
 _GOOD = "prompt <> '' AND chosen <> '' AND rejected <> '' AND chosen <> rejected"
 
 
-@query("p01_message_text", "SELECT dialog_id, COALESCE(t0, '') AS text0, COALESCE(t1, '') AS text1 FROM v_dialogs WHERE t0 IS NOT NULL", "v_dialogs")
+def _turns_sql(value: str) -> str:
+    """A value of the present turns, as one text."""
+    return "array_to_string(list_filter([" + ", ".join(value.format(i=i) for i in SLOTS) + "], lambda x: x IS NOT NULL), '|')"
+
+
+_ROLE = "CASE WHEN dialog_id % 3 = 1 AND r{i} = 'user' THEN 'human' WHEN dialog_id % 3 = 1 AND r{i} = 'assistant' THEN 'gpt' ELSE r{i} END"
+
+
+@query("p01_message_text", f"SELECT dialog_id, {_turns_sql('t{i}')} AS texts FROM v_dialogs", "v_dialogs")
 def p01(spark, sf):
-    out = _records(spark, sf).select("dialog_id", F.transform("chosen", M.message_text).alias("t")).where(F.size("t") > 0)
-    return out.select("dialog_id", F.col("t")[0].alias("text0"), F.coalesce(F.get("t", F.lit(1)), F.lit("")).alias("text1"))
+    rows = view(spark, sf, "v_dialogs").select("dialog_id", _messages(SLOTS, "dialog_id % 3 = 1").alias("m"))
+    return rows.select("dialog_id", F.array_join(F.transform("m", M.message_text), "|").alias("texts"))
 
 
-@query("p02_message_role", """
-SELECT dialog_id, CASE WHEN dialog_id % 3 = 1 AND r0 = 'user' THEN 'human' WHEN dialog_id % 3 = 1 AND r0 = 'assistant' THEN 'gpt' ELSE r0 END AS role
-FROM v_dialogs WHERE t0 IS NOT NULL""", "v_dialogs")
+@query("p02_message_role", f"SELECT dialog_id, {_turns_sql(_ROLE)} AS roles FROM v_dialogs", "v_dialogs")
 def p02(spark, sf):
-    return _records(spark, sf).where(F.size("chosen") > 0).select("dialog_id", M.message_role(F.col("chosen")[0]).alias("role"))
+    rows = view(spark, sf, "v_dialogs").select("dialog_id", _messages(SLOTS, "dialog_id % 3 = 1").alias("m"))
+    return rows.select("dialog_id", F.array_join(F.transform("m", M.message_role), "|").alias("roles"))
 
 
 @query("p03_user_text", f"SELECT dialog_id, {_USER} AS prompt FROM v_dialogs", "v_dialogs")
@@ -224,12 +231,12 @@ def _head_sql(last: str) -> str:
 
 
 _SFT = f"""SELECT dialog_id, prompt, substr(whole, length(prompt) + 1) AS response, least({_count_sql('prompt')}, 120) AS prompt_ids_len
-FROM (SELECT dialog_id, {_head_sql(_LAST)} || {_ASK} AS prompt, {_DIALOG} AS whole FROM v_dialogs WHERE t0 IS NOT NULL)"""
+FROM (SELECT dialog_id, {_head_sql(_LAST)} || {_ASK} AS prompt, {_DIALOG} AS whole FROM v_dialogs)"""
 
 
 @query("t04_sft_samples", f"SELECT * FROM ({_SFT}) WHERE prompt <> '' AND response <> '' AND prompt_ids_len < 118", "v_dialogs")
 def t04(spark, sf):
-    rows = view(spark, sf, "v_dialogs").where("t0 IS NOT NULL").select("dialog_id", _messages(SLOTS).alias("messages"))
+    rows = view(spark, sf, "v_dialogs").select("dialog_id", _messages(SLOTS).alias("messages"))
     return T.sft_samples(rows, "messages", None, TOKENIZER, 120, TEMPLATE, keep=["dialog_id"])
 
 
@@ -360,17 +367,27 @@ def _range_sql(i: int) -> str:
 
 
 @query("t15_multiturn_response_ranges", "SELECT dialog_id, array_to_string(list_filter(["
-       + ", ".join(_range_sql(i) for i in SLOTS) + "], lambda x: x IS NOT NULL), ',') AS ranges FROM v_dialogs WHERE t0 IS NOT NULL", "v_dialogs")
+       + ", ".join(_range_sql(i) for i in SLOTS) + "], lambda x: x IS NOT NULL), ',') AS ranges FROM v_dialogs", "v_dialogs")
 def t15(spark, sf):
-    rows = view(spark, sf, "v_dialogs").where("t0 IS NOT NULL").select("dialog_id", _messages(SLOTS).alias("m"))
+    rows = view(spark, sf, "v_dialogs").select("dialog_id", _messages(SLOTS).alias("m"))
     ranges = T.multiturn_response_ranges(F.col("m"), TOKENIZER, TEMPLATE, 4096)
     text = F.transform(ranges, lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
     return rows.select("dialog_id", F.array_join(text, ",").alias("ranges"))
 
 
-@query("t15_multiturn_loss_mask")
+def _span_sql(i: int) -> str:
+    head = " || ".join([_turn_sql(j) for j in range(i)] + [_ASK])
+    start = f"least({_count_sql(head)}, 4096)"
+    answer = f"(t{i} || '</s>' || chr(10))"
+    return f"CASE WHEN r{i} = 'assistant' THEN {{'a': {start} - 1, 'b': {start} + least({_count_sql(answer)}, 4096) - 1}} END"
+
+
+@query("t15_multiturn_loss_mask", "SELECT dialog_id, n, array_to_string(list_transform(range(n), "
+       "lambda i: CASE WHEN len(list_filter(spans, lambda s: s.a <= i AND i < s.b)) > 0 THEN 1 ELSE 0 END), ',') AS mask "
+       f"FROM (SELECT dialog_id, {_count_sql(_DIALOG)} AS n, list_filter([" + ", ".join(_span_sql(i) for i in SLOTS)
+       + "], lambda x: x IS NOT NULL) AS spans FROM v_dialogs)", "v_dialogs")
 def t15b(spark, sf):
-    rows = view(spark, sf, "v_dialogs").where("t0 IS NOT NULL").select("dialog_id", _messages(SLOTS).alias("m"))
+    rows = view(spark, sf, "v_dialogs").select("dialog_id", _messages(SLOTS).alias("m"))
     rows = rows.select(
         "dialog_id", TOKENIZER.count(TEMPLATE.render(F.col("m"))).alias("n"),
         T.multiturn_response_ranges(F.col("m"), TOKENIZER, TEMPLATE, 4096).alias("ranges"),

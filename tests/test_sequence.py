@@ -247,14 +247,14 @@ def test_loss_mask(spark):
 
 def test_range_mask(spark):
     df = spark.createDataFrame(
-        [(8, [(2, 4), (6, 9)]), (3, []), (0, [(1, 2)])], "n int, r array<struct<start:int,end:int>>"
+        [(8, [(2, 4), (6, 9)]), (3, []), (0, [(1, 2)]), (5, [(0, 2), (3, 4)]), (4, [(0, 4)]), (4, [(4, 3), (4, 9)])], "n int, r array<struct<start:int,end:int>>"
     )
     got = [r[0] for r in df.select(T.ranges_loss_mask(F.col("n"), F.col("r"))).collect()]
     want = []
-    for n, ranges in ((8, [(2, 4), (6, 9)]), (3, []), (0, [(1, 2)])):
+    for n, ranges in ((8, [(2, 4), (6, 9)]), (3, []), (0, [(1, 2)]), (5, [(0, 2), (3, 4)]), (4, [(0, 4)]), (4, [(4, 3), (4, 9)])):
         mask = [0] * n
         for start, end in ranges:
-            for i in range(start - 1, min(end, n)):
+            for i in range(n)[start - 1 : end]:
                 mask[i] = 1
         want.append(mask)
     assert got == want

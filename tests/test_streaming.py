@@ -145,6 +145,27 @@ def test_trajectory_by_hand(spark):
     assert (out[2].num_steps, out[2].reward, out[2].score) == (0, 0.0, 0.0)
 
 
+def test_trajectory_payload(spark):
+    schema = STEPS + ", label string, extra_logs map<string,double>, action_log_probs array<double>"
+    rows = [
+        (1, 1, "other ", "c ", "g h ", 2.0, None, False, "no", {"k": 2.0}, [-3.0]),
+        (1, 0, "o p ", "a b ", "f ", 1.0, None, False, "yes", {"k": 1.0}, [-1.0, -2.0]),
+        (1, 0, "o p ", "a b ", "f ", 1.0, None, False, "yes", {"k": 1.0}, [-1.0, -2.0]),  # sent twice
+        (1, 2, "o p ", "d ", "", 4.0, 5.0, None, None, {"k": 9.0}, None),
+        (2, 0, "q ", "", "", 0.0, None, True, None, None, []),
+    ]
+    made = assemble_trajectory(spark.createDataFrame(rows, schema), TOKENIZER, 9, 99)
+    out = {r.episode_id: r for r in trajectory_rollout_row(made, 9).collect()}
+    one, full = out[1], {r.episode_id: r for r in made.collect()}[1]
+    assert (one.text, one.label, one.reward, one.score, one.extra_logs, one.num_steps) == ("o p a b f c g h d ", "yes", 7.0, 5.0, {"k": 9.0}, 3)
+    assert full.rollout_log_probs == [0.0, 0.0, -1.0, -2.0, 0.0, -3.0, 0.0, 0.0, 0.0]
+    assert one.action_mask == [0, 1, 1, 0, 1, 0, 0, 1] and one.rollout_log_probs == full.rollout_log_probs[1:9]
+    assert (out[2].num_steps, out[2].action_mask, out[2].rollout_log_probs, out[2].label) == (1, [], [], None)
+    wrong = spark.createDataFrame([(1, 0, "o ", "a b ", "", 1.0, None, True, None, None, [-1.0])], schema)
+    with pytest.raises(Exception, match="one log-probability per action token"):
+        assemble_trajectory(wrong, TOKENIZER, 9, 99).collect()
+
+
 def test_running_metrics(spark, tmp_path):
     rows = [(i % 2, "kl", float(i)) for i in range(10)]
     stream = files(spark, rows, "step int, metric string, value double", f"{tmp_path}/in", 2)

@@ -1,8 +1,11 @@
 """Tokenizer and template plug-ins."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from prefspark.functions import tokens
 from prefspark.functions.tokens import ChatTemplate, TokenizerFile, WhitespaceTokenizer, fill_template, say
 from prefspark.operators import shaping as T
 
@@ -30,8 +33,6 @@ def test_tokenizer_file(spark, token_file):
     plain = TokenizerFile(token_file, "</s>", 2, 0, add_special_tokens=False)
     out = T.token_lengths(df, plain).collect()
     assert [(r.chosen_len, r.rejected_len, r.len_gap) for r in out] == [(3, 1, 2), (2, 0, 2)]
-    with pytest.raises(ValueError, match="column expressions"):
-        T.multiturn_response_ranges(F.array(), plain, ChatTemplate(), 10)
 
 
 def test_whitespace_tokenizer(spark):
@@ -86,3 +87,62 @@ def test_preference_prompt_from_the_chosen_messages(spark):
     )
     reward = T.preference_samples(df, WhitespaceTokenizer(), 50, None, template=ChatTemplate(), is_dpo=False).first()
     assert reward.prompt == "" and reward.chosen == "<|user|>\nq\n<|assistant|>\ngood</s>\n"
+
+
+def conversations(seed, n=25):
+    rng = random.Random(seed)
+    words = ["hello", "World", "  two", "x", "\n", "\n\n", "Don't", "été", "123", "...", "</s>", "<|user|>", "日本", " ", "\t", "a" * 90]
+    out = []
+    for _ in range(n):
+        turns = []
+        for _ in range(rng.randint(0, 9)):
+            text = rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+            turns.append((rng.choice(["user", "assistant", "assistant", "system"]), text))
+        out.append(turns)
+    return out
+
+
+def plain_ranges(turns, template, count, max_len):
+    """Tokens of every rendered prefix, counted anew."""
+    render = lambda ts: "".join(template.prefix.get(r, "") + t + template.suffix.get(r, "") for r, t in ts)
+    out = []
+    for i, (role, _) in enumerate(turns):
+        if role == "assistant":
+            prompt = render(turns[:i]) + template.generation_prompt
+            start = min(count(prompt), max_len)
+            out.append((start, start + min(count(render(turns[: i + 1])[len(prompt) :]), max_len) - 1))
+    return out
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", None])
+@pytest.mark.parametrize("max_len", [4096, 60])
+def test_multiturn_ranges_equal_prefix_differences(spark, name, max_len):
+    templates = [ChatTemplate(), ChatTemplate(prefix={"user": "U: "}, suffix={"assistant": "", "user": "\n\n"}, generation_prompt="")]
+    if name is None:
+        tokenizer, count = WhitespaceTokenizer(), lambda t: len(t.encode().split())
+    else:
+        public_tokenizers = pytest.importorskip("public_tokenizers")
+        path = public_tokenizers.path(name)
+        tokenizer = TokenizerFile(path, "</s>", 2, 0)
+        encoder = tokens._load_tokenizer(path)
+        count = lambda t: len(encoder.encode(t, add_special_tokens=False).ids)
+    found = conversations(max_len)
+    df = spark.createDataFrame(
+        [(i, [(r, t, None, None) for r, t in turns]) for i, turns in enumerate(found)],
+        "id int, m array<struct<role:string,content:string,from:string,value:string>>",
+    )
+    for template in templates:
+        got = df.select("id", T.multiturn_response_ranges(F.col("m"), tokenizer, template, max_len).alias("r")).orderBy("id")
+        assert [[tuple(x) for x in r.r] for r in got.collect()] == [plain_ranges(t, template, count, max_len) for t in found]
+
+
+def test_prefixes_from_one_encoding():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(3)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = tokens._load_tokenizer(public_tokenizers.path(name))
+        text = "".join(t for turns in conversations(9, 40) for _, t in turns)
+        prefixes = tokens.Prefixes(encoder, text, stretch=4)
+        for _ in range(150):
+            end, more = rng.randint(0, len(text)), rng.choice(["", "\n", " x", "yz"])
+            assert prefixes.size(end, more) == len(encoder.encode(text[:end] + more, add_special_tokens=False).ids)
