@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from prefspark.session import configure, scratch_path
 
 BLOCK_BYTES = 4 << 20
+PARTITION_BYTES, PARTITIONS = 256 << 20, 4096
 NO_ID = np.iinfo(np.int64).min  # stands for a NULL id: before all others
 
 
@@ -114,11 +115,15 @@ def ngrams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
 # --- blocks and exchanges ------------------------------------------------------------------------------
 
 def parts_for(df: DataFrame, column: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
-    """(blocks, partitions) for ``df`` by the bytes of ``column``; a partition takes about four blocks."""
+    """(blocks, partitions) for ``df`` by the bytes of ``column``.
+
+    A partition takes about four blocks, and beyond some thousand partitions as many as make up 256 MB: blocks are taken
+    one at a time, so memory does not depend on it, but the driver keeps an entry for every pair of partitions.
+    """
     size = df.agg(F.sum(F.octet_length(column)), F.count(F.lit(1))).first()
     size = (size[0] or 0) + 16 * size[1]
     blocks = max(1, math.ceil(size / block_bytes))
-    return blocks, max(1, math.ceil(blocks / 4))
+    return blocks, max(1, math.ceil(size / PARTITION_BYTES), min(math.ceil(blocks / 4), PARTITIONS))
 
 
 def blocked(df: DataFrame, blocks: int, partitions: int, *keys: Column) -> DataFrame:

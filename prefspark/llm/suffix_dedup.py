@@ -19,17 +19,18 @@ through so cost one record a run, and only the ends of repeats cost more.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import SENT, ask, blocked, pack, parts_for, unpack_answers
+from prefspark.llm.common import BLOCK_BYTES, SENT, ask, blocked, pack, parts_for, unpack_answers
 
 LENGTH = 200
 CELL = 22  # windows of a cell
-BLOCK_BYTES = 2 << 20
+BUCKET_BLOCKS = 16  # blocks whose records make up a bucket on average
 _STEP = 1 << 16  # windows searched at a time
 _PLACE = np.uint64((1 << 17) - 1)
 SPAN = np.dtype([("group", "<u8"), ("a", "<u8"), ("b", "<u8"), ("many", "u1")])
@@ -242,8 +243,9 @@ def suffix_dedup(
     if length % 4 or not 128 <= length <= 256:
         raise ValueError("a repeat has a multiple of 4 bytes, 128 to 256")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets, partitions = parts_for(docs, "text", block_bytes)
-    docs = blocked(docs, buckets, partitions, F.col("doc_id"), F.col("text"))
+    blocks, partitions = parts_for(docs, "text", block_bytes)
+    buckets = math.ceil(blocks / BUCKET_BLOCKS)
+    docs = blocked(docs, blocks, partitions, F.col("doc_id"), F.col("text"))
     known = None
 
     def send_first(group: pa.Table) -> pa.Table:
@@ -262,7 +264,7 @@ def suffix_dedup(
             sent = docs.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(send(depth), SENT)
         else:
             sent = docs.groupBy("_block").applyInArrow(send_first, SENT)
-        answers = ask(sent, _rerank, kind, partitions).withColumn("_level", F.lit(depth))
+        answers = ask(sent, _rerank, kind, min(partitions, buckets)).withColumn("_level", F.lit(depth))
         known = answers if known is None else known.unionByName(answers)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * keep_bytes
