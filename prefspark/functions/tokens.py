@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_right
 from dataclasses import dataclass, field
 from string import Formatter
@@ -26,8 +27,8 @@ class Tokenizer(Protocol):
     def count(self, text: Column) -> Column:
         """Number of tokens."""
 
-    def size(self, text: str) -> int:
-        """The same of a Python string, for texts that a hook makes."""
+    def encode(self, text: str) -> list[int]:
+        """The ids of a Python string, for texts that a hook makes."""
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,11 @@ class WhitespaceTokenizer:
     def count(self, text: Column) -> Column:
         return F.size(self.tokens(text))
 
-    def size(self, text: str) -> int:
-        return len(text.encode("utf-8", "surrogatepass").split())  # at ASCII white space, as in the plan
+    def encode(self, text: str) -> list[int]:
+        tokens = text.encode("utf-8", "surrogatepass").split()  # at ASCII white space, as in the plan
+        end = self.eos_token.encode()
+        hashed = lambda t: int(hashlib.md5(t).hexdigest()[:8], 16) % (self.vocab_size - 3) + 3
+        return [self.eos_id if t == end else hashed(t) for t in tokens]
 
     def goes_on(self, open_: Column, more: Column) -> Column:
         """Whether a token of a text may go on in what follows ``more``; ``open_`` says so of the text before it."""
@@ -95,8 +99,8 @@ class TokenizerFile:
     def count(self, text: Column) -> Column:
         return F.size(self.ids(text))
 
-    def size(self, text: str) -> int:
-        return len(_load_tokenizer(self.path).encode(text, add_special_tokens=self.add_special_tokens).ids)
+    def encode(self, text: str) -> list[int]:
+        return _load_tokenizer(self.path).encode(text, add_special_tokens=self.add_special_tokens).ids
 
 
     def answer_ranges(self, whole: Column, lengths: Column, answers: Column, opening: str, max_len: int) -> Column:

@@ -66,13 +66,14 @@ def assemble_trajectory(
     ).withColumn("_ids", tokenizer.ids(F.col("observation")))
     taken = started.withColumn("_n", F.size("_ids"))
     taken = taken.withColumn("steps", F.filter("steps", lambda s: s["open"] & (F.col("_n") + s["start"] < max_length)))
-    summary = _summary("action_log_probs" in steps.columns)
+    columns = summary("action_log_probs" in steps.columns)
     if "label" not in steps.columns:
-        del summary["label"]
-    return taken.select(episode, *[c.alias(n) for n, c in summary.items()])
+        del columns["label"]
+    return taken.select(episode, *[c.alias(n) for n, c in columns.items()])
 
 
-def _summary(log_probs: bool) -> dict[str, Column]:
+def summary(log_probs: bool) -> dict[str, Column]:
+    """What a trajectory comes to, from ``observation``, ``label``, its tokens ``_ids``, their number ``_n`` and ``steps``."""
     ids, steps, n = F.col("_ids"), F.col("steps"), F.col("_n")
     last = F.try_element_at(steps, F.lit(-1))
     total = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + s["reward"])

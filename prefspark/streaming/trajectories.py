@@ -4,17 +4,33 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import timedelta
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from prefspark.functions.tokens import Tokenizer
-
-RESULT = "episode_id long, text string, num_steps int, num_tokens int, reward double, score double, complete boolean"
-_STATE = "text string, tokens int, next int, reward double, score double, pending array<string>, closed boolean"
+from prefspark.operators.trajectory import summary
+
+RESULT = (
+    "episode_id long, complete boolean, num_tokens int, label string, text string, observation_tokens array<int>, "
+    "action_ranges array<struct<start: int, end: int>>, num_steps int, reward double, score double, "
+    "extra_logs map<string,double>, rollout_log_probs array<double>"
+)
+_EMITTED = "episode_id long, complete boolean, num_tokens int, body string"
+_BODY = (
+    "observation string, label string, _ids array<int>, steps array<struct<text: string, action_ids: array<int>, "
+    "feedback_ids: array<int>, log_probs: array<double>, reward: double, score: double, extra_logs: map<string,double>, start: int>>"
+)
+_PROGRESS = StructType(
+    [StructField("upcoming", IntegerType()), StructField("tokens", IntegerType()), StructField("start", IntegerType()),
+     StructField("reward", DoubleType()), StructField("closed", BooleanType()), StructField("last", LongType())]
+)
+_TEXT = StructType([StructField("value", StringType())])
+_NUMBER = StructType([StructField("step", IntegerType())])
 
 
 class StepHandler(Protocol):
@@ -23,7 +39,7 @@ class StepHandler(Protocol):
     def reset(self, observation: str) -> str: ...
 
     def step(self, event: dict) -> dict:
-        """Returns ``environment_feedback``, ``reward``, ``done`` and optionally ``score``."""
+        """Returns ``environment_feedback``, ``reward``, ``done`` and optionally ``score`` and ``extra_logs``."""
 
 
 class RecordedSteps:
@@ -36,85 +52,168 @@ class RecordedSteps:
         return event
 
 
+class _Episodes(StatefulProcessor):
+    """The state of one episode: how far it is, the steps taken (only ever added to) and those that wait for an earlier one.
+
+    A closed episode leaves a mark, so that events sent again or too late do not open it anew. Every episode has one
+    timer: an open one is given up when it runs out, a mark is forgotten.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, handler: StepHandler, max_steps: int, max_length: int, idle: int, forget: int):
+        self.tokenizer, self.handler = tokenizer, handler
+        self.max_steps, self.max_length = max_steps, max_length
+        self.idle, self.forget = idle, forget
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", _PROGRESS)
+        self.taken = handle.getListState("taken", _TEXT)
+        self.waiting = handle.getMapState("waiting", _NUMBER, _TEXT)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        upcoming, tokens, start, reward, closed, last = self.progress.get() if self.progress.exists() else (0, 0, 0, 0.0, False, 0)
+        before, new = last, {}
+        for row in rows:
+            last = max(last, row["at"])
+            if upcoming <= row["step"] < self.max_steps:
+                new.setdefault(row["step"], row["event"])
+        if not closed:
+            parts = []
+            while not closed and (text := self._next(new, upcoming)) is not None:
+                event = json.loads(text)
+                if not upcoming:
+                    begun = self.handler.reset(event["observation"])
+                    ids = self._ids(begun, event["observation"], event["observation_ids"])
+                    parts.append({"observation": begun, "label": event.get("label"), "_ids": ids})
+                    tokens = len(ids)
+                    if tokens >= self.max_length:
+                        closed = True
+                        break
+                outcome = self.handler.step(event)
+                feedback = outcome["environment_feedback"]
+                step = {
+                    "text": event["action_text"] + feedback,
+                    "action_ids": event["action_ids"],
+                    "feedback_ids": self._ids(feedback, event["environment_feedback"], event["feedback_ids"]),
+                    "log_probs": event.get("action_log_probs"),
+                    "reward": outcome["reward"],
+                    "score": outcome.get("score"),
+                    "extra_logs": outcome.get("extra_logs"),
+                    "start": start,
+                }
+                size = len(step["action_ids"]) + len(step["feedback_ids"])
+                parts.append(step)
+                tokens, start, reward, upcoming = tokens + size, start + size, reward + outcome["reward"], upcoming + 1
+                closed = bool(outcome.get("done")) or upcoming >= self.max_steps or tokens >= self.max_length
+            if parts:
+                self.taken.appendList([(json.dumps(p),) for p in parts])
+            if closed:
+                yield self._result(key, True, tokens)
+            else:
+                for number, event in new.items():
+                    self.waiting.updateValue((number,), (event,))
+        self.progress.update((upcoming, tokens, start, reward, closed, last))
+        if last > before or closed:
+            self._set_timer(last + (self.forget if closed else self.idle))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        _, tokens, _, _, closed, last = self.progress.get()
+        if closed:
+            self.progress.clear()
+            return
+        yield self._result(key, False, tokens)
+        self.progress.update((0, 0, 0, 0.0, True, last))
+        self._set_timer(last + self.idle + self.forget)
+
+    def close(self) -> None:
+        pass
+
+    def _next(self, new: dict[int, str], step: int) -> str | None:
+        """The event of a step, which is among the new ones or has waited."""
+        if step in new:
+            return new.pop(step)
+        if self.waiting.containsKey((step,)):
+            event = self.waiting.getValue((step,))[0]
+            self.waiting.removeKey((step,))
+            return event
+        return None
+
+    def _ids(self, text: str, recorded: str, ids: list[int]) -> list[int]:
+        """Tokens of a text; those of the recorded one come from the plan, those of a handler's own are made here."""
+        return ids if text == recorded else self.tokenizer.encode(text)
+
+    def _result(self, key, complete: bool, tokens: int) -> Row:
+        parts = [json.loads(p[0]) for p in self.taken.get()] if self.taken.exists() else []
+        body = parts[0] if parts else {"observation": "", "_ids": []}
+        self.taken.clear()
+        self.waiting.clear()
+        return Row(episode_id=key[0], complete=complete, num_tokens=tokens, body=json.dumps({**body, "steps": parts[1:]}))
+
+    def _set_timer(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keep state in RocksDB, which lists, maps and timers need and which does not hold it in the heap."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(key, ""):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def stream_trajectories(
     stream: DataFrame,
     tokenizer: Tokenizer,
     max_steps: int,
     max_length: int,
     handler: StepHandler | None = None,
-    timeout: str | None = None,
+    event_time: str = "event_time",
+    delay: str = "10 minutes",
+    idle: timedelta = timedelta(minutes=30),
+    forget: timedelta = timedelta(hours=1),
 ) -> DataFrame:
     """One row per episode, emitted when a step is done, the step limit or the token budget is reached.
 
-    Step events may arrive out of order within an episode: later steps wait in the state. With
-    ``timeout`` (our addition) an unfinished episode is emitted with ``complete`` false.
+    Step events, with their ``event_time``, may arrive out of order and more than once within ``delay``: later steps wait in
+    the state, and of a step that comes again the first counts. Events older than the watermark are dropped. An episode that
+    hears nothing for ``idle`` before the watermark comes out with ``complete`` false and the steps that it has. Closed
+    episodes are remembered for ``forget`` after their last event (and at least so long after they were given up); events
+    that come in that time change nothing. State is so bounded by the episodes of the last ``delay + idle + forget``.
+
+    Columns are those of :func:`assemble_trajectory`, ``num_tokens`` and ``complete``.
     """
-    handler = handler or RecordedSteps()
-    # One JSON column per event: converting many columns to pandas for every small group costs more.
+    use_state_store(stream.sparkSession)
+    log_probs = "action_log_probs" in stream.columns
+    optional = {"label": "string", "extra_logs": "map<string,double>", "action_log_probs": "array<double>"}
     event = F.struct(
-        F.col("step").cast("int").alias("step"),
         "observation",
         "action_text",
         "environment_feedback",
         F.col("reward").cast("double").alias("reward"),
         F.col("score").cast("double").alias("score"),
         "done",
-        tokenizer.count(F.col("observation")).alias("observation_tokens"),
-        tokenizer.count(F.col("action_text")).alias("action_tokens"),
-        tokenizer.count(F.col("environment_feedback")).alias("feedback_tokens"),
+        tokenizer.ids(F.col("observation")).alias("observation_ids"),
+        tokenizer.ids(F.col("action_text")).alias("action_ids"),
+        tokenizer.ids(F.col("environment_feedback")).alias("feedback_ids"),
+        *[F.col(c).cast(t).alias(c) for c, t in optional.items() if c in stream.columns],
     )
-    sized = stream.select("episode_id", F.to_json(event).alias("event"))
-
-    def counted(text: str, recorded: str, tokens: int) -> int:
-        """Tokens of a text; the recorded one is counted in the plan, what a handler makes of it here."""
-        return tokens if text == recorded else tokenizer.size(text)
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            text, tokens, upcoming, reward, score, pending, closed = state.get
-            pending = list(pending)
-        else:
-            text, tokens, upcoming, reward, score, pending, closed = None, 0, 0, 0.0, None, [], False
-
-        def result(complete: bool) -> pd.DataFrame:
-            final = reward if score is None else score
-            row = (key[0], text or "", upcoming, tokens, reward, final, complete)
-            names = ["episode_id", "text", "num_steps", "num_tokens", "reward", "score", "complete"]
-            return pd.DataFrame([row], columns=names)
-
-        if state.hasTimedOut:
-            if not closed:
-                yield result(False)
-            state.remove()
-            return
-        arrived = [text_ for pdf in batches for text_ in pdf["event"]]
-        waiting = {e["step"]: e for e in map(json.loads, [*pending, *arrived])}
-        while not closed and upcoming in waiting:
-            event = waiting.pop(upcoming)
-            if text is None:
-                text = handler.reset(event["observation"])
-                tokens = counted(text, event["observation"], event["observation_tokens"])
-                if tokens >= max_length:
-                    closed = True
-                    break
-            outcome = handler.step(event)
-            text += event["action_text"] + outcome["environment_feedback"]
-            tokens += event["action_tokens"]
-            tokens += counted(outcome["environment_feedback"], event["environment_feedback"], event["feedback_tokens"])
-            reward += outcome["reward"]
-            score = outcome.get("score")
-            upcoming += 1
-            closed = outcome["done"] or upcoming >= max_steps or tokens >= max_length
-        if closed:
-            yield result(True)
-            state.remove()
-            return
-        state.update((text, tokens, upcoming, reward, score, [json.dumps(e) for e in waiting.values()], closed))
-        if timeout is not None:
-            state.setTimeoutDuration(timeout)
-
-    wait = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.ProcessingTimeTimeout
-    return sized.groupBy("episode_id").applyInPandasWithState(update, RESULT, _STATE, "append", wait)
+    milliseconds = lambda t: int(t.total_seconds() * 1000)
+    sized = stream.withWatermark(event_time, delay).select(
+        F.col("episode_id").cast("long").alias("episode_id"),
+        F.col("step").cast("int").alias("step"),
+        F.col(event_time),
+        F.unix_millis(event_time).alias("at"),
+        F.to_json(event).alias("event"),
+    )
+    state = _Episodes(tokenizer, handler or RecordedSteps(), max_steps, max_length, milliseconds(idle), milliseconds(forget))
+    emitted = sized.groupBy("episode_id").transformWithState(state, _EMITTED, "Append", "EventTime")
+    body = emitted.select("episode_id", "complete", "num_tokens", F.from_json("body", _BODY).alias("_body"))
+    body = body.select("episode_id", "complete", "num_tokens", "_body.*").withColumn("_n", F.size("_ids"))
+    columns = {n: c for n, c in summary(log_probs).items()}
+    if not log_probs:
+        columns["rollout_log_probs"] = F.lit(None).cast("array<double>")
+    return body.select("episode_id", "complete", "num_tokens", *[c.alias(n) for n, c in columns.items()])
 
 
 def stream_metrics(stream: DataFrame, step: str = "step", metric: str = "metric", value: str = "value") -> DataFrame:

@@ -1,8 +1,10 @@
 """Streams fed by several files give the batch result."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from prefspark.functions.tokens import WhitespaceTokenizer
 from prefspark.operators.select import dynamic_batches
@@ -94,21 +96,58 @@ def episodes():
     return rows
 
 
+TIMED = STEPS + ", label string, extra_logs map<string,double>, action_log_probs array<double>, event_time timestamp"
+START = datetime(2024, 1, 1)
+
+
+def timed(row, seconds):
+    logs, probs = {"k": float(row[1])}, [-float(row[1]), -0.5][: len(row[3].split())]
+    return (*row, f"label {row[0]}", logs, probs, START + timedelta(seconds=seconds))
+
+
+def run(spark, batches, folder, *args, **options):
+    """Feed micro-batches one file each; what came out after all of them."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, TIMED).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        query = (
+            ST.stream_trajectories(spark.readStream.schema(TIMED).parquet(f"{folder}/in"), TOKENIZER, *args, **options)
+            .writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.schema(ST.RESULT).parquet(f"{folder}/out")
+
+
 def test_trajectories_stream_equals_batch(spark, tmp_path):
-    rows = episodes()
+    rows = [timed(r, 10 * r[0] + r[1]) for r in episodes()]
     arrival = sorted(rows, key=lambda r: random.Random(str(r[:2])).random())  # out of order within episodes
-    stream = files(spark, arrival, STEPS, f"{tmp_path}/in", 3)
-    query = (
-        ST.stream_trajectories(stream, TOKENIZER, 4, 14)
-        .writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    columns = ["episode_id", "text", "num_steps", "reward", "score"]
-    got = spark.read.parquet(f"{tmp_path}/out").select(*columns)
-    want = assemble_trajectory(spark.createDataFrame(rows, STEPS), TOKENIZER, 4, 14).select(*columns)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert want.count() == 12
+    arrival = [*arrival, *arrival[::3], *arrival[::2]]  # many steps are sent again, most after their episode has closed
+    batches = [arrival[i::3] for i in range(2)] + [arrival[2::3] + arrival[5:9]]
+    got = run(spark, batches, tmp_path, 4, 14)
+    want = assemble_trajectory(spark.createDataFrame(rows, TIMED), TOKENIZER, 4, 14)
+    columns = [c for c in want.columns]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.collect()))
+    assert want.count() == 12 and got.where("complete").count() == 12
+    assert [len(r.observation_tokens) for r in got.collect()] == [r.num_tokens for r in got.collect()]
+
+
+def test_late_surplus_and_unfinished_episodes(spark, tmp_path):
+    step = lambda e, s, t, done=False: timed((e, s, f"o{e} ", f"a{s} ", "", 1.0, None, done), t)
+    options = {"delay": "10 seconds", "idle": timedelta(seconds=30), "forget": timedelta(seconds=60)}
+    batches = [
+        [step(1, 0, 0), step(1, 1, 1, True), step(2, 0, 0), step(3, 1, 2)],  # 1 is done, 2 open, 3 waits for its first
+        [step(1, 0, 5), step(1, 2, 6), step(2, 1, 20), step(9, 0, 40, True)],  # 1 again and too far; 2 goes on
+        [step(3, 0, 3), step(4, 0, 61, True)],  # 3 is behind the watermark of 30 by now
+        [step(2, 2, 61), step(1, 0, 61)],  # 2 is given up at 50, so this changes nothing; nor does 1
+        [step(5, 0, 300, True)],
+        [step(1, 0, 301, True)],  # long after the mark of 1 has gone: a new episode
+        [step(6, 0, 600, True)],
+    ]
+    out = sorted((r.episode_id, r.complete, r.num_steps, r.text) for r in run(spark, batches, tmp_path, 4, 99, **options).collect())
+    assert out == [
+        (1, True, 1, "o1 a0 "), (1, True, 2, "o1 a0 a1 "), (2, False, 2, "o2 a0 a1 "), (3, False, 0, ""),
+        (4, True, 1, "o4 a0 "), (5, True, 1, "o5 a0 "), (6, True, 1, "o6 a0 "), (9, True, 1, "o9 a0 "),
+    ]
 
 
 def test_handler_text_counts_against_the_budget(spark, tmp_path):
@@ -119,15 +158,11 @@ def test_handler_text_counts_against_the_budget(spark, tmp_path):
         def step(self, event):
             return {"environment_feedback": "w " * 8, "reward": 1.0, "done": False}
 
-    rows = [(1, s, "o ", "a ", "f ", 0.0, None, False) for s in range(4)]
-    query = (
-        ST.stream_trajectories(files(spark, rows, STEPS, f"{tmp_path}/in", 2), TOKENIZER, 4, 10, Wordy())
-        .writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    (row,) = spark.read.parquet(f"{tmp_path}/out").where("episode_id = 1").limit(1).collect()
+    rows = [timed((1, s, "o ", "a ", "f ", 0.0, None, False), s) for s in range(4)]
+    (row,) = run(spark, [rows[:2], rows[2:]], tmp_path, 4, 10, Wordy()).collect()
     assert (row.num_steps, row.num_tokens, row.text) == (1, 10, "o a " + "w " * 8)
+    assert row.observation_tokens == TOKENIZER.encode(row.text)
+    assert spark.range(1).select(TOKENIZER.ids(F.lit(row.text + "</s> é"))).first()[0] == TOKENIZER.encode(row.text + "</s> é")
 
 
 def test_trajectory_by_hand(spark):
