@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from prefspark.functions import arrays as A
@@ -187,17 +189,47 @@ def u05(spark, sf):
 # streams and trajectories
 
 
-def _episodes(spark, episodes):
-    """Run a trajectory stream over all available input and read what it emitted."""
+_IDS_SQL = "array_to_string(list_transform(list_filter(string_split({0}, ' '), lambda t: t <> ''), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 1000000 + 3), ',')"
+
+# Steps of agents arrive in three parts: halves of the events by time, of which every 17th comes a part later and every 5th
+# comes again a part later. A second passes per event.
+_DELAY, _IDLE, _FORGET = 1_000_250, 60_125, 3_600_000  # milliseconds
+
+
+def _episodes(spark, sf, *handler):
+    """Feed the parts to a trajectory stream one after another and read what it emitted."""
     out = scratch_path(spark, "episodes")
-    query_ = (
-        episodes.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query_.awaitTermination()
+    rows = _agent_steps(spark, sf).withColumn("event_id", F.col("episode_id") + F.col("step"))
+    rows = rows.withColumn("event_time", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("event_id") * 1000))
+    share = F.col("event_id") / rows.agg(F.max("event_id") + 1).scalar()
+    rows = rows.withColumn("part", F.floor(share * 2).cast("int")).withColumn("late", F.col("event_id") % 17 == 0)
+    arrives = F.col("part") + F.col("late").cast("int")
+    again = F.when(~F.col("late") & (F.col("event_id") % 5 == 1), F.col("part") + 1)
+    for part in range(3):
+        rows.where((arrives == part) | (again == part)).drop("part", "late", "event_id").write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
+        wait = {"delay": f"{_DELAY} milliseconds", "idle": timedelta(milliseconds=_IDLE), "forget": timedelta(milliseconds=_FORGET)}
+        made = ST.stream_trajectories(stream, TOKENIZER, 4, 100000, *handler, **wait)
+        made.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(
+            availableNow=True
+        ).start().awaitTermination()
     return spark.read.schema(ST.RESULT).parquet(f"{out}/data")
 
 
+# What arrives before its watermark, the steps up to the first gap or the end, and the episodes that close or are given up.
+_ARRIVED = f"""a AS (
+  SELECT *, episode_id + step AS event_id, floor((episode_id + step) / (SELECT max(episode_id + step) + 1e0 FROM v_steps) * 2)::INT AS part,
+    (episode_id + step) % 17 = 0 AS late FROM v_steps),
+w AS (SELECT k, (SELECT max(event_id) FROM a WHERE part + late::INT <= k) * 1000 - {_DELAY} AS mark FROM range(3) t(k)),
+c AS (SELECT a.* FROM a LEFT JOIN w ON a.late AND w.k = a.part WHERE NOT a.late OR a.event_id * 1000 > w.mark),
+d AS (SELECT *, row_number() OVER e - 1 AS nth, COALESCE(sum({{done}}::INT) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over
+  FROM c WINDOW e AS (PARTITION BY episode_id ORDER BY step)),
+s AS (SELECT * FROM d WHERE nth = step AND over = 0),
+f AS (SELECT c.episode_id, max(c.event_id) * 1000 + {_IDLE} AS idle, COALESCE(count_if({{done}} AND s.step IS NOT NULL) > 0, FALSE) OR count(s.step) = 4 AS complete
+  FROM c LEFT JOIN s ON s.episode_id = c.episode_id AND s.step = c.step GROUP BY 1),
+g AS (SELECT * FROM f WHERE complete OR idle <= (SELECT mark FROM w WHERE k = 2))"""
+
+
 def _stream(spark, sf, sql):
     """The events table as a stream behind a view's SQL."""
     schema = table(spark, sf, "events").schema
@@ -222,11 +254,20 @@ _EPISODE = f"""SELECT episode_id, max(observation) || string_agg(action_text ||
   {q6('sum(reward)')} AS reward, {q6('COALESCE(arg_max(struct_pack(x := score), step).x, sum(reward))')} AS score FROM s GROUP BY 1"""
 
 
-@query("r02_stream_trajectories", "WITH " + _TAKEN.format(steps=4, budget=100000) + " " + _EPISODE, "v_steps")
+@query("r02_stream_trajectories", "WITH " + _ARRIVED.format(done="c.done").replace("sum(c.", "sum(") + f""",
+e AS (SELECT episode_id, max(observation) || string_agg(action_text || environment_feedback, '' ORDER BY step) AS text, count(*) AS num_steps, sum(reward) AS reward,
+  COALESCE(arg_max(struct_pack(x := score), step).x, sum(reward)) AS score,
+  string_agg(CASE WHEN environment_feedback = '' THEN '1,1' ELSE '1,1,0,0' END, ',' ORDER BY step) AS mask FROM s GROUP BY 1)
+SELECT g.episode_id, complete, COALESCE(text, '') AS text, COALESCE(num_steps, 0) AS num_steps, {q6('COALESCE(reward, 0e0)')} AS reward, {q6('COALESCE(score, 0e0)')} AS score,
+  CASE WHEN text IS NULL THEN '' ELSE {_IDS_SQL.format('text')} END AS observation_tokens, COALESCE('0,0,' || mask, '') AS acted
+FROM g LEFT JOIN e ON e.episode_id = g.episode_id""", "v_steps")
 def r02(spark, sf):
-    stream = _stream(spark, sf, VIEWS["v_steps"])
-    done = _episodes(spark, ST.stream_trajectories(stream, TOKENIZER, 4, 100000))
-    return done.select("episode_id", "text", "num_steps", r6("reward").alias("reward"), r6("score").alias("score"))
+    done = _episodes(spark, sf)
+    done = done.withColumn("mask", A.range_mask(F.size("observation_tokens"), F.col("action_ranges")))
+    return done.select(
+        "episode_id", "complete", "text", "num_steps", r6("reward").alias("reward"), r6("score").alias("score"),
+        joined(F.col("observation_tokens")).alias("observation_tokens"), joined(F.col("mask")).alias("acted"),
+    )
 
 
 class _Doubled:
@@ -239,12 +280,13 @@ class _Doubled:
         return {"environment_feedback": event["environment_feedback"], "reward": 2 * event["reward"], "done": False}
 
 
-@query("h04_agent_handler", f"""SELECT episode_id, 'hello ' || max(observation) || string_agg(action_text || environment_feedback, '' ORDER BY step) AS text,
-{q6('2 * sum(reward)')} AS score FROM v_steps GROUP BY 1""", "v_steps")
+@query("h04_agent_handler", "WITH " + _ARRIVED.format(done="FALSE") + f""",
+e AS (SELECT episode_id, 'hello ' || max(observation) || string_agg(action_text || environment_feedback, '' ORDER BY step) AS text, 2 * sum(reward) AS score FROM s GROUP BY 1)
+SELECT g.episode_id, complete, COALESCE(text, '') AS text, {q6('COALESCE(score, 0e0)')} AS score,
+  CASE WHEN text IS NULL THEN '' ELSE {_IDS_SQL.format('text')} END AS observation_tokens FROM g LEFT JOIN e ON e.episode_id = g.episode_id""", "v_steps")
 def h04(spark, sf):
-    stream = _stream(spark, sf, VIEWS["v_steps"])
-    done = _episodes(spark, ST.stream_trajectories(stream, TOKENIZER, 4, 100000, _Doubled()))
-    return done.select("episode_id", "text", r6("score").alias("score"))
+    done = _episodes(spark, sf, _Doubled())
+    return done.select("episode_id", "complete", "text", r6("score").alias("score"), joined(F.col("observation_tokens")).alias("observation_tokens"))
 
 
 _STEP_METRICS = "SELECT CAST(FLOOR(event_id / 128e0) AS BIGINT) AS step, event_type AS metric, value FROM {events}"
@@ -273,16 +315,13 @@ def _agent_steps(spark, sf):
     )
 
 
-_IDS = "array_to_string(list_transform(list_filter(string_split({0}, ' '), lambda t: t <> ''), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 1000000 + 3), ',')"
-
-
 @query("r04_assemble_trajectory", "WITH " + _TAKEN.format(steps=4, budget=9) + f""",
 e AS (SELECT episode_id, max(observation) || string_agg(action_text || environment_feedback, '' ORDER BY step) AS text, count(*) AS num_steps,
   sum(reward) AS reward, COALESCE(arg_max(struct_pack(x := score), step).x, sum(reward)) AS score, arg_max(reward, step) / 4e0 AS cost,
   string_agg(context || ':' || (context + 2), ',' ORDER BY step) AS action_ranges,
   list(-reward / 5e1 ORDER BY step) AS p, list(-reward / 4e1 ORDER BY step) AS q FROM s GROUP BY 1)
 SELECT episode_id, text, num_steps, {q6('reward')} AS reward, {q6('score')} AS score, {q6('cost')} AS cost, 'label ' || episode_id AS label,
-  action_ranges, {_IDS.format('text')} AS observation_tokens, {q6('list_sum(p) + list_sum(q)')} AS log_prob FROM e""", "v_steps")
+  action_ranges, {_IDS_SQL.format('text')} AS observation_tokens, {q6('list_sum(p) + list_sum(q)')} AS log_prob FROM e""", "v_steps")
 def r04(spark, sf):
     out = TR.assemble_trajectory(_agent_steps(spark, sf), TOKENIZER, 4, 9)
     ranges = F.transform("action_ranges", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
