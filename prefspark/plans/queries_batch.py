@@ -191,22 +191,27 @@ def u05(spark, sf):
 
 _IDS_SQL = "array_to_string(list_transform(list_filter(string_split({0}, ' '), lambda t: t <> ''), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 1000000 + 3), ',')"
 
-# Steps of agents arrive in three parts: halves of the events by time, of which every 17th comes a part later and every 5th
+# Events arrive in three parts: halves by time, of which every 17th comes a part later and every 5th
 # comes again a part later. A second passes per event.
 _DELAY, _IDLE, _FORGET = 1_000_250, 60_125, 3_600_000  # milliseconds
 
 
+def _parts(rows, number):
+    """The rows in the parts that they arrive in."""
+    share = F.col(number) / rows.agg(F.max(number) + 1).scalar()
+    rows = rows.withColumn("_part", F.floor(share * 2).cast("int")).withColumn("_late", F.col(number) % 17 == 0)
+    arrives = F.col("_part") + F.col("_late").cast("int")
+    again = F.when(~F.col("_late") & (F.col(number) % 5 == 1), F.col("_part") + 1)
+    return [rows.where((arrives == part) | (again == part)).drop("_part", "_late") for part in range(3)]
+
+
 def _episodes(spark, sf, *handler):
     """Feed the parts to a trajectory stream one after another and read what it emitted."""
     out = scratch_path(spark, "episodes")
     rows = _agent_steps(spark, sf).withColumn("event_id", F.col("episode_id") + F.col("step"))
     rows = rows.withColumn("event_time", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("event_id") * 1000))
-    share = F.col("event_id") / rows.agg(F.max("event_id") + 1).scalar()
-    rows = rows.withColumn("part", F.floor(share * 2).cast("int")).withColumn("late", F.col("event_id") % 17 == 0)
-    arrives = F.col("part") + F.col("late").cast("int")
-    again = F.when(~F.col("late") & (F.col("event_id") % 5 == 1), F.col("part") + 1)
-    for part in range(3):
-        rows.where((arrives == part) | (again == part)).drop("part", "late", "event_id").write.mode("append").parquet(f"{out}/in")
+    for part in _parts(rows, "event_id"):
+        part.drop("event_id").write.mode("append").parquet(f"{out}/in")
         stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
         wait = {"delay": f"{_DELAY} milliseconds", "idle": timedelta(milliseconds=_IDLE), "forget": timedelta(milliseconds=_FORGET)}
         made = ST.stream_trajectories(stream, TOKENIZER, 4, 100000, *handler, **wait)
@@ -237,14 +242,36 @@ def _stream(spark, sf, sql):
     return spark.sql(sql, events=source)
 
 
-@query("r01_stream_dynamic_batches", """
-WITH g AS (SELECT prompt_id, min(position) AS f, avg(score) AS m FROM v_responses GROUP BY 1 HAVING count(*) = 4),
-b AS (SELECT prompt_id, f, m, row_number() OVER (ORDER BY f) - 1 AS number FROM g WHERE m > 1e-6 AND m < 1 - 1e-6)
-SELECT prompt_id, m AS mean_score, number, number // 64 AS batch FROM b WHERE number // 64 < (SELECT count(*) // 64 FROM b)""", "v_responses")
+# Rounds of 40 groups, a minute apart; samples come in three parts like the steps below, up to _DELAY late.
+_GENERATED = f"""a AS (
+  SELECT *, prompt_id // 160 AS round, floor(position / (SELECT max(position) + 1e0 FROM v_responses) * 2)::INT AS part, position % 17 = 0 AS late FROM v_responses),
+w AS (SELECT k, (SELECT max(round) FROM a WHERE part + late::INT <= k) * 60000 - {_DELAY} AS mark FROM range(3) t(k)),
+c AS (SELECT a.* FROM a LEFT JOIN w ON a.late AND w.k = a.part WHERE (NOT a.late OR a.round * 60000 > w.mark)),
+g AS (SELECT prompt_id, round, min(position) AS f, avg(score) AS m, count(*) AS n FROM c
+  WHERE round * 60000 <= (SELECT mark FROM w WHERE k = 2) GROUP BY 1, 2),
+s AS (SELECT *, dense_rank() OVER (ORDER BY round) - 1 AS r, n = 4 AND m > 1e-6 AND m < 1 - 1e-6 AS kept FROM g)"""
+
+
+@query("r01_stream_dynamic_batches", f"""
+WITH RECURSIVE {_GENERATED},
+t AS (SELECT r, count_if(kept) AS kept, sum(n) AS seen FROM s GROUP BY 1),
+x AS (
+  SELECT -1::BIGINT AS r, 0::BIGINT AS batch, 0::BIGINT AS held, 0::HUGEINT AS seen, FALSE AS done
+  UNION ALL
+  SELECT t.r, x.batch + x.done::INT, CASE WHEN x.done THEN 0 ELSE x.held END + t.kept, CASE WHEN x.done THEN 0 ELSE x.seen END + t.seen,
+    CASE WHEN x.done THEN 0 ELSE x.held END + t.kept >= 64
+  FROM x JOIN t ON t.r = x.r + 1),
+k AS (SELECT x.batch, s.prompt_id, s.m, row_number() OVER (PARTITION BY x.batch ORDER BY s.round, s.f) AS place FROM s JOIN x ON x.r = s.r WHERE s.kept)
+SELECT k.batch, place, prompt_id, m AS mean_score, {q6('400e0 * held / seen')} AS pass_rate FROM k JOIN x ON x.batch = k.batch AND x.done WHERE place <= 64""", "v_responses")
 def r01(spark, sf):
-    stream = _stream(spark, sf, VIEWS["v_responses"])
-    out = SB.run_dynamic_batches(stream, 4, 64, scratch_path(spark, "rollouts"))
-    return out.select("prompt_id", "mean_score", "number", "batch")
+    out = scratch_path(spark, "rollouts")
+    rows = view(spark, sf, "v_responses").select("prompt_id", "position", "score")
+    rows = rows.withColumn("created", F.timestamp_millis(F.lit(1_700_000_000_000) + F.floor(F.col("prompt_id") / 160) * 60_000))
+    for part in _parts(rows, "position"):
+        part.write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(SB.SAMPLE).parquet(f"{out}/in")
+        done = SB.run_dynamic_batches(stream, 4, 64, out, delay=f"{_DELAY} milliseconds")
+    return done.select("batch", "place", "prompt_id", "mean_score", r6("pass_rate").alias("pass_rate"))
 
 
 _TAKEN = """k AS (SELECT *, min(CASE WHEN done THEN step END) OVER (PARTITION BY episode_id) AS stop,

@@ -457,15 +457,22 @@ def k14(spark, sf):
     return K.dynamic_filter(view(spark, sf, "v_responses"), 4).select("prompt_id", "sample_idx", "reward", "score")
 
 
+# rounds of 40 groups, batches of 64: the state goes from round to round
 @query("k15_dynamic_batch_emit", f"""
-WITH g AS (SELECT prompt_id, min(position) AS f, avg(score) AS m, count(*) AS n FROM v_responses GROUP BY 1),
-s AS (SELECT *, row_number() OVER (ORDER BY f) AS seen, n = 4 AND m > 1e-6 AND m < 1 - 1e-6 AS kept FROM g),
-b AS (SELECT *, (row_number() OVER (ORDER BY f) - 1) // 64 AS batch FROM s WHERE kept),
-e AS (SELECT batch, max(seen) AS hi FROM b GROUP BY 1 HAVING count(*) = 64),
-r AS (SELECT batch, 6400e0 / (hi - COALESCE(lag(hi) OVER (ORDER BY batch), 0)) AS pass_rate FROM e)
-SELECT b.batch, prompt_id, m AS mean_score, {q6('pass_rate')} AS pass_rate FROM b JOIN r ON r.batch = b.batch""", "v_responses")
+WITH RECURSIVE g AS (SELECT prompt_id, min(position) AS f, avg(score) AS m, count(*) AS n FROM v_responses GROUP BY 1),
+s AS (SELECT *, (row_number() OVER (ORDER BY f) - 1) // 40 AS r, n = 4 AND m > 1e-6 AND m < 1 - 1e-6 AS kept FROM g),
+t AS (SELECT r, count_if(kept) AS kept, sum(n) AS seen FROM s GROUP BY 1),
+w AS (
+  SELECT -1::BIGINT AS r, 0::BIGINT AS batch, 0::BIGINT AS held, 0::HUGEINT AS seen, FALSE AS done
+  UNION ALL
+  SELECT t.r, w.batch + w.done::INT, CASE WHEN w.done THEN 0 ELSE w.held END + t.kept, CASE WHEN w.done THEN 0 ELSE w.seen END + t.seen,
+    CASE WHEN w.done THEN 0 ELSE w.held END + t.kept >= 64
+  FROM w JOIN t ON t.r = w.r + 1),
+x AS (SELECT batch, 400e0 * held / seen AS pass_rate FROM w WHERE done),
+k AS (SELECT w.batch, s.prompt_id, s.m, row_number() OVER (PARTITION BY w.batch ORDER BY s.f) AS nth FROM s JOIN w ON w.r = s.r WHERE s.kept)
+SELECT k.batch, prompt_id, m AS mean_score, {q6('pass_rate')} AS pass_rate FROM k JOIN x ON x.batch = k.batch WHERE nth <= 64""", "v_responses")
 def k15(spark, sf):
-    out = K.dynamic_batches(view(spark, sf, "v_responses"), 4, 64)
+    out = K.dynamic_batches(view(spark, sf, "v_responses"), 4, 64, round_groups=40)
     return out.select("batch", "prompt_id", "mean_score", r6("pass_rate").alias("pass_rate"))
 
 

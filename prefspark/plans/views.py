@@ -97,6 +97,7 @@ def oracle(body: str, *views: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join(ctes) + ", " + body[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ", ".join(ctes) + ", " + body[len(start) :]
     return "WITH " + ", ".join(ctes) + " " + body

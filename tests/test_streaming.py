@@ -13,6 +13,7 @@ from prefspark.streaming import batches as SB
 from prefspark.streaming import trajectories as ST
 
 TOKENIZER = WhitespaceTokenizer()
+START = datetime(2024, 1, 1)
 
 
 def files(spark, rows, schema, path, n):
@@ -24,61 +25,98 @@ def files(spark, rows, schema, path, n):
     return reader.parquet(path)
 
 
+def samples(seed, prompts, n, round_groups):
+    """Rounds of groups, a minute apart; some groups lack a sample."""
+    rng = random.Random(seed)
+    rows = []
+    for p in range(prompts):
+        at = START + timedelta(minutes=p // round_groups)
+        rows += [(p, p * n + i, float(rng.random() < 0.5), at) for i in range(n) if rng.random() < 0.97]
+    return rows
+
+
+def plain_batches(rows, n, size):
+    """Round by round, as a trainer takes them."""
+    rounds = {}
+    for p, position, score, at in sorted(rows, key=lambda r: r[1]):
+        rounds.setdefault(at, {}).setdefault(p, []).append(score)
+    out, held, seen, batch = [], [], 0, 0
+    for at in sorted(rounds):
+        for p, scores in rounds[at].items():
+            seen += len(scores)
+            if len(scores) == n and 1e-6 < sum(scores) / n < 1 - 1e-6:
+                held.append(p)
+        if len(held) >= size:
+            rate = round(100 * n * len(held) / seen, 9)
+            out += [(batch, p, rate) for p in held[:size]]
+            held, seen, batch = [], 0, batch + 1
+    return out
+
+
+FLUSH = [(-1, -1, 0.0, datetime(2030, 1, 1))]  # lets the watermark pass
+
+
+@pytest.mark.parametrize("size,round_groups,n", [(8, 5, 3), (3, 20, 2), (1, 1, 2), (40, 7, 4), (500, 3, 2)])
+def test_batches_end_with_rounds(spark, size, round_groups, n):
+    rows = samples(size, 240, n, round_groups)
+    got = dynamic_batches(spark.createDataFrame(rows, SB.SAMPLE), n, size, round_groups=round_groups)
+    found = sorted((r.batch, r.prompt_id, round(r.pass_rate, 9)) for r in got.collect())
+    # Rounds by number of groups, not by time: a prompt without samples is none.
+    order = {p: i for i, p in enumerate(dict.fromkeys(p for p, *_ in rows))}
+    timed_ = [(p, q, s, START + timedelta(minutes=order[p] // round_groups)) for p, q, s, _ in rows]
+    assert found == sorted(plain_batches(timed_, n, size))
+
+
 def test_dynamic_batches_over_micro_batches(spark, tmp_path):
-    rng = random.Random(5)
-    rows = [(p, p * 3 + i, float(rng.random() < 0.5)) for p in range(60) for i in range(3)]
-    # groups stay open across files, and one never completes
-    rows = [r for r in rows if r != (59, 179, rows[-1][2])]
-    arrival = sorted(rows, key=lambda r: (r[1] // 40, rng.random()))
-    stream = files(spark, arrival, SB.SAMPLE, f"{tmp_path}/in", 4)
-    out = SB.run_dynamic_batches(stream, 3, 8, f"{tmp_path}/out")
-    got = {}
+    rows = samples(5, 120, 3, 6)
+    rng = random.Random(1)
+    arrival = sorted(rows, key=lambda r: (r[1] // 40 + rng.randint(0, 1), rng.random()))
+    arrival += rows[:0] + rng.sample(rows[-30:], 20)  # sent again
+    stream = files(spark, arrival + FLUSH, SB.SAMPLE, f"{tmp_path}/in", 5)
+    out = SB.run_dynamic_batches(stream, 3, 8, f"{tmp_path}/out", delay="10 minutes")
+    got = sorted((r.batch, r.prompt_id, round(r.pass_rate, 9)) for r in out.collect())
+    assert got == sorted(plain_batches(rows, 3, 8)) and len(got) >= 40
+    places = {}
     for r in out.collect():
-        got.setdefault(r.batch, []).append(r)
-    scores = {}
-    for p, _, s in rows:
-        scores.setdefault(p, []).append(s)
-    kept = {p for p, s in scores.items() if len(s) == 3 and 0 < sum(s) < 3}
-    assert sorted(got) == list(range(len(kept) // 8)) and all(len(g) == 8 for g in got.values())
-    emitted = [r.prompt_id for g in got.values() for r in g]
-    assert len(set(emitted)) == len(emitted) and set(emitted) <= kept
-    numbers = sorted(r.number for g in got.values() for r in g)
-    assert numbers == list(range(len(kept) // 8 * 8))
-    rate = SB.pass_rate(spark, f"{tmp_path}/out").first().pass_rate
-    assert rate == pytest.approx(100 * len(kept) / 59)
-
-
-def test_surplus_samples_do_not_emit_a_prompt_again(spark, tmp_path):
-    rows = [(1, i, float(i % 2)) for i in range(6)] + [(2, 10, 0.0), (2, 11, 1.0), (3, 20, 0.0)]
-    arrival = [rows[0], rows[1], rows[6], rows[2], rows[3], rows[7], rows[4], rows[5], rows[8]]
-    stream = files(spark, arrival, SB.SAMPLE, f"{tmp_path}/in", 3)
-    out = SB.run_dynamic_batches(stream, 2, 1, f"{tmp_path}/out").collect()
-    assert sorted(r.prompt_id for r in out) == [1, 2]
-    # In one micro-batch the batch rule holds: a group of six is no group of two.
-    stream = files(spark, rows, SB.SAMPLE, f"{tmp_path}/one", 1)
-    assert [r.prompt_id for r in SB.run_dynamic_batches(stream, 2, 1, f"{tmp_path}/out_one").collect()] == [2]
-
-
-def test_one_micro_batch_equals_the_batch_operator(spark, tmp_path):
-    rng = random.Random(6)
-    rows = [(p, p * 2 + i, float(rng.random() < 0.5)) for p in range(50) for i in range(2)]
-    stream = files(spark, rows, SB.SAMPLE, f"{tmp_path}/in", 1)
-    got = SB.run_dynamic_batches(stream, 2, 5, f"{tmp_path}/out")
-    want = dynamic_batches(spark.createDataFrame(rows, SB.SAMPLE), 2, 5)
-    pair = ("batch", "prompt_id")
-    assert sorted(map(tuple, got.select(*pair).collect())) == sorted(map(tuple, want.select(*pair).collect()))
+        places.setdefault(r.batch, []).append(r.place)
+    assert all(sorted(p) == list(range(1, 9)) for p in places.values())
+    # Another cut into files gives the same.
+    stream = files(spark, arrival + FLUSH, SB.SAMPLE, f"{tmp_path}/in2", 2)
+    out = SB.run_dynamic_batches(stream, 3, 8, f"{tmp_path}/out2", delay="10 minutes")
+    assert sorted((r.batch, r.prompt_id, round(r.pass_rate, 9)) for r in out.collect()) == got
+    seen = sum(1 for _ in rows)
+    kept = {p for p, *_ in rows if 0 < sum(s for q, _, s, _ in rows if q == p) < 3 and sum(q == p for q, *_ in rows) == 3}
+    assert SB.pass_rate(spark, f"{tmp_path}/out", 3) == pytest.approx(100 * 3 * len(kept) / seen)
+
+
+def test_late_and_surplus_samples(spark, tmp_path):
+    at = lambda m: START + timedelta(minutes=m)
+    rows = [
+        [(1, 0, 0.0, at(0)), (1, 1, 1.0, at(0)), (2, 2, 1.0, at(0)), (3, 4, 0.0, at(0)), (3, 5, 1.0, at(0))],
+        [(3, 6, 1.0, at(0)), (1, 1, 1.0, at(0)), (9, 20, 0.0, at(30))],  # 3 has a sample too many, 1 comes again
+        [(2, 3, 0.0, at(0)), (9, 21, 1.0, at(30))],  # the other sample of 2 is too late
+        FLUSH,
+    ]
+    for part in rows:
+        spark.createDataFrame(part, SB.SAMPLE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = SB.run_dynamic_batches(spark.readStream.schema(SB.SAMPLE).parquet(f"{tmp_path}/in"), 2, 1, f"{tmp_path}/out")
+    assert sorted((r.batch, r.place, r.prompt_id, r.pass_rate) for r in out.collect()) == [(0, 1, 1, pytest.approx(200 / 6)), (1, 1, 9, 100.0)]
 
 
 def test_repeating_a_micro_batch_changes_nothing(spark, tmp_path):
-    store = SB.number_groups(str(tmp_path), 2)
-    def verdicts(start):
-        return spark.range(start, start + 3).selectExpr(
-            "id AS prompt_id", "id AS first_position", "2 AS n", "0.5D AS mean_score", "true AS kept"
+    store = SB.batch_groups_of(str(tmp_path), 2, 4)
+
+    def verdicts(start, n):
+        return spark.range(start, start + n).selectExpr(
+            "timestamp_seconds(id div 3) AS created", "id AS prompt_id", "id AS first_position", "2L AS n", "0.5D AS mean_score", "true AS kept"
         )
-    for epoch, start in ((0, 0), (1, 3), (1, 3), (0, 0)):
-        store(verdicts(start), epoch)
-    got = SB.emitted_batches(spark, str(tmp_path), 2).orderBy("number").collect()
-    assert [(r.prompt_id, r.number, r.batch) for r in got] == [(i, i, i // 2) for i in range(6)]
+
+    for epoch, start, n in ((0, 0, 9), (1, 9, 0), (2, 9, 12), (2, 9, 12), (1, 9, 0), (0, 0, 9), (3, 21, 3)):
+        store(verdicts(start, n), epoch)
+    got = SB.emitted_batches(spark, str(tmp_path)).orderBy("batch", "place").collect()
+    # rounds of three: a batch of four takes two rounds and loses two groups
+    assert [r.prompt_id for r in got] == [6 * b + i for b in range(4) for i in range(4)]
+    assert {r.pass_rate for r in got} == {100.0}
 
 
 STEPS = (
@@ -97,7 +135,6 @@ def episodes():
 
 
 TIMED = STEPS + ", label string, extra_logs map<string,double>, action_log_probs array<double>, event_time timestamp"
-START = datetime(2024, 1, 1)
 
 
 def timed(row, seconds):
