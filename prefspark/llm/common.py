@@ -234,6 +234,21 @@ class PieceMemo:
         return [list(islice(values, len(part))) for part in parts]
 
 
+    def laid_out(self, found: list[str | None]) -> tuple[memoryview, np.ndarray]:
+        """Values of the pieces of many texts, which are bytes, end to end, and where those of each text end.
+
+        Pieces are numbered by Arrow, so the memory is asked once for each different one.
+        """
+        parts = [pieces(t) if t else [] for t in found]
+        numbered = pa.array([p for part in parts for p in part], pa.string()).dictionary_encode()
+        values = pa.array(self(numbered.dictionary.to_pylist()), pa.binary()).take(numbered.indices)
+        ends = np.cumsum([len(part) for part in parts])
+        if not len(values):
+            return memoryview(b""), np.zeros(len(found), np.int64)
+        places = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+        return memoryview(values.buffers()[2]), places[ends].astype(np.int64)
+
+
 def vocabulary_path(name: str) -> str:
     """Where a vocabulary file lies on this machine: ``name`` itself if it is a path."""
     if "/" in name:

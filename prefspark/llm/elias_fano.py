@@ -7,7 +7,7 @@ below u takes about 2 + log2(u / n) bits a value: low bits as they are, high bit
 i-th value comes from the place of the i-th one bit, found from samples, so no table of offsets is kept.
 
 ``index`` = magic, width of an id, numbers of documents, of ids and of NULL doc_ids, smallest doc_id, then
-the two sequences, each with n, low-bit width, byte lengths, samples, high and low bits.
+the two sequences, each with n, low-bit width, byte lengths, samples (a place and a count each), high and low bits.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from prefspark.llm.common import PieceMemo, held, parts_for, stored
 from prefspark.llm.token_counts import load
 from prefspark.session import scratch_path
 
-MAGIC = b"EFIDS001"
+MAGIC = b"EFIDS002"
 SAMPLE = 512
 _HEADER = struct.Struct("<8sBqqqq")
 _SEQUENCE = struct.Struct("<qBqqq")
@@ -38,15 +38,15 @@ _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 class EliasFano:
     """An ascending sequence of non-negative integers."""
 
-    def __init__(self, n: int, width: int, samples: np.ndarray, high: np.ndarray, low: np.ndarray):
-        self.n, self.width, self.samples, self.high, self.low = n, width, samples, high, low
+    def __init__(self, n: int, width: int, samples: np.ndarray, before: np.ndarray, high: np.ndarray, low: np.ndarray):
+        self.n, self.width, self.samples, self.before, self.high, self.low = n, width, samples, before, high, low
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
         if not n:
-            return cls(0, 0, np.empty(0, np.uint32), np.empty(0, np.uint8), np.empty(0, np.uint8))
+            return cls(0, 0, np.empty(0, np.uint32), *[np.empty(0, np.uint8)] * 3)
         width = max(0, (int(values[-1]) // n).bit_length() - 1)
         ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1, np.uint8)
@@ -54,16 +54,17 @@ class EliasFano:
         low = np.empty((n, width), np.uint8)
         for k in range(width):
             low[:, k] = (values >> np.uint64(k)) & np.uint64(1)
-        # Samples are byte places, so four bytes each reach 2^35 bits.
-        samples = (ones[::SAMPLE] >> 3).astype(np.uint32)
-        return cls(n, width, samples, np.packbits(bits, bitorder="little"), np.packbits(low.ravel(), bitorder="little"))
+        # Samples are byte places, so four bytes each reach 2^35 bits, and one byte for the ones before it in its own byte.
+        high = np.packbits(bits, bitorder="little")
+        samples = ones[::SAMPLE] >> 3
+        before = _ONES[high[samples] & ((1 << (ones[::SAMPLE] & 7)) - 1)]
+        return cls(n, width, samples.astype(np.uint32), before, high, np.packbits(low.ravel(), bitorder="little"))
 
     def select(self, i: int) -> int:
         """Place of the i-th one among the high bits."""
         at = int(self.samples[i // SAMPLE])
-        first = i - i % SAMPLE
         # Ones of the sampled byte before the sampled one count to earlier values.
-        left = i - first + self._before(at, first)
+        left = i % SAMPLE + int(self.before[i // SAMPLE])
         while True:
             counts = np.cumsum(_ONES[self.high[at : at + 256]])
             k = int(np.searchsorted(counts, left, side="right"))
@@ -78,22 +79,6 @@ class EliasFano:
             left -= int(counts[-1])
             at += 256
 
-    def _before(self, at: int, first: int) -> int:
-        """Ones of byte ``at`` that belong to values before ``first``: low bits of the byte, by parity with zeros.
-
-        The number of zeros before the sampled one tells its place; it is the one of the byte whose rank is
-        the number of values before it, so count back from the samples' own bit.
-        """
-        return int(self.ranks[first // SAMPLE])
-
-    @property
-    def ranks(self) -> np.ndarray:
-        """For each sample, the ones of its byte that come before it (computed once from the high bits)."""
-        if not hasattr(self, "_ranks"):
-            before = np.concatenate([[0], np.cumsum(_ONES[self.high], dtype=np.int64)])
-            self._ranks = np.arange(0, self.n, SAMPLE) - before[self.samples]
-        return self._ranks
-
     def __getitem__(self, i: int) -> int:
         value = (self.select(i) - i) << self.width
         for k in range(self.width):
@@ -119,7 +104,7 @@ class EliasFano:
 
     def to_bytes(self) -> bytes:
         head = _SEQUENCE.pack(self.n, self.width, len(self.samples), len(self.high), len(self.low))
-        return head + self.samples.tobytes() + self.high.tobytes() + self.low.tobytes()
+        return head + b"".join(x.tobytes() for x in (self.samples, self.before, self.high, self.low))
 
     @classmethod
     def from_bytes(cls, data: memoryview) -> tuple[EliasFano, int]:
@@ -127,7 +112,7 @@ class EliasFano:
         n, width, samples, high, low = _SEQUENCE.unpack_from(data)
         at = _SEQUENCE.size
         found = []
-        for kind, count in ((np.uint32, samples), (np.uint8, high), (np.uint8, low)):
+        for kind, count in ((np.uint32, samples), (np.uint8, samples), (np.uint8, high), (np.uint8, low)):
             found.append(np.frombuffer(data, kind, count, at))
             at += count * np.dtype(kind).itemsize
         return cls(n, width, *found), at
@@ -169,20 +154,44 @@ class _Shard:
         self.files.move(f"{self.temporary}.ef", f"{self.folder}/index-{self.shard:08d}.ef")
 
 
-def _id_bytes(vocabulary: str, end_id: int) -> tuple[int, PieceMemo]:
-    """Width of an id, and the library's ids of pieces as bytes."""
+def _mark(tokenizer) -> tuple[str, int] | None:
+    """A special token that cuts a text wherever it stands, and its id."""
+    for number, token in tokenizer.get_added_tokens_decoder().items():
+        if token.special and not (token.lstrip or token.rstrip or token.single_word or token.normalized):
+            return token.content, number
+    return None
+
+
+def _id_bytes(vocabulary: str, end_id: int, together: int = 256) -> tuple[int, PieceMemo]:
+    """Width of an id, and the library's ids of pieces as bytes.
+
+    Pieces are given to the library many at a time, with a special token between them, which no piece can merge across.
+    """
     tokenizer = load(vocabulary)
     width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    pack = {n: struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(64)}
+    mark = _mark(tokenizer)
+
+    def alone(new: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        return [np.array(e.ids, f"<u{width}").tobytes() for e in found]
 
     def encode(new: list[str]) -> list[bytes]:
+        if mark is None or any(mark[0] in p for p in new):
+            return alone(new)
+        groups = [new[i : i + together] for i in range(0, len(new), together)]
         out = []
-        for e in tokenizer.encode_batch_fast(new, add_special_tokens=False):
-            ids = e.ids
-            out.append(pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, f"<u{width}").tobytes())
+        for group, e in zip(groups, tokenizer.encode_batch_fast([mark[0].join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, f"<u{width}")
+            cuts = np.flatnonzero(ids == mark[1])
+            if len(cuts) + 1 != len(group):
+                out += alone(group)
+                continue
+            data = ids.tobytes()
+            starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
+            out += [data[a:b] for a, b in zip(starts, ends)]
         return out
 
-    return width, PieceMemo(encode)
+    return width, PieceMemo(encode, limit=1_000_000)
 
 
 def write_token_files(
@@ -213,9 +222,12 @@ def write_token_files(
         end = np.array([end_id], f"<u{width}").tobytes()
         shard = None
         for batch in batches:
-            for doc_id, found in zip(batch.column("id").to_pylist(), memo.texts(batch.column("text").to_pylist())):
+            data, ends = memo.laid_out(batch.column("text").to_pylist())
+            start = 0
+            for doc_id, stop in zip(batch.column("id").to_pylist(), ends.tolist()):
                 shard = shard or _Shard(path, TaskContext.get().partitionId(), width)
-                shard.add(doc_id, b"".join(found) + end)
+                shard.add(doc_id, bytes(data[start:stop]) + end)
+                start = stop
         if shard:
             shard.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard.shard, "n_docs": len(shard.ends), "n_ids": shard.total}])
