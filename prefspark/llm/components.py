@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import stored
+from prefspark.operators.groups import join_unique
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
     """Edges ``u, v`` with ``m``, the least of ``u`` and its neighbours. A hot ``u`` is split by the join."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return join_unique(edges, least, ["u"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Jaccard self-join of n-gram sets with a prefix-tree join, and its connected documents.
 
 N-grams get one global order: from rare to frequent by a count sketch of a fixed number of cells over the
-whole corpus, then by hash. Two sets that link share an n-gram among the first ``n - ceil(t n) + 1`` of each,
-so every distinct set is put to the groups of those n-grams. What is left are groups of at least two sets of
-like sizes. A group is joined through a trie of its sets, frequent n-grams first, where sets share the most: a
+whole corpus, then by hash. Two sets that link share an n-gram among the first ``n - ceil(t n) + 1`` of the larger and the
+first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller, which are about half as many; so every distinct set is put to the
+groups of the former, marked where it could be the smaller one. What is left are sets of like sizes with a smaller one that
+is so marked. A group is joined through a trie of its sets, frequent n-grams first, where sets share the most: a
 traversal carries all probing sets down a path at once with their overlaps so far, and drops those for which
 even the best set below, by the n-grams remaining in both, falls short of the threshold. The overlap at a
 set's end is exact, so no candidate needs another check.
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from prefspark.llm.common import BLOCK_BYTES, SENT, mix, ngrams, pack, parts_for, stored, word_hashes
 from prefspark.llm.components import components
+from prefspark.operators.groups import join_unique
 
-CELLS = 1 << 20  # of the count sketch, whatever the input
+CELLS = 1 << 22  # of the count sketch, whatever the input; it decides on the order alone, never on a link
 SLICES = 64
 CHUNK_GRAMS = 1 << 16  # n-grams of the sets of a chunk
 SEND_GRAMS = 1 << 21  # records that a task holds before it sends them
-RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("n", "<i4"), ("block", "<i4")])
+# "place" is twice the block, and one more for an n-gram that a set has too late to be the smaller of two.
+RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("n", "<i4"), ("place", "<i4")])
 GRAM_BITS = 48  # of an n-gram hash
 MASK = np.uint64((1 << GRAM_BITS) - 1)
 STEP = (1 << 40) - 1  # largest gap of five bytes
@@ -92,7 +95,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "sid", "n", "slice", "payload"],
             )
         task = TaskContext.get().partitionId()
-        slices = [(i, zlib.compress(s.astype("<u8").tobytes(), 1)) for i, s in enumerate(np.split(counts, SLICES)) if s.any()]
+        slices = [(i, zlib.compress(s.tobytes(), 1)) for i, s in enumerate(np.split(counts, SLICES)) if s.any()]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.nulls(len(slices), pa.int64()),
@@ -113,9 +116,10 @@ def _levels(scanned: DataFrame) -> np.ndarray:
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(CELLS // SLICES, np.uint64)
         for payload in group["payload"]:
-            total += np.frombuffer(zlib.decompress(payload.as_buffer()), "<u8")
+            total += np.frombuffer(zlib.decompress(payload.as_buffer()), "<u4")
+        most = np.minimum(total, 2**32 - 1).astype("<u4")  # its level is the last one long before
         return pa.table(
-            {"slice": group["slice"][:1], "part": pa.array([0], pa.int64()), "payload": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())}
+            {"slice": group["slice"][:1], "part": pa.array([0], pa.int64()), "payload": pa.array([zlib.compress(most.tobytes(), 1)], pa.binary())}
         )
 
     parts = scanned.where("slice IS NOT NULL").select("slice", F.pmod("n", F.lit(1024)).alias("part"), "payload")
@@ -124,11 +128,34 @@ def _levels(scanned: DataFrame) -> np.ndarray:
     levels = np.zeros(CELLS, np.uint8)
     width = CELLS // SLICES
     for row in summed.collect():  # CELLS numbers in all
-        counts = np.frombuffer(zlib.decompress(row["payload"]), "<u8").astype(np.float64)
+        counts = np.frombuffer(zlib.decompress(row["payload"]), "<u4").astype(np.float64)
         levels[row["slice"] * width : (row["slice"] + 1) * width] = np.minimum(4 * np.log2(counts + 1), 255)
     return levels
 
 
+def _apart(k: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a record, sorted by n-gram and size, is too large to link with the one before it."""
+    n = k["n"].astype(np.int64)
+    out = np.ones(len(k), bool)
+    out[1:] = (k["gram"][1:] != k["gram"][:-1]) | (100 * n[:-1] < percent * n[1:])
+    return out
+
+
+def _may_link(k: np.ndarray, percent: int) -> np.ndarray:
+    """Records with another one that they may link with: the smaller of two has to have the n-gram early.
+
+    Sorted by n-gram, size and earliness, so the best smaller set of a record is the last early one before it, and the best
+    larger set of an early one is the next.
+    """
+    n, early, at = k["n"].astype(np.int64), (k["place"] & 1) == 0, np.arange(len(k))
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(early, at, -1))[:-1]])
+    best = np.maximum(last, 0)
+    larger = (last >= 0) & (k["gram"][best] == k["gram"]) & (100 * n[best] >= percent * n)
+    smaller = np.zeros(len(k), bool)
+    smaller[:-1] = early[:-1] & ~_apart(k, percent)[1:]
+    return k[larger | smaller]
+
+
 def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, partitions: int) -> DataFrame:
     """``sig, sid, n, block``: the sets of every group of at least two that may link, stored.
 
@@ -146,12 +173,14 @@ def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, pa
                     record = np.zeros(take, RECORD)
                     record["gram"] = _order(grams, levels.value)[:take]
                     sid = set_id(grams)
-                    record["a"], record["n"], record["block"] = np.frombuffer(sid, "<u8", 1), size, block
+                    record["a"], record["n"] = np.frombuffer(sid, "<u8", 1), size
+                    early = size + 2 * percent * size // -(100 + percent) + 1
+                    record["place"] = 2 * block + (np.arange(take) >= early)
                     other = held.setdefault(sid, record)
                     if other is record:
                         grams_held += take
                     else:
-                        other["block"] = np.minimum(other["block"], block)
+                        other["place"] = np.minimum(other["place"], record["place"])
             if grams_held > SEND_GRAMS:
                 yield from sent(held)
                 held, grams_held = {}, 0
@@ -164,14 +193,14 @@ def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, pa
 
     def group_up(group: pa.Table) -> pa.Table:
         k = np.concatenate([np.frombuffer(x, RECORD) for x in group["payload"].to_pylist()])
-        k = k[np.lexsort((k["block"], k["a"], k["n"], k["gram"]))]
+        k = k[np.lexsort((k["place"], k["a"], k["place"] & 1, k["n"], k["gram"]))]
         new = np.ones(len(k), bool)
         new[1:] = (k["gram"][1:] != k["gram"][:-1]) | (k["a"][1:] != k["a"][:-1]) | (k["n"][1:] != k["n"][:-1])
-        k = k[new]
+        k = _may_link(k[new], percent)
+        if not len(k):
+            return pa.table({c: pa.array([], t) for c, t in (("sig", pa.int64()), ("sid", pa.binary()), ("n", pa.int32()), ("block", pa.int64()))})
         # Sorted by size within an n-gram; a group ends where the next set is too large to link.
-        n = k["n"].astype(np.int64)
-        start = np.ones(len(k), bool)
-        start[1:] = (k["gram"][1:] != k["gram"][:-1]) | (100 * n[:-1] < percent * n[1:])
+        start = _apart(k, percent)
         part = np.cumsum(start) - 1
         several = np.bincount(part)[part] > 1
         totals = np.zeros(int(part[-1]) + 1, np.uint64)
@@ -181,7 +210,7 @@ def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, pa
                 "sig": pa.array(totals[part][several].view(np.int64), pa.int64()),
                 "sid": pa.array(_set_ids(k[several]), pa.binary()),
                 "n": pa.array(k["n"][several], pa.int32()),
-                "block": pa.array(k["block"][several], pa.int64()),
+                "block": pa.array(k["place"][several] >> 1, pa.int64()),
             }
         )
 
@@ -198,16 +227,16 @@ def _needed_groups(members: DataFrame, chunk_grams: int) -> DataFrame:
     is left out lies in a greater one by (size, sig), so the greatest of a chain stays.
     """
     size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n").cast("long")).alias("grams"))
-    sized = members.join(size, "sig").select("sid", F.struct("size", "sig").alias("group"))
+    sized = join_unique(members, size, ["sig"]).select("sid", F.struct("size", "sig").alias("group"))
     largest = sized.groupBy("sid").agg(F.max("group").alias("largest"))
-    ends = sized.join(largest, "sid").groupBy("group").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
+    ends = join_unique(sized, largest, ["sid"]).groupBy("group").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
     tried = ends.select("group", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).where("other > group")
     tried = tried.select(F.col("group.sig").alias("sig"), F.col("group.size").alias("size"), F.col("other.sig").alias("other"))
     inside = tried.join(members.select("sig", "sid"), "sig")
     inside = inside.join(members.select(F.col("sig").alias("other"), "sid"), ["other", "sid"])
     within = inside.groupBy("sig", "other", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").select("sig").distinct()
     chunks = F.ceil(F.col("grams") / F.lit(chunk_grams)).cast("int").alias("k")
-    return members.join(size.join(within, "sig", "left_anti").select("sig", chunks), "sig")
+    return join_unique(members, size.join(within, "sig", "left_anti").select("sig", chunks), ["sig"])
 
 
 def _set_ids(k: np.ndarray) -> list[bytes]:
@@ -388,10 +417,10 @@ def ngram_join(
     roots = components(_join_groups(together, levels, percent))
 
     ids = scanned.where("slice IS NULL").select("doc_id", "sid", "n")
-    named = ids.join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left")
+    named = join_unique(ids, roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), ["sid"], "left")
     named = named.select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     first = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(first, "root", "left")
+    out = join_unique(named, first, ["root"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
