@@ -6,8 +6,11 @@ so no partition ever holds more than a range of the order, even when one group o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefspark.functions.scalars import drawn, floor_div
 from prefspark.session import materialize
@@ -75,21 +78,36 @@ def running_sums(
     return out.select(*df.columns, *[(F.col(f"_r_{k}") + F.col(f"_s_{k}")).alias(k) for k in sums])
 
 
-# Shares of the rows tried as tail, from about half to a ten-thousandth.
+# Shares of the rows tried as tail, from about a ninth less than all to a ten-thousandth.
+_FINE = [1 - 10 ** (-j / 16) for j in range(1, 65)]
 _TAILS = [1 - 10 ** (-j / 4) for j in range(1, 17)]
+_ACCURACY = 10_000  # of the quantile sketch
+ONE_TASK = 1 << 17  # rows that one task may sort
 
 
-def prune_to_tail(df: DataFrame, key: Column, k: int) -> DataFrame:
-    """Drop rows that cannot be among the ``k`` greatest ``key`` values; missing keys rank last.
+def prune_to_tail(df: DataFrame, key: Column, k: int) -> tuple[DataFrame, int, object]:
+    """Rows that can be among the ``k`` greatest ``key`` values, a bound of their number, and the least key (None: any).
 
-    Two narrow passes, run as scalar subqueries: approximate quantiles propose cuts, exact counts
-    choose the highest cut that at least ``k`` rows reach. The result never depends on the
-    approximation; without a good cut nothing is dropped.
+    One narrow pass makes a quantile sketch, whose error is bounded; of its cuts the highest is taken that at least ``k`` rows
+    reach for sure. It is repeated on what is left while that makes it much less, so a tiny share takes a pass or two more.
+    The result never depends on the approximation. Missing keys rank last: rows with one stay only if nothing is cut.
     """
-    bounds = df.agg(F.percentile_approx(key, _TAILS, 10000)).scalar()
-    counted = df.select(key.alias("_key"), bounds.alias("_b")).agg(F.first("_b").alias("_b"), *_reached())
-    cut = counted.select(_highest_cut(k)).scalar()
-    return df.where(cut.isNull() | (key >= cut))
+    least = None
+    while True:
+        n, rows, cuts = df.agg(F.count(key), F.count(F.lit(1)), F.percentile_approx(key, _FINE, _ACCURACY)).first()
+        error = n / _ACCURACY + 1
+        sure = [i for i, share in enumerate(_FINE) if cuts and n * (1 - share) - error >= k]
+        if not sure:
+            return df, rows, least
+        cut = cuts[sure[-1]]
+        # As many rows at most reach the cut as reach the next lower one; values that tie with it are known by that.
+        below = max((share for share, value in zip(_FINE, cuts) if value < cut), default=0.0)
+        bound = min(math.ceil(n * (1 - below) + error), n)
+        if least == cut:
+            return df, bound, least
+        df, least = df.where(key >= cut), cut
+        if bound <= max(2 * k, ONE_TASK) or bound > rows / 2:
+            return df, bound, least
 
 
 def _reached() -> list[Column]:
@@ -100,14 +118,36 @@ def _highest_cut(k: int) -> Column:
     return F.greatest(*[F.when(F.col(f"_n{j}") >= k, F.col("_b")[j]) for j in range(len(_TAILS))])
 
 
+def _numeric(df: DataFrame, ties: list) -> bool:
+    return bool(ties) and isinstance(ties[0], str) and isinstance(df.schema[ties[0]].dataType, T.IntegralType)
+
+
+def _first_of(df: DataFrame, key: Column, ties: list, k: int) -> DataFrame:
+    """The rows of :func:`top_k`, in any order."""
+    near, bound, least = prune_to_tail(df, key, k)
+    order = [key.desc_nulls_last(), *_cols(ties)]
+    if least is None and bound <= k:
+        return near
+    if bound <= ONE_TASK:
+        return near.orderBy(*order).limit(k)
+    if least is not None and bound > 2 * k and _numeric(df, ties):
+        # Most of what is left ties at the cut: all above it belong, and of the ties those that come first.
+        above, missing = near.agg(F.count_if(key > least), F.count_if(F.col(ties[0]).isNull())).first()
+        if above < k and not missing:
+            tied = _first_of(near.where(key == least), -F.col(ties[0]).cast("decimal(38,0)"), ties[1:], k - above)
+            return near.where(key > least).unionByName(tied)
+    placed = dense_position(near, order, "_position")
+    return placed.where(F.col("_position") < k).drop("_position")
+
+
 def top_k(df: DataFrame, key: Column, ties: list, k: int) -> DataFrame:
     """The ``k`` rows of the greatest ``key``, ties by the columns ``ties``, missing keys last; in that order.
 
-    One plan for every k: :func:`prune_to_tail` leaves about ``k`` rows, with all ties at the cut; only
-    those are shuffled, by ranges of the whole order, and numbered. No task holds more than a range.
+    :func:`prune_to_tail` leaves little more than ``k`` rows, with ties at the cut. So many fit in one task up to a fixed
+    number, then Spark's own sort and limit takes the first; beyond it they are numbered by ranges of the order. Rows are
+    looked at when the function is called.
     """
-    placed = dense_position(prune_to_tail(df, key, k), [key.desc_nulls_last(), *_cols(ties)], "_position")
-    return placed.where(F.col("_position") < k).orderBy("_position").drop("_position")
+    return _first_of(df, key, ties, k).orderBy(key.desc_nulls_last(), *_cols(ties))
 
 
 def top_k_per(df: DataFrame, keys: list[str], key: Column, ties: list, k: int) -> DataFrame:

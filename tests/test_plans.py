@@ -25,7 +25,7 @@ def plan(df):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS - TRAINING_DATA))
 def test_plan(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
-    python = any(n in text for n in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF"))
+    python = any(n in text for n in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsIn", "FlatMapCoGroupsIn", "PythonUDF"))
     assert python == (name in PYTHON)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
@@ -43,7 +43,7 @@ def test_top_k_scans_only_needed_columns(spark):
     from prefspark.operators.positions import prune_to_tail
     from prefspark.plans.views import view
 
-    text = plan(prune_to_tail(view(spark, SF_DIR, "v_margins").select("pair_id", "im"), F.col("im"), 10))
+    text = plan(prune_to_tail(view(spark, SF_DIR, "v_margins").select("pair_id", "im"), F.col("im"), 10)[0])
     assert text.count("ReadSchema: struct<event_id:bigint>") == text.count("ReadSchema") > 0
 
 
