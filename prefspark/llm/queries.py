@@ -144,7 +144,7 @@ WITH RECURSIVE w AS (
 token AS (SELECT target, id, p, ws[p] AS word, CASE WHEN p > 1 THEN ws[p - 1] END AS before
   FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM w)),
 counts AS (SELECT word, sum(target) AS t, sum(1 - target) AS b FROM token GROUP BY word),
-vocabulary AS (SELECT * FROM counts ORDER BY t + b DESC, word LIMIT 16384),
+vocabulary AS (SELECT * FROM counts),
 total AS (SELECT sum(t)::DOUBLE AS t, sum(b)::DOUBLE AS b FROM counts),
 start AS (SELECT sum(target)::DOUBLE AS t, sum(1 - target)::DOUBLE AS b FROM w WHERE len(ws) > 0),
 unigram AS (
@@ -169,7 +169,7 @@ FROM w LEFT JOIN (
 WHERE w.target = 0""",
 )
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    scored = lm_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), vocabulary=None)
     return scored.withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
