@@ -14,6 +14,7 @@ from prefspark.operators.normalize import load_pairs
 from prefspark.operators.positions import head_limit
 from prefspark.schema import PAIR, nan_to_null
 from prefspark.session import file_system
+from prefspark.sources.csv_records import read_csv
 
 FORMATS = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet": "parquet", ".arrow": "arrow_ipc"}
 
@@ -136,7 +137,7 @@ def read_any(
 
     A ``.json`` file may hold one object per line or one array over several lines. A folder is read from
     ``data_dir`` when given, else from its ``split`` subfolder when there is one, else as a whole, in the format
-    of its files. CSV texts may hold line breaks, so that a file is one task, unless ``csv_newlines`` is off.
+    of its files. CSV texts may hold line breaks (see :func:`read_csv`), unless ``csv_newlines`` is off.
     """
     tables = []
     for path, data_dir in parse_spec(spec):
@@ -173,9 +174,10 @@ def _load(spark: SparkSession, path: str, ext: str, schema: T.StructType | None,
         first = spark.read.option("wholetext", False).text(path).where("trim(value) <> ''").limit(1).collect()
         array = ext == ".json" and bool(first) and first[0][0].lstrip("\ufeff \t").startswith("[")
         reader = reader.option("mode", "FAILFAST").option("multiLine", array)
+    if fmt == "csv" and csv_newlines:
+        return read_csv(spark, path, schema)
     if fmt == "csv":
-        # RFC 4180 quoting: texts hold newlines and doubled quotes.
-        reader = reader.option("header", True).option("multiLine", csv_newlines).option("escape", '"')
+        reader = reader.option("header", True).option("escape", '"')  # RFC 4180: quotes are doubled
     return reader.format(fmt).load(path)
 
 

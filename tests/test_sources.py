@@ -1,7 +1,9 @@
 """Readers and writers."""
 
+import csv
 import json
 import os
+import random
 
 import pyarrow as pa
 import pytest
@@ -9,6 +11,8 @@ import pytest
 from prefspark.plans import pipelines
 from prefspark.schema import EM_SCORES, IM_MARGINS, PAIR
 from prefspark.sources import readers, writers
+from prefspark.sources.csv_records import csv_records, read_csv
+from prefspark.sources.readers import read_any
 
 
 def write(path, *lines):
@@ -180,3 +184,40 @@ def test_post_processing_pipeline(spark):
     assert summary.first().reward_mean == 2.0 and best.first().output == "b"
     _, shaped = pipelines.post_process(df, "csft", normalize=True)
     assert {r.input for r in shaped.collect()} == {"q <rm_score>: -0.71 ", "q <rm_score>: 0.71 "}
+
+
+@pytest.mark.parametrize("size", [60, 333, 5_000, 1 << 20])
+def test_csv_with_line_breaks_is_split(spark, tmp_path, size):
+    rng = random.Random(size)
+    texts = ["plain", "", None, "two\nlines", 'say ""', "a, b", "\n\n", 'x"\n"y', "é\r\nz", '"', "l" * 200, "many\n" * 60]
+    rows = [(str(i), rng.choice(texts), rng.choice(texts)) for i in range(150)]
+    for part in range(2):
+        with open(f"{tmp_path}/{part}.csv", "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\r\n" if part else "\n")
+            out.writerow(["id", "a", "b"])
+            for r in rows[part::2]:
+                out.writerow(["" if x is None else x for x in r])
+                if rng.random() < 0.1:
+                    f.write("\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        (got,) = read_any(spark, f"{tmp_path}", split="") if size == 333 else (read_csv(spark, str(tmp_path)),)
+        parts = csv_records(spark, str(tmp_path)).rdd.getNumPartitions()
+        got = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    order = lambda r: tuple(x or "" for x in r)
+    assert sorted(got, key=order) == sorted(((i, a or None, b or None) for i, a, b in rows), key=order)
+    one = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    same = lambda r: tuple(x and x.replace("\r\n", "\n") for x in r)  # one task makes line ends of texts those of the file
+    assert sorted(map(same, got), key=order) == sorted((same(r) for r in one.collect()), key=order)
+    assert (parts > 20) == (size < 1_000)
+
+
+def test_csv_with_a_schema(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('n,t\n1,"a\nb"\n2,\n')
+    (got,) = read_any(spark, str(tmp_path / "x.csv"), schema=spark.createDataFrame([], "n int, t string").schema)
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb"), (2, None)]
