@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.functions.scalars import drawn, floor_div
+from prefspark.functions.scalars import bind, drawn, floor_div
 from prefspark.session import materialize
 
 _ROW_BITS = 33  # low bits of monotonically_increasing_id
@@ -194,6 +194,82 @@ def epoch_order(df: DataFrame, id_col: str, seed: int, epoch: int) -> DataFrame:
     return dense_position(df.withColumn("_key", key), ["_key", id_col], "epoch_index").drop("_key")
 
 
+_MODULUS = 2_147_483_647  # a prime below 2^31, so that products stay within a long
+_ROUNDS = ((48_271, 11), (69_621, 101), (39_373, 1_009), (630_360_016, 10_007))  # multipliers, and what sets the rounds apart
+_WALK = 64
+
+
+def _grid(n: int) -> tuple[int, int]:
+    """Sides of the smallest near-square grid with ``n`` cells or more."""
+    a = max(math.isqrt(max(n - 1, 0)) + 1, 1)
+    return a, max(-(-n // a), 1)
+
+
+def _mixed(x: Column, seed: int, number: int) -> Column:
+    factor, apart = _ROUNDS[number]
+    first = F.pmod((x + F.lit(seed % _MODULUS + apart)) * F.lit(factor), F.lit(_MODULUS))
+    return F.pmod((first + F.lit(apart)) * F.lit(factor), F.lit(_MODULUS))
+
+
+def _of(fn, *more):
+    """A function of one column, as lambdas of columns may have no other parameters."""
+    return lambda c: fn(c, *more)
+
+
+def permuted(index: Column, n: int, seed: int, back: bool = False) -> Column:
+    """A place in [0, n) for each index in [0, n), no two the same; ``back`` gives the index of a place.
+
+    A Feistel network on a grid of a little more than ``n`` cells: either coordinate is shifted by a mix of the other. A cell
+    outside goes through again until it is inside, which few do, and hardly any more than once.
+    """
+    a, b = _grid(n)
+    seed = seed % _MODULUS
+    start = F.struct(F.pmod(index.cast("long"), F.lit(a)).alias("x"), floor_div(index.cast("long"), a).alias("y"))
+
+    def turned(cell: Column, number: int) -> Column:
+        side, other, size = ("x", "y", a) if number % 2 == 0 else ("y", "x", b)
+        by = _mixed(cell[other], seed, number)
+        moved = F.pmod(cell[side] - by if back else cell[side] + by, F.lit(size))
+        return F.struct(*[(moved if s == side else cell[s]).alias(s) for s in "xy"])
+
+    def once(cell: Column) -> Column:
+        for number in range(3, -1, -1) if back else range(4):
+            cell = bind(cell, _of(turned, number))
+        return cell
+
+    def place(cell: Column) -> Column:
+        return cell["y"] * F.lit(a) + cell["x"]
+
+    def walk(cell: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.when(place(cell) < n, F.lit(1)).otherwise(F.lit(_WALK)))
+        last = F.aggregate(steps, cell, lambda c, _: F.when(place(c) < n, c).otherwise(once(c)))
+        lost = F.raise_error(F.lit("an index stays outside of the permutation")).cast("long")
+        return bind(last, lambda c: F.when(place(c) < n, place(c)).otherwise(lost))
+
+    return bind(once(start), walk) if n else F.lit(None).cast("long")
+
+
+def permuted_sql(index: str, n: str, seed: int) -> str:
+    """One pass of :func:`permuted` as SQL over integers; ``n`` is an expression. What falls outside has to go through again."""
+    a = f"(CAST(floor(sqrt({n} - 1)) AS BIGINT) + 1)"
+    cell = {"x": f"({index} % {a})", "y": f"({index} // {a})"}
+    sizes = {"x": a, "y": f"CAST(ceil({n} / {a}::DOUBLE) AS BIGINT)"}
+    for number, (factor, apart) in enumerate(_ROUNDS):
+        side, other = ("x", "y") if number % 2 == 0 else ("y", "x")
+        first = f"(({cell[other]} + {seed % _MODULUS + apart}) * {factor} % {_MODULUS})"
+        cell[side] = f"(({cell[side]} + ({first} + {apart}) * {factor} % {_MODULUS}) % {sizes[side]})"
+    return f"({cell['y']} * {a} + {cell['x']})"
+
+
+def epoch_places(df: DataFrame, n: int, seed: int, epoch: int, position: str = "position", name: str = "epoch_index") -> DataFrame:
+    """The index of every row in an epoch's shuffle, from its dense ``position`` among ``n`` rows.
+
+    A function of the row alone: once rows are numbered, no epoch has to sort or move them, and ``permuted(..., back=True)``
+    says which row has a place. See :func:`epoch_shards` for ranks and slots.
+    """
+    return df.withColumn(name, permuted(F.col(position), n, seed * 1_000_003 + epoch))
+
+
 def epoch_shards(
     df: DataFrame, ranks: int, drop_last: bool = False, consumed: int = 0, index: str = "epoch_index"
 ) -> DataFrame:

@@ -114,6 +114,22 @@ def w16b(spark, sf):
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
 
+_PLACE = P.permuted_sql("{0}", "(SELECT count(*) FROM orders)", 42 * 1_000_003 + 1)
+
+
+@query("w16_epoch_places", f"""
+WITH RECURSIVE r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders),
+w AS (
+  SELECT o_orderkey, position, {_PLACE.format('position')} AS place FROM r
+  UNION ALL SELECT o_orderkey, position, {_PLACE.format('place')} FROM w WHERE place >= (SELECT count(*) FROM orders))
+SELECT o_orderkey, position, place AS epoch_index, place % 4 AS rank, place // 4 AS step FROM w
+WHERE place < (SELECT count(*) FROM orders) AND place < (SELECT count(*) // 4 * 4 FROM orders)""")
+def w16_places(spark, sf):
+    rows = P.dense_position(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
+    out = P.epoch_shards(P.epoch_places(rows, rows.count(), 42, 1), 4, drop_last=True)
+    return out.select("o_orderkey", "position", "epoch_index", "rank", "step")
+
+
 @query("w17_dense_position", f"SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY {', '.join(_LINE)}) - 1 AS position FROM lineitem")
 def w17(spark, sf):
     out = P.dense_position(table(spark, sf, "lineitem").select(*_LINE), _LINE)

@@ -113,3 +113,25 @@ def test_rows_without_a_group_key_are_a_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 3), (2, 5)], "g int, x int")
     rows = with_group_stats(df, ["g"], {"n": F.count(F.lit(1)), "top": F.max("x")}).collect()
     assert sorted((r.x, r.g, r.n, r.top) for r in rows) == [(1, None, 2, 3), (3, None, 2, 3), (5, 2, 1, 5)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 16, 17, 50, 1000, 4097, 20_000])
+def test_permutation_and_its_inverse(spark, n):
+    df = spark.range(n).select("id", P.permuted(F.col("id"), n, 7).alias("to"), P.permuted(F.col("id"), n, 8).alias("other"))
+    df = df.withColumn("back", P.permuted(F.col("to"), n, 7, back=True))
+    rows = df.collect()
+    assert sorted(r.to for r in rows) == sorted(r.other for r in rows) == list(range(n))
+    assert all(r.back == r.id for r in rows)
+    if n >= 1000:
+        assert sum(r.to == r.id for r in rows) < 20 and sum(r.to == r.other for r in rows) < 20
+        halves = sum(r.to < n // 2 for r in rows if r.id < n // 2)
+        assert abs(halves - n / 4) < 5 * n**0.5
+        near = sum(abs(x.to - y.to) == 1 for x, y in zip(sorted(rows, key=lambda r: r.id), sorted(rows, key=lambda r: r.id)[1:]))
+        assert near < 30
+
+
+def test_an_epoch_moves_no_rows(spark):
+    df = P.epoch_places(spark.range(100).withColumnRenamed("id", "position"), 100, 3, 1)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    out = P.epoch_shards(df, 3).collect()
+    assert sorted(r.step * 3 + r["rank"] for r in out) == list(range(102))
