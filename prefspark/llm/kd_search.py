@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import io
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import stored
-from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, opened, packed, usable
+from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, opened, packed, queries_of, usable
 
 SHARD_ROWS = 16_384
 LEAF_ROWS = 128
@@ -115,15 +116,20 @@ def top_inner_products(
 
     Components become ``floor(factor * x)``. Queries are the rows whose id is divisible by ``every``, candidates
     all rows of another id; ties go to the smaller id. NULL vectors, those with NULL or non-finite components,
-    of no components or of another length than most take no part; nor do rows without an id. Rows repeated
-    under one id count once for ties and as often as they occur among candidates. Scores beyond 64 bits raise
+    or of no components take no part; nor do rows without an id. Vectors are compared with those of their length. Rows
+    repeated under one id count as often as they occur among candidates, and the least of them is the query. Scores beyond 64 bits raise
     an error. An empty table gives an empty result; other columns are not read.
     """
-    rows, length = usable(df, id_col, vector, zero=True)
-    rows = stored(rows, "vectors")
+    found = [_of_length(*rows, k, every, factor, shard_rows, query_block) for rows in usable(df, id_col, vector, zero=True)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_length(
+    rows: DataFrame, length: int, k: int, every: int, factor: int, shard_rows: int, query_block: int
+) -> DataFrame:
     shards, count = hashed_parts(rows, shard_rows, "shard")
     shards = packed(shards, ["shard"], length)
-    asked, _ = hashed_parts(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), query_block, "block")
+    asked, _ = hashed_parts(queries_of(rows, every), query_block, "block")
     asked = stored(packed(asked, ["block"], length), "query-blocks")
     schema = "block long, query_id long, vec_id long, score long"
 

@@ -9,6 +9,7 @@ until the recall against brute force reaches the wanted one. Leaves over a size
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import stored
-from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, matrix, opened, packed, usable
+from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, matrix, opened, packed, queries_of, usable
 
 SAMPLE_ROWS = 16_384  # rows the tree is fitted on
 BRANCHES = 8
@@ -140,15 +141,25 @@ def nearest(
     """Per query the ``k`` nearest rows found by cosine: ``query_id, rank, vec_id, score``.
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows of another id; ties go to the
-    smaller id. NULL and zero vectors, those with NULL or non-finite components or of another length than most
-    take no part; nor do rows without an id. Where the visited leaves hold fewer than ``k`` candidates, more
-    leaves are visited until they do. An empty table gives an empty result; other columns are not read.
+    smaller id. NULL and zero vectors, those with NULL or non-finite components take no part;
+    nor do rows without an id. Vectors are compared with those of their length; of rows under one id the least is the
+    query. Where the visited leaves hold fewer than ``k`` candidates, more leaves are visited until they do. An empty table gives an empty result; other columns are not read.
     """
-    spark = df.sparkSession
-    rows, length = usable(df, id_col, vector, zero=False)
-    rows = stored(rows, "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
-    sample = np.array([r["v"] for r in sample], np.float64).reshape(-1, max(length, 1))
+    options = k, every, recall, sample_rows, leaf_sample, part_rows, query_block
+    found = [_of_length(*rows, *options) for rows in usable(df, id_col, vector, zero=False)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_length(
+    rows: DataFrame, length: int, k: int, every: int, recall: float, sample_rows: int, leaf_sample: int, part_rows: int, query_block: int
+) -> DataFrame:
+    spark = rows.sparkSession
+    n = rows.count()
+    share = F.lit(sample_rows * (1 << 30) // max(n, 1))
+    drawn = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < share  # about sample_rows, equal rows once
+    some = rows.where(drawn).distinct().collect()
+    some.sort(key=lambda r: (r["vec_id"], r["v"]))
+    sample = np.array([r["v"] for r in some], np.float64).reshape(-1, max(length, 1))
     tree = KMeansTree(sample, leaf=leaf_sample)
     visited = tree.calibrate(sample, k, recall)
     shared = spark.sparkContext.broadcast(tree)  # centres of at most sample_rows leaves
@@ -166,7 +177,7 @@ def nearest(
     dealt = placed.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     index = packed(dealt, ["leaf", "part"], length)
 
-    asked, _ = hashed_parts(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), query_block, "block")
+    asked, _ = hashed_parts(queries_of(rows, every), query_block, "block")
     asked = packed(asked, ["block"], length)
 
     def spread(batches):

@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefspark.llm.common import stored
+
 QUERY_BLOCK = 1_024
 
 
-def usable(df: DataFrame, id_col: str, vector: str, zero: bool) -> tuple[DataFrame, int]:
-    """``vec_id, v array<double>`` of the rows that take part, and the length of their vectors.
+def usable(df: DataFrame, id_col: str, vector: str, zero: bool) -> list[tuple[DataFrame, int]]:
+    """``vec_id, v array<double>`` of the rows that take part, stored, by the length of their vectors.
 
-    Left out are rows whose id or vector is NULL, whose vector has a NULL or non-finite component or, unless
-    ``zero``, only zeros, and rows of another length than the most frequent one (of equals the longest).
+    Left out are rows whose id or vector is NULL or empty, whose vector has a NULL or non-finite component or, unless
+    ``zero``, only zeros. Vectors of different lengths have no score and are searched apart; there are few lengths.
     """
     v = F.col("v")
     good: Column = v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0)
@@ -22,9 +24,14 @@ def usable(df: DataFrame, id_col: str, vector: str, zero: bool) -> tuple[DataFra
     if not zero:
         good = good & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(good)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    length = sizes["d"] if sizes else 0
-    return rows.where(F.size("v") == length), length
+    rows = stored(rows, "vectors")
+    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    return [(rows.where(F.size("v") == d), d) for d in lengths] or [(rows, 0)]
+
+
+def queries_of(rows: DataFrame, every: int) -> DataFrame:
+    """The rows whose id is divisible by ``every``, one of each id: the one of the least vector."""
+    return rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def matrix(column, length: int) -> np.ndarray:
