@@ -22,7 +22,17 @@ from prefspark.streaming import trajectories as ST
 TOKENIZER = WhitespaceTokenizer()
 
 
-@query("w09_first_fit_batches")
+# The bins of a step as a list of totals, one sample after another.
+@query("w09_first_fit_batches", """
+WITH RECURSIVE i AS (SELECT step, total_length AS x, row_number() OVER (PARTITION BY step ORDER BY position) AS k FROM v_lengths),
+w AS (
+  SELECT step, 0::BIGINT AS k, []::BIGINT[] AS bins FROM i WHERE k = 1
+  UNION ALL
+  SELECT step, k, CASE WHEN hit = 0 THEN list_append(bins, x) ELSE list_transform(bins, lambda b, j: CASE WHEN j = hit THEN b + x ELSE b END) END
+  FROM (
+    SELECT w.step, i.k, i.x::BIGINT AS x, bins, COALESCE(list_position(list_transform(bins, lambda b: b + i.x <= 16192), TRUE), 0) AS hit
+    FROM w JOIN i ON i.step = w.step AND i.k = w.k + 1))
+SELECT step, len(arg_max(bins, k))::INT AS num_batches FROM w GROUP BY step""", "v_lengths")
 def w09(spark, sf):
     return B.first_fit_batches(view(spark, sf, "v_lengths"), 16192)
 
@@ -44,7 +54,19 @@ def _full_steps(spark, sf):
     return rows.withColumn("step", F.least(F.col("step"), full))
 
 
-@query("w11_greedy_partitions")
+@query("w11_greedy_partitions", """
+WITH RECURSIVE f AS (SELECT floor((max(position) + 1) / 60) - 1 AS last FROM v_lengths),
+i AS (
+  SELECT step, position, total_length, row_number() OVER (PARTITION BY step ORDER BY position) AS k
+  FROM (SELECT least(step, (SELECT last FROM f)) AS step, position, total_length FROM v_lengths)),
+w AS (
+  SELECT step, 0::BIGINT AS k, [0, 0, 0, 0, 0, 0]::BIGINT[] AS sums, NULL::BIGINT AS position, NULL::BIGINT AS total_length, 0 AS part FROM i WHERE k = 1
+  UNION ALL
+  SELECT step, k, list_transform(sums, lambda s, j: CASE WHEN j = hit THEN s + total_length ELSE s END), position, total_length, hit - 1
+  FROM (
+    SELECT i.step, i.k, sums, i.position, i.total_length, list_position(sums, list_min(sums)) AS hit
+    FROM w JOIN i ON i.step = w.step AND i.k = w.k + 1))
+SELECT step::BIGINT AS step, position, total_length, part::INT AS part FROM w WHERE k > 0""", "v_lengths")
 def w11(spark, sf):
     return B.greedy_partitions(_full_steps(spark, sf), 6)
 
