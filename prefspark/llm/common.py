@@ -135,7 +135,25 @@ SENT = "_bucket long, _block long, payload binary"
 ANSWER = "_block long, _bucket long, payload binary"
 
 
-def pack(block: int, keys: np.ndarray, records: np.ndarray, buckets: int) -> pa.Table:
+def as_bytes(records: np.ndarray, by_column: bool) -> bytes:
+    """Records as bytes, one after another or column by column, which compresses where values are alike."""
+    if by_column:
+        return b"".join(records[c].tobytes() for c in records.dtype.names)
+    return records.tobytes()
+
+
+def from_bytes(payload: bytes, dtype: np.dtype, by_column: bool) -> np.ndarray:
+    if not by_column:
+        return np.frombuffer(payload, dtype)
+    n, at = len(payload) // dtype.itemsize, 0
+    out = np.empty(n, dtype)
+    for c in dtype.names:
+        out[c] = np.frombuffer(payload, dtype[c], n, at)
+        at += n * dtype[c].itemsize
+    return out
+
+
+def pack(block: int, keys: np.ndarray, records: np.ndarray, buckets: int, by_column: bool = False) -> pa.Table:
     """Rows for ``SENT``: ``records`` dealt to buckets by ``keys``, in the order given within a bucket."""
     to = (mix(keys, 77) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
@@ -146,29 +164,32 @@ def pack(block: int, keys: np.ndarray, records: np.ndarray, buckets: int) -> pa.
         {
             "_bucket": pa.array(ids, pa.int64()),
             "_block": pa.array(np.full(len(ids), block), pa.int64()),
-            "payload": pa.array([data[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+            "payload": pa.array([as_bytes(data[a:b], by_column) for a, b in zip(starts, ends)], pa.binary()),
         }
     )
 
 
-def unpack_answers(right: pa.Table, keys: np.ndarray, buckets: int, dtype) -> np.ndarray:
+def unpack_answers(right: pa.Table, keys: np.ndarray, buckets: int, dtype, by_column: bool = False) -> np.ndarray:
     """One answer per key, from the answers of its bucket, in the order of ``pack``."""
     to = (mix(keys, 77) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     got = sorted(zip(right["_bucket"].to_pylist(), right["payload"].to_pylist()))
-    flat = np.concatenate([np.frombuffer(x, dtype) for _, x in got]) if got else np.empty(0, dtype)
+    dtype = np.dtype(dtype)
+    flat = np.concatenate([from_bytes(x, dtype, by_column) for _, x in got]) if got else np.empty(0, dtype)
     out = np.empty(len(keys), dtype)
     out[order] = flat
     return out
 
 
-def ask(sent: DataFrame, resolve: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype, partitions: int) -> DataFrame:
+def ask(
+    sent: DataFrame, resolve: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype, partitions: int, by_column: bool = False
+) -> DataFrame:
     """Answer the records of every bucket: ``resolve(records, block of each)`` gives one answer per record."""
     dtype = np.dtype(dtype)
 
     def answer(group: pa.Table) -> pa.Table:
         blocks = group["_block"].to_pylist()
-        parts = [np.frombuffer(x, dtype) for x in group["payload"].to_pylist()]
+        parts = [from_bytes(x, dtype, by_column) for x in group["payload"].to_pylist()]
         sizes = [len(p) for p in parts]
         replies = resolve(np.concatenate(parts), np.repeat(np.array(blocks), sizes))
         cuts = np.cumsum(sizes)[:-1]
@@ -176,7 +197,7 @@ def ask(sent: DataFrame, resolve: Callable[[np.ndarray, np.ndarray], np.ndarray]
             {
                 "_block": pa.array(blocks, pa.int64()),
                 "_bucket": group["_bucket"].combine_chunks(),
-                "payload": pa.array([p.tobytes() for p in np.split(replies, cuts)], pa.binary()),
+                "payload": pa.array([as_bytes(p, by_column) for p in np.split(replies, cuts)], pa.binary()),
             }
         )
 

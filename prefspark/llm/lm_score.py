@@ -70,7 +70,7 @@ class _Models:
         self.counts = np.vstack([counts, rest, texts]).astype(np.float64)  # columns: target, background
         self.totals = np.maximum(totals.astype(np.float64), 1)
 
-    answers = np.dtype(np.float64)
+    answers = np.dtype([("loss", "<f8")])
 
     def grams(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bigram keys of all texts end to end, and the number of words of each text."""
@@ -97,12 +97,12 @@ class _Models:
     def resolve(self, records: np.ndarray, _) -> np.ndarray:
         keys, back = np.unique(records["gram"], return_inverse=True)
         counts = [np.bincount(back, records[c], minlength=len(keys)) for c in ("target", "background")]
-        return self.difference(keys, np.stack(counts, axis=1))[back]
+        return self.difference(keys, np.stack(counts, axis=1))[back].view(self.answers)
 
     def losses(self, texts: list[str | None], answered) -> tuple[np.ndarray, np.ndarray]:
         grams, sizes = self.grams(texts)
         keys, back = np.unique(grams, return_inverse=True)
-        return answered(keys)[back], sizes
+        return answered(keys)["loss"][back], sizes
 
 
 class _AllWords:
@@ -113,20 +113,24 @@ class _AllWords:
     def __init__(self, n_words: int, totals: np.ndarray):
         self.n_words, self.totals = n_words, np.maximum(totals.astype(np.float64), 1)
 
-    def _keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words end to end: the word before, the word and both; and the number of words of each text."""
+    def _keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words end to end: the start, the words and the pairs of the word before and the word; the texts'
+        first words; and the number of words of each text."""
         found = [_tokens(t) for t in texts]
         sizes = np.array([len(f) for f in found], np.int64)
         now = word_hashes([w for f in found for w in f])
         before = np.empty_like(now)
         before[1:] = now[:-1]
-        starts = np.cumsum(sizes) - sizes
-        before[starts[sizes > 0]] = _START
-        return before, now, mix(mix(before, 5) * np.uint64(0x9E3779B97F4A7C15) + now, 5), sizes
+        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        before[firsts] = _START
+        both = mix(mix(before, 5) * np.uint64(0x9E3779B97F4A7C15) + now, 5)
+        return np.concatenate([[_START], now, both]), firsts, sizes
 
     def tally(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        before, now, both, _ = self._keys(texts)
-        return np.unique(np.concatenate([now, before[before == _START], both]), return_counts=True)
+        keys, firsts, _ = self._keys(texts)
+        keys, counts = np.unique(keys, return_counts=True)
+        counts[np.searchsorted(keys, _START)] += len(firsts) - 1
+        return keys, counts
 
     def resolve(self, records: np.ndarray, _) -> np.ndarray:
         keys, back = np.unique(records["gram"], return_inverse=True)
@@ -136,13 +140,16 @@ class _AllWords:
         return out[back]
 
     def losses(self, texts: list[str | None], answered) -> tuple[np.ndarray, np.ndarray]:
-        before, now, both, sizes = self._keys(texts)
-        keys = np.unique(np.concatenate([now, before[before == _START], both]))
+        keys, firsts, sizes = self._keys(texts)
+        keys, place = np.unique(keys, return_inverse=True)
         counts = answered(keys)
-        history, one, two = (counts[np.searchsorted(keys, k)] for k in (before, now, both))
+        one, two = (counts[p] for p in np.split(place[1:], 2))
+        history = np.empty_like(one)
+        history[1:] = one[:-1]
+        history[firsts] = counts[place[0]]
         p = []
         for total, c in zip(self.totals, COUNTS.names):
-            part = np.divide(two[c], history[c], out=np.zeros(len(now)), where=history[c] > 0)
+            part = np.divide(two[c], history[c], out=np.zeros(len(two)), where=history[c] > 0)
             p.append(BIGRAM * part + UNIGRAM * one[c] / total + UNIFORM / (self.n_words + 1))
         return np.log(p[1]) - np.log(p[0]), sizes
 
@@ -191,7 +198,7 @@ def lm_scores(
             keys, counts = shared.value.tally(group["text"].to_pylist())
             records = np.zeros(len(keys), RECORD)
             records["gram"], records[column] = keys, counts
-            return pack(group["_block"][0].as_py(), keys, records, buckets)
+            return pack(group["_block"][0].as_py(), keys, records, buckets, by_column=True)
 
         return run
 
@@ -202,10 +209,10 @@ def lm_scores(
     aimed = blocked(aims, aim_blocks, aim_partitions, F.col("text")).withColumn("_block", -1 - F.col("_block"))
     sent = blocks.groupBy("_block").applyInArrow(send("background"), SENT)
     sent = sent.unionByName(aimed.groupBy("_block").applyInArrow(send("target"), SENT))
-    answers = ask(sent, resolve, RECORD, partitions).where("_block >= 0")
+    answers = ask(sent, resolve, RECORD, partitions, by_column=True).where("_block >= 0")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        answered = lambda keys: unpack_answers(right, keys, buckets, shared.value.answers)
+        answered = lambda keys: unpack_answers(right, keys, buckets, shared.value.answers, by_column=True)
         losses, sizes = shared.value.losses(left["text"].to_pylist(), answered)
         sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), losses, minlength=len(sizes))
         score = pa.array(np.where(sizes > 0, sums / np.maximum(sizes, 1), 0), mask=sizes == 0)
