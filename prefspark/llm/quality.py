@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import mix, stored
+from prefspark.llm.common import held, mix, stored
 
 WORD_DIMS, FORM_DIMS, SPARSE = 128, 64, 4
 RELATIONS = 2
@@ -32,7 +32,7 @@ DIMS = 2 * WORD_DIMS + FORM_DIMS + RELATIONS
 SHARE = 1 / 4096  # of all words that a word of the lexicon makes up at least, so that it has at most as many
 FIT_ROWS = 5_000  # about as many labelled rows is the network fitted on
 LONGEST = 256  # bytes of a word; longer ones count as several
-_STEP = 1 << 20  # bytes of text taken at a time
+_STEP = 1 << 18  # bytes of text taken at a time
 _SLICES = 32
 _SPACE, _UPPER, _LOWER, _DIGIT = 0, ord("A"), ord("a"), ord("0")
 _OUTLINE = np.arange(256, dtype=np.uint8)
@@ -60,12 +60,9 @@ class _Powers:
         return self.up, self.down
 
 
-_powers = _Powers()
-
-
 def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of runs of values: what a polynomial over all of them gains within the run, moved to its start."""
-    up, down = _powers(len(values) + 1)
+    up, down = held("quality powers", _Powers)(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts], 40)
