@@ -146,8 +146,12 @@ def top_k(df: DataFrame, key: Column, ties: list, k: int) -> DataFrame:
     :func:`prune_to_tail` leaves little more than ``k`` rows, with ties at the cut. So many fit in one task up to a fixed
     number, then Spark's own sort and limit takes the first; beyond it they are numbered by ranges of the order. Rows are
     looked at when the function is called.
+
+    The key is made by a generator: a filter on a computed column is pushed down, where the whole expression stands for every
+    mention of the column, and nested conditions then outgrow what the JVM compiles. Filters on a generated column stay above.
     """
-    return _first_of(df, key, ties, k).orderBy(key.desc_nulls_last(), *_cols(ties))
+    keyed, found = df.withColumn("_rank_key", F.explode(F.array(key))), F.col("_rank_key")
+    return _first_of(keyed, found, ties, k).orderBy(found.desc_nulls_last(), *_cols(ties)).drop("_rank_key")
 
 
 def top_k_per(df: DataFrame, keys: list[str], key: Column, ties: list, k: int) -> DataFrame:

@@ -97,6 +97,17 @@ def test_a_millionth_and_heavy_ties(spark, monkeypatch):
     assert rows == [0, 1, 2, 3, None, *(i for i in range(4, 100) if i != 9)]
 
 
+def test_a_filter_does_not_repeat_the_key(spark):
+    rows = spark.range(300_000).selectExpr("id AS pair_id", "(id * 41 % 801 - 400) / 1e1 AS im", "(id * 29 % 401 - 200) / 1e1 AS em_margin")
+    top = K.select_joint(rows, 40)
+    text = top._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("greatest" in line for line in text.splitlines() if "Filter" in line)
+    # More rows than that tie at one: the first by id belong.
+    ties = rows.where("em_margin > -2 AND im >= 30").orderBy("pair_id").limit(40)
+    assert [(r.pair_id, r.joint_prob) for r in top.collect()] == [(r.pair_id, 1.0) for r in ties.collect()]
+    assert top.columns == ["pair_id", "im", "em_margin", "joint_prob"]
+
+
 def test_top_k_per_group(spark):
     rng = random.Random(2)
     rows = [(i, rng.randrange(3), float(rng.randrange(50)) if rng.random() > 0.1 else None) for i in range(4000)]
