@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import timedelta
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from prefspark.functions.tokens import Tokenizer
 from prefspark.operators.trajectory import summary
@@ -25,12 +26,9 @@ _BODY = (
     "observation string, label string, _ids array<int>, steps array<struct<text: string, action_ids: array<int>, "
     "feedback_ids: array<int>, log_probs: array<double>, reward: double, score: double, extra_logs: map<string,double>, start: int>>"
 )
-_PROGRESS = StructType(
-    [StructField("upcoming", IntegerType()), StructField("tokens", IntegerType()), StructField("start", IntegerType()),
-     StructField("reward", DoubleType()), StructField("closed", BooleanType()), StructField("last", LongType())]
-)
+_BUCKET = StructType([StructField("timer", LongType()), StructField("added", IntegerType()), StructField("episodes", StringType())])
+_NUMBER = StructType([StructField("number", IntegerType())])
 _TEXT = StructType([StructField("value", StringType())])
-_NUMBER = StructType([StructField("step", IntegerType())])
 
 
 class StepHandler(Protocol):
@@ -52,11 +50,30 @@ class RecordedSteps:
         return event
 
 
+@dataclass
+class _Progress:
+    """How far an episode is, and the numbers of the bundles that hold its steps."""
+
+    episode_id: int | None
+    upcoming: int = 0
+    tokens: int = 0
+    start: int = 0
+    reward: float = 0.0
+    closed: bool = False
+    last: int = 0
+    due: int | None = None  # when it is given up or, once closed, forgotten
+    taken: list[int] = field(default_factory=list)
+    waiting: dict[str, int] = field(default_factory=dict)  # by step
+
+
 class _Episodes(StatefulProcessor):
-    """The state of one episode: how far it is, the steps taken (only ever added to) and those that wait for an earlier one.
+    """The state of a bucket of episodes: how far each is, and in bundles the steps taken and those that wait for an earlier one.
 
-    A closed episode leaves a mark, so that events sent again or too late do not open it anew. Every episode has one
-    timer: an open one is given up when it runs out, a mark is forgotten.
+    What a call to the state and a timer cost is shared by a bucket. The short marks of its episodes are read and written
+    together; the texts of those that a micro-batch leaves open are added as one bundle, which is never rewritten and
+    goes when all episodes in it are closed. A closed episode leaves its mark, so that events sent again or too late do not
+    open it anew. Every episode has a deadline, the bucket's timer is at the first: an open one is then given up, a mark is
+    forgotten.
     """
 
     def __init__(self, tokenizer: Tokenizer, handler: StepHandler, max_steps: int, max_length: int, idle: int, forget: int):
@@ -66,93 +83,140 @@ class _Episodes(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", _PROGRESS)
-        self.taken = handle.getListState("taken", _TEXT)
-        self.waiting = handle.getMapState("waiting", _NUMBER, _TEXT)
+        self.bucket = handle.getValueState("bucket", _BUCKET)
+        self.bundles = handle.getMapState("bundles", _NUMBER, _TEXT)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        upcoming, tokens, start, reward, closed, last = self.progress.get() if self.progress.exists() else (0, 0, 0, 0.0, False, 0)
-        before, new = last, {}
+        timer, episodes = self._read()
+        came: dict[int | None, tuple[int, dict[int, str]]] = {}
         for row in rows:
-            last = max(last, row["at"])
-            if upcoming <= row["step"] < self.max_steps:
+            one = episodes.get(row["episode_id"])
+            if one is None:
+                one = episodes[row["episode_id"]] = _Progress(row["episode_id"])
+            _, new = came.setdefault(one.episode_id, (one.last, {}))
+            one.last = max(one.last, row["at"])
+            if one.upcoming <= row["step"] < self.max_steps and not one.closed:
                 new.setdefault(row["step"], row["event"])
-        if not closed:
-            parts = []
-            while not closed and (text := self._next(new, upcoming)) is not None:
-                event = json.loads(text)
-                if not upcoming:
-                    begun = self.handler.reset(event["observation"])
-                    ids = self._ids(begun, event["observation"], event["observation_ids"])
-                    parts.append({"observation": begun, "label": event.get("label"), "_ids": ids})
-                    tokens = len(ids)
-                    if tokens >= self.max_length:
-                        closed = True
-                        break
-                outcome = self.handler.step(event)
-                feedback = outcome["environment_feedback"]
-                step = {
-                    "text": event["action_text"] + feedback,
-                    "action_ids": event["action_ids"],
-                    "feedback_ids": self._ids(feedback, event["environment_feedback"], event["feedback_ids"]),
-                    "log_probs": event.get("action_log_probs"),
-                    "reward": outcome["reward"],
-                    "score": outcome.get("score"),
-                    "extra_logs": outcome.get("extra_logs"),
-                    "start": start,
-                }
-                size = len(step["action_ids"]) + len(step["feedback_ids"])
-                parts.append(step)
-                tokens, start, reward, upcoming = tokens + size, start + size, reward + outcome["reward"], upcoming + 1
-                closed = bool(outcome.get("done")) or upcoming >= self.max_steps or tokens >= self.max_length
-            if parts:
-                self.taken.appendList([(json.dumps(p),) for p in parts])
-            if closed:
-                yield self._result(key, True, tokens)
-            else:
-                for number, event in new.items():
-                    self.waiting.updateValue((number,), (event,))
-        self.progress.update((upcoming, tokens, start, reward, closed, last))
-        if last > before or closed:
-            self._set_timer(last + (self.forget if closed else self.idle))
+        for episode_id, (before, new) in came.items():
+            one = episodes[episode_id]
+            if not one.closed:
+                yield from self._advance(one, new)
+            if one.last > before or one.closed:
+                one.due = one.last + (self.forget if one.closed else self.idle)
+        due = self._due(episodes)
+        if due is not None and (timer is None or due < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self._write(timer, episodes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        _, tokens, _, _, closed, last = self.progress.get()
-        if closed:
-            self.progress.clear()
-            return
-        yield self._result(key, False, tokens)
-        self.progress.update((0, 0, 0, 0.0, True, last))
-        self._set_timer(last + self.idle + self.forget)
+        _, episodes = self._read()
+        now = timerValues.getCurrentWatermarkInMs()
+        for one in [e for e in episodes.values() if e.due is not None and e.due <= now]:
+            if one.closed:
+                del episodes[one.episode_id]
+                continue
+            yield self._result(one, False, [])
+            due = one.last + self.idle + self.forget
+            episodes[one.episode_id] = _Progress(one.episode_id, closed=True, last=one.last, due=due)
+        due = self._due(episodes)
+        if due is not None:
+            due = max(due, expiredTimerInfo.getExpiryTimeInMs() + 1)  # the timer that ran out is deleted afterwards
+            self.handle.registerTimer(due)
+        self._write(due, episodes)
 
     def close(self) -> None:
         pass
 
-    def _next(self, new: dict[int, str], step: int) -> str | None:
-        """The event of a step, which is among the new ones or has waited."""
-        if step in new:
-            return new.pop(step)
-        if self.waiting.containsKey((step,)):
-            event = self.waiting.getValue((step,))[0]
-            self.waiting.removeKey((step,))
-            return event
-        return None
+    def _read(self) -> tuple[int | None, dict[int | None, _Progress]]:
+        timer, self.added, text = self.bucket.get() or (None, 0, "[]")
+        episodes = {values[0]: _Progress(*values) for values in json.loads(text)}
+        self.held, self.loaded, self.bundle = self._numbers(episodes), {}, {}
+        return timer, episodes
+
+    def _write(self, timer: int | None, episodes: dict[int | None, _Progress]) -> None:
+        if self.bundle:
+            self.bundles.updateValue((self.added,), (json.dumps(self.bundle),))
+            self.added += 1
+        for number in self.held - self._numbers(episodes):
+            self.bundles.removeKey((number,))
+        if episodes:
+            self.bucket.update((timer, self.added, json.dumps([list(vars(one).values()) for one in episodes.values()])))
+        else:
+            self.bucket.clear()
+
+    @staticmethod
+    def _numbers(episodes: dict[int | None, _Progress]) -> set[int]:
+        return {n for one in episodes.values() for n in (*one.taken, *one.waiting.values())}
+
+    def _stored(self, one: _Progress, number: int) -> dict:
+        """What a bundle holds of an episode."""
+        if number not in self.loaded:
+            self.loaded[number] = json.loads(self.bundles.getValue((number,))[0])
+        return self.loaded[number][str(one.episode_id)]
+
+    @staticmethod
+    def _due(episodes: dict[int | None, _Progress]) -> int | None:
+        return min((one.due for one in episodes.values() if one.due is not None), default=None)
+
+    def _advance(self, one: _Progress, new: dict[int, str]) -> Iterator[Row]:
+        """Take the steps that are there; the result if the episode closes, else its new events wait."""
+        parts = []
+        while not one.closed and (text := self._next(one, new)) is not None:
+            event = json.loads(text)
+            if not one.upcoming:
+                begun = self.handler.reset(event["observation"])
+                ids = self._ids(begun, event["observation"], event["observation_ids"])
+                parts.append({"observation": begun, "label": event.get("label"), "_ids": ids})
+                one.tokens = len(ids)
+                if one.tokens >= self.max_length:
+                    one.closed = True
+                    break
+            outcome = self.handler.step(event)
+            feedback = outcome["environment_feedback"]
+            step = {
+                "text": event["action_text"] + feedback,
+                "action_ids": event["action_ids"],
+                "feedback_ids": self._ids(feedback, event["environment_feedback"], event["feedback_ids"]),
+                "log_probs": event.get("action_log_probs"),
+                "reward": outcome["reward"],
+                "score": outcome.get("score"),
+                "extra_logs": outcome.get("extra_logs"),
+                "start": one.start,
+            }
+            size = len(step["action_ids"]) + len(step["feedback_ids"])
+            parts.append(step)
+            one.tokens, one.start, one.reward = one.tokens + size, one.start + size, one.reward + outcome["reward"]
+            one.upcoming += 1
+            one.closed = bool(outcome.get("done")) or one.upcoming >= self.max_steps or one.tokens >= self.max_length
+        if one.closed:
+            yield self._result(one, True, parts)
+            return
+        if parts:
+            one.taken.append(self.added)
+        one.waiting |= dict.fromkeys(map(str, new), self.added)
+        if parts or new:
+            self.bundle[str(one.episode_id)] = {"taken": parts, "waiting": new}
+
+    def _next(self, one: _Progress, new: dict[int, str]) -> str | None:
+        """The event of the upcoming step, which is among the new ones or has waited."""
+        number = one.waiting.pop(str(one.upcoming), None)
+        if one.upcoming in new:
+            return new.pop(one.upcoming)
+        return None if number is None else self._stored(one, number)["waiting"][str(one.upcoming)]
 
     def _ids(self, text: str, recorded: str, ids: list[int]) -> list[int]:
         """Tokens of a text; those of the recorded one come from the plan, those of a handler's own are made here."""
         return ids if text == recorded else self.tokenizer.encode(text)
 
-    def _result(self, key, complete: bool, tokens: int) -> Row:
-        parts = [json.loads(p[0]) for p in self.taken.get()] if self.taken.exists() else []
-        body = parts[0] if parts else {"observation": "", "_ids": []}
-        self.taken.clear()
-        self.waiting.clear()
-        return Row(episode_id=key[0], complete=complete, num_tokens=tokens, body=json.dumps({**body, "steps": parts[1:]}))
-
-    def _set_timer(self, at: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+    def _result(self, one: _Progress, complete: bool, parts: list[dict]) -> Row:
+        """What the episode comes to, with ``parts`` after those in the state; it holds no more there."""
+        parts = [part for number in one.taken for part in self._stored(one, number)["taken"]] + parts
+        one.taken, one.waiting = [], {}
+        body, *steps = parts or [{"observation": "", "_ids": []}]
+        return Row(episode_id=one.episode_id, complete=complete, num_tokens=one.tokens, body=json.dumps({**body, "steps": steps}))
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -172,6 +236,7 @@ def stream_trajectories(
     delay: str = "10 minutes",
     idle: timedelta = timedelta(minutes=30),
     forget: timedelta = timedelta(hours=1),
+    buckets: int = 1 << 12,
 ) -> DataFrame:
     """One row per episode, emitted when a step is done, the step limit or the token budget is reached.
 
@@ -179,7 +244,9 @@ def stream_trajectories(
     the state, and of a step that comes again the first counts. Events older than the watermark are dropped. An episode that
     hears nothing for ``idle`` before the watermark comes out with ``complete`` false and the steps that it has. Closed
     episodes are remembered for ``forget`` after their last event (and at least so long after they were given up); events
-    that come in that time change nothing. State is so bounded by the episodes of the last ``delay + idle + forget``.
+    that come in that time change nothing. State is so bounded by the episodes of the last ``delay + idle + forget``. It is
+    kept by ``buckets`` of episodes, of which a micro-batch rewrites the marks it touches: some hundred to a thousand
+    remembered episodes to a bucket are few enough. The number is fixed for the life of a checkpoint.
 
     Columns are those of :func:`assemble_trajectory`, ``num_tokens`` and ``complete``.
     """
@@ -200,6 +267,7 @@ def stream_trajectories(
     )
     milliseconds = lambda t: int(t.total_seconds() * 1000)
     sized = stream.withWatermark(event_time, delay).select(
+        F.pmod(F.xxhash64(F.col("episode_id").cast("long")), F.lit(buckets)).alias("bucket"),
         F.col("episode_id").cast("long").alias("episode_id"),
         F.col("step").cast("int").alias("step"),
         F.col(event_time),
@@ -207,7 +275,7 @@ def stream_trajectories(
         F.to_json(event).alias("event"),
     )
     state = _Episodes(tokenizer, handler or RecordedSteps(), max_steps, max_length, milliseconds(idle), milliseconds(forget))
-    emitted = sized.groupBy("episode_id").transformWithState(state, _EMITTED, "Append", "EventTime")
+    emitted = sized.groupBy("bucket").transformWithState(state, _EMITTED, "Append", "EventTime")
     body = emitted.select("episode_id", "complete", "num_tokens", F.from_json("body", _BODY).alias("_body"))
     body = body.select("episode_id", "complete", "num_tokens", "_body.*").withColumn("_n", F.size("_ids"))
     columns = {n: c for n, c in summary(log_probs).items()}

@@ -187,6 +187,61 @@ def test_late_surplus_and_unfinished_episodes(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_episodes_share_state_by_bucket(spark, tmp_path, buckets):
+    """Open, waiting, given-up and closed episodes of one bucket do not touch each other."""
+    step = lambda e, s, t, done=False: timed((e, s, f"o{e} ", f"a{s} ", f"f{t} ", 1.0, None, done), t)
+    options = {"delay": "10 seconds", "idle": timedelta(seconds=30), "forget": timedelta(seconds=60), "buckets": buckets}
+    batches = [
+        [step(e, s, e % 5, s == 2) for e in range(40) for s in ((0, 1, 2) if e % 4 == 0 else (0, 2) if e % 4 == 1 else (2, 1) if e % 4 == 2 else (0,))],
+        [step(e, 1, 20) for e in range(1, 40, 4)] + [step(e, 0, 21) for e in range(0, 40, 8)],  # 1 mod 4 closes, 0 mod 8 is sent again
+        [step(e, 0, 22) for e in range(2, 20, 4)] + [step(99, 0, 43, True)],  # some of 2 mod 4 get their first step
+        [step(98, 0, 44, True)],  # the watermark is 33: 3 mod 4 that were last heard of before 3 are given up; 0 mod 4 stays marked
+        [step(e, 0, 62, True) for e in range(0, 40, 4)] + [step(97, 0, 300, True)],  # marks still hold
+        [step(e, 0, 301, True) for e in range(0, 8)],  # all is forgotten: new episodes
+        [step(96, 0, 600, True)],
+    ]
+    found = run(spark, batches, tmp_path, 4, 99, **options)
+    out = sorted((r.episode_id, r.complete, r.num_steps, r.text) for r in found.collect())
+    text = lambda e, *steps: f"o{e} " + "".join(f"a{s} f{t} " for s, t in steps)
+    want = [(e, True, 1, text(e, (0, 43 + 99 - e if e > 97 else 300 if e == 97 else 600))) for e in (96, 97, 98, 99)]
+    want[2:] = [(98, True, 1, text(98, (0, 44))), (99, True, 1, text(99, (0, 43)))]
+    for e in range(40):
+        t = e % 5
+        kinds = [
+            (True, 3, text(e, (0, t), (1, t), (2, t))),
+            (True, 3, text(e, (0, t), (1, 20), (2, t))),
+            (True, 3, text(e, (0, 22), (1, t), (2, t))) if e < 20 else (False, 0, ""),
+            (False, 1, text(e, (0, t))),
+        ]
+        want.append((e, *kinds[e % 4]))
+    want += [(e, True, 1, text(e, (0, 301))) for e in range(8)]
+    assert out == sorted(want)
+
+
+def test_a_deadline_at_the_watermark_has_passed(spark, tmp_path):
+    step = lambda e, s, t, done=False: timed((e, s, f"o{e} ", f"a{s} ", "", 1.0, None, done), t)
+    options = {"delay": "10 seconds", "idle": timedelta(seconds=30), "forget": timedelta(seconds=60), "buckets": 1}
+    batches = [[step(1, 0, 0), step(2, 0, 1)], [step(99, 0, 40, True)], [step(1, 1, 35), step(2, 1, 35)], [step(98, 0, 500, True)]]
+    out = sorted((r.episode_id, r.complete, r.num_steps) for r in run(spark, batches, tmp_path, 4, 99, **options).collect())
+    assert out == [(1, False, 1), (2, False, 2), (98, True, 1), (99, True, 1)]
+
+
+def test_state_is_kept_by_buckets(spark, tmp_path):
+    """A micro-batch of many episodes leaves one mark, one bundle of texts and one timer per bucket."""
+    rows = [timed((e, 0, "o ", "a ", "", 1.0, None, e % 2 == 0), e) for e in range(200)]
+    spark.createDataFrame(rows, TIMED).coalesce(1).write.parquet(f"{tmp_path}/in")
+    made = ST.stream_trajectories(spark.readStream.schema(TIMED).parquet(f"{tmp_path}/in"), TOKENIZER, 4, 99, buckets=5)
+    query = (
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    made = [p.stateOperators[0].customMetrics for p in query.recentProgress if p.stateOperators]
+    assert sum(m["numRegisteredTimers"] for m in made) <= 10
+    assert spark.read.schema(ST.RESULT).parquet(f"{tmp_path}/out").count() == 100
+
+
 def test_handler_text_counts_against_the_budget(spark, tmp_path):
     class Wordy:
         def reset(self, observation):
