@@ -6,9 +6,11 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import timedelta
+from itertools import chain
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -86,21 +88,24 @@ class _Episodes(StatefulProcessor):
         self.bucket = handle.getValueState("bucket", _BUCKET)
         self.bundles = handle.getMapState("bundles", _NUMBER, _TEXT)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         timer, episodes = self._read()
         came: dict[int | None, tuple[int, dict[int, str]]] = {}
-        for row in rows:
-            one = episodes.get(row["episode_id"])
+        for text in chain.from_iterable(frame["event"] for frame in rows):
+            name, step, at, event = text.split(" ", 3)
+            episode_id, step = int(name) if name else None, int(step)
+            one = episodes.get(episode_id)
             if one is None:
-                one = episodes[row["episode_id"]] = _Progress(row["episode_id"])
-            _, new = came.setdefault(one.episode_id, (one.last, {}))
-            one.last = max(one.last, row["at"])
-            if one.upcoming <= row["step"] < self.max_steps and not one.closed:
-                new.setdefault(row["step"], row["event"])
+                one = episodes[episode_id] = _Progress(episode_id)
+            _, new = came.setdefault(episode_id, (one.last, {}))
+            one.last = max(one.last, int(at))
+            if one.upcoming <= step < self.max_steps and not one.closed:
+                new.setdefault(step, event)
+        results = []
         for episode_id, (before, new) in came.items():
             one = episodes[episode_id]
             if not one.closed:
-                yield from self._advance(one, new)
+                results += self._advance(one, new)
             if one.last > before or one.closed:
                 one.due = one.last + (self.forget if one.closed else self.idle)
         due = self._due(episodes)
@@ -110,15 +115,17 @@ class _Episodes(StatefulProcessor):
             self.handle.registerTimer(due)
             timer = due
         self._write(timer, episodes)
+        yield from _frames(results)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, episodes = self._read()
+        results = []
         now = timerValues.getCurrentWatermarkInMs()
         for one in [e for e in episodes.values() if e.due is not None and e.due <= now]:
             if one.closed:
                 del episodes[one.episode_id]
                 continue
-            yield self._result(one, False, [])
+            results.append(self._result(one, False, []))
             due = one.last + self.idle + self.forget
             episodes[one.episode_id] = _Progress(one.episode_id, closed=True, last=one.last, due=due)
         due = self._due(episodes)
@@ -126,6 +133,7 @@ class _Episodes(StatefulProcessor):
             due = max(due, expiredTimerInfo.getExpiryTimeInMs() + 1)  # the timer that ran out is deleted afterwards
             self.handle.registerTimer(due)
         self._write(due, episodes)
+        yield from _frames(results)
 
     def close(self) -> None:
         pass
@@ -161,7 +169,7 @@ class _Episodes(StatefulProcessor):
     def _due(episodes: dict[int | None, _Progress]) -> int | None:
         return min((one.due for one in episodes.values() if one.due is not None), default=None)
 
-    def _advance(self, one: _Progress, new: dict[int, str]) -> Iterator[Row]:
+    def _advance(self, one: _Progress, new: dict[int, str]) -> list[tuple]:
         """Take the steps that are there; the result if the episode closes, else its new events wait."""
         parts = []
         while not one.closed and (text := self._next(one, new)) is not None:
@@ -192,13 +200,13 @@ class _Episodes(StatefulProcessor):
             one.upcoming += 1
             one.closed = bool(outcome.get("done")) or one.upcoming >= self.max_steps or one.tokens >= self.max_length
         if one.closed:
-            yield self._result(one, True, parts)
-            return
+            return [self._result(one, True, parts)]
         if parts:
             one.taken.append(self.added)
         one.waiting |= dict.fromkeys(map(str, new), self.added)
         if parts or new:
             self.bundle[str(one.episode_id)] = {"taken": parts, "waiting": new}
+        return []
 
     def _next(self, one: _Progress, new: dict[int, str]) -> str | None:
         """The event of the upcoming step, which is among the new ones or has waited."""
@@ -211,12 +219,17 @@ class _Episodes(StatefulProcessor):
         """Tokens of a text; those of the recorded one come from the plan, those of a handler's own are made here."""
         return ids if text == recorded else self.tokenizer.encode(text)
 
-    def _result(self, one: _Progress, complete: bool, parts: list[dict]) -> Row:
+    def _result(self, one: _Progress, complete: bool, parts: list[dict]) -> tuple:
         """What the episode comes to, with ``parts`` after those in the state; it holds no more there."""
         parts = [part for number in one.taken for part in self._stored(one, number)["taken"]] + parts
         one.taken, one.waiting = [], {}
         body, *steps = parts or [{"observation": "", "_ids": []}]
-        return Row(episode_id=one.episode_id, complete=complete, num_tokens=one.tokens, body=json.dumps({**body, "steps": steps}))
+        return one.episode_id, complete, one.tokens, json.dumps({**body, "steps": steps})
+
+
+def _frames(results: list[tuple]) -> Iterator[pd.DataFrame]:
+    if results:
+        yield pd.DataFrame(results, columns=["episode_id", "complete", "num_tokens", "body"], dtype=object)
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -266,16 +279,15 @@ def stream_trajectories(
         *[F.col(c).cast(t).alias(c) for c, t in optional.items() if c in stream.columns],
     )
     milliseconds = lambda t: int(t.total_seconds() * 1000)
+    head = F.col("episode_id"), F.col("step").cast("int"), F.unix_millis(event_time)
     sized = stream.withWatermark(event_time, delay).select(
         F.pmod(F.xxhash64(F.col("episode_id").cast("long")), F.lit(buckets)).alias("bucket"),
-        F.col("episode_id").cast("long").alias("episode_id"),
-        F.col("step").cast("int").alias("step"),
         F.col(event_time),
-        F.unix_millis(event_time).alias("at"),
-        F.to_json(event).alias("event"),
+        # One text a row, as every cell costs. A missing episode is an empty word; a missing step or time fails the job.
+        F.concat_ws(" ", *[F.coalesce(c.cast("long").cast("string"), F.lit("")) for c in head], F.to_json(event)).alias("event"),
     )
     state = _Episodes(tokenizer, handler or RecordedSteps(), max_steps, max_length, milliseconds(idle), milliseconds(forget))
-    emitted = sized.groupBy("bucket").transformWithState(state, _EMITTED, "Append", "EventTime")
+    emitted = sized.groupBy("bucket").transformWithStateInPandas(state, _EMITTED, "Append", "EventTime")
     body = emitted.select("episode_id", "complete", "num_tokens", F.from_json("body", _BODY).alias("_body"))
     body = body.select("episode_id", "complete", "num_tokens", "_body.*").withColumn("_n", F.size("_ids"))
     columns = {n: c for n, c in summary(log_probs).items()}
