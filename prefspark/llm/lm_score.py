@@ -173,7 +173,9 @@ def lm_scores(
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     aims = target.select(F.col(target_text).alias("text"))
     counted = _word_counts(aims, True).unionByName(_word_counts(docs, False)).groupBy("word")
-    counted = stored(counted.agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "word-counts")
+    counted = counted.agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    if vocabulary is not None:  # else they are read once
+        counted = stored(counted, "word-counts")
     known = counted.where("word IS NOT NULL")
     sums = known.agg(F.sum("target"), F.sum("background"), F.count(F.lit(1))).first()
     totals = np.array([n or 0 for n in sums[:2]], np.int64)

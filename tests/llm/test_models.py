@@ -6,11 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prefspark.llm.kd_search import KdTree, top_inner_products
 from prefspark.llm.kmeans_tree import KMeansTree, nearest
-from prefspark.llm.lm_score import lm_scores
+from prefspark.llm.common import as_bytes, from_bytes
+from prefspark.llm.lm_score import RECORD, lm_scores
 from prefspark.llm import mixing
 from prefspark.llm.mixing import mix_sources, mixed_documents, schedule, targets, turns
 from prefspark.llm import quality
@@ -379,6 +381,20 @@ def test_lm_scores(spark):
     assert lm_scores(frame(spark, rows), aim.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("n", [0, 1, 9000])
+def test_records_by_column_come_back_and_compress(n):
+    rng = np.random.default_rng(n)
+    records = np.zeros(n, RECORD)
+    word = lambda: np.minimum(rng.zipf(1.2, n), 16385).astype(np.uint64)
+    records["gram"] = np.sort(word() << np.uint64(32) | word())
+    records["background"] = rng.zipf(2, n)
+    payload = as_bytes(records, True)
+    assert len(payload) == records.nbytes and (from_bytes(payload, RECORD, True) == records).all()
+    if n > 1:
+        plain = b"".join(records[c].tobytes() for c in RECORD.names)
+        assert len(pa.compress(payload, codec="lz4_raw", asbytes=True)) < 0.6 * len(pa.compress(plain, codec="lz4_raw", asbytes=True))
+
+
 def test_lm_scores_over_every_word(spark):
     rng = random.Random(5)
     text = lambda pool: " ".join(rng.choice(pool) for _ in range(rng.randint(1, 40)))
