@@ -16,14 +16,16 @@ chunks by hash and joined chunk by chunk; equal groups of different n-grams are
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import BLOCK_BYTES, SENT, mix, ngrams, pack, parts_for, stored, word_hashes
+from prefspark.llm.common import BLOCK_BYTES, SENT, mix, pack, parts_for, stored
 from prefspark.llm.components import components
 from prefspark.operators.groups import join_unique
 
@@ -33,25 +35,102 @@ CHUNK_GRAMS = 1 << 16  # n-grams of the sets of a chunk
 SEND_GRAMS = 1 << 21  # records that a task holds before it sends them
 # "place" is twice the block, and one more for an n-gram that a set has too late to be the smaller of two.
 RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("n", "<i4"), ("place", "<i4")])
+SET_ID = np.dtype([("a", "<u8"), ("n", "<u4")])
+RUN_BYTES = 1 << 18  # of text whose sets are made at once; a longer text is by itself
+LONG_WORD = 64  # bytes; longer words are hashed one by one
+KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first so many of eight bytes
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 GRAM_BITS = 48  # of an n-gram hash
 MASK = np.uint64((1 << GRAM_BITS) - 1)
 STEP = (1 << 40) - 1  # largest gap of five bytes
 np.seterr(over="ignore")
 
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of the ``n``-word shingles; fewer words are one shingle."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    size = min(n, len(tokens))
-    return np.unique(ngrams(word_hashes(tokens), size, 100 + size) & MASK)
+def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of texts, in runs: sorted distinct 48-bit hashes of ``n``-word shingles end to end, and where each text's begin
+    and the last one's end. Fewer words are one shingle.
+    """
+    if not len(texts):
+        return
+    texts = texts.fill_null("").cast(pa.large_binary())
+    places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(places, places[at] + RUN_BYTES, "right")) - 1)
+        yield _gram_run(data[places[at] : places[to]], places[at : to + 1] - places[at], n)
+        at = to
+
+
+def _gram_run(data: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of the texts that lie in ``data`` between ``places``, all at once: no step is per word."""
+    raw = np.zeros(len(data) + 8, np.uint8)  # eight bytes can be read from any place
+    raw[:-8] = data
+    raw += ((raw - 65) < 26).astype(np.uint8) << 5
+    word = (raw[:-8] != 32) & (raw[:-8] - 9 >= 5)  # bytes wrap
+    cut = np.zeros(len(data) + 1, bool)
+    cut[places] = True
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1] | cut[1:-1]
+    last[:-1] &= ~word[1:] | cut[1:-1]
+    starts = np.flatnonzero(first)
+    h = _hashed_words(raw, starts, np.flatnonzero(last) + 1 - starts)
+
+    begins = np.searchsorted(starts, places)
+    words = np.diff(begins)
+    grams = np.zeros(len(h), np.uint64)
+    taken = np.repeat(begins[1:], words) - np.arange(len(h)) >= n
+    if len(h) >= n:
+        grams[: len(h) - n + 1] = _shingles([h[j : len(h) - n + 1 + j] for j in range(n)])
+    for size in range(1, n):
+        short = begins[:-1][words == size]
+        grams[short] = _shingles([h[short + j] for j in range(size)])
+        taken[short] = True
+    grams = grams[taken]
+    bounds = np.concatenate([[0], np.cumsum(np.where(words < n, words > 0, words - n + 1))])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        grams[a:b].sort()
+    new = np.ones(len(grams) + 1, bool)
+    new[1:-1] = grams[1:] != grams[:-1]
+    new[bounds] = True
+    return grams[new[:-1]], np.concatenate([[0], np.cumsum(new[:-1])])[bounds]
+
+
+def _hashed_words(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``raw``, by eight bytes at a time; of words up to eight bytes a length has no two alike."""
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    h = mix(mix(lengths.astype(np.uint64), 41) ^ (eight[starts] & KEPT[np.minimum(lengths, 8)]), 42)
+    done, more = 8, np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
+    while len(more):
+        part = eight[starts[more] + done] & KEPT[np.minimum(lengths[more] - done, 8)]
+        h[more] = mix(h[more] * FACTOR ^ part, 42)
+        done += 8
+        more = more[lengths[more] > done]
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + lengths[i]].tobytes())
+    return h
+
+
+def _shingles(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of runs of words, given the hashes of their first words, second words and so on."""
+    factors = mix(np.arange(len(words), dtype=np.uint64), 43) | np.uint64(1)
+    total = words[0] * factors[0]
+    for part, factor in zip(words[1:], factors[1:]):
+        total += part * factor
+    return mix(total, 100 + len(words)) & MASK
+
+
+def set_ids(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sets by 64 bits of their n-grams and their size."""
+    out = np.zeros(len(bounds) - 1, SET_ID)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams, 11), dtype=np.uint64)])
+    out["a"], out["n"] = mix(np.diff(sums[bounds]), 12), np.diff(bounds)
+    return out
 
 
-def set_id(grams: np.ndarray) -> bytes:
-    """A set by 64 bits of its n-grams and its size."""
-    total = np.add.reduce(mix(grams, 11), dtype=np.uint64)
-    return np.array([mix(np.array([total]), 12)[0], len(grams)], "<u8").tobytes()[:12]
+def _as_list(ids: np.ndarray) -> list[bytes]:
+    raw = np.ascontiguousarray(ids).tobytes()
+    return [raw[i : i + SET_ID.itemsize] for i in range(0, len(raw), SET_ID.itemsize)]
 
 
 def packed_grams(grams: np.ndarray) -> bytes:
@@ -70,9 +149,18 @@ def unpacked_grams(data: bytes) -> np.ndarray:
     return np.cumsum(gaps)[gaps < STEP].astype(np.uint64)
 
 
-def _order(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """``grams`` from rare to frequent."""
-    return grams[np.lexsort((grams, levels[(mix(grams, 21) % np.uint64(CELLS)).astype(np.int64)]))]
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _keys(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Numbers that order ``grams`` from rare to frequent, with the n-gram itself in their low bits."""
+    return levels[_cells(grams)].astype(np.uint64) << np.uint64(GRAM_BITS) | grams
+
+
+def _least(keys: np.ndarray, take: int) -> np.ndarray:
+    """The ``take`` least of ``keys``, sorted."""
+    return np.sort(np.partition(keys, take - 1)[:take])
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
@@ -81,16 +169,18 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            sets = [gram_set(t, n) for t in batch.column("text").to_pylist()]
-            cells = np.concatenate([*sets, np.empty(0, np.uint64)])
-            counts += np.bincount((mix(cells, 21) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            ids = [np.empty(0, SET_ID)]
+            for grams, bounds in gram_sets(batch.column("text"), n):
+                np.add.at(counts, _cells(grams), np.uint32(1))
+                ids.append(set_ids(grams, bounds))
+            ids = np.concatenate(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.nulls(len(sets), pa.int64()),
-                    pa.nulls(len(sets), pa.binary()),
+                    pa.array(_as_list(ids), pa.binary(), mask=ids["n"] == 0),
+                    pa.array(ids["n"].astype(np.int64)),
+                    pa.nulls(len(ids), pa.int64()),
+                    pa.nulls(len(ids), pa.binary()),
                 ],
                 ["doc_id", "sid", "n", "slice", "payload"],
             )
@@ -165,22 +255,25 @@ def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, pa
     def send(batches):
         held, grams_held = {}, 0
         for batch in batches:
-            for text, block in zip(batch.column("text").to_pylist(), batch.column("_block").to_pylist()):
-                grams = gram_set(text, n)
-                if len(grams):
-                    size = len(grams)
-                    take = size - -(-percent * size // 100) + 1
-                    record = np.zeros(take, RECORD)
-                    record["gram"] = _order(grams, levels.value)[:take]
-                    sid = set_id(grams)
-                    record["a"], record["n"] = np.frombuffer(sid, "<u8", 1), size
-                    early = size + 2 * percent * size // -(100 + percent) + 1
-                    record["place"] = 2 * block + (np.arange(take) >= early)
-                    other = held.setdefault(sid, record)
-                    if other is record:
-                        grams_held += take
-                    else:
-                        other["place"] = np.minimum(other["place"], record["place"])
+            blocks, at = batch.column("_block").to_pylist(), 0
+            for grams, bounds in gram_sets(batch.column("text"), n):
+                ids, keys = set_ids(grams, bounds), _keys(grams, levels.value)
+                for x, sid in enumerate(_as_list(ids)):
+                    size = int(ids["n"][x])
+                    if size:
+                        take = size - -(-percent * size // 100) + 1
+                        early = size + 2 * percent * size // -(100 + percent) + 1
+                        place = 2 * blocks[at + x] + (np.arange(take) >= early)
+                        other = held.get(sid)
+                        if other is None:
+                            record = np.zeros(take, RECORD)
+                            record["gram"] = _least(keys[bounds[x] : bounds[x + 1]], take) & MASK
+                            record["a"], record["n"], record["place"] = ids["a"][x], size, place
+                            held[sid] = record
+                            grams_held += take
+                        else:
+                            other["place"] = np.minimum(other["place"], place)
+                at += len(ids)
             if grams_held > SEND_GRAMS:
                 yield from sent(held)
                 held, grams_held = {}, 0
@@ -208,7 +301,7 @@ def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, pa
         return pa.table(
             {
                 "sig": pa.array(totals[part][several].view(np.int64), pa.int64()),
-                "sid": pa.array(_set_ids(k[several]), pa.binary()),
+                "sid": pa.array(_as_list(k[several][["a", "n"]].astype(SET_ID)), pa.binary()),
                 "n": pa.array(k["n"][several], pa.int32()),
                 "block": pa.array(k["place"][several] >> 1, pa.int64()),
             }
@@ -239,22 +332,17 @@ def _needed_groups(members: DataFrame, chunk_grams: int) -> DataFrame:
     return join_unique(members, size.join(within, "sig", "left_anti").select("sig", chunks), ["sig"])
 
 
-def _set_ids(k: np.ndarray) -> list[bytes]:
-    raw = np.stack([k["a"], k["n"].astype(np.uint64)], axis=1).tobytes()
-    return [raw[i : i + 12] for i in range(0, len(raw), 16)]
-
-
 def _delivered(docs: DataFrame, dealt: DataFrame, n: int) -> DataFrame:
     """``dealt`` with the ``grams`` of its sets, from the blocks that have them."""
 
     def deliver(left: pa.Table, right: pa.Table) -> pa.Table:
         found = {sid: None for sid in right["sid"].to_pylist()}
         if found:
-            for text in left["text"].to_pylist():
-                grams = gram_set(text, n)
-                sid = set_id(grams) if len(grams) else None
-                if sid in found and found[sid] is None:
-                    found[sid] = packed_grams(grams)
+            for texts in left["text"].chunks:
+                for grams, bounds in gram_sets(texts, n):
+                    for x, sid in enumerate(_as_list(set_ids(grams, bounds))):
+                        if sid in found and found[sid] is None:
+                            found[sid] = packed_grams(grams[bounds[x] : bounds[x + 1]])
         grams = pa.array([found[sid] for sid in right["sid"].to_pylist()], pa.binary())
         return right.drop_columns(["_block"]).append_column("grams", grams)
 
@@ -335,7 +423,7 @@ def _join_groups(rows: DataFrame, levels, percent: int) -> DataFrame:
     def solve(key, chunk_of, sids, payloads):
         grams = [unpacked_grams(p) for p in payloads]
         flat = np.unique(np.concatenate(grams))
-        order = _order(flat, levels.value)[::-1]
+        order = (np.sort(_keys(flat, levels.value)) & MASK)[::-1]
         rank = np.empty(len(flat), np.int64)
         rank[np.searchsorted(flat, order)] = np.arange(len(flat))
         ranked = [np.sort(rank[np.searchsorted(flat, g)]) for g in grams]

@@ -1,12 +1,15 @@
 """N-gram join against all pairs, the trie against set arithmetic, components against union-find."""
 
+import cProfile
+import pstats
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prefspark.llm.components import components
-from prefspark.llm.ngram_join import linked_pairs, ngram_join, packed_grams, unpacked_grams
+from prefspark.llm.ngram_join import gram_sets, linked_pairs, ngram_join, packed_grams, set_ids, unpacked_grams
 
 SCHEMA = "doc_id long, text string, sid string, n string, slice string, payload string, root string"
 
@@ -71,6 +74,37 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(map(tuple, ngram_join(df).collect())) == [(4, 0, 4), (4, 0, 4), (5, 3, 5), (5, 3, 5)]
 
 
+@pytest.mark.parametrize("n", [1, 3, 4])
+@pytest.mark.parametrize("run_bytes", [1, 50, 1 << 18])
+def test_sets_of_runs_equal_plain_sets(monkeypatch, n, run_bytes):
+    monkeypatch.setattr("prefspark.llm.ngram_join.RUN_BYTES", run_bytes)
+    odd = ["a\x00 a a\x00\x00 a", "\x1c\x85 \u3000\xa0", "ab", "c d", "c d", "AZ[@`{ \x08 \x0e", "\t\v\fx\r\n", "Ä ä", "longword " * 9]
+    odd += ["w" * k + " " + "w" * k + "v" for k in (7, 8, 9, 16, 63, 64, 65, 200)]
+    rows = odd + texts(5) + [None, "x y", ""]
+    column = pa.array(["cut off", *rows, None]).slice(1, len(rows))
+    runs = list(gram_sets(column, n))
+    named = [tuple(i) for grams, bounds in runs for i in set_ids(grams, bounds)]
+    hashes = [g[a:b].tolist() for g, bounds in runs for a, b in zip(bounds, bounds[1:])]
+    want = [shingles(t, n) for t in rows]
+    assert [len(set(x)) for x in hashes] == [len(x) for x in hashes] == [len(w) for w in want] == [size for _, size in named]
+    assert all(x == sorted(x) for x in hashes)
+    # The same shingle has the same hash in any text and run, and different ones have different hashes.
+    for i in range(len(rows)):
+        for j in range(i):
+            assert len(set(hashes[i]) & set(hashes[j])) == len(want[i] & want[j])
+            assert (named[i] == named[j]) == (want[i] == want[j])
+    assert list(gram_sets(pa.array([], pa.string()), n)) == [] and len(list(gram_sets(pa.array([None], pa.string()), n))) == 1
+
+
+def test_new_words_cost_no_call_each():
+    """Most words of a large corpus are new to a task; hashing each by a call of its own took nearly half of the time of the sets."""
+    column = pa.array([" ".join(f"w{i}x{j}" for j in range(500)) for i in range(100)])
+    profile = cProfile.Profile()
+    (grams, bounds), *_ = profile.runcall(lambda: list(gram_sets(column, 4)))
+    assert np.diff(bounds).min() == 497
+    assert pstats.Stats(profile).total_calls < 5_000
+
+
 def test_trie_equals_set_arithmetic():
     rng = np.random.default_rng(4)
     for _ in range(150):
