@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import BLOCK_BYTES, SENT, mix, pack, parts_for, stored
+from prefspark.llm.common import BLOCK_BYTES, SENT, held, mix, pack, parts_for, stored
 from prefspark.llm.components import components
 from prefspark.operators.groups import join_unique
 
@@ -50,6 +50,7 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]
     """The sets of texts, in runs: sorted distinct 48-bit hashes of ``n``-word shingles end to end, and where each text's begin
     and the last one's end. Fewer words are one shingle.
     """
+    held("n-gram sets", bool)  # needs no cache, but drops another operator's
     if not len(texts):
         return
     texts = texts.fill_null("").cast(pa.large_binary())

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from prefspark.llm import common
 from prefspark.llm.components import components
 from prefspark.llm.ngram_join import gram_sets, linked_pairs, ngram_join, packed_grams, set_ids, unpacked_grams
 
@@ -105,6 +106,12 @@ def test_new_words_cost_no_call_each():
     assert pstats.Stats(profile).total_calls < 5_000
 
 
+def test_sets_drop_the_cache_of_another_operator():
+    cache = common.held("of another operator", list)
+    list(gram_sets(pa.array(["a b"]), 4))
+    assert common.held("of another operator", list) is not cache
+
+
 def test_trie_equals_set_arithmetic():
     rng = np.random.default_rng(4)
     for _ in range(150):
