@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from prefspark.llm.common import PieceMemo, held, pieces, vocabulary_path
+from prefspark.llm.common import PieceMemo, held, pieces, text_runs, vocabulary_path
 
 _WORD_END = 0x8000  # added to the last symbol of a word, which carries the end-of-word mark
 NEVER = 1 << 62
+RUN_BYTES = 1 << 19  # of text whose pieces are held at once; a longer text is by itself
 
 
 class TokenizationAutomaton:
@@ -176,6 +177,7 @@ class BatchEncoder:
     """
 
     SYMBOLS = 1 << 16
+    ARCS = 1_000_000  # in the table at most
 
     def __init__(self, automaton: TokenizationAutomaton):
         self.automaton = automaton
@@ -188,27 +190,31 @@ class BatchEncoder:
                 (self.ends[nodes[p]],) = labels
         self.steps = _Table(keys, np.arange(1, len(nodes)))
         self.sizes = np.array([len(t) for t in automaton.text])
-        self.known: dict[int, bool] = {}
-        self._rebuild()
+        self.fresh: dict[int, bool] = {}  # arcs that are not in the table yet
+        self.arcs, self.built = _Table(np.empty(0, np.int64), np.empty(0, np.int32)), 0
 
     def _rebuild(self) -> None:
-        keys = np.fromiter(self.known, np.int64, len(self.known))
-        self.arcs, self.built = _Table(keys, np.fromiter(self.known.values(), np.int32, len(keys))), len(keys)
+        """Put the fresh arcs to the table; a full one starts anew."""
+        keys = np.fromiter(self.fresh, np.int64, len(self.fresh))
+        values = np.fromiter(self.fresh.values(), np.int32, len(keys))
+        if self.built + len(keys) <= self.ARCS:
+            old = self.arcs.keys >= 0
+            keys, values = np.concatenate([self.arcs.keys[old], keys]), np.concatenate([self.arcs.values[old], values])
+        self.arcs, self.built = _Table(keys, values), len(keys)
+        self.fresh = {}
 
     def allowed(self, before: np.ndarray, label: np.ndarray) -> np.ndarray:
         keys = before * (1 << 31) + label
         out = self.arcs(keys)
         new = np.flatnonzero(out < 0)
         if len(new):
-            known, follows = self.known, self.automaton.follows
+            fresh, follows = self.fresh, self.automaton.follows
             for i in new.tolist():
                 key = int(keys[i])
-                if key not in known:
-                    known[key] = follows(key >> 31, key & ((1 << 31) - 1))
-                out[i] = known[key]
-            if len(known) > 1_000_000:
-                known.clear()
-            if len(known) > 1.2 * self.built + 1_000 or not known:
+                if key not in fresh:
+                    fresh[key] = follows(key >> 31, key & ((1 << 31) - 1))
+                out[i] = fresh[key]
+            if len(fresh) > 0.2 * self.built + 1_000:
                 self._rebuild()
         return out > 0
 
@@ -338,8 +344,35 @@ class WordBpe:
 
     @cached_property
     def digest_texts(self) -> PieceMemo:
-        """Of pieces: their decimal ids and their labels, each joined by a space."""
-        return PieceMemo(lambda new: [(" ".join(map(str, i)), self.decode(i)) for i in self.pieces(new)], 400_000)
+        """Of pieces, as bytes: their decimal ids, a line break and their labels, with a space after each id and label."""
+        return PieceMemo(lambda new: [self._digest_text(i) for i in self.pieces(new)], 400_000)
+
+    def _digest_text(self, ids: list[int]) -> bytes:
+        if not ids:
+            return b"\n"
+        return f"{' '.join(map(str, ids))} \n{self.decode(ids)} ".encode()
+
+    def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """Of each text: the number of its ids, and the digests of its ids and of its labels, both joined by a space.
+
+        Pieces are numbered by Arrow: the memory is asked once for each different one, and no step is per piece.
+        """
+        parts = [pieces(t) if t else [] for t in texts.to_pylist()]
+        ends = np.cumsum([len(part) for part in parts])
+        numbered = pa.array([p for part in parts for p in part], pa.string()).dictionary_encode()
+        del parts
+        halves = [v.split(b"\n", 1) for v in self.digest_texts(numbered.dictionary.to_pylist())]
+        counts = np.fromiter((ids.count(b" ") for ids, _ in halves), np.int64, len(halves))
+        totals = np.concatenate([[0], np.cumsum(counts[numbered.indices.to_numpy()])])[np.concatenate([[0], ends])]
+        hashes = []
+        for half in (0, 1):
+            laid = pa.array([pair[half] for pair in halves], pa.large_binary()).take(numbered.indices)
+            places = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset : laid.offset + len(laid) + 1] if len(laid) else np.zeros(1, np.int64)
+            data = memoryview(laid.buffers()[2] or b"")
+            cuts = places[np.concatenate([[0], ends])].tolist()
+            # Without the last space. A text can have pieces and no ids: a piece may be empty after normalisation.
+            hashes.append([hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(cuts, cuts[1:])])
+        return np.diff(totals).tolist(), *hashes
 
     def pieces(self, found: list[str]) -> list[list[int]]:
         """Ids of texts without white space."""
@@ -422,24 +455,21 @@ def codec_digests(
 ) -> DataFrame:
     """Per row: id, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by a space, ``decoded_sha256``.
 
-    The same automaton; the texts of a piece's ids and of its labels are remembered with it. Rows keep their
+    The same automaton; the texts of a piece's ids and of its labels are remembered with it. A batch is read in runs of
+    texts, which bounds what a task holds beside that memory. Rows keep their
     number, repeated or not; a NULL or empty text has 0 tokens and the digests of an empty text.
     """
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        memo = coder(vocabulary).digest_texts
-        sha = hashlib.sha256
+        code = coder(vocabulary)
         for batch in batches:
             counts, id_hash, text_hash = [], [], []
-            for got in memo.texts(batch.column(text).to_pylist()):
-                # A piece can be without tokens only if it is empty after normalisation.
-                ids = " ".join([g[0] for g in got if g[0]])
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                id_hash.append(sha(ids.encode()).hexdigest())
-                text_hash.append(sha(" ".join([g[1] for g in got if g[0]]).encode()).hexdigest())
+            for texts in text_runs(batch.column(text), RUN_BYTES):
+                for column, values in zip((counts, id_hash, text_hash), code.digests(texts)):
+                    column += values
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(id_hash), pa.array(text_hash)],
+                [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

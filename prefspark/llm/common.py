@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -286,6 +287,17 @@ class PieceMemo:
         return memoryview(values.buffers()[2]), places[ends].astype(np.int64)
 
 
+def text_runs(texts: pa.Array, run_bytes: int) -> Iterator[pa.Array]:
+    """``texts`` in slices of up to ``run_bytes`` bytes of UTF-8; a longer text is a slice by itself."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + run_bytes, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def vocabulary_path(name: str) -> str:
     """Where a vocabulary file lies on this machine: ``name`` itself if it is a path."""
     if "/" in name:

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from prefspark.llm.bpe_automaton import TokenizationAutomaton, bpe_codec, codec_digests, coder
+from prefspark.llm.bpe_automaton import BatchEncoder, TokenizationAutomaton, WordBpe, bpe_codec, codec_digests, coder
 from prefspark.llm.common import pieces
 from prefspark.llm.elias_fano import EliasFano, token_file_index
 from prefspark.llm.token_counts import chunked_ids, load, token_counts
@@ -81,6 +83,45 @@ def test_codec_digests(docs, library):
         assert row.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+class _Rows:
+    """Stands for a table: ``mapInArrow`` gives the function back."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_codec_digests_hold_little_beside_the_memory_of_pieces(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(20_000)]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(1000)]
+    batch = pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    run = codec_digests(_Rows(spark.range(0).withColumnRenamed("id", "doc_id").schema))
+    coder("word_bpe_49k.json").pieces(["warm"])
+    tracemalloc.start()
+    try:
+        (out,) = run([batch])
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert out.num_rows == 1000
+    assert most < 24 * 2**20
+
+
+def test_full_table_of_arcs_starts_anew(monkeypatch):
+    words = ["".join(random.Random(i).choices("abcdef", k=9)) for i in range(3000)]
+    expected = WordBpe().pieces(words)
+    monkeypatch.setattr(BatchEncoder, "ARCS", 1200)
+    small = WordBpe()
+    assert [small.pieces(words[i : i + 50]) for i in range(0, 3000, 50)] == [expected[i : i + 50] for i in range(0, 3000, 50)]
+    assert small._batch.built < 1_500
+
+
 def test_pieces_of_random_texts(library):
     rng = random.Random(3)
     letters = "abcdehinot'019 \t\x1c\x85\xa0  ​　éÜßΣσς日語İ!?<|>-_́😀"
