@@ -9,7 +9,10 @@ traversal carries all probing sets down a path at once with their overlaps so fa
 even the best set below, by the n-grams remaining in both, falls short of the threshold. The overlap at a
 set's end is exact, so no candidate needs another check.
 
-Equal sets are one from the start, in blocks before anything is shuffled. Groups over a size are dealt into
+Equal sets are one from the start, in blocks before anything is shuffled. A set has a sketch, the parity of its n-grams in
+each of some cells: two sketches differ in no more cells than their sets do in n-grams, so those that differ in too many
+part the sets of a group before any set is sent. Groups that overlap are joined as one while they are small, and
+each set is sent there once, from one document whose place in a bitmap is marked. Other groups over a size are dealt into
 chunks by hash and joined chunk by chunk; equal groups of different n-grams are joined once.
 """
 
@@ -25,16 +28,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import BLOCK_BYTES, SENT, held, mix, pack, parts_for, stored
+from prefspark.llm.common import BLOCK_BYTES, SENT, from_bytes, held, mix, pack, parts_for, stored
 from prefspark.llm.components import components
 from prefspark.operators.groups import join_unique
 
 CELLS = 1 << 22  # of the count sketch, whatever the input; it decides on the order alone, never on a link
 SLICES = 64
+SUMS = 4  # in which the sketch's slices are added first
 CHUNK_GRAMS = 1 << 16  # n-grams of the sets of a chunk
+MERGED = 4  # chunks of groups that are joined as one, at most
+PARTED = 512  # sets of a group that sketches may part, at most
+MARKS = 1 << 24  # of the bitmap of documents, whatever the input; a wrong mark only sends a text in vain
 SEND_GRAMS = 1 << 21  # records that a task holds before it sends them
-# "place" is twice the block, and one more for an n-gram that a set has too late to be the smaller of two.
-RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("n", "<i4"), ("place", "<i4")])
+# "late" marks an n-gram that a set has too late to be the smaller of two.
+RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("n", "<u4"), ("late", "u1")])
 SET_ID = np.dtype([("a", "<u8"), ("n", "<u4")])
 RUN_BYTES = 1 << 18  # of text whose sets are made at once; a longer text is by itself
 LONG_WORD = 64  # bytes; longer words are hashed one by one
@@ -129,6 +136,54 @@ def set_ids(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_sketches(grams: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set whether each cell holds an odd number of its n-grams; as many cells as the power of two up to its size, 64 at
+    least. The first half of the cells xor the second is the sketch of half the size.
+    """
+    sizes = np.diff(bounds)
+    cells = np.left_shift(1, np.frexp(np.maximum(sizes, 64).astype(np.float64))[1] - 1).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(cells)])
+    at = np.repeat(starts[:-1], sizes) + (grams.astype(np.int64) & np.repeat(cells - 1, sizes))
+    raw = np.packbits((np.bincount(at, minlength=int(starts[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:b] for a, b in zip((starts[:-1] // 8).tolist(), (starts[1:] // 8).tolist())]
+
+
+def _folded(sketch: bytes, size: int) -> int:
+    """A sketch with no more than ``size`` bytes, as a number."""
+    out, bits = int.from_bytes(sketch, "little"), 8 * len(sketch)
+    while bits > 8 * size:
+        bits //= 2
+        out = out >> bits ^ out & (1 << bits) - 1
+    return out
+
+
+def parted(sizes: list[int], sketches: list[bytes], percent: int) -> list[list[int]]:
+    """The sets that may link with others, in parts between which none may; by size and sketch alone."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    least = min(map(len, sketches))
+    folded = [_folded(sketches[x], least) for x in order]
+    sizes = [sizes[x] for x in order]
+    root = list(range(len(sizes)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for y, n in enumerate(sizes):
+        for x in range(y - 1, -1, -1):
+            if 100 * sizes[x] < percent * n:
+                break
+            both = sizes[x] + n
+            apart = both + 2 * (-percent * both // (100 + percent))  # the most n-grams that are in one of two that link
+            if (folded[x] ^ folded[y]).bit_count() <= apart and (u := top(x)) != (v := top(y)):
+                root[v] = u
+    parts: dict[int, list[int]] = {}
+    for x in range(len(sizes)):
+        parts.setdefault(top(x), []).append(order[x])
+    return [part for part in parts.values() if len(part) > 1]
+
+
 def _as_list(ids: np.ndarray) -> list[bytes]:
     raw = np.ascontiguousarray(ids).tobytes()
     return [raw[i : i + SET_ID.itemsize] for i in range(0, len(raw), SET_ID.itemsize)]
@@ -165,40 +220,43 @@ def _least(keys: np.ndarray, take: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Per row its id, set id and size; per task the slices of its count sketch."""
+    """Per row its id, the hash of the row, set id, size and sketch; per task the slices of its count sketch."""
 
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            ids = [np.empty(0, SET_ID)]
+            ids, sketches = [np.empty(0, SET_ID)], []
             for grams, bounds in gram_sets(batch.column("text"), n):
                 np.add.at(counts, _cells(grams), np.uint32(1))
                 ids.append(set_ids(grams, bounds))
+                sketches += parity_sketches(grams, bounds)
             ids = np.concatenate(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row"),
                     pa.array(_as_list(ids), pa.binary(), mask=ids["n"] == 0),
                     pa.array(ids["n"].astype(np.int64)),
                     pa.nulls(len(ids), pa.int64()),
-                    pa.nulls(len(ids), pa.binary()),
+                    pa.array(sketches, pa.binary(), mask=ids["n"] == 0),
                 ],
-                ["doc_id", "sid", "n", "slice", "payload"],
+                ["doc_id", "row", "sid", "n", "slice", "payload"],
             )
         task = TaskContext.get().partitionId()
         slices = [(i, zlib.compress(s.tobytes(), 1)) for i, s in enumerate(np.split(counts, SLICES)) if s.any()]
         yield pa.RecordBatch.from_arrays(
             [
+                pa.nulls(len(slices), pa.int64()),
                 pa.nulls(len(slices), pa.int64()),
                 pa.nulls(len(slices), pa.binary()),
                 pa.array([task] * len(slices), pa.int64()),
                 pa.array([i for i, _ in slices], pa.int64()),
                 pa.array([s for _, s in slices], pa.binary()),
             ],
-            ["doc_id", "sid", "n", "slice", "payload"],
+            ["doc_id", "row", "sid", "n", "slice", "payload"],
         )
 
-    return stored(docs.mapInArrow(run, "doc_id long, sid binary, n long, slice long, payload binary"), "gram-sets")
+    return stored(docs.mapInArrow(run, "doc_id long, row long, sid binary, n long, slice long, payload binary"), "gram-sets")
 
 
 def _levels(scanned: DataFrame) -> np.ndarray:
@@ -213,7 +271,7 @@ def _levels(scanned: DataFrame) -> np.ndarray:
             {"slice": group["slice"][:1], "part": pa.array([0], pa.int64()), "payload": pa.array([zlib.compress(most.tobytes(), 1)], pa.binary())}
         )
 
-    parts = scanned.where("slice IS NOT NULL").select("slice", F.pmod("n", F.lit(1024)).alias("part"), "payload")
+    parts = scanned.where("slice IS NOT NULL").select("slice", F.pmod("n", F.lit(SUMS)).alias("part"), "payload")
     schema = "slice long, part long, payload binary"
     summed = parts.groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice", "part").applyInArrow(add, schema)
     levels = np.zeros(CELLS, np.uint8)
@@ -238,7 +296,7 @@ def _may_link(k: np.ndarray, percent: int) -> np.ndarray:
     Sorted by n-gram, size and earliness, so the best smaller set of a record is the last early one before it, and the best
     larger set of an early one is the next.
     """
-    n, early, at = k["n"].astype(np.int64), (k["place"] & 1) == 0, np.arange(len(k))
+    n, early, at = k["n"].astype(np.int64), k["late"] == 0, np.arange(len(k))
     last = np.concatenate([[-1], np.maximum.accumulate(np.where(early, at, -1))[:-1]])
     best = np.maximum(last, 0)
     larger = (last >= 0) & (k["gram"][best] == k["gram"]) & (100 * n[best] >= percent * n)
@@ -248,33 +306,26 @@ def _may_link(k: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, partitions: int) -> DataFrame:
-    """``sig, sid, n, block``: the sets of every group of at least two that may link, stored.
+    """``sig, sid, n``: the sets of every group of at least two that may link, stored.
 
-    Straight from the scan: a task's sets are put to their groups once each, with a block they can be had from.
+    Straight from the scan: a task's sets are put to their groups once each.
     """
 
     def send(batches):
         held, grams_held = {}, 0
         for batch in batches:
-            blocks, at = batch.column("_block").to_pylist(), 0
             for grams, bounds in gram_sets(batch.column("text"), n):
                 ids, keys = set_ids(grams, bounds), _keys(grams, levels.value)
                 for x, sid in enumerate(_as_list(ids)):
                     size = int(ids["n"][x])
-                    if size:
+                    if size and sid not in held:
                         take = size - -(-percent * size // 100) + 1
                         early = size + 2 * percent * size // -(100 + percent) + 1
-                        place = 2 * blocks[at + x] + (np.arange(take) >= early)
-                        other = held.get(sid)
-                        if other is None:
-                            record = np.zeros(take, RECORD)
-                            record["gram"] = _least(keys[bounds[x] : bounds[x + 1]], take) & MASK
-                            record["a"], record["n"], record["place"] = ids["a"][x], size, place
-                            held[sid] = record
-                            grams_held += take
-                        else:
-                            other["place"] = np.minimum(other["place"], place)
-                at += len(ids)
+                        record = np.zeros(take, RECORD)
+                        record["gram"] = _least(keys[bounds[x] : bounds[x + 1]], take) & MASK
+                        record["a"], record["n"], record["late"] = ids["a"][x], size, np.arange(take) >= early
+                        held[sid] = record
+                        grams_held += take
             if grams_held > SEND_GRAMS:
                 yield from sent(held)
                 held, grams_held = {}, 0
@@ -283,35 +334,123 @@ def _memberships(docs: DataFrame, levels, n: int, percent: int, buckets: int, pa
 
     def sent(held):
         records = np.concatenate(list(held.values()))
-        yield from pack(-1, records["gram"], records, buckets).to_batches()
+        records = records[np.argsort(records["gram"])]
+        yield from pack(-1, records["gram"], records, buckets, by_column=True).to_batches()
 
     def group_up(group: pa.Table) -> pa.Table:
-        k = np.concatenate([np.frombuffer(x, RECORD) for x in group["payload"].to_pylist()])
-        k = k[np.lexsort((k["place"], k["a"], k["place"] & 1, k["n"], k["gram"]))]
+        k = np.concatenate([from_bytes(x, RECORD, True) for x in group["payload"].to_pylist()])
+        k = k[np.lexsort((k["a"], k["late"], k["n"], k["gram"]))]
         new = np.ones(len(k), bool)
         new[1:] = (k["gram"][1:] != k["gram"][:-1]) | (k["a"][1:] != k["a"][:-1]) | (k["n"][1:] != k["n"][:-1])
         k = _may_link(k[new], percent)
         if not len(k):
-            return pa.table({c: pa.array([], t) for c, t in (("sig", pa.int64()), ("sid", pa.binary()), ("n", pa.int32()), ("block", pa.int64()))})
+            return pa.table({c: pa.array([], t) for c, t in (("sig", pa.int64()), ("sid", pa.binary()), ("n", pa.int32()))})
         # Sorted by size within an n-gram; a group ends where the next set is too large to link.
         start = _apart(k, percent)
         part = np.cumsum(start) - 1
         several = np.bincount(part)[part] > 1
         totals = np.zeros(int(part[-1]) + 1, np.uint64)
-        np.add.at(totals, part, mix(mix(k["a"], 31) + k["n"].astype(np.uint64), 33))
+        np.add.at(totals, part, _marks_of_sets(k))
         return pa.table(
             {
                 "sig": pa.array(totals[part][several].view(np.int64), pa.int64()),
                 "sid": pa.array(_as_list(k[several][["a", "n"]].astype(SET_ID)), pa.binary()),
                 "n": pa.array(k["n"][several], pa.int32()),
-                "block": pa.array(k["place"][several] >> 1, pa.int64()),
             }
         )
 
     grouped = docs.mapInArrow(send, SENT).repartition(partitions, "_bucket").groupBy("_bucket")
-    members = grouped.applyInArrow(group_up, "sig long, sid binary, n int, block long")
-    members = members.groupBy("sig", "sid").agg(F.first("n").alias("n"), F.min("block").alias("block"))
-    return stored(members, "gram-groups")
+    members = grouped.applyInArrow(group_up, "sig long, sid binary, n int")
+    return stored(members.groupBy("sig", "sid").agg(F.first("n").alias("n")), "gram-groups")
+
+
+def _marks_of_sets(ids: np.ndarray) -> np.ndarray:
+    """Numbers whose sum tells a group of sets from others."""
+    return mix(mix(ids["a"], 31) + ids["n"].astype(np.uint64), 33)
+
+
+def _candidates(members: DataFrame, scanned: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """``sig, sid, n, row, center``: the groups of ``members`` parted by sketches, stored.
+
+    ``row`` is the hash of a document that has the set, ``center`` one set of the group. A group of more than ``PARTED`` sets
+    stays as it is, and its rows pass.
+    """
+    sets = members.select("sid").distinct()
+    known = scanned.where("sid IS NOT NULL").join(sets, "sid", "left_semi")
+    known = known.groupBy("sid").agg(F.min(F.struct("row", "payload")).alias("at")).select("sid", "at.row", F.col("at.payload").alias("sketch"))
+    rows = join_unique(members, known, ["sid"]).repartition(partitions, "sig").sortWithinPartitions("sig")
+
+    def part(group):
+        found = []
+        for one in parted([r[2] for r in group], [r[4] for r in group], percent):
+            ids = np.frombuffer(b"".join(group[x][1] for x in one), SET_ID)
+            sig = int(_marks_of_sets(ids).sum(dtype=np.uint64).view(np.int64))
+            center = min(group[x][1] for x in one)
+            found += [(sig, *group[x][1:4], center) for x in one]
+        return found
+
+    def run(batches):
+        sig, group, whole = None, [], False
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "sid", "n", "row", "sketch"))):
+                if row[0] != sig:
+                    out += [] if whole or not group else part(group)
+                    sig, group, whole = row[0], [], False
+                if whole:
+                    out.append((*row[:4], group[0][1]))
+                    continue
+                group.append(row)
+                if len(group) > PARTED:
+                    out += [(*r[:4], group[0][1]) for r in group]
+                    group, whole = group[:1], True
+            yield batch_of(out)
+        if group and not whole:
+            yield batch_of(part(group))
+
+    def batch_of(out):
+        columns = list(zip(*out)) or [()] * 5
+        types = pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["sig", "sid", "n", "row", "center"])
+
+    found = rows.select("sig", "sid", "n", "row", "sketch").mapInArrow(run, "sig long, sid binary, n int, row long, center binary")
+    found = found.groupBy("sig", "sid").agg(F.min(F.struct("n", "row", "center")).alias("x"))
+    return stored(found.select("sig", "sid", "x.*"), "gram-candidates")
+
+
+def _dealt(candidates: DataFrame, chunk_grams: int) -> DataFrame:
+    """``sig, sid, row, k``: where each set is joined, with the chunks of that; stored.
+
+    Groups that overlap are one as long as ``MERGED`` chunks hold it. Others stay by themselves.
+    """
+    roots = components(candidates.select(F.col("sid").alias("u"), F.col("center").alias("v")))
+    named = join_unique(candidates, roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), ["sid"], "left")
+    named = named.withColumn("root", F.coalesce("root", "sid"))
+    sets = named.groupBy("root", "sid").agg(F.first("n").alias("n"), F.min("row").alias("row"))
+    chunks = F.ceil(F.sum(F.col("n").cast("long")) / F.lit(chunk_grams)).cast("int").alias("k")
+    sized = sets.groupBy("root").agg(chunks)
+    small = sized.where(F.col("k") <= MERGED)
+    merged = join_unique(sets, small, ["root"]).select(F.xxhash64("root").alias("sig"), "sid", "row", "k")
+    large = named.join(sized.where(F.col("k") > MERGED).select("root"), "root", "left_semi").select("sig", "sid", "n", "row")
+    return stored(merged.unionByName(_needed_groups(large, chunk_grams).select("sig", "sid", "row", "k")), "gram-dealt")
+
+
+def _marked(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose hash is a ``row`` of ``dealt``, and few others: a bitmap by their low bits is broadcast."""
+    low = F.col("row").bitwiseAND(F.lit(MARKS - 1))
+    bit = F.expr("shiftleft(1L, CAST(row & 31 AS INT))")
+    marks = dealt.groupBy(F.shiftright(low, 5).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    found = marks.toArrow()  # MARKS / 32 rows at most
+    words = np.zeros(MARKS // 32, np.uint32)
+    words[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    bitmap = docs.sparkSession.sparkContext.broadcast(words)
+
+    def keep(batches):
+        for batch in batches:
+            at = batch.column("row").to_numpy() & (MARKS - 1)
+            yield batch.filter(pa.array((bitmap.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+
+    return docs.select("text", "row").mapInArrow(keep, "text string, row long")
 
 
 def _needed_groups(members: DataFrame, chunk_grams: int) -> DataFrame:
@@ -491,17 +630,20 @@ def ngram_join(
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     buckets, partitions = parts_for(docs, "text", block_bytes)
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     scanned = _scan(docs, n)
     levels = spark.sparkContext.broadcast(_levels(scanned))  # CELLS bytes
 
-    blocks = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
-    members = _memberships(blocks, levels, n, percent, buckets, partitions)
-    dealt = _needed_groups(members, chunk_grams).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    members = _memberships(docs, levels, n, percent, buckets, partitions)
+    dealt = _dealt(_candidates(members, scanned, percent, partitions), chunk_grams)
+    block = F.pmod("row", F.lit(buckets)).alias("_block")
+    texts = _marked(docs, dealt).select(block, "text")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     ends = F.least("x", "chunk").alias("i"), F.greatest("x", "chunk").alias("j")
-    dealt = dealt.select(F.col("block").alias("_block"), "sig", *ends, "chunk", "sid")
+    dealt = dealt.select(block, "sig", *ends, "chunk", "sid")
     keys = ["sig", "i", "j"]
-    together = _delivered(blocks.repartition(partitions, "_block"), dealt, n)
+    together = _delivered(texts.repartition(partitions, "_block"), dealt, n)
     together = together.repartition(partitions, *keys).sortWithinPartitions(*keys)
     roots = components(_join_groups(together, levels, percent))
 

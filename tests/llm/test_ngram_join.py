@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from prefspark.llm import common
+from prefspark.llm import common, ngram_join as module
 from prefspark.llm.components import components
-from prefspark.llm.ngram_join import gram_sets, linked_pairs, ngram_join, packed_grams, set_ids, unpacked_grams
+from prefspark.llm.ngram_join import gram_sets, linked_pairs, ngram_join, packed_grams, parity_sketches, parted, set_ids, unpacked_grams
 
 SCHEMA = "doc_id long, text string, sid string, n string, slice string, payload string, root string"
 
@@ -68,6 +68,68 @@ def test_equals_all_pairs(spark, seed, block, chunk):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("merged,parted_sets", [(0, 512), (4, 2), (0, 2), (10**6, 512)])
+def test_equals_all_pairs_however_groups_are_joined(spark, monkeypatch, merged, parted_sets):
+    monkeypatch.setattr(module, "MERGED", merged)
+    monkeypatch.setattr(module, "PARTED", parted_sets)
+    rows = list(enumerate(texts(3)))
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), chunk_grams=300).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_a_set_is_sent_once_and_only_if_it_may_link(spark, monkeypatch):
+    """Sets that share rare n-grams by chance are not sent; those of a chain of near copies are sent once, not once a group."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    phrases = [" ".join(word() for _ in range(4)) for _ in range(30)]
+    rows = []
+    for _ in range(200):
+        base = [word() for _ in range(120)]
+        for at in range(10, 110, 20):
+            base[at] = rng.choice(phrases)
+        rows.append(" ".join(base))
+    base = [word() for _ in range(200)]
+    for i in range(25):
+        base[8 * i] = word()
+        rows.append(" ".join(base))
+    rows += rows[-3:]
+    seen = []
+
+    def delivered(docs, dealt, n, was=module._delivered):
+        seen.append((docs.count(), dealt.count()))
+        return was(docs, dealt, n)
+
+    monkeypatch.setattr(module, "_delivered", delivered)
+    rows = list(enumerate(rows))
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert seen == [(25, 25)]
+
+
+def test_sketches_part_no_sets_that_link():
+    rng = np.random.default_rng(6)
+    apart = 0
+    for _ in range(300):
+        base = rng.integers(0, 1 << 48, int(rng.integers(1, 900)), dtype=np.uint64)
+        sets = []
+        for _ in range(int(rng.integers(2, 9))):
+            new = rng.integers(0, 1 << 48, len(base), dtype=np.uint64)
+            sets.append(np.unique(np.where(rng.random(len(base)) < rng.choice([0, 0.04, 0.08, 0.2, 1]), new, base)[: max(1, int(len(base) * rng.choice([1, 0.9])))]))
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        sketches = parity_sketches(np.concatenate(sets), bounds)
+        assert all(len(x) < 128 or len(x) // 2 < 8 * len(s) <= len(x) for s, x in zip(sketches, sets))
+        parts = parted([len(x) for x in sets], sketches, 85)
+        part_of = {x: k for k, part in enumerate(parts) for x in part}
+        assert sum(map(len, parts)) == len(part_of) and min(map(len, parts), default=2) > 1
+        for x in range(len(sets)):
+            for y in range(x):
+                if 100 * len(np.intersect1d(sets[x], sets[y])) >= 85 * len(np.union1d(sets[x], sets[y])):
+                    assert part_of[x] == part_of[y]
+                else:
+                    apart += part_of.get(x, -1) != part_of.get(y, -2)
+    assert apart > 1000
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert ngram_join(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (4, None), (4, None)]
