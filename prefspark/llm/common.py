@@ -20,11 +20,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from prefspark.session import configure, scratch_path
 
 BLOCK_BYTES = 4 << 20
 PARTITION_BYTES, PARTITIONS = 256 << 20, 4096
+RUN_BYTES = 1 << 18  # of text whose words are hashed at once; a longer text is by itself
+LONG_WORD = 64  # bytes; longer words are hashed one by one
+KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first so many of eight bytes
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = np.iinfo(np.int64).min  # stands for a NULL id: before all others
 
 
@@ -42,6 +48,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows of the driver. They go as Arrow: lists would start other Python workers beside those of the operators."""
+    kind = StructType.fromDDL(ddl)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kind.names, r)) for r in rows], to_arrow_schema(kind)), kind)
+
+
 # --- words -------------------------------------------------------------------------------------------
 
 def words(text: str | None) -> list[bytes]:
@@ -113,6 +125,63 @@ def ngrams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return out
 
 
+def byte_runs(texts: pa.Array, run_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The UTF-8 of ``texts``, about ``run_bytes`` of it at a time, and where each text begins there and the last one ends.
+
+    A longer text is a run by itself; NULL is empty.
+    """
+    if not len(texts):
+        return
+    texts = texts.fill_null("").cast(pa.large_binary())
+    places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(places, places[at] + run_bytes, "right")) - 1)
+        yield data[places[at] : places[to]], places[at : to + 1] - places[at]
+        at = to
+
+
+def run_hashes(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts of a run start, and their 64-bit hashes: all at once, no step is per word."""
+    raw = np.zeros(len(data) + 8, np.uint8)  # eight bytes can be read from any place
+    raw[:-8] = data
+    word = (data != 32) & (data - 9 >= 5)  # bytes wrap
+    cut = np.zeros(len(data) + 1, bool)
+    cut[places] = True
+    first, last = word.copy(), word
+    first[1:] &= ~word[:-1] | cut[1:-1]
+    last[:-1] &= ~word[1:] | cut[1:-1]
+    starts = np.flatnonzero(first)
+    return starts, _hashed_words(raw, starts, np.flatnonzero(last) + 1 - starts)
+
+
+def _hashed_words(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``raw``, by eight bytes at a time; of words up to eight bytes a length has no two alike."""
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    h = mix(mix(lengths.astype(np.uint64), 41) ^ (eight[starts] & KEPT[np.minimum(lengths, 8)]), 42)
+    done, more = 8, np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
+    while len(more):
+        part = eight[starts[more] + done] & KEPT[np.minimum(lengths[more] - done, 8)]
+        h[more] = mix(h[more] * FACTOR ^ part, 42)
+        done += 8
+        more = more[lengths[more] > done]
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + lengths[i]].tobytes())
+    return h
+
+
+def text_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts end to end, and the number of words of each text."""
+    hashes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for chunk in texts.chunks:
+        for data, places in byte_runs(chunk, RUN_BYTES):
+            starts, h = run_hashes(data, places)
+            hashes.append(h)
+            sizes.append(np.diff(np.searchsorted(starts, places)))
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
 # --- blocks and exchanges ------------------------------------------------------------------------------
 
 def parts_for(df: DataFrame, column: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import keep_words, stored, words
+from prefspark.llm.common import keep_words, small_table, stored, words
 from prefspark.operators.positions import running_sums
 
 SLOTS = 1 << 18  # slots of the schedule, while blocks have up to BLOCK_WORDS words; more on larger input
@@ -56,7 +56,7 @@ def source_targets(sized: DataFrame, weights=(1.0, 2.0, 3.0), most: float = 3.0)
     sizes = [r["n"] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
     rows = [(r["source"], i, r["n"], goal[i]) for i, r in enumerate(found)]
-    return sized.sparkSession.createDataFrame(rows, "source string, index int, source_size long, target double")
+    return small_table(sized.sparkSession, rows, "source string, index int, source_size long, target double")
 
 
 def turns(size: int, target: float, most_words: int) -> tuple[int, int]:
@@ -102,9 +102,9 @@ def schedule(spark, dealt: list[tuple[int, int, int]]) -> DataFrame:
     late = [(total + j, i, r) for j, (i, r) in enumerate((i, r) for i, low, n in lacking for r in range(low, n))]
 
     sources = [(i, n, max(1, -(-size // block))) for i, (size, block, n) in enumerate(dealt)]
-    sources = spark.createDataFrame(sources, "index int, turns long, blocks long")
+    sources = small_table(spark, sources, "index int, turns long, blocks long")
     ranked = placed.join(starts, ["index", "part"]).select("slot", "index", (F.col("before") + F.col("nth")).alias("rank"))
-    ranked = ranked.unionByName(spark.createDataFrame(late, "slot long, index int, rank long")).join(sources, "index")
+    ranked = ranked.unionByName(small_table(spark, late, "slot long, index int, rank long")).join(sources, "index")
     ranked = ranked.where("rank < turns")
     return ranked.select("slot", "index", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
@@ -129,7 +129,7 @@ def _pieces(sized: DataFrame, weights, most: int, slots: int) -> tuple[DataFrame
     most_words = max(1, min(BLOCK_WORDS, -(-sum(n for n, _ in listed) // slots)))
     dealt = [(n, *turns(n, goal, most_words)) for n, goal in listed]
     spread = [(i, block, n) for i, (_, block, n) in enumerate(dealt)]
-    named = goals.join(sized.sparkSession.createDataFrame(spread, "index int, each long, turns long"), "index")
+    named = goals.join(small_table(sized.sparkSession, spread, "index int, each long, turns long"), "index")
     named = named.withColumnRenamed("source", "_source")
     placed = running_sums(sized.where("size > 0"), ["key", "doc_id", "size", "hash"], {"stop": F.col("size")}, ["source"])
     placed = placed.withColumn("start", F.col("stop") - F.col("size"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import BLOCK_BYTES, SENT, from_bytes, held, mix, pack, parts_for, stored
+from prefspark.llm.common import BLOCK_BYTES, RUN_BYTES, SENT, byte_runs, from_bytes, held, mix, pack, parts_for, run_hashes, stored
 from prefspark.llm.components import components
 from prefspark.operators.groups import join_unique
 
@@ -43,10 +43,6 @@ SEND_GRAMS = 1 << 21  # records that a task holds before it sends them
 # "late" marks an n-gram that a set has too late to be the smaller of two.
 RECORD = np.dtype([("gram", "<u8"), ("a", "<u8"), ("n", "<u4"), ("late", "u1")])
 SET_ID = np.dtype([("a", "<u8"), ("n", "<u4")])
-RUN_BYTES = 1 << 18  # of text whose sets are made at once; a longer text is by itself
-LONG_WORD = 64  # bytes; longer words are hashed one by one
-KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first so many of eight bytes
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
 GRAM_BITS = 48  # of an n-gram hash
 MASK = np.uint64((1 << GRAM_BITS) - 1)
 STEP = (1 << 40) - 1  # largest gap of five bytes
@@ -58,31 +54,13 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]
     and the last one's end. Fewer words are one shingle.
     """
     held("n-gram sets", bool)  # needs no cache, but drops another operator's
-    if not len(texts):
-        return
-    texts = texts.fill_null("").cast(pa.large_binary())
-    places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(places, places[at] + RUN_BYTES, "right")) - 1)
-        yield _gram_run(data[places[at] : places[to]], places[at : to + 1] - places[at], n)
-        at = to
+    for data, places in byte_runs(texts, RUN_BYTES):
+        yield _gram_run(data, places, n)
 
 
 def _gram_run(data: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sets of the texts that lie in ``data`` between ``places``, all at once: no step is per word."""
-    raw = np.zeros(len(data) + 8, np.uint8)  # eight bytes can be read from any place
-    raw[:-8] = data
-    raw += ((raw - 65) < 26).astype(np.uint8) << 5
-    word = (raw[:-8] != 32) & (raw[:-8] - 9 >= 5)  # bytes wrap
-    cut = np.zeros(len(data) + 1, bool)
-    cut[places] = True
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1] | cut[1:-1]
-    last[:-1] &= ~word[1:] | cut[1:-1]
-    starts = np.flatnonzero(first)
-    h = _hashed_words(raw, starts, np.flatnonzero(last) + 1 - starts)
+    starts, h = run_hashes(data + (((data - 65) < 26).astype(np.uint8) << 5), places)
 
     begins = np.searchsorted(starts, places)
     words = np.diff(begins)
@@ -104,21 +82,6 @@ def _gram_run(data: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray,
     return grams[new[:-1]], np.concatenate([[0], np.cumsum(new[:-1])])[bounds]
 
 
-def _hashed_words(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of ``raw``, by eight bytes at a time; of words up to eight bytes a length has no two alike."""
-    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    h = mix(mix(lengths.astype(np.uint64), 41) ^ (eight[starts] & KEPT[np.minimum(lengths, 8)]), 42)
-    done, more = 8, np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
-    while len(more):
-        part = eight[starts[more] + done] & KEPT[np.minimum(lengths[more] - done, 8)]
-        h[more] = mix(h[more] * FACTOR ^ part, 42)
-        done += 8
-        more = more[lengths[more] > done]
-    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + lengths[i]].tobytes())
-    return h
-
-
 def _shingles(words: list[np.ndarray]) -> np.ndarray:
     """Hashes of runs of words, given the hashes of their first words, second words and so on."""
     factors = mix(np.arange(len(words), dtype=np.uint64), 43) | np.uint64(1)

@@ -14,6 +14,7 @@ candidate; the deciding levels have 128 bits. The text itself is shuffled once,
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -22,74 +23,94 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import (
-    BLOCK_BYTES, SENT, ask, blocked, id_array, keep_words, mix, ngrams, pack, parts_for, stored, unpack_answers, word_hashes, words,
+    BLOCK_BYTES, SENT, ask, blocked, held, id_array, keep_words, mix, ngrams, pack, parts_for, stored, text_hashes, unpack_answers, words,
 )
 
 COVERED, REPEATED = 1, 2
+RUN = 1 << 16  # words whose windows are looked at together
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i4")])
 np.seterr(over="ignore")
 
 
 class _Block:
-    """The windows of one block, over the word hashes of its documents laid end to end."""
+    """The windows of one block, over the word hashes of its documents laid end to end.
+
+    Its words are not held, only two hashes of the window at each word; what else there is per word is narrow or made for
+    a run of words at a time.
+    """
 
     def __init__(self, group: pa.Table, length: int):
+        held("substrings", bool)  # needs no cache, but drops another operator's
         self.length, self.half = length, length // 2
-        self.ids = group["doc_id"].to_pylist()
         self.doc_keys = id_array(group["doc_id"])
-        self.tokens = [words(t) for t in group["text"].to_pylist()]
-        sizes = np.array([len(t) for t in self.tokens], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        parts = [word_hashes(t) for t in self.tokens]
-        h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        self.at = np.arange(len(h)) - self.starts[self.doc]
-        self.left = sizes[self.doc] - self.at  # words to the end of the document
-        self.a = self._padded(ngrams(h, self.half, 1))
-        self.b = self._padded(ngrams(h, self.half, 2))
-        self.windows = np.flatnonzero(self.left >= length)
+        h, self.sizes = text_hashes(group["text"])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.a, self.b = (_window_hashes(h, self.half, salt) for salt in (1, 2))
+        del h
 
         # The part of each window with the least mixed hash; the first of equals.
-        key = mix(self.a, 3)
-        best, offset = key[self.windows], np.zeros(len(self.windows), np.int64)
-        for j in range(1, length - self.half + 1):
-            other = key[self.windows + j]
-            less = other < best
-            best[less], offset[less] = other[less], j
-        self.anchor = self.windows + offset
-        self.anchors = np.unique(self.anchor)
+        reach = length - self.half
+        self.offset = np.zeros(len(self.doc), np.min_scalar_type(reach))
+        marked = np.zeros(len(self.doc), bool)
+        for windows in self._window_runs():
+            low = windows[0]
+            key = mix(self.a[low : windows[-1] + reach + 1], 3)
+            best, offset = key[windows - low], np.zeros(len(windows), self.offset.dtype)
+            for j in range(1, reach + 1):
+                other = key[windows - low + j]
+                less = other < best
+                best[less], offset[less] = other[less], j
+            self.offset[windows] = offset
+            marked[windows + offset] = True
+        self.anchors = np.flatnonzero(marked)
         self.parts, self.part_of, self.part_count = np.unique(
             self.a[self.anchors], return_inverse=True, return_counts=True
         )
 
-    def _padded(self, a: np.ndarray) -> np.ndarray:
-        return np.concatenate([a, np.zeros(len(self.doc) - len(a), np.uint64)])
+    def _window_runs(self) -> Iterator[np.ndarray]:
+        """Where windows of the wanted length start, a run of words at a time."""
+        for at in range(0, len(self.doc), RUN):
+            windows = at + np.flatnonzero(self.left(np.arange(at, min(at + RUN, len(self.doc)))) >= self.length)
+            if len(windows):
+                yield windows
+
+    def at(self, where: np.ndarray) -> np.ndarray:
+        """Places in their documents."""
+        return where - self.starts[self.doc[where]]
+
+    def left(self, where: np.ndarray) -> np.ndarray:
+        """Words to the end of the document."""
+        return self.starts[self.doc[where] + 1] - where
 
     def candidates(self, answer: np.ndarray) -> None:
         """Windows of the wanted length whose part repeats, grouped by hash, each group's earliest first."""
         repeats = (self.part_count > 1) | (answer > 0)
         of_anchor = np.zeros(len(self.doc), bool)
         of_anchor[self.anchors] = repeats[self.part_of]
-        self._group(self.windows[of_anchor[self.anchor]], self.half)
+        found = [w[of_anchor[w + self.offset[w]]] for w in self._window_runs()]
+        self._group(np.concatenate([np.empty(0, np.int64), *found]), self.half)
 
     def _group(self, where: np.ndarray, half: int) -> None:
         """Double ``half`` at the places ``where`` and find equal windows."""
-        a, b = (mix(mix(x[where], 5) + x[where + half], 6) for x in (self.a, self.b))
+        a, b = (_doubled(x, where, half) for x in (self.a, self.b))
         self.a[where], self.b[where] = a, b  # from here on the hashes of the doubled windows
-        doc, at = self.doc_keys[self.doc[where]], self.at[where]
+        doc, at = self.doc_keys[self.doc[where]], self.at(where).astype(np.int32)
         order = np.lexsort((at, doc, b, a))
-        self.where = where[order]
-        self.keys = np.empty(len(order), WINDOW)
+        self.where = where[order].astype(np.int32 if len(self.doc) < 1 << 31 else np.int64)
+        a, b, doc, at = a[order], b[order], doc[order], at[order]
+        del order
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        heads = np.flatnonzero(new)
+        self.first = np.empty(len(heads), WINDOW)
         for name, column in (("a", a), ("b", b), ("doc", doc), ("at", at)):
-            self.keys[name] = column[order]
-        k = self.keys
-        new = np.ones(len(k), bool)
-        new[1:] = (k["a"][1:] != k["a"][:-1]) | (k["b"][1:] != k["b"][:-1])
-        self.group = np.cumsum(new) - 1
-        self.first = k[new]
-        size = np.bincount(self.group, minlength=len(self.first))
-        later = (k["doc"] != self.first["doc"][self.group]) | (k["at"] != self.first["at"][self.group])
-        self.local = later * COVERED | (size[self.group] > 1) * REPEATED
+            self.first[name] = column[heads]
+        del a, b
+        self.group = (np.cumsum(new) - 1).astype(self.where.dtype)
+        later = (doc != self.first["doc"][self.group]) | (at != self.first["at"][self.group])
+        many = np.diff(heads, append=len(new)) > 1
+        self.local = later * np.uint8(COVERED) | many[self.group] * np.uint8(REPEATED)
 
     def flags(self, answer: np.ndarray) -> np.ndarray:
         """Of each candidate, in the order of ``where``; a later window than a covered first one is covered too."""
@@ -98,20 +119,38 @@ class _Block:
     def removed(self, answer: np.ndarray) -> np.ndarray:
         """Which words are covered by a window that also starts earlier."""
         covered = self.where[(self.flags(answer) & COVERED) > 0]
-        depth = np.zeros(len(self.doc) + 1, np.int64)
+        depth = np.zeros(len(self.doc) + 1, np.int32)
         np.add.at(depth, covered, 1)
         np.add.at(depth, covered + self.length, -1)
-        return np.cumsum(depth[:-1]) > 0
+        return np.cumsum(depth[:-1], dtype=np.int32) > 0
 
     def double(self, answer: np.ndarray, length: int) -> None:
         """Candidates of the next level: repeated windows followed, at their end, by another one."""
         repeats = np.zeros(len(self.doc), bool)
         repeats[self.where[(self.flags(answer) & REPEATED) > 0]] = True
         where = np.flatnonzero(repeats[: max(len(repeats) - length, 0)])
-        where = where[repeats[where + length] & (self.left[where] >= 2 * length)]
+        where = where[repeats[where + length] & (self.left(where) >= 2 * length)]
         self._group(where, length)
 
 
+def _window_hashes(h: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """``ngrams``, a run of words at a time; zeros where fewer than ``n`` words are left."""
+    out = np.zeros(len(h), np.uint64)
+    for at in range(0, len(h) - n + 1, RUN):
+        found = ngrams(h[at : at + RUN + n - 1], n, salt)
+        out[at : at + len(found)] = found
+    return out
+
+
+def _doubled(x: np.ndarray, where: np.ndarray, half: int) -> np.ndarray:
+    """Hashes of windows at ``where`` from those of their halves, a run at a time."""
+    out = np.empty(len(where), np.uint64)
+    for at in range(0, len(where), RUN):
+        w = where[at : at + RUN]
+        out[at : at + RUN] = mix(mix(x[w], 5) + x[w + half], 6)
+    return out
+
+
 def _resolve_parts(records: np.ndarray, _) -> np.ndarray:
     _, back, count = np.unique(records, return_inverse=True, return_counts=True)
     return (count[back] > 1).astype(np.uint8)
@@ -195,8 +234,8 @@ def remove_repeats(
     of which no word is left are dropped; rows that had none stay. A column ``n_chars`` becomes the new length.
     """
     rest = [c for c in df.columns if c not in (id_col, text)]
-    held = F.struct(F.lit(0).alias("_"), *rest)  # apart from the columns added below, whatever their names
-    docs, buckets, partitions = _blocked(df, id_col, text, window, block_bytes, held.alias("row"))
+    apart = F.struct(F.lit(0).alias("_"), *rest)  # from the columns added below, whatever their names
+    docs, buckets, partitions = _blocked(df, id_col, text, window, block_bytes, apart.alias("row"))
     answers: list[DataFrame] = []
     for _ in range(2):
         answers.append(_ask_level(docs, answers, window, buckets, partitions))
@@ -246,19 +285,17 @@ def substring_dedup(
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block = _Block(left, window)
         gone = block.removed(_replay(block, right, 2, buckets))
-        removed, kept = [], []
-        for i, tokens in enumerate(block.tokens):
-            mine = gone[block.starts[i] : block.starts[i + 1]]
+        removed, digests, kept = [], [], []
+        for i, text in enumerate(left["text"]):
+            mine, tokens = gone[block.starts[i] : block.starts[i + 1]], words(text.as_py())
             removed.append(int(mine.sum()))
-            kept.append(b" ".join(compress(tokens, (~mine).tolist()) if removed[-1] else tokens))
-        columns = [
-            pa.array(block.ids, pa.int64()),
-            pa.array([len(t) for t in block.tokens], pa.int64()),
-            pa.array(removed, pa.int64()),
-            pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-        ]
+            rest = b" ".join(compress(tokens, (~mine).tolist()) if removed[-1] else tokens)
+            digests.append(hashlib.sha256(rest).hexdigest())
+            if keep_text:
+                kept.append(rest.decode("utf-8", "surrogatepass"))
+        columns = [left["doc_id"], pa.array(block.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
         if keep_text:
-            columns.append(pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()))
+            columns.append(pa.array(kept, pa.string()))
         return pa.table(columns, names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
@@ -275,8 +312,8 @@ def _report(window: int, depth: int, buckets: int):
         repeats = (flags & REPEATED) > 0
         at = block.where[repeats]
         columns = [
-            pa.array(block.ids, pa.int64()).take(pa.array(block.doc[at])),
-            pa.array(block.at[at], pa.int64()),
+            left["doc_id"].combine_chunks().take(pa.array(block.doc[at])),
+            pa.array(block.at(at), pa.int64()),
             pa.array(np.full(len(at), length), pa.int64()),
             pa.array((flags[repeats] & COVERED) > 0),
         ]

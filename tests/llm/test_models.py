@@ -14,7 +14,7 @@ from prefspark.llm.kmeans_tree import KMeansTree, nearest
 from prefspark.llm.common import as_bytes, from_bytes
 from prefspark.llm.lm_score import RECORD, lm_scores
 from prefspark.llm import mixing
-from prefspark.llm.mixing import mix_sources, mixed_documents, schedule, targets, turns
+from prefspark.llm.mixing import mix_sources, mixed_documents, schedule, source_targets, targets, turns
 from prefspark.llm import quality
 from prefspark.llm.quality import fit_quality, keep_quality, quality_scores
 
@@ -147,6 +147,14 @@ def test_quality_of_odd_rows(spark):
 
 # --- mixing ------------------------------------------------------------------------------------------------
 
+
+def test_targets_start_no_other_python_workers(spark):
+    sized = spark.createDataFrame([("a", 3), (None, 5)], "source string, size long")
+    got = source_targets(sized)
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString()
+    assert [(r["source"], r["index"], r["source_size"]) for r in got.collect()] == [("a", 0, 3), (None, 1, 5)]
+    assert source_targets(sized.limit(0)).collect() == []
+
 def mix_rows():
     rng = random.Random(6)
     rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 80))), rng.choice(["b", "a", "Z", None])) for i in range(300)]

@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from prefspark.llm.substring_dedup import repeated_passages, substring_dedup
+from prefspark.llm.substring_dedup import _Block, repeated_passages, substring_dedup
 
 SCHEMA = "doc_id long, text string, _block string, payload string, kept string"
 
@@ -80,3 +83,16 @@ def test_doubling_until_none_survives(spark):
                 seen.setdefault(tuple(w[s : s + length]), []).append((i, s))
         want |= {(i, s, length, (i, s) != v[0]) for v in seen.values() if len(v) > 1 for i, s in v}
     assert set(map(tuple, repeated_passages(frame(spark, rows), block_bytes=600).collect())) == want
+
+
+def test_a_block_holds_little_for_each_word():
+    rng = random.Random(3)
+    found = [" ".join(str(rng.randrange(50_000)) for _ in range(1_000)) for _ in range(300)]
+    table = pa.table({"doc_id": pa.array(range(300), pa.int64()), "text": pa.array(found, pa.string())})
+    tracemalloc.start()
+    block = _Block(table, 20)
+    block.candidates(np.zeros(len(block.parts), np.uint8))
+    removed, peak = block.removed(np.zeros(len(block.first), np.uint8)), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(removed) == 300_000
+    assert peak < 80 * len(removed)
