@@ -222,7 +222,8 @@ def _of_length(
                     ["query_id", "vec_id", "score"],
                 )
 
-    pairs = asked.mapInArrow(spread, "leaf long, q_ids binary, q_data binary").join(index, "leaf")
+    # Spark sizes a function's rows by their columns' types, far too low for these: left to itself it would broadcast them.
+    pairs = asked.mapInArrow(spread, "leaf long, q_ids binary, q_data binary").join(index.hint("merge"), "leaf")
     scored = pairs.mapInArrow(solve, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -342,6 +342,31 @@ def test_few_and_no_vectors(spark):
         assert nearest(vectors(spark, rows)).count() == top_inner_products(vectors(spark, rows)).count() == 0
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """No join may send more than 3 MB through the driver; the least that Spark counts for one is 1 MB."""
+    name = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3m")
+    yield
+    spark.conf.set(name, before)
+
+
+def wide_vectors(n=2_000, d=64):
+    x = np.random.default_rng(5).normal(size=(n, d)).astype(np.float32)
+    return [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+
+
+def test_nearest_broadcasts_no_vectors(spark, small_broadcasts):
+    rows = wide_vectors()
+    found = nearest(vectors(spark, rows), every=2, recall=1.0, query_block=100).collect()
+    x = np.array([v for _, v in rows])
+    near = x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2)
+    np.fill_diagonal(near, -2)
+    want = {(q, int(i)) for q in range(0, 2_000, 2) for i in np.argsort(-near[q])[:5]}
+    assert len({(r.query_id, r.vec_id) for r in found} & want) >= 0.97 * len(want) and len(found) == len(want)
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(3).normal(size=(600, 6))
     tree = KMeansTree(x, leaf=30)
