@@ -9,6 +9,7 @@ until the recall against brute force reaches the wanted one. Leaves over a size
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,13 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import stored
-from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, matrix, opened, packed, queries_of, usable
+from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, matrix, opened, packed, queries_of, rows_of, usable
 
 SAMPLE_ROWS = 16_384  # rows the tree is fitted on
 BRANCHES = 8
 LEAF_SAMPLE = 96  # sample rows below which a node is not split
 PART_ROWS = 4_096
 CALIBRATION = 256  # sample rows used as queries
+SENT_BYTES = 4 << 20  # of query vectors that leave a worker at once
 SLACK = 1e-9  # above the error of a cosine by matrix product
 
 
@@ -126,6 +128,25 @@ class KMeansTree:
         return visited
 
 
+def sent(ids: np.ndarray, x: np.ndarray, by_leaf: dict[int, list[int]], most: int = SENT_BYTES) -> Iterator[pa.RecordBatch]:
+    """One row per leaf with the queries that visit it, about ``most`` bytes of them at a time."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        leaf, some, data = zip(*rows)
+        columns = [pa.array(leaf, pa.int64()), pa.array(some, pa.binary()), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["leaf", "q_ids", "q_data"])
+
+    out, size = [], 0
+    for leaf, i in by_leaf.items():
+        out.append((leaf, ids[i].tobytes(), x[i].tobytes()))
+        size += len(out[-1][1]) + len(out[-1][2])
+        if size >= most:
+            yield batch(out)
+            out, size = [], 0
+    if out:
+        yield batch(out)
+
+
 def nearest(
     df: DataFrame,
     k: int = 5,
@@ -157,9 +178,9 @@ def _of_length(
     n = rows.count()
     share = F.lit(sample_rows * (1 << 30) // max(n, 1))
     drawn = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < share  # about sample_rows, equal rows once
-    some = rows.where(drawn).distinct().collect()
-    some.sort(key=lambda r: (r["vec_id"], r["v"]))
-    sample = np.array([r["v"] for r in some], np.float64).reshape(-1, max(length, 1))
+    some = rows.where(drawn).distinct().toArrow()  # as Python rows a number takes four times its bytes
+    sample = matrix(some["v"], max(length, 1))
+    sample = sample[np.lexsort((*sample.T[::-1], some["vec_id"].to_numpy()))]
     tree = KMeansTree(sample, leaf=leaf_sample)
     visited = tree.calibrate(sample, k, recall)
     shared = spark.sparkContext.broadcast(tree)  # centres of at most sample_rows leaves
@@ -182,7 +203,7 @@ def _of_length(
 
     def spread(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 ids, x = opened(row["ids"], row["data"], length)
                 by_leaf: dict[int, list[int]] = {}
                 for i, q in enumerate(x):
@@ -194,17 +215,13 @@ def _of_length(
                     for leaf in leaves:
                         if held[leaf]:
                             by_leaf.setdefault(leaf, []).append(i)
-                out = [(leaf, ids[i].tobytes(), x[i].tobytes()) for leaf, i in by_leaf.items()]
-                leaf, some, data = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf, pa.int64()), pa.array(some, pa.binary()), pa.array(data, pa.binary())], ["leaf", "q_ids", "q_data"]
-                )
+                yield from sent(ids, x, by_leaf)
 
     tree_leaves = tree.leaves
 
     def solve(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 q_ids, q = opened(row["q_ids"], row["q_data"], length)
                 ids, x = opened(row["ids"], row["data"], length)
                 near = _unit(q) @ _unit(x).T

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from prefspark.llm.common import stored
 
 QUERY_BLOCK = 1_024
+BATCH_BYTES = "8m"  # of blobs that go to a worker at once; Spark takes 64 MB, in buffers that double
 
 
 def usable(df: DataFrame, id_col: str, vector: str, zero: bool) -> list[tuple[DataFrame, int]]:
@@ -18,6 +21,7 @@ def usable(df: DataFrame, id_col: str, vector: str, zero: bool) -> list[tuple[Da
     Left out are rows whose id or vector is NULL or empty, whose vector has a NULL or non-finite component or, unless
     ``zero``, only zeros. Vectors of different lengths have no score and are searched apart; there are few lengths.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     v = F.col("v")
     good: Column = v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0)
     good = good & F.forall(v, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
@@ -62,5 +66,12 @@ def hashed_parts(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]
     return rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(parts))), parts
 
 
-def opened(ids: bytes, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one at a time, bytes as views of it: blobs of many rows are not copied at once."""
+    for i in range(batch.num_rows):
+        found = {name: batch.column(name)[i] for name in batch.schema.names}
+        yield {k: v.as_buffer() if pa.types.is_binary(v.type) else v.as_py() for k, v in found.items()}
+
+
+def opened(ids: bytes | pa.Buffer, data: bytes | pa.Buffer, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, length)

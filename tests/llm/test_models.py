@@ -10,13 +10,14 @@ import pyarrow as pa
 import pytest
 
 from prefspark.llm.kd_search import KdTree, top_inner_products
-from prefspark.llm.kmeans_tree import KMeansTree, nearest
+from prefspark.llm.kmeans_tree import KMeansTree, nearest, sent
 from prefspark.llm.common import as_bytes, from_bytes
 from prefspark.llm.lm_score import RECORD, lm_scores
 from prefspark.llm import mixing
 from prefspark.llm.mixing import mix_sources, mixed_documents, schedule, source_targets, targets, turns
 from prefspark.llm import quality
 from prefspark.llm.quality import fit_quality, keep_quality, quality_scores
+from prefspark.llm.vectors import opened, rows_of
 
 DOC = "doc_id long, text string, source string, _block string, row string, size string, label string"
 
@@ -367,6 +368,34 @@ def test_nearest_broadcasts_no_vectors(spark, small_broadcasts):
     assert len({(r.query_id, r.vec_id) for r in found} & want) >= 0.97 * len(want) and len(found) == len(want)
 
 
+def test_queries_leave_a_worker_in_small_batches():
+    x, ids = np.random.default_rng(4).normal(size=(100, 16)), np.arange(100) * 50
+    visits = {leaf: [i for i in range(100) if (i + leaf) % 3] for leaf in range(60)}
+    batches = list(sent(ids, x, visits, most=50_000))
+    assert max(b.nbytes for b in batches) < 50_000 + 100 * 17 * 8
+    got = {}
+    for row in (row for b in batches for row in rows_of(b)):
+        q, v = opened(row["q_ids"], row["q_data"], 16)
+        assert row["leaf"] not in got and np.array_equal(v, x[q // 50])
+        got[row["leaf"]] = [int(i) // 50 for i in q]
+    assert got == visits and list(sent(ids, x, {})) == []
+
+
+def test_rows_of_a_batch_are_views():
+    batch = pa.RecordBatch.from_pydict({"a": [1, None], "b": [bytes(1 << 20), None], "c": [[1, 2], None]})
+    before = pa.total_allocated_bytes()
+    one, two = rows_of(batch)
+    assert pa.total_allocated_bytes() == before and one["b"].size == 1 << 20
+    assert (one["a"], one["c"]) == (1, [1, 2]) and two == {"a": None, "b": None, "c": None}
+
+
+def test_vectors_go_to_workers_in_small_batches(spark):
+    nearest(vectors(spark, vector_rows(60)))
+    rows = spark.range(12, numPartitions=1).selectExpr("cast(repeat('a', 2 << 20) AS binary) AS b")
+    sizes = rows.mapInArrow(lambda found: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in found), "n long").collect()
+    assert sum(r.n for r in sizes) == 12 and max(r.n for r in sizes) <= 5
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(3).normal(size=(600, 6))
     tree = KMeansTree(x, leaf=30)
