@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import stored
-from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, opened, packed, queries_of, usable
+from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, opened, packed, queries_of, rows_of, usable
 
 SHARD_ROWS = 16_384
 LEAF_ROWS = 128
@@ -136,7 +136,7 @@ def _of_length(
     def solve(batches):
         tree, at = None, None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 if row["shard"] != at:
                     ids, x = opened(row["s_ids"], row["s_data"], length)
                     tree, at = KdTree(ids, quantized(x, factor)), row["shard"]
@@ -158,9 +158,10 @@ def _of_length(
                     [pa.array(c, pa.int64()) for c in columns], ["block", "query_id", "vec_id", "score"]
                 )
 
+    # Spark sizes an explode and a function's rows far too low: left to itself it would broadcast the queries of all shards.
     def searched(pairs: DataFrame) -> DataFrame:
         held = shards.select("shard", F.col("ids").alias("s_ids"), F.col("data").alias("s_data"))
-        return pairs.join(held, "shard").mapInArrow(solve, schema)
+        return pairs.join(held.hint("merge"), "shard").mapInArrow(solve, schema)
 
     # First one shard for each block of queries, then all, from the k-th score of the first.
     home = asked.withColumns({"shard": F.pmod("block", F.lit(count)), "known": F.lit(None).cast("array<long>"),
@@ -169,6 +170,6 @@ def _of_length(
     first = searched(home).withColumn("r", F.row_number().over(ranked)).where(F.col("r") == k)
     limits = first.groupBy("block").agg(F.collect_list(F.struct("query_id", "score")).alias("l"))  # of one block
     limits = limits.select("block", F.col("l.query_id").alias("known"), F.col("l.score").alias("least"))
-    pairs = asked.join(limits, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>")))
+    pairs = asked.join(limits.hint("merge"), "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>")))
     best = searched(pairs).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

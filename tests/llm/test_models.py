@@ -368,6 +368,18 @@ def test_nearest_broadcasts_no_vectors(spark, small_broadcasts):
     assert len({(r.query_id, r.vec_id) for r in found} & want) >= 0.97 * len(want) and len(found) == len(want)
 
 
+def test_inner_products_broadcast_no_vectors(spark, small_broadcasts):
+    rows = wide_vectors(8_000)
+    found = top_inner_products(vectors(spark, rows), every=40, shard_rows=256, query_block=50).collect()
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    want = []
+    for q in range(0, 8_000, 40):
+        scores = x @ x[q]
+        scores[q] = scores.min() - 1
+        want += [(q, r + 1, i, scores[i]) for r, i in enumerate(np.lexsort((np.arange(8_000), -scores))[:5])]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_queries_leave_a_worker_in_small_batches():
     x, ids = np.random.default_rng(4).normal(size=(100, 16)), np.arange(100) * 50
     visits = {leaf: [i for i in range(100) if (i + leaf) % 3] for leaf in range(60)}
@@ -390,7 +402,7 @@ def test_rows_of_a_batch_are_views():
 
 
 def test_vectors_go_to_workers_in_small_batches(spark):
-    nearest(vectors(spark, vector_rows(60)))
+    nearest(vectors(spark, vector_rows()))
     rows = spark.range(12, numPartitions=1).selectExpr("cast(repeat('a', 2 << 20) AS binary) AS b")
     sizes = rows.mapInArrow(lambda found: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in found), "n long").collect()
     assert sum(r.n for r in sizes) == 12 and max(r.n for r in sizes) <= 5
