@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import stored
-from prefspark.llm.vectors import QUERY_BLOCK, hashed_parts, matrix, opened, packed, queries_of, rows_of, usable
+from prefspark.llm.common import small_table, stored
+from prefspark.llm.vectors import QUERY_BLOCK, as_blob, hashed_parts, matrix, opened, packed, queries_of, rows_of, usable
 
 SAMPLE_ROWS = 16_384  # rows the tree is fitted on
 BRANCHES = 8
 LEAF_SAMPLE = 96  # sample rows below which a node is not split
 PART_ROWS = 4_096
+RUN_ROWS = 4 * PART_ROWS
 CALIBRATION = 256  # sample rows used as queries
 SENT_BYTES = 4 << 20  # of query vectors that leave a worker at once
 SLACK = 1e-9  # above the error of a cosine by matrix product
@@ -128,18 +129,23 @@ class KMeansTree:
         return visited
 
 
-def sent(ids: np.ndarray, x: np.ndarray, by_leaf: dict[int, list[int]], most: int = SENT_BYTES) -> Iterator[pa.RecordBatch]:
-    """One row per leaf with the queries that visit it, about ``most`` bytes of them at a time."""
+def sent(ids: np.ndarray, x: np.ndarray, visited: np.ndarray, starts: np.ndarray, most: int = SENT_BYTES) -> Iterator[pa.RecordBatch]:
+    """One row per run of leaves with the queries that visit it, and which of its leaves as bits; about ``most`` bytes at a time.
+
+    ``visited`` has a row per query and a column per leaf, and ``starts`` says where each run begins.
+    """
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        leaf, some, data = zip(*rows)
-        columns = [pa.array(leaf, pa.int64()), pa.array(some, pa.binary()), pa.array(data, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["leaf", "q_ids", "q_data"])
+        run, *blobs = zip(*rows)
+        columns = [pa.array(run, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)]
+        return pa.RecordBatch.from_arrays(columns, ["run", "q_ids", "q_data", "q_leaves"])
 
     out, size = [], 0
-    for leaf, i in by_leaf.items():
-        out.append((leaf, ids[i].tobytes(), x[i].tobytes()))
-        size += len(out[-1][1]) + len(out[-1][2])
+    for run, (a, b) in enumerate(zip(starts, [*starts[1:], visited.shape[1]])):
+        i = np.flatnonzero(visited[:, a:b].any(axis=1))
+        if len(i):
+            out.append((run, ids[i].tobytes(), as_blob(x[i]), np.packbits(visited[i, a:b], axis=1).tobytes()))
+            size += sum(map(len, out[-1][1:]))
         if size >= most:
             yield batch(out)
             out, size = [], 0
@@ -158,6 +164,7 @@ def nearest(
     part_rows: int = PART_ROWS,
     query_block: int = QUERY_BLOCK,
     leaf_sample: int = LEAF_SAMPLE,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Per query the ``k`` nearest rows found by cosine: ``query_id, rank, vec_id, score``.
 
@@ -166,13 +173,14 @@ def nearest(
     nor do rows without an id. Vectors are compared with those of their length; of rows under one id the least is the
     query. Where the visited leaves hold fewer than ``k`` candidates, more leaves are visited until they do. An empty table gives an empty result; other columns are not read.
     """
-    options = k, every, recall, sample_rows, leaf_sample, part_rows, query_block
+    options = k, every, recall, sample_rows, leaf_sample, part_rows, query_block, run_rows
     found = [_of_length(*rows, *options) for rows in usable(df, id_col, vector, zero=False)]
     return reduce(DataFrame.unionByName, found)
 
 
 def _of_length(
-    rows: DataFrame, length: int, k: int, every: int, recall: float, sample_rows: int, leaf_sample: int, part_rows: int, query_block: int
+    rows: DataFrame, length: int, k: int, every: int, recall: float, sample_rows: int, leaf_sample: int, part_rows: int, query_block: int,
+    run_rows: int,
 ) -> DataFrame:
     spark = rows.sparkSession
     n = rows.count()
@@ -191,12 +199,17 @@ def _of_length(
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaf)], ["vec_id", "v", "leaf"])
 
     placed = stored(rows.mapInArrow(assign, "vec_id long, v array<double>, leaf long"), "leaves")
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["leaf"]: r["n"] for r in sizes.collect()}  # one number per leaf
+    counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number per leaf
     held = np.array([counts.get(i, 0) for i in range(tree.leaves)], np.int64)
-    parts = sizes.select("leaf", F.ceil(F.col("n") / F.lit(part_rows)).alias("parts"))
-    dealt = placed.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    index = packed(dealt, ["leaf", "part"], length)
+    # Neighbouring leaves of about RUN_ROWS rows are a run: a query is sent once to each run that it visits a leaf of.
+    in_run = (np.cumsum(held) - held) // run_rows
+    starts, in_run = np.unique(in_run, return_index=True, return_inverse=True)[1:]
+    rows_in = np.bincount(in_run, held).astype(np.int64)
+    runs = small_table(
+        spark, [(i, int(r), max(1, -(-int(rows_in[r]) // part_rows))) for i, r in enumerate(in_run)], "leaf long, run long, parts long"
+    )
+    dealt = placed.join(F.broadcast(runs), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    index = packed(dealt, ["run", "part"], length, ["leaf"])
 
     asked, _ = hashed_parts(queries_of(rows, every), query_block, "block")
     asked = packed(asked, ["block"], length)
@@ -205,17 +218,15 @@ def _of_length(
         for batch in batches:
             for row in rows_of(batch):
                 ids, x = opened(row["ids"], row["data"], length)
-                by_leaf: dict[int, list[int]] = {}
+                goes = np.zeros((len(ids), tree_leaves), bool)
                 for i, q in enumerate(x):
                     leaves = shared.value.visits(q, visited)
                     if held[leaves].sum() <= k:
                         every_leaf = shared.value.visits(q, tree_leaves)
                         enough = int(np.searchsorted(np.cumsum(held[every_leaf]), k + 1)) + 1
                         leaves = every_leaf[: max(enough, visited)]
-                    for leaf in leaves:
-                        if held[leaf]:
-                            by_leaf.setdefault(leaf, []).append(i)
-                yield from sent(ids, x, by_leaf)
+                    goes[i, leaves] = True
+                yield from sent(ids, x, goes & (held > 0), starts)
 
     tree_leaves = tree.leaves
 
@@ -224,7 +235,10 @@ def _of_length(
             for row in rows_of(batch):
                 q_ids, q = opened(row["q_ids"], row["q_data"], length)
                 ids, x = opened(row["ids"], row["data"], length)
-                near = _unit(q) @ _unit(x).T
+                first = starts[row["run"]]
+                bits = np.frombuffer(row["q_leaves"], np.uint8).reshape(len(q), -1)
+                goes = np.unpackbits(bits, axis=1).astype(bool)[:, np.frombuffer(row["leaf"], np.int32) - first]
+                near = np.where(goes, _unit(q) @ _unit(x).T, -3.0)
                 found = []
                 for i in range(len(q)):
                     mine = np.where(ids == q_ids[i], -3.0, near[i])
@@ -240,7 +254,7 @@ def _of_length(
                 )
 
     # Spark sizes a function's rows by their columns' types, far too low for these: left to itself it would broadcast them.
-    pairs = asked.mapInArrow(spread, "leaf long, q_ids binary, q_data binary").join(index.hint("merge"), "leaf")
+    pairs = asked.mapInArrow(spread, "run long, q_ids binary, q_data binary, q_leaves binary").join(index.hint("merge"), "run")
     scored = pairs.mapInArrow(solve, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -45,19 +45,31 @@ def matrix(column, length: int) -> np.ndarray:
     return np.concatenate([*flat, np.empty(0)]).reshape(-1, length)
 
 
-def packed(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """One row per value of ``keys`` with ``ids`` and ``data``, its ids and vectors as bytes, in order of id."""
+def as_blob(x: np.ndarray) -> bytes:
+    """Vectors as bytes: single precision where that changes no number, which is half of double."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return (single if np.array_equal(single, x) else x).tobytes()
+
+
+def packed(rows: DataFrame, keys: list[str], length: int, also: list[str] = []) -> DataFrame:
+    """One row per value of ``keys`` with ``ids`` and ``data``, its ids and vectors as bytes, in order of id.
+
+    Columns of ``also`` are integers, one for each vector, and come as bytes too.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         ids = np.asarray(group["vec_id"].combine_chunks(), np.int64)
         order = np.argsort(ids, kind="stable")
         out = {k: group[k][:1] for k in keys}
         out["ids"] = pa.array([ids[order].tobytes()], pa.binary())
-        out["data"] = pa.array([matrix(group["v"], length)[order].tobytes()], pa.binary())
+        out["data"] = pa.array([as_blob(matrix(group["v"], length)[order])], pa.binary())
+        for name in also:
+            out[name] = pa.array([np.asarray(group[name].combine_chunks(), np.int32)[order].tobytes()], pa.binary())
         return pa.table(out)
 
-    schema = ", ".join(f"{k} long" for k in keys) + ", ids binary, data binary"
-    return rows.select(*[F.col(k).cast("long").alias(k) for k in keys], "vec_id", "v").groupBy(*keys).applyInArrow(run, schema)
+    schema = ", ".join(f"{k} long" for k in keys) + ", ids binary, data binary" + "".join(f", {name} binary" for name in also)
+    return rows.select(*[F.col(k).cast("long").alias(k) for k in keys], "vec_id", "v", *also).groupBy(*keys).applyInArrow(run, schema)
 
 
 def hashed_parts(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
@@ -74,4 +86,7 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def opened(ids: bytes | pa.Buffer, data: bytes | pa.Buffer, length: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, length)
+    """Ids and vectors, in double precision, of a row of ``packed``."""
+    ids = np.frombuffer(ids, np.int64)
+    kind = np.float32 if len(data) == 4 * length * len(ids) else np.float64
+    return ids, np.frombuffer(data, kind).astype(np.float64, copy=False).reshape(-1, length)

@@ -17,7 +17,7 @@ from prefspark.llm import mixing
 from prefspark.llm.mixing import mix_sources, mixed_documents, schedule, source_targets, targets, turns
 from prefspark.llm import quality
 from prefspark.llm.quality import fit_quality, keep_quality, quality_scores
-from prefspark.llm.vectors import opened, rows_of
+from prefspark.llm.vectors import as_blob, opened, rows_of
 
 DOC = "doc_id long, text string, source string, _block string, row string, size string, label string"
 
@@ -380,17 +380,29 @@ def test_inner_products_broadcast_no_vectors(spark, small_broadcasts):
     assert sorted(map(tuple, found)) == sorted(want)
 
 
-def test_queries_leave_a_worker_in_small_batches():
+def test_queries_leave_a_worker_once_a_run_in_small_batches():
     x, ids = np.random.default_rng(4).normal(size=(100, 16)), np.arange(100) * 50
-    visits = {leaf: [i for i in range(100) if (i + leaf) % 3] for leaf in range(60)}
-    batches = list(sent(ids, x, visits, most=50_000))
-    assert max(b.nbytes for b in batches) < 50_000 + 100 * 17 * 8
-    got = {}
-    for row in (row for b in batches for row in rows_of(b)):
+    visited, starts = np.random.default_rng(5).random((100, 300)) < 0.1, np.array([0, 1, 30, 31, 90, 200])
+    visited[:, 30] = False
+    batches = list(sent(ids, x, visited, starts, most=20_000))
+    assert len(batches) > 1 and max(b.nbytes for b in batches) < 20_000 + 100 * (17 * 8 + 14)
+    got = np.zeros_like(visited)
+    rows = [row for b in batches for row in rows_of(b)]
+    assert [row["run"] for row in rows] == [0, 1, 3, 4, 5]
+    for row in rows:
         q, v = opened(row["q_ids"], row["q_data"], 16)
-        assert row["leaf"] not in got and np.array_equal(v, x[q // 50])
-        got[row["leaf"]] = [int(i) // 50 for i in q]
-    assert got == visits and list(sent(ids, x, {})) == []
+        a, b = [*starts, 300][row["run"] : row["run"] + 2]
+        got[q // 50, a:b] = np.unpackbits(np.frombuffer(row["q_leaves"], np.uint8).reshape(len(q), -1), axis=1)[:, : b - a]
+        assert np.array_equal(v, x[q // 50])
+    assert np.array_equal(got, visited) and list(sent(ids, x, visited & False, starts)) == []
+
+
+@pytest.mark.parametrize("x,size", [([[0.5, -0.0], [3e38, 1e-45]], 4), ([[0.1, 1.0]], 8), ([[1e300, 1.0]], 8), ([[1e-320, 0.0]], 8)])
+def test_vectors_keep_their_numbers_as_bytes(x, size):
+    x = np.array(x).astype(np.float32).astype(float) if size == 4 else np.array(x)
+    blob = as_blob(x)
+    got = opened(np.arange(len(x)).tobytes(), blob, 2)[1]
+    assert len(blob) == size * x.size and got.dtype == float and got.tobytes() == x.tobytes()
 
 
 def test_rows_of_a_batch_are_views():
