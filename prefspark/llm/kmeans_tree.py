@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample; every row is then put to the leaf of its nearest centres. A query goes
 through the tree best bin first: a priority queue holds open nodes by how near their centre is, and leaves come
 out in that order. How many leaves are visited is calibrated: on part of the sample the number is widened
-until the recall against brute force reaches the wanted one. Leaves over a size are cut into parts by a hash.
+until the recall against brute force reaches the wanted one. Neighbouring leaves make up runs of a size, to which a
+query is sent once; runs are cut into parts by a hash.
 """
 
 from __future__ import annotations
